@@ -1,0 +1,20 @@
+"""Broadcast only behind a measured size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+# Request frames above this many rows are joined with a shuffle instead.
+MAX_BROADCAST_ROWS = 200_000
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast when ``df`` provably has at most ``max_rows`` rows.
+
+    The check is one cheap count over the (small, request-sized) frame; a frame
+    that is larger is returned unchanged and the planner (with AQE) picks a
+    shuffle join.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
