@@ -224,21 +224,53 @@ class State:
         return stock_rows(keys, part)
 
 
-def load_state(spark: SparkSession, sf_dir: str, mode: str = "all") -> State:
-    src = {name: read_source(spark, sf_dir, name)
-           for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+_STATE_CACHE: dict = {}
+
+
+def load_state(spark: SparkSession, sf_dir: str, mode: str = "all",
+               materialized: bool = True) -> State:
+    """The state of ``sf_dir``; by default read from a parquet snapshot that is
+    derived (once) by Spark from the given tables, see ``sources.sinks``.
+
+    The returned frames are lazy and immutable, so one State is reused by all
+    queries of a session."""
+    import os
+    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), mode, materialized)
+    if key in _STATE_CACHE:
+        return _STATE_CACHE[key]
+    if materialized:
+        from depotline.sources.sinks import materialize, snapshot_path
+        state = materialize(spark, lambda o=None: derive_state(spark, sf_dir, mode, o),
+                            snapshot_path(spark, sf_dir, mode), _read_sources(spark, sf_dir))
+    else:
+        state = derive_state(spark, sf_dir, mode)
+    _STATE_CACHE[key] = state
+    return state
+
+
+def _read_sources(spark: SparkSession, sf_dir: str) -> dict:
+    return {name: read_source(spark, sf_dir, name)
+            for name in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+
+
+def derive_state(spark: SparkSession, sf_dir: str, mode: str = "all",
+                 orders: DataFrame | None = None) -> State:
+    """Lazy state straight from the given tables.  ``orders`` replaces the
+    numbered orders (the snapshot writer passes the already written ones so
+    the numbering runs once)."""
+    src = _read_sources(spark, sf_dir)
     wh = warehouses(src["region"])
     dist0 = districts_base(src["nation"])
     cust = customers(src["customer"], dist0)
-    osrc = src["orders"]
-    if mode == "base":
-        osrc = osrc.where(F.col("o_orderstatus").isin("F", "O"))
-    elif mode != "all":
-        raise ValueError(f"unknown mode {mode!r}")
-    orders = number_orders(osrc, cust)
+    if orders is None:
+        osrc = src["orders"]
+        if mode == "base":
+            osrc = osrc.where(F.col("o_orderstatus").isin("F", "O"))
+        elif mode != "all":
+            raise ValueError(f"unknown mode {mode!r}")
+        orders = number_orders(osrc, cust)
     counts = orders.groupBy("o_w_id", "o_d_id").agg(F.count(F.lit(1)).alias("_n"))
-    dist = dist0.join(counts,
-                      (dist0.d_w_id == counts.o_w_id) & (dist0.d_id == counts.o_d_id), "left")
+    dist = dist0.join(counts, (dist0.d_w_id == counts.o_w_id) & (dist0.d_id == counts.o_d_id), "left")
     dist = dist.select(*dist0.columns,
                        (F.coalesce(F.col("_n"), F.lit(0)) + 1).cast("long").alias("d_next_o_id"))
     lines = number_lines(src["lineitem"], orders)
