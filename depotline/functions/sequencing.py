@@ -31,31 +31,47 @@ def _bucket(order_col: str, width: int) -> Column:
     return F.expr(f"`{order_col}` div {int(width)}")
 
 
-def running_agg(df: DataFrame, keys: Sequence[str], order_col: str, value: Column | str,
-                out_col: str, *, agg: str = "sum", inclusive: bool = True,
-                tiebreak: Sequence[str] = (), width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
-    """Add ``out_col`` = prefix ``agg`` (``sum`` or ``max``) of ``value``.
-
-    ``inclusive=False`` excludes the current row (empty prefix -> 0 for sum,
-    NULL for max).
+def running_aggs(df: DataFrame, keys: Sequence[str], order_col: str,
+                 specs: Sequence[tuple], *, tiebreak: Sequence[str] = (),
+                 width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+    """Several prefix aggregates in one pass (one partial aggregation, one
+    bucket window, one join, one local window).
+
+    ``specs`` holds ``(value, out_col, agg, inclusive)`` with ``agg`` in
+    ``sum``/``max``; ``inclusive=False`` excludes the current row (empty
+    prefix -> 0 for sum, NULL for max).
     """
     keys = list(keys)
-    val = F.col(value) if isinstance(value, str) else value
-    d = df.withColumn("_rv", val).withColumn("_rb", _bucket(order_col, width))
-    fn = {"sum": F.sum, "max": F.max}[agg]
-    part = d.groupBy(*keys, "_rb").agg(fn("_rv").alias("_rp"))
+    fns = {"sum": F.sum, "max": F.max}
+    d = df.withColumn("_rb", _bucket(order_col, width))
+    for n, (value, _out, _agg, _inc) in enumerate(specs):
+        d = d.withColumn(f"_rv{n}", F.col(value) if isinstance(value, str) else value)
+    part = d.groupBy(*keys, "_rb").agg(*[fns[a](f"_rv{n}").alias(f"_rp{n}")
+                                         for n, (_v, _o, a, _i) in enumerate(specs)])
     wb = Window.partitionBy(*keys).orderBy("_rb").rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select(*keys, "_rb", fn("_rp").over(wb).alias("_ro"))
+    part = part.select(*keys, "_rb", *[fns[a](f"_rp{n}").over(wb).alias(f"_ro{n}")
+                                       for n, (_v, _o, a, _i) in enumerate(specs)])
     d = d.join(part, [*keys, "_rb"], "inner")
-    hi = Window.currentRow if inclusive else -1
-    wl = (Window.partitionBy(*keys, "_rb").orderBy(order_col, *tiebreak)
-          .rowsBetween(Window.unboundedPreceding, hi))
-    local = fn("_rv").over(wl)
-    if agg == "sum":
-        res = F.coalesce(F.col("_ro"), F.lit(0)) + F.coalesce(local, F.lit(0))
-    else:
-        res = F.greatest(F.col("_ro"), local)  # greatest skips NULLs
-    return d.withColumn(out_col, res).drop("_rv", "_rb", "_ro")
+    order = Window.partitionBy(*keys, "_rb").orderBy(order_col, *tiebreak)
+    drop = ["_rb"]
+    for n, (_v, out, a, inc) in enumerate(specs):
+        wl = order.rowsBetween(Window.unboundedPreceding, Window.currentRow if inc else -1)
+        local = fns[a](f"_rv{n}").over(wl)
+        if a == "sum":
+            res = F.coalesce(F.col(f"_ro{n}"), F.lit(0)) + F.coalesce(local, F.lit(0))
+        else:
+            res = F.greatest(F.col(f"_ro{n}"), local)  # greatest skips NULLs
+        d = d.withColumn(out, res)
+        drop += [f"_rv{n}", f"_ro{n}"]
+    return d.drop(*drop)
+
+
+def running_agg(df: DataFrame, keys: Sequence[str], order_col: str, value: Column | str,
+                out_col: str, *, agg: str = "sum", inclusive: bool = True,
+                tiebreak: Sequence[str] = (), width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
+    """Add ``out_col`` = prefix ``agg`` (``sum`` or ``max``) of ``value``."""
+    return running_aggs(df, keys, order_col, [(value, out_col, agg, inclusive)],
+                        tiebreak=tiebreak, width=width)
 
 
 def running_max(df: DataFrame, keys: Sequence[str], order_col: str, value: Column | str,

@@ -66,3 +66,45 @@ QUERIES: dict[str, Query] = {
     "orders_orderline": _reads(derived.orders_orderline),
     "stock_item": _reads(derived.stock_item),
 }
+
+
+# --- state-changing jobs and replay (base state + derived log) -------------------
+
+def _replay_q(fn):
+    def q(spark, sf_dir):
+        from depotline.plans.replay import replay_context
+        return fn(replay_context(spark, sf_dir))
+    return q
+
+
+def _register_writes():
+    from pyspark.sql import functions as F
+
+    from depotline.functions.money import cents
+    from depotline.operators import writes as W
+    from depotline.plans import replay as P
+
+    def nol(rp):
+        return rp.lines.withColumn("amount_cents", cents(F.col("amount"))).drop("amount")
+
+    def rstock(rp):
+        s = W.stock_after(rp.state, rp.log.n_hdr, rp.log.n_lines)
+        return s.select("s_w_id", "s_i_id", F.col("s_order_cnt").alias("n_draws"), "s_quantity")
+
+    QUERIES.update({
+        "replay_order_ids": _replay_q(P.replay_order_ids),
+        "new_order_lines": _replay_q(nol),
+        "new_order_totals": _replay_q(lambda rp: rp.totals()),
+        "stock_after": _replay_q(lambda rp: W.stock_after(rp.state, rp.log.n_hdr, rp.log.n_lines)),
+        "replay_stock": _replay_q(rstock),
+        "payment_effects": _replay_q(lambda rp: W.payment_effects(rp.state, rp.log.pay)),
+        "payment_receipts": _replay_q(lambda rp: W.payment_receipts(rp.state, rp.log.pay)),
+        "delivery_effects": _replay_q(lambda rp: W.deliver(rp.state, rp.log.dlv)),
+        "replay_delivery": _replay_q(P.replay_delivery),
+        "replay_balance": _replay_q(P.replay_balance),
+        "replay_ytd": _replay_q(P.replay_ytd),
+        "replay_reads": _replay_q(P.replay_reads),
+    })
+
+
+_register_writes()

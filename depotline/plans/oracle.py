@@ -211,3 +211,194 @@ SELECT w_id AS s_w_id, p_partkey AS s_i_id,
 FROM part CROSS JOIN x_wh""",
 }
 ORACLE = dict(READS)
+
+
+# --- replay of the derived log (base state: orders 'F'/'O') -------------------------
+
+LOG = """
+x_n AS (
+  SELECT o_orderkey * 2 AS ord, c_w_id AS w_id, c_d_id AS d_id, c_id
+  FROM orders JOIN x_cust ON o_custkey = c_id WHERE o_orderstatus = 'P'),
+x_nl AS (
+  SELECT l_orderkey * 2 AS ord,
+         CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey,
+              l_quantity, l_extendedprice, l_shipdate) AS INTEGER) AS ol_number,
+         l_partkey AS i_id, CAST(n_regionkey + 1 AS INTEGER) AS supply_w_id, CAST(l_quantity AS INTEGER) AS qty
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey AND o_orderstatus = 'P'
+  JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey),
+x_cnt AS (SELECT (SELECT count(*) FROM customer) AS nc, (SELECT count(*) FROM region) AS nw),
+x_ev AS (
+  SELECT e.*, event_id * 2 + 1 AS ord, ((user_id % nc) + nc) % nc AS cc,
+         CAST(((user_id % nw) + nw) % nw + 1 AS INTEGER) AS dw
+  FROM events e, x_cnt),
+x_pay AS (
+  SELECT ord, c_w_id AS w_id, c_d_id AS d_id, c_id, CAST(value AS DECIMAL(12,2)) AS amount
+  FROM x_ev JOIN x_cust ON cc = c_id WHERE event_type = 'purchase'),
+x_stat AS (
+  SELECT ord, c_w_id AS w_id, c_d_id AS d_id, c_id
+  FROM x_ev JOIN x_cust ON cc = c_id WHERE event_type = 'view'),
+x_dlv AS (
+  SELECT ord, dw AS w_id, CAST(event_id % 10 + 1 AS INTEGER) AS carrier_id
+  FROM x_ev WHERE event_type = 'signup'),
+x_oid AS (
+  SELECT x_n.*, x_dist.d_next_o_id + row_number() OVER (PARTITION BY x_n.w_id, x_n.d_id ORDER BY x_n.ord) - 1 AS o_id
+  FROM x_n JOIN x_dist ON x_dist.d_w_id = x_n.w_id AND x_dist.d_id = x_n.d_id),
+x_lines AS (
+  SELECT nl.*, o.w_id, o.d_id, o.o_id,
+         sum(qty) OVER (PARTITION BY supply_w_id, i_id ORDER BY nl.ord, ol_number
+                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+         10 + (((i_id * 7 + supply_w_id * 13) % 91) + 91) % 91 AS q0
+  FROM x_nl nl JOIN x_oid o ON o.ord = nl.ord),
+x_lines2 AS (
+  SELECT l.*, it.i_name, CAST(it.i_price * qty AS DECIMAL(12,2)) AS amount,
+         CASE WHEN q0 - cum + qty >= 10 THEN q0 - cum + qty
+              ELSE 10 + (((q0 - cum + qty - 10) % 100) + 100) % 100 END AS s_before,
+         CASE WHEN q0 - cum >= 10 THEN q0 - cum ELSE 10 + (((q0 - cum - 10) % 100) + 100) % 100 END AS s_after
+  FROM x_lines l JOIN x_item it ON it.i_id = l.i_id),
+x_newo AS (
+  SELECT o.ord, o.w_id, o.d_id, o.o_id, o.c_id, CAST(coalesce(a.s, 0) AS DECIMAL(18,2)) AS amount
+  FROM x_oid o LEFT JOIN (SELECT ord, sum(amount) AS s FROM x_lines2 GROUP BY ord) a ON a.ord = o.ord),
+x_pend AS (
+  SELECT o_w_id AS w_id, o_d_id AS d_id, o_id, o_c_id AS c_id,
+         row_number() OVER (PARTITION BY o_w_id, o_d_id ORDER BY o_id) AS k
+  FROM x_ord WHERE o_carrier_id IS NULL),
+x_pamt AS (
+  SELECT p.*, CAST(coalesce(a.s, 0) AS DECIMAL(18,2)) AS amount
+  FROM x_pend p LEFT JOIN (SELECT ol_w_id, ol_d_id, ol_o_id, sum(ol_amount) AS s FROM x_ol
+                           GROUP BY ol_w_id, ol_d_id, ol_o_id) a
+    ON a.ol_w_id = p.w_id AND a.ol_d_id = p.d_id AND a.ol_o_id = p.o_id),
+x_p0 AS (SELECT d_w_id AS w_id, d_id, (SELECT count(*) FROM x_pend p WHERE p.w_id = d_w_id AND p.d_id = x_dist.d_id) AS p0
+         FROM x_dist),
+x_att AS (SELECT a.ord, a.w_id, d.d_id, a.carrier_id FROM x_dlv a JOIN x_dist d ON d.d_w_id = a.w_id)"""
+
+# Delivery simulated step by step per district (recursive CTE): independent
+# of the reflected-count formula used on the Spark side.
+DELIVERY_SIM = """
+x_evs AS (
+  SELECT *, row_number() OVER (PARTITION BY w_id, d_id ORDER BY ord) AS seq FROM (
+    SELECT ord, w_id, d_id, carrier_id, 1 AS is_att FROM x_att
+    UNION ALL SELECT ord, w_id, d_id, NULL, 0 FROM x_newo)),
+x_sim AS (
+  WITH RECURSIVE sim(w_id, d_id, seq, qlen, succ, ok) AS (
+    SELECT w_id, d_id, CAST(0 AS BIGINT), p0, CAST(0 AS BIGINT), false FROM x_p0
+    UNION ALL
+    SELECT e.w_id, e.d_id, e.seq,
+           CASE WHEN e.is_att = 1 THEN greatest(s.qlen - 1, 0) ELSE s.qlen + 1 END,
+           s.succ + CASE WHEN e.is_att = 1 AND s.qlen > 0 THEN 1 ELSE 0 END,
+           e.is_att = 1 AND s.qlen > 0
+    FROM sim s JOIN x_evs e ON e.w_id = s.w_id AND e.d_id = s.d_id AND e.seq = s.seq + 1)
+  SELECT * FROM sim),
+x_queue AS (
+  SELECT w_id, d_id, k, o_id, c_id, amount FROM x_pamt
+  UNION ALL
+  SELECT n.w_id, n.d_id, p.p0 + row_number() OVER (PARTITION BY n.w_id, n.d_id ORDER BY n.ord),
+         n.o_id, n.c_id, n.amount
+  FROM x_newo n JOIN x_p0 p ON p.w_id = n.w_id AND p.d_id = n.d_id),
+x_deliv AS (
+  SELECT e.ord, e.w_id, e.d_id, e.carrier_id, q.o_id, q.c_id,
+         CASE WHEN s.ok THEN CAST(q.amount * 100 AS BIGINT) END AS amount_cents
+  FROM x_evs e JOIN x_sim s ON s.w_id = e.w_id AND s.d_id = e.d_id AND s.seq = e.seq
+  LEFT JOIN x_queue q ON s.ok AND q.w_id = e.w_id AND q.d_id = e.d_id AND q.k = s.succ
+  WHERE e.is_att = 1)"""
+
+RB = with_ctes(BASE, LOG)
+
+REPLAY = {
+    "replay_order_ids": RB + """
+SELECT ord, w_id, d_id, c_id, o_id FROM x_oid""",
+
+    "new_order_lines": RB + """
+SELECT ord, w_id, d_id, o_id, ol_number, i_id, i_name, supply_w_id, qty,
+       CAST(s_before AS INTEGER) AS s_quantity_before, CAST(s_after AS INTEGER) AS s_quantity_after,
+       'dist' || CAST(d_id AS VARCHAR) || '-' || CAST(i_id AS VARCHAR) AS ol_dist_info,
+       CAST(amount * 100 AS BIGINT) AS amount_cents
+FROM x_lines2""",
+
+    "new_order_totals": RB + """
+SELECT o.ord, o.w_id, o.d_id, o.o_id, o.c_id, c.c_last, c.c_credit,
+       CAST(c.c_discount * 10000 AS INTEGER) AS c_discount_bp, CAST(w.w_tax * 10000 AS INTEGER) AS w_tax_bp,
+       CAST(d.d_tax * 10000 AS INTEGER) AS d_tax_bp, coalesce(a.n, 0) AS n_items,
+       CAST(coalesce(a.loc, 1) AS INTEGER) AS all_local,
+       CAST(round(CAST(coalesce(a.s, 0) AS DECIMAL(18,2)) * (1 + d.d_tax + w.w_tax) * (1 - c.c_discount), 2) * 100
+            AS BIGINT) AS total_cents
+FROM x_oid o
+LEFT JOIN (SELECT ord, sum(amount) AS s, count(*) AS n, min(CAST(supply_w_id = w_id AS INTEGER)) AS loc
+           FROM x_lines2 GROUP BY ord) a ON a.ord = o.ord
+JOIN x_cust c ON c.c_w_id = o.w_id AND c.c_d_id = o.d_id AND c.c_id = o.c_id
+JOIN x_wh w ON w.w_id = o.w_id
+JOIN x_dist d ON d.d_w_id = o.w_id AND d.d_id = o.d_id""",
+
+    "stock_after": RB + """
+SELECT supply_w_id AS s_w_id, i_id AS s_i_id,
+       CAST(CASE WHEN q0 - c >= 10 THEN q0 - c ELSE 10 + (((q0 - c - 10) % 100) + 100) % 100 END AS INTEGER) AS s_quantity,
+       CAST(c AS BIGINT) AS s_ytd, CAST(n AS BIGINT) AS s_order_cnt, CAST(r AS BIGINT) AS s_remote_cnt
+FROM (SELECT supply_w_id, i_id, any_value(q0) AS q0, sum(qty) AS c, count(*) AS n,
+             sum(CAST(supply_w_id <> w_id AS INTEGER)) AS r
+      FROM x_lines GROUP BY supply_w_id, i_id)""",
+
+    # step rule folded over the ordered draws (independent of the closed form)
+    "replay_stock": RB + """
+SELECT supply_w_id AS s_w_id, i_id AS s_i_id, count(*) AS n_draws,
+       CAST(list_reduce(list(qty ORDER BY ord, ol_number),
+                        lambda q, x: CASE WHEN q - x < 10 THEN q - x + 100 ELSE q - x END,
+                        any_value(q0)) AS INTEGER) AS s_quantity
+FROM x_lines GROUP BY supply_w_id, i_id""",
+
+    "payment_effects": RB + """
+SELECT c.c_w_id, c.c_d_id, c.c_id, CAST((c.c_balance - p.s) * 100 AS BIGINT) AS c_balance_cents,
+       CAST(p.s * 100 AS BIGINT) AS c_ytd_payment_cents, p.n AS c_payment_cnt
+FROM (SELECT w_id, d_id, c_id, sum(amount) AS s, count(*) AS n FROM x_pay GROUP BY w_id, d_id, c_id) p
+JOIN x_cust c ON c.c_w_id = p.w_id AND c.c_d_id = p.d_id AND c.c_id = p.c_id""",
+
+    "payment_receipts": RB + """
+SELECT p.ord, p.w_id, p.d_id, p.c_id, c.c_first, c.c_middle, c.c_last, c.c_credit,
+       CAST(p.amount * 100 AS BIGINT) AS amount_cents,
+       CAST((c.c_balance - sum(p.amount) OVER (PARTITION BY p.w_id, p.d_id, p.c_id ORDER BY p.ord
+             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) * 100 AS BIGINT) AS balance_after_cents,
+       w.w_street_1, w.w_city, d.d_street_1, d.d_city
+FROM x_pay p JOIN x_cust c ON c.c_w_id = p.w_id AND c.c_d_id = p.d_id AND c.c_id = p.c_id
+JOIN x_wh w ON w.w_id = p.w_id JOIN x_dist d ON d.d_w_id = p.w_id AND d.d_id = p.d_id""",
+
+    "delivery_effects": RB + """
+SELECT a.ord, a.w_id, a.d_id, a.carrier_id, q.o_id, q.c_id, CAST(q.amount * 100 AS BIGINT) AS amount_cents
+FROM (SELECT *, row_number() OVER (PARTITION BY w_id, d_id ORDER BY ord) AS k FROM x_att) a
+LEFT JOIN x_pamt q ON q.w_id = a.w_id AND q.d_id = a.d_id AND q.k = a.k""",
+
+    "replay_delivery": with_ctes(BASE, LOG, DELIVERY_SIM) + """
+SELECT ord, w_id, d_id, carrier_id, o_id, c_id, amount_cents FROM x_deliv""",
+
+    "replay_balance": with_ctes(BASE, LOG, DELIVERY_SIM) + """
+, x_led AS (
+  SELECT w_id, d_id, c_id, -CAST(amount * 100 AS BIGINT) AS delta, 'P' AS kind FROM x_pay
+  UNION ALL SELECT w_id, d_id, c_id, amount_cents, 'D' FROM x_deliv WHERE o_id IS NOT NULL)
+SELECT c.c_w_id, c.c_d_id, c.c_id, CAST(c.c_balance * 100 AS BIGINT) + l.d AS c_balance_cents,
+       l.ytd AS c_ytd_payment_cents, l.np AS c_payment_cnt, l.nd AS c_delivery_cnt
+FROM (SELECT w_id, d_id, c_id, sum(delta) AS d,
+             CAST(coalesce(sum(-delta) FILTER (WHERE kind = 'P'), 0) AS BIGINT) AS ytd,
+             count(*) FILTER (WHERE kind = 'P') AS np, count(*) FILTER (WHERE kind = 'D') AS nd
+      FROM x_led GROUP BY w_id, d_id, c_id) l
+JOIN x_cust c ON c.c_w_id = l.w_id AND c.c_d_id = l.d_id AND c.c_id = l.c_id""",
+
+    "replay_ytd": RB + """
+, x_d AS (
+  SELECT d_w_id AS w_id, d_id, coalesce((SELECT sum(amount) FROM x_pay p WHERE p.w_id = d_w_id AND p.d_id = x_dist.d_id), 0) AS s
+  FROM x_dist)
+SELECT w_id, d_id, CAST(s * 100 AS BIGINT) AS d_ytd_cents,
+       CAST(sum(s) OVER (PARTITION BY w_id) * 100 AS BIGINT) AS w_ytd_cents
+FROM x_d""",
+
+    "replay_reads": with_ctes(BASE, LOG, DELIVERY_SIM) + """
+SELECT r.ord, r.w_id, r.d_id, r.c_id,
+       greatest((SELECT max(o_id) FROM x_ord o WHERE o.o_w_id = r.w_id AND o.o_d_id = r.d_id AND o.o_c_id = r.c_id),
+                (SELECT max(o_id) FROM x_oid n WHERE n.w_id = r.w_id AND n.d_id = r.d_id AND n.c_id = r.c_id
+                   AND n.ord < r.ord)) AS o_id,
+       CAST(c.c_balance * 100 AS BIGINT)
+         - coalesce((SELECT CAST(sum(amount) * 100 AS BIGINT) FROM x_pay p
+                     WHERE p.w_id = r.w_id AND p.d_id = r.d_id AND p.c_id = r.c_id AND p.ord < r.ord), 0)
+         + coalesce((SELECT sum(amount_cents) FROM x_deliv x
+                     WHERE x.w_id = r.w_id AND x.d_id = r.d_id AND x.c_id = r.c_id AND x.o_id IS NOT NULL
+                       AND x.ord < r.ord), 0) AS balance_cents
+FROM x_stat r JOIN x_cust c ON c.c_w_id = r.w_id AND c.c_d_id = r.d_id AND c.c_id = r.c_id""",
+}
+
+ORACLE.update(REPLAY)

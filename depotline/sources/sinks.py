@@ -95,6 +95,18 @@ def materialize(spark: SparkSession, derive, path: str, sources: dict):
     return State(sources=sources, **tables)
 
 
+def work_table(spark: SparkSession, key: str, name: str, build) -> DataFrame:
+    """A written intermediate table under the shared checkpoint folder: built
+    once by ``build()`` (a lazy frame), then read back.  Cuts the lineage of
+    long chains and lets later queries reuse the result; a lost executor only
+    costs its own tasks, never a recomputation of the whole chain."""
+    root = ensure_checkpoint_dir(spark).rstrip("/")
+    p = f"{root}/depotline-work/{key}/{name}"
+    if not _exists(spark, p):
+        build().write.mode("overwrite").parquet(p)
+    return spark.read.parquet(p)
+
+
 def write_results(df: DataFrame, path: str, partition_by: str | None = "txn_type") -> None:
     """A7: append typed results; one folder per transaction type."""
     w = df.write.mode("append")
