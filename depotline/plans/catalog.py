@@ -108,3 +108,72 @@ def _register_writes():
 
 
 _register_writes()
+
+
+# --- checks, metrics, log ingest, reports, ledger ----------------------------------------
+
+def _register_misc():
+    from pyspark.sql import functions as F
+
+    from depotline.functions.money import cents
+    from depotline.operators import checks as C
+    from depotline.operators import metrics as M
+    from depotline.operators import report as RP
+    from depotline.operators import writes as W
+    from depotline.plans import replay as P
+    from depotline.sources import txlog as TX
+    from depotline.sources.adapter import read_source
+
+    def sources(spark, sf_dir):
+        return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+                for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")}
+
+    def meas(spark, sf_dir):
+        return M.measurements(read_source(spark, sf_dir, "events"))
+
+    def txlog_counts(rp):
+        lg = rp.log
+        lines = TX.render_log(lg.n_hdr, lg.n_lines, lg.pay, lg.dlv, lg.status)
+        recs, errs = TX.parse_txlog(lines, "pos", ())
+        ok = recs.groupBy("txn_type").agg(F.count(F.lit(1)).alias("n_records"),
+                                         F.sum(F.size("lines")).cast("long").alias("n_lines"))
+        bad = errs.groupBy().agg(F.count(F.lit(1)).alias("n_records")).where(F.col("n_records") > 0) \
+                  .select(F.lit("error").alias("txn_type"), "n_records", F.lit(0).cast("long").alias("n_lines"))
+        return ok.unionByName(bad)
+
+    def check_invariants(rp):
+        return C.check_invariants(rp.state.district, rp.order_ids, rp.delivery, rp.lines,
+                                  P.replay_ytd(rp))
+
+    def ledger(spark, sf_dir):
+        cust = read_source(spark, sf_dir, "customer")
+        n = cust.select(F.count(F.lit(1))).scalar()
+        acc = cust.select(F.col("c_custkey").alias("acct"),
+                          cents(F.col("c_acctbal").cast("decimal(12,2)")).alias("balance"))
+        ev = read_source(spark, sf_dir, "events").where(F.col("event_type") == "click")
+        tr = ev.select(F.pmod(F.col("user_id"), n).alias("from_acct"),
+                       F.pmod(F.col("event_id"), n).alias("to_acct"),
+                       cents(F.col("value").cast("decimal(12,2)")).alias("amount"))
+        out = W.ledger_post(acc, tr)
+        return out.select("acct", F.col("balance").alias("balance_cents"),
+                          F.col("n_postings").cast("long").alias("n_postings"))
+
+    def measure_log(spark, sf_dir):
+        return M.parse_measure_log(M.render_measure_log(M.latency_summary(meas(spark, sf_dir))))
+
+    QUERIES.update({
+        "check_pk": lambda spark, sf_dir: C.check_pk(sources(spark, sf_dir)),
+        "check_fk": lambda spark, sf_dir: C.check_fk(sources(spark, sf_dir)),
+        "check_invariants": _replay_q(check_invariants),
+        "latency_summary": lambda spark, sf_dir: M.latency_summary(meas(spark, sf_dir)),
+        "latency_by_type": lambda spark, sf_dir: M.latency_by_type(meas(spark, sf_dir)),
+        "throughput_fleet": lambda spark, sf_dir: M.throughput_fleet(meas(spark, sf_dir)),
+        "measure_log": measure_log,
+        "txlog_counts": _replay_q(txlog_counts),
+        "report_lines": _replay_q(lambda rp: RP.render_payment_receipts(
+            W.payment_receipts(rp.state, rp.log.pay))),
+        "ledger_post": ledger,
+    })
+
+
+_register_misc()

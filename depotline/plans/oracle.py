@@ -402,3 +402,126 @@ FROM x_stat r JOIN x_cust c ON c.c_w_id = r.w_id AND c.c_d_id = r.d_id AND c.c_i
 }
 
 ORACLE.update(REPLAY)
+
+
+# --- checks, metrics, log, reports, ledger ----------------------------------------
+
+MEAS = """
+x_m AS (SELECT CAST(((user_id % 20) + 20) % 20 AS INTEGER) AS client, event_type AS txn_type,
+               CAST(value AS DECIMAL(12,2)) AS elapsed FROM events),
+x_ms AS (SELECT client, txn_type, elapsed,
+                row_number() OVER (PARTITION BY client ORDER BY elapsed) - 1 AS ix,
+                count(*) OVER (PARTITION BY client) AS n,
+                row_number() OVER (PARTITION BY client, txn_type ORDER BY elapsed) - 1 AS tix,
+                count(*) OVER (PARTITION BY client, txn_type) AS tn
+         FROM x_m),
+x_sum AS (
+  SELECT client, count(*) AS n, CAST(sum(elapsed) AS DOUBLE) AS total_s,
+         count(*) / CAST(sum(elapsed) AS DOUBLE) AS throughput, CAST(sum(elapsed) AS DOUBLE) / count(*) AS mean_s,
+         CAST(max(elapsed) FILTER (WHERE ix = n * 50 // 100) AS DOUBLE) AS median_s,
+         CAST(max(elapsed) FILTER (WHERE ix = n * 95 // 100) AS DOUBLE) AS p95_s,
+         CAST(max(elapsed) FILTER (WHERE ix = n * 99 // 100) AS DOUBLE) AS p99_s
+  FROM x_ms GROUP BY client),
+x_typ AS (
+  SELECT client, txn_type, count(*) AS n,
+         count(*) / CAST(sum(elapsed) AS DOUBLE) AS throughput, CAST(sum(elapsed) AS DOUBLE) / count(*) AS mean_s,
+         CAST(max(elapsed) FILTER (WHERE tix = tn * 50 // 100) AS DOUBLE) AS median_s,
+         CAST(max(elapsed) FILTER (WHERE tix = tn * 99 // 100) AS DOUBLE) AS p99_s
+  FROM x_ms GROUP BY client, txn_type HAVING sum(elapsed) > 0)"""
+
+_PK = [("region", ["r_regionkey"]), ("nation", ["n_nationkey"]), ("customer", ["c_custkey"]),
+       ("supplier", ["s_suppkey"]), ("part", ["p_partkey"]), ("orders", ["o_orderkey"]),
+       ("lineitem", ["l_orderkey", "l_linenumber"]), ("events", ["event_id"])]
+_FK = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"),
+       ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"),
+       ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"),
+       ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+
+
+def _pk_sql() -> str:
+    parts = []
+    for t, keys in _PK:
+        k = " || ',' || ".join(f"CAST({c} AS VARCHAR)" for c in keys)
+        parts.append(f"SELECT '{t}' AS tbl, {k} AS key, count(*) AS n FROM {t} "
+                     f"GROUP BY {', '.join(keys)} HAVING count(*) > 1")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _fk_sql() -> str:
+    parts = []
+    for c, cc, p, pc in _FK:
+        parts.append(f"SELECT '{c}->{p}' AS fk, CAST({cc} AS VARCHAR) AS key, count(*) AS n_rows FROM {c} "
+                     f"WHERE {cc} NOT IN (SELECT {pc} FROM {p} WHERE {pc} IS NOT NULL) AND {cc} IS NOT NULL "
+                     f"GROUP BY {cc}")
+    return "\nUNION ALL\n".join(parts)
+
+
+def _money_text(col: str) -> str:
+    return (f"(CASE WHEN {col} < 0 THEN '-' ELSE '' END || CAST(abs({col}) // 100 AS VARCHAR) || '.' || "
+            f"lpad(CAST(abs({col}) % 100 AS VARCHAR), 2, '0'))")
+
+
+MISC = {
+    "check_pk": _pk_sql(),
+    "check_fk": _fk_sql(),
+    "latency_summary": "WITH " + MEAS + "\nSELECT * FROM x_sum",
+    "latency_by_type": "WITH " + MEAS + "\nSELECT * FROM x_typ",
+    "throughput_fleet": "WITH " + MEAS + """
+SELECT txn_type, min(throughput) AS min_tput, max(throughput) AS max_tput, round(avg(throughput), 6) AS avg_tput,
+       count(*) AS n_clients
+FROM (SELECT 'ALL' AS txn_type, throughput FROM x_sum UNION ALL SELECT txn_type, throughput FROM x_typ)
+GROUP BY txn_type""",
+    "measure_log": "WITH " + MEAS + "\nSELECT client, n, total_s FROM x_sum",
+    "txlog_counts": RB + """
+SELECT 'N' AS txn_type, (SELECT count(*) FROM x_n) AS n_records, (SELECT count(*) FROM x_nl) AS n_lines
+UNION ALL SELECT 'P', (SELECT count(*) FROM x_pay), 0
+UNION ALL SELECT 'D', (SELECT count(*) FROM x_dlv), 0
+UNION ALL SELECT 'O', (SELECT count(*) FROM x_stat), 0""",
+    "report_lines": RB + f"""
+, x_r AS (
+  SELECT p.ord, p.w_id, p.d_id, p.c_id, c.c_first, c.c_middle, c.c_last, c.c_credit,
+         CAST(p.amount * 100 AS BIGINT) AS amount_cents,
+         CAST((c.c_balance - sum(p.amount) OVER (PARTITION BY p.w_id, p.d_id, p.c_id ORDER BY p.ord
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) * 100 AS BIGINT) AS bal,
+         w.w_street_1, w.w_city, d.d_street_1, d.d_city
+  FROM x_pay p JOIN x_cust c ON c.c_w_id = p.w_id AND c.c_d_id = p.d_id AND c.c_id = p.c_id
+  JOIN x_wh w ON w.w_id = p.w_id JOIN x_dist d ON d.d_w_id = p.w_id AND d.d_id = p.d_id)
+SELECT ord, 0 AS line_no, printf('Customer (%d, %d, %d): %s %s %s, credit %s', w_id, d_id, c_id, c_first, c_middle,
+                                  c_last, c_credit) AS text FROM x_r
+UNION ALL SELECT ord, 1, 'Warehouse address: ' || w_street_1 || ', ' || w_city FROM x_r
+UNION ALL SELECT ord, 2, 'District address: ' || d_street_1 || ', ' || d_city FROM x_r
+UNION ALL SELECT ord, 3, 'Payment: ' || {_money_text('amount_cents')} FROM x_r
+UNION ALL SELECT ord, 4, 'Balance: ' || {_money_text('bal')} FROM x_r""",
+    "ledger_post": """
+WITH x_nc AS (SELECT count(*) AS n FROM customer),
+x_tr AS (SELECT ((user_id % n) + n) % n AS f, ((event_id % n) + n) % n AS t,
+                CAST(CAST(value AS DECIMAL(12,2)) * 100 AS BIGINT) AS a
+         FROM events, x_nc WHERE event_type = 'click'),
+x_post AS (SELECT f AS acct, -a AS d FROM x_tr UNION ALL SELECT t, a FROM x_tr)
+SELECT c_custkey AS acct, CAST(CAST(c_acctbal AS DECIMAL(12,2)) * 100 AS BIGINT) + coalesce(s, 0) AS balance_cents,
+       coalesce(np, 0) AS n_postings
+FROM customer LEFT JOIN (SELECT acct, sum(d) AS s, count(*) AS np FROM x_post GROUP BY acct) p
+  ON p.acct = c_custkey""",
+    "check_invariants": with_ctes(BASE, LOG, DELIVERY_SIM) + """
+, x_ytd AS (
+  SELECT d_w_id AS w_id, d_id,
+         CAST(coalesce((SELECT sum(amount) FROM x_pay p WHERE p.w_id = d_w_id AND p.d_id = x_dist.d_id), 0) * 100
+              AS BIGINT) AS d_ytd_cents
+  FROM x_dist)
+SELECT 'o_id_dense' AS "check", g.w_id, g.d_id, CAST(g.lo AS VARCHAR) || ',' || CAST(g.hi AS VARCHAR) || ',' ||
+       CAST(g.n AS VARCHAR) AS detail
+FROM (SELECT w_id, d_id, min(o_id) AS lo, max(o_id) AS hi, count(*) AS n FROM x_oid GROUP BY w_id, d_id) g
+JOIN x_dist d ON d.d_w_id = g.w_id AND d.d_id = g.d_id
+WHERE g.lo <> d.d_next_o_id OR g.hi - g.lo + 1 <> g.n
+UNION ALL
+SELECT 'delivered_once', w_id, d_id, CAST(o_id AS VARCHAR) || ',' || CAST(count(*) AS VARCHAR)
+FROM x_deliv WHERE o_id IS NOT NULL GROUP BY w_id, d_id, o_id HAVING count(*) > 1
+UNION ALL
+SELECT 'stock_range', w_id, d_id, CAST(supply_w_id AS VARCHAR) || ',' || CAST(i_id AS VARCHAR) || ',' ||
+       CAST(s_after AS VARCHAR)
+FROM x_lines2 WHERE s_after < 10 OR s_after > 109
+UNION ALL
+SELECT 'ytd_balance', w_id, CAST(NULL AS INTEGER), '' FROM x_ytd GROUP BY w_id HAVING false""",
+}
+
+ORACLE.update(MISC)
