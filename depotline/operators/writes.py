@@ -150,11 +150,11 @@ def district_ytd(state: State, pay: DataFrame) -> DataFrame:
     """P5: d_ytd and w_ytd after the payments (partial + final aggregation)."""
     g = pay.groupBy("w_id", "d_id").agg(F.sum("amount").cast(WIDE_MONEY).alias("_s"))
     d = state.district.select(F.col("d_w_id").alias("w_id"), "d_id", "d_ytd")
-    j = d.join(g, ["w_id", "d_id"], "left")
-    j = j.withColumn("d_ytd2", F.col("d_ytd") + F.coalesce(F.col("_s"), F.lit(0)))
-    wy = j.groupBy("w_id").agg(F.sum("d_ytd2").alias("w_ytd2"))
+    j = d.join(g, ["w_id", "d_id"], "left").withColumn("_s", F.coalesce(F.col("_s"), F.lit(0)))
+    j = j.withColumn("d_ytd2", F.col("d_ytd") + F.col("_s"))
+    wy = j.groupBy("w_id").agg(F.sum("_s").alias("_ws"))
     wh = state.warehouse.select("w_id", "w_ytd")
-    wy = wy.join(wh, "w_id", "inner").select("w_id", (F.col("w_ytd") + F.col("w_ytd2")).alias("w_ytd2"))
+    wy = wy.join(wh, "w_id", "inner").select("w_id", (F.col("w_ytd") + F.col("_ws")).alias("w_ytd2"))
     return j.join(wy, "w_id", "inner").select(
         "w_id", "d_id", cents(F.col("d_ytd2")).alias("d_ytd_cents"),
         cents(F.col("w_ytd2")).alias("w_ytd_cents"))
@@ -238,6 +238,14 @@ def delivery_customer_effects(state: State, delivered: DataFrame) -> DataFrame:
                     (F.col("c_delivery_cnt") + F.col("_n")).cast("long").alias("c_delivery_cnt"))
 
 
+def missing_customers(state: State, delivered: DataFrame) -> DataFrame:
+    """Delivered orders whose customer row does not exist (reported, the order
+    is still delivered)."""
+    d = delivered.where(F.col("o_id").isNotNull())
+    c = state.customer.select(F.col("c_w_id").alias("w_id"), F.col("c_d_id").alias("d_id"), "c_id")
+    return d.join(c, ["w_id", "d_id", "c_id"], "left_anti")
+
+
 # --- W4 ledger postings ----------------------------------------------------------------
 
 def ledger_post(accounts: DataFrame, transfers: DataFrame) -> DataFrame:

@@ -194,16 +194,22 @@ class State:
     orderline: DataFrame
     item: DataFrame
     sources: dict = field(default_factory=dict)
+    stock_table: DataFrame | None = None
 
     @property
     def lines_with_supply(self) -> DataFrame:
         """Order lines with ol_supply_w_id (needs the supplier join)."""
+        if "ol_supply_w_id" in self.orderline.columns:
+            return self.orderline
         sw = supply_warehouse(self.sources["supplier"], self.sources["nation"])
         ol = self.orderline
         return ol.join(sw, ol.ol_suppkey == sw.s_suppkey, "left").drop("s_suppkey") \
                  .withColumnRenamed("s_supply_w_id", "ol_supply_w_id")
 
     def stock_for(self, keys: DataFrame) -> DataFrame:
+        """Stock rows of the (s_w_id, s_i_id) pairs in ``keys``."""
+        if self.stock_table is not None:
+            return self.stock_table.join(keys.select("s_w_id", "s_i_id"), ["s_w_id", "s_i_id"], "left_semi")
         return stock_rows(keys, self.sources["part"])
 
     @property
@@ -214,6 +220,8 @@ class State:
         (a scalar subquery) and then kept only where the warehouse exists;
         the warehouse side is bounded by the region dimension.
         """
+        if self.stock_table is not None:
+            return self.stock_table
         part = self.sources["part"]
         wh = self.warehouse.select("w_id")
         lo = wh.select(F.min("w_id")).scalar()
