@@ -105,11 +105,12 @@ def stock_after(state: State, n_hdr: DataFrame, n_lines: DataFrame) -> DataFrame
         F.sum("qty").alias("_c"), F.count(F.lit(1)).alias("_n"),
         F.sum((F.col("supply_w_id") != F.col("w_id")).cast("int")).alias("_r"))
     keys = g.select(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id"))
-    st = state.stock_for(keys).select("s_w_id", "s_i_id", "s_quantity", "s_order_cnt", "s_remote_cnt")
+    st = state.stock_for(keys).select("s_w_id", "s_i_id", "s_quantity", "s_ytd", "s_order_cnt",
+                                      "s_remote_cnt")
     j = g.join(st, (g.supply_w_id == st.s_w_id) & (g.i_id == st.s_i_id), "inner")
     return j.select("s_w_id", "s_i_id",
                     stock_closed_form(F.col("s_quantity"), F.col("_c")).alias("s_quantity"),
-                    F.col("_c").cast("long").alias("s_ytd"),
+                    (F.col("s_ytd") + F.col("_c")).cast("long").alias("s_ytd"),
                     (F.col("s_order_cnt") + F.col("_n")).cast("long").alias("s_order_cnt"),
                     (F.col("s_remote_cnt") + F.col("_r")).cast("long").alias("s_remote_cnt"))
 

@@ -84,15 +84,22 @@ class Replay:
     shared checkpoint folder; every result reads them back.
     """
 
-    def __init__(self, spark: SparkSession, sf_dir: str):
+    def __init__(self, spark: SparkSession, state: State, log: Log, key: str | None):
+        """``key`` names the work-table folder; ``None`` keeps everything lazy."""
         self.spark = spark
-        self.state = load_state(spark, sf_dir, "base")
-        self.key = snapshot_key(sf_dir, "base") + "-log1"
-        raw = derived_log(spark, sf_dir, self.state)
-        self.log = Log(**{f: self._mat(f"log_{f}", lambda f=f: getattr(raw, f))
+        self.state = state
+        self.key = key
+        self.log = Log(**{f: self._mat(f"log_{f}", lambda f=f: getattr(log, f))
                           for f in ("n_hdr", "n_lines", "pay", "dlv", "status")})
 
+    @classmethod
+    def from_tables(cls, spark: SparkSession, sf_dir: str) -> "Replay":
+        state = load_state(spark, sf_dir, "base")
+        return cls(spark, state, derived_log(spark, sf_dir, state), snapshot_key(sf_dir, "base") + "-log1")
+
     def _mat(self, name: str, build) -> DataFrame:
+        if self.key is None:
+            return build()
         return work_table(self.spark, self.key, name, build)
 
     @cached_property
@@ -127,7 +134,7 @@ def replay_context(spark: SparkSession, sf_dir: str) -> Replay:
     import os
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
     if key not in _REPLAYS:
-        _REPLAYS[key] = Replay(spark, sf_dir)
+        _REPLAYS[key] = Replay.from_tables(spark, sf_dir)
     return _REPLAYS[key]
 
 

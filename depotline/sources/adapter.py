@@ -195,6 +195,9 @@ class State:
     item: DataFrame
     sources: dict = field(default_factory=dict)
     stock_table: DataFrame | None = None
+    # changed stock rows (s_w_id, s_i_id, s_quantity, s_ytd, s_order_cnt,
+    # s_remote_cnt) on top of the functional base stock
+    stock_overrides: DataFrame | None = None
 
     @property
     def lines_with_supply(self) -> DataFrame:
@@ -209,8 +212,20 @@ class State:
     def stock_for(self, keys: DataFrame) -> DataFrame:
         """Stock rows of the (s_w_id, s_i_id) pairs in ``keys``."""
         if self.stock_table is not None:
-            return self.stock_table.join(keys.select("s_w_id", "s_i_id"), ["s_w_id", "s_i_id"], "left_semi")
-        return stock_rows(keys, self.sources["part"])
+            base = self.stock_table.join(keys.select("s_w_id", "s_i_id"), ["s_w_id", "s_i_id"], "left_semi")
+        else:
+            base = stock_rows(keys, self.sources["part"])
+        return self._with_overrides(base)
+
+    def _with_overrides(self, base: DataFrame) -> DataFrame:
+        if self.stock_overrides is None:
+            return base
+        cols = ["s_quantity", "s_ytd", "s_order_cnt", "s_remote_cnt"]
+        o = self.stock_overrides.select("s_w_id", "s_i_id", *[F.col(c).alias(f"_o_{c}") for c in cols])
+        j = base.join(o, ["s_w_id", "s_i_id"], "left")
+        for c in cols:
+            j = j.withColumn(c, F.coalesce(F.col(f"_o_{c}"), F.col(c)).cast(base.schema[c].dataType))
+        return j.drop(*[f"_o_{c}" for c in cols])
 
     @property
     def stock(self) -> DataFrame:
@@ -221,7 +236,7 @@ class State:
         the warehouse side is bounded by the region dimension.
         """
         if self.stock_table is not None:
-            return self.stock_table
+            return self._with_overrides(self.stock_table)
         part = self.sources["part"]
         wh = self.warehouse.select("w_id")
         lo = wh.select(F.min("w_id")).scalar()
@@ -229,7 +244,7 @@ class State:
         keys = part.select(F.col("p_partkey").alias("s_i_id"),
                            F.explode(F.sequence(lo, hi)).alias("s_w_id"))
         keys = keys.join(F.broadcast(wh), keys.s_w_id == wh.w_id, "left_semi")
-        return stock_rows(keys, part)
+        return self._with_overrides(stock_rows(keys, part))
 
 
 _STATE_CACHE: dict = {}

@@ -15,6 +15,7 @@ def spark():
     ckpt = tempfile.mkdtemp(prefix="depotline-test-ckpt-", dir="/tmp")
     s = (SparkSession.builder.master("local[4]").appName("depotline-tests")
          .config("spark.sql.shuffle.partitions", "8")
+         .config("spark.driver.memory", "6g")
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.sql.adaptive.enabled", "true")
          .config("spark.ui.enabled", "false")
