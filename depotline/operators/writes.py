@@ -47,22 +47,61 @@ def allocate_order_ids(state: State, n_hdr: DataFrame) -> DataFrame:
             .drop("_rank", "d_next_o_id")
 
 
+def in_stock_domain(q0: F.Column, max_draw: F.Column) -> F.Column:
+    """Where the closed form is exact: start 10..109 with draws <= 100, or
+    start 0..9 with draws <= 10."""
+    return (((q0 >= STOCK_FLOOR) & (q0 < STOCK_FLOOR + STOCK_REFILL) & (max_draw <= STOCK_REFILL))
+            | ((q0 >= 0) & (q0 < STOCK_FLOOR) & (max_draw <= STOCK_FLOOR)))
+
+
+def _step(q: F.Column, x: F.Column) -> F.Column:
+    v = q - x
+    return F.when(v < STOCK_FLOOR, v + STOCK_REFILL).otherwise(v)
+
+
+def stock_fallback(draws: DataFrame) -> DataFrame:
+    """Exact step-by-step stock sequence for keys outside the closed form's
+    domain (never the case for valid data): the key's draws are folded in
+    order with ``aggregate``.  draws: (supply_w_id, i_id, ord, ol_number, qty,
+    s_quantity) -> (supply_w_id, i_id, ord, ol_number, _before, _after)."""
+    g = draws.groupBy("supply_w_id", "i_id").agg(
+        F.first("s_quantity").alias("_q0"),
+        F.sort_array(F.collect_list(F.struct("ord", "ol_number", "qty"))).alias("_d"))
+    init = F.struct(F.col("_q0").alias("q"),
+                    F.array().cast("array<struct<ord:bigint,ol_number:int,b:int,a:int>>").alias("out"))
+    folded = F.aggregate("_d", init, lambda acc, x: F.struct(
+        _step(acc["q"], x["qty"]).alias("q"),
+        F.concat(acc["out"], F.array(F.struct(
+            x["ord"].cast("bigint").alias("ord"), x["ol_number"].alias("ol_number"),
+            acc["q"].cast("int").alias("b"), _step(acc["q"], x["qty"]).cast("int").alias("a")))).alias("out")))
+    e = g.select("supply_w_id", "i_id", F.explode(folded["out"]).alias("r"))
+    return e.select("supply_w_id", "i_id", "r.ord", "r.ol_number", F.col("r.b").alias("_before"),
+                    F.col("r.a").alias("_after"))
+
+
 def new_order_lines(state: State, n_hdr: DataFrame, n_lines: DataFrame,
                     hdr: DataFrame | None = None) -> DataFrame:
     """Per N line: order id, amount, stock before/after the draw, dist info.
 
     Stock is drawn at the supply warehouse; the running sum of quantities per
-    stock key (in record order, then line order) feeds the closed form."""
+    stock key (in record order, then line order) feeds the closed form.  Keys
+    whose start quantity or draws leave the closed form's domain take the
+    exact step-by-step fallback instead."""
     hdr = (hdr if hdr is not None else allocate_order_ids(state, n_hdr)).select("ord", "w_id", "d_id", "o_id")
     ln = n_lines.join(hdr, "ord", "inner")
-    ln = running_agg(ln, ["supply_w_id", "i_id"], "ord", "qty", "_cum", tiebreak=["ol_number"])
+    ln = running_aggs(ln, ["supply_w_id", "i_id"], "ord",
+                      [("qty", "_cum", "sum", True), ("qty", "_maxq", "max", True)], tiebreak=["ol_number"])
     keys = ln.select(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")).distinct()
     st = state.stock_for(keys).select("s_w_id", "s_i_id", "s_quantity", "s_dist")
     ln = ln.join(st, (ln.supply_w_id == st.s_w_id) & (ln.i_id == st.s_i_id), "inner")
+    ok = in_stock_domain(F.col("s_quantity"), F.col("_maxq"))
+    bad_keys = ln.where(~ok).select("supply_w_id", "i_id").distinct()
+    fb = stock_fallback(ln.join(bad_keys, ["supply_w_id", "i_id"], "left_semi"))
+    ln = ln.join(fb, ["supply_w_id", "i_id", "ord", "ol_number"], "left")
     it = state.item.select(F.col("i_id").alias("_i"), "i_name", "i_price")
     ln = ln.join(it, ln.i_id == it._i, "inner")
-    after = stock_closed_form(F.col("s_quantity"), F.col("_cum"))
-    before = stock_closed_form(F.col("s_quantity"), F.col("_cum") - F.col("qty"))
+    after = F.coalesce(F.col("_after"), stock_closed_form(F.col("s_quantity"), F.col("_cum")))
+    before = F.coalesce(F.col("_before"), stock_closed_form(F.col("s_quantity"), F.col("_cum") - F.col("qty")))
     return ln.select(
         "ord", "w_id", "d_id", "o_id", "ol_number", "i_id", "i_name", "supply_w_id", "qty",
         (F.col("i_price") * F.col("qty")).cast(MONEY).alias("amount"),
@@ -98,18 +137,26 @@ def new_order_totals(state: State, n_hdr: DataFrame, lines: DataFrame,
 
 def stock_after(state: State, n_hdr: DataFrame, n_lines: DataFrame) -> DataFrame:
     """W1s: final stock rows of every drawn key.  Needs only the totals per key
-    (a map-side combined aggregation), not the order of the draws."""
+    (a map-side combined aggregation), not the order of the draws; keys
+    outside the closed form's domain take the exact fallback."""
     hdr = n_hdr.select("ord", "w_id")
     ln = n_lines.join(hdr, "ord", "inner")
     g = ln.groupBy("supply_w_id", "i_id").agg(
-        F.sum("qty").alias("_c"), F.count(F.lit(1)).alias("_n"),
+        F.sum("qty").alias("_c"), F.count(F.lit(1)).alias("_n"), F.max("qty").alias("_mx"),
         F.sum((F.col("supply_w_id") != F.col("w_id")).cast("int")).alias("_r"))
     keys = g.select(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id"))
     st = state.stock_for(keys).select("s_w_id", "s_i_id", "s_quantity", "s_ytd", "s_order_cnt",
                                       "s_remote_cnt")
     j = g.join(st, (g.supply_w_id == st.s_w_id) & (g.i_id == st.s_i_id), "inner")
+    bad = j.where(~in_stock_domain(F.col("s_quantity"), F.col("_mx"))).select(
+        "supply_w_id", "i_id", "s_quantity")
+    fb = stock_fallback(ln.join(bad, ["supply_w_id", "i_id"], "inner"))
+    last = fb.groupBy("supply_w_id", "i_id").agg(
+        F.max_by("_after", F.struct("ord", "ol_number")).alias("_fa"))
+    j = j.join(last, ["supply_w_id", "i_id"], "left")
     return j.select("s_w_id", "s_i_id",
-                    stock_closed_form(F.col("s_quantity"), F.col("_c")).alias("s_quantity"),
+                    F.coalesce(F.col("_fa"), stock_closed_form(F.col("s_quantity"), F.col("_c")))
+                     .alias("s_quantity"),
                     (F.col("s_ytd") + F.col("_c")).cast("long").alias("s_ytd"),
                     (F.col("s_order_cnt") + F.col("_n")).cast("long").alias("s_order_cnt"),
                     (F.col("s_remote_cnt") + F.col("_r")).cast("long").alias("s_remote_cnt"))

@@ -297,5 +297,9 @@ def derive_state(spark: SparkSession, sf_dir: str, mode: str = "all",
     dist = dist.select(*dist0.columns,
                        (F.coalesce(F.col("_n"), F.lit(0)) + 1).cast("long").alias("d_next_o_id"))
     lines = number_lines(src["lineitem"], orders)
+    # the supply warehouse is resolved once, at load time
+    sw = supply_warehouse(src["supplier"], src["nation"])
+    lines = lines.join(sw, lines.ol_suppkey == sw.s_suppkey, "left").drop("s_suppkey") \
+                 .withColumnRenamed("s_supply_w_id", "ol_supply_w_id")
     return State(warehouse=wh, district_base=dist0, district=dist, customer=cust, orders=orders,
                  orderline=lines, item=items(src["part"]), sources=src)

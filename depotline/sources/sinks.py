@@ -33,7 +33,7 @@ LAYOUT = {
     "item": ["i_id"],
 }
 
-SNAPSHOT_VERSION = "3"
+SNAPSHOT_VERSION = "4"
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

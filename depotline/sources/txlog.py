@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotline.functions.sequencing import running_aggs
+from depotline.functions.sizing import broadcast_if_small
 
 # Number of fields of the header of each record type.
 ARITY = {"N": 5, "P": 5, "D": 3, "O": 4, "S": 5, "I": 4, "T": 1, "R": 4}
@@ -92,21 +93,21 @@ def parse_txlog(lines: DataFrame, order_col: str = "block", tiebreak: Iterable[s
     if skip:
         g = g.where(~F.col("txn_type").isin(list(skip)))
     arity = F.create_map(*[x for k, a in ARITY.items() for x in (F.lit(k), F.lit(a))])
-    typed = g
+    typed_cols, raw_cols = [], []
     for name in ["c_id", "w_id", "d_id", "n_lines", "carrier_id", "threshold", "last_l", "amount"]:
         pos_map = F.create_map(*[x for k, fs in FIELDS.items() if name in fs
                                  for x in (F.lit(k), F.lit(fs.index(name) + 2))])
         raw = F.when(F.col("_nf") >= pos_map[F.col("txn_type")],
                      F.get(F.col("_h"), pos_map[F.col("txn_type")] - 1))
         tgt = "decimal(12,2)" if name == "amount" else ("long" if name == "c_id" else "int")
-        typed = typed.withColumn(name, F.trim(raw).try_cast(tgt)) \
-                     .withColumn(f"_raw_{name}", raw)
+        typed_cols.append(F.trim(raw).try_cast(tgt).alias(name))
+        raw_cols.append(raw.alias(f"_raw_{name}"))
     line_struct = F.transform("_lf", lambda f: F.struct(
         F.trim(F.get(f, 0)).try_cast("long").alias("i_id"),
         F.trim(F.get(f, 1)).try_cast("int").alias("supply_w_id"),
         F.trim(F.get(f, 2)).try_cast("int").alias("qty"),
         F.size(f).alias("nf")))
-    typed = typed.withColumn("_lines", line_struct)
+    typed = g.select("*", *typed_cols, *raw_cols, line_struct.alias("_lines"))
     bad_field = F.lit(False)
     for name in ["c_id", "w_id", "d_id", "n_lines", "carrier_id", "threshold", "last_l", "amount"]:
         bad_field = bad_field | (F.col(f"_raw_{name}").isNotNull() & F.col(name).isNull())
@@ -141,9 +142,10 @@ def client_interleave(records: DataFrame) -> DataFrame:
     files, deterministic.  The client index is the file's rank by name."""
     files = records.select("file").distinct()
     from pyspark.sql import Window
-    files = files.withColumn("client", F.row_number().over(Window.orderBy("file")) - 1)  # one row per file
+    # one row per client file (a handful of files per run)
+    files = files.withColumn("client", F.row_number().over(Window.orderBy("file")) - 1)
     n = files.select(F.count(F.lit(1))).scalar()
-    r = records.join(F.broadcast(files), "file", "inner")
+    r = records.join(broadcast_if_small(files), "file", "inner")
     return r.withColumn("ord", F.col("record_no") * n + F.col("client"))
 
 

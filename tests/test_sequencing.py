@@ -110,3 +110,48 @@ def test_delivery_reflection_matches_simulator(spark):
     out = writes.deliver(st_, dlv_df, new_df)
     got = {(r.ord, r.d_id): r.o_id for r in out.collect()}
     assert got == expected
+
+
+def test_stock_fallback_outside_domain(spark):
+    """Start quantities below 10 with big draws, and draws above 100: the
+    step-by-step fallback gives the exact sequence."""
+    from depotline.operators import writes
+    from depotline.sources.adapter import State
+
+    stock = spark.createDataFrame(
+        [(1, 1, 5, 0, 0, 0), (1, 2, 50, 0, 0, 0), (1, 3, 30, 0, 0, 0)],
+        "s_w_id int, s_i_id long, s_quantity int, s_ytd int, s_order_cnt int, s_remote_cnt int") \
+        .withColumn("s_ytd", F.col("s_ytd").cast("decimal(12,2)")) \
+        .withColumn("s_dist", F.array(*[F.lit(f"d{k}") for k in range(1, 11)]))
+    draws = {1: [30, 4, 60], 2: [150, 7], 3: [5, 6, 7]}
+    n_hdr_rows, n_line_rows = [], []
+    ord_ = 0
+    for i, qs in draws.items():
+        for q in qs:
+            ord_ += 1
+            n_hdr_rows.append((ord_, 1, 1, 1))
+            n_line_rows.append((ord_, 1, i, 1, q))
+    st_ = State(
+        warehouse=spark.createDataFrame([(1,)], "w_id int"),
+        district_base=spark.createDataFrame([(1, 1)], "d_w_id int, d_id int"),
+        district=spark.createDataFrame([(1, 1, 1)], "d_w_id int, d_id int, d_next_o_id long"),
+        customer=spark.createDataFrame([], "c_w_id int, c_d_id int, c_id long"),
+        orders=spark.createDataFrame([], "o_w_id int, o_d_id int, o_id long"),
+        orderline=spark.createDataFrame([], "ol_w_id int"),
+        item=spark.createDataFrame([(i, f"i{i}", 1) for i in draws], "i_id long, i_name string, i_price int")
+            .withColumn("i_price", F.col("i_price").cast("decimal(12,2)")),
+        stock_table=stock)
+    n_hdr = spark.createDataFrame(n_hdr_rows, "ord long, w_id int, d_id int, c_id long")
+    n_lines = spark.createDataFrame(n_line_rows, "ord long, ol_number int, i_id long, supply_w_id int, qty int")
+    got = {r.ord: (r.s_quantity_before, r.s_quantity_after)
+           for r in writes.new_order_lines(st_, n_hdr, n_lines).collect()}
+    finals = {r.s_i_id: r.s_quantity for r in writes.stock_after(st_, n_hdr, n_lines).collect()}
+    ord_ = 0
+    q0 = {1: 5, 2: 50, 3: 30}
+    for i, qs in draws.items():
+        q = q0[i]
+        for x in qs:
+            ord_ += 1
+            b, q = q, _step(q, x)
+            assert got[ord_] == (b, q)
+        assert finals[i] == q
