@@ -255,6 +255,13 @@ def deliver(state: State, dlv: DataFrame, new_orders: DataFrame | None = None) -
     queue = delivery_queue(state, new_orders)
     p0 = state.orders.where(F.col("o_carrier_id").isNull()).groupBy(
         F.col("o_w_id").alias("w_id"), F.col("o_d_id").alias("d_id")).agg(F.count(F.lit(1)).alias("p0"))
+    if new_orders is None:
+        # no arrivals: the k-th attempt of a district succeeds iff k <= backlog
+        ev = dense_number(att, ["w_id", "d_id"], "ord", "k").join(p0, ["w_id", "d_id"], "left")
+        ev = ev.withColumn("ok", F.col("k") <= F.coalesce(F.col("p0"), F.lit(0)))
+        j = ev.join(queue, ["w_id", "d_id", "k"], "left")
+        return j.select("ord", "w_id", "d_id", "carrier_id", "o_id", "c_id",
+                        F.when(F.col("ok"), cents(F.col("amount"))).alias("amount_cents"))
     ev = att.select("ord", "w_id", "d_id", "carrier_id", F.lit(1).alias("is_att"))
     if new_orders is not None:
         ev = ev.unionByName(new_orders.select("ord", "w_id", "d_id", F.lit(None).cast("int").alias("carrier_id"),

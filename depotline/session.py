@@ -38,15 +38,21 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder of the session.
 
-    The cluster names it in ``spark.checkpoint.dir``; only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
+    The cluster names it in ``spark.checkpoint.dir``; that folder (not the
+    per-application subfolder Spark adds for RDD checkpoints) holds the state
+    snapshots, so a snapshot written by one application is reused by the
+    next.  Only when the setting is absent (local tests) a fresh scratch
+    folder is created and registered.
     """
     sc = spark.sparkContext
+    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    if conf:
+        if not sc.getCheckpointDir():
+            sc.setCheckpointDir(conf)
+        return conf
     cur = sc.getCheckpointDir()
     if cur:
         return cur
-    conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if not conf:
-        conf = tempfile.mkdtemp(prefix="depotline-ckpt-", dir="/tmp")
+    conf = tempfile.mkdtemp(prefix="depotline-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf)
-    return sc.getCheckpointDir() or conf
+    return conf
