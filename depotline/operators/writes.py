@@ -88,15 +88,18 @@ def new_order_lines(state: State, n_hdr: DataFrame, n_lines: DataFrame,
     whose start quantity or draws leave the closed form's domain take the
     exact step-by-step fallback instead."""
     hdr = (hdr if hdr is not None else allocate_order_ids(state, n_hdr)).select("ord", "w_id", "d_id", "o_id")
-    ln = n_lines.join(hdr, "ord", "inner")
-    ln = running_aggs(ln, ["supply_w_id", "i_id"], "ord",
-                      [("qty", "_cum", "sum", True), ("qty", "_maxq", "max", True)], tiebreak=["ol_number"])
+    raw = n_lines.join(hdr, "ord", "inner")
+    # keys outside the closed form's domain, from per-key totals of the raw draws
+    kmax = raw.groupBy("supply_w_id", "i_id").agg(F.max("qty").alias("_mx"))
+    kq = state.stock_for(kmax.select(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")))
+    bad_keys = kmax.join(kq, (kmax.supply_w_id == kq.s_w_id) & (kmax.i_id == kq.s_i_id), "inner") \
+        .where(~in_stock_domain(F.col("s_quantity"), F.col("_mx"))).select("supply_w_id", "i_id", "s_quantity")
+    fb = stock_fallback(raw.join(bad_keys, ["supply_w_id", "i_id"], "inner"))
+    ln = running_aggs(raw, ["supply_w_id", "i_id"], "ord", [("qty", "_cum", "sum", True)],
+                      tiebreak=["ol_number"])
     keys = ln.select(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")).distinct()
     st = state.stock_for(keys).select("s_w_id", "s_i_id", "s_quantity", "s_dist")
     ln = ln.join(st, (ln.supply_w_id == st.s_w_id) & (ln.i_id == st.s_i_id), "inner")
-    ok = in_stock_domain(F.col("s_quantity"), F.col("_maxq"))
-    bad_keys = ln.where(~ok).select("supply_w_id", "i_id").distinct()
-    fb = stock_fallback(ln.join(bad_keys, ["supply_w_id", "i_id"], "left_semi"))
     ln = ln.join(fb, ["supply_w_id", "i_id", "ord", "ol_number"], "left")
     it = state.item.select(F.col("i_id").alias("_i"), "i_name", "i_price")
     ln = ln.join(it, ln.i_id == it._i, "inner")

@@ -36,6 +36,23 @@ LAYOUT = {
 SNAPSHOT_VERSION = "4"
 
 
+def _code_version() -> str:
+    """Digest of the package sources: a snapshot or work table written by other
+    code is never reused."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1(SNAPSHOT_VERSION.encode())
+    for dirpath, _dirs, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(dirpath, f), "rb") as fh:
+                    h.update(f.encode())
+                    h.update(fh.read())
+    return h.hexdigest()[:10]
+
+
+CODE_VERSION = _code_version()
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     try:
         spark.read.format("text").load(f"{path}/_SUCCESS")
@@ -59,7 +76,7 @@ def write_state(state, path: str, tables: list[str] | None = None) -> None:
 
 
 def snapshot_key(sf_dir: str, mode: str) -> str:
-    parts = [os.path.abspath(sf_dir), mode, SNAPSHOT_VERSION]
+    parts = [os.path.abspath(sf_dir), mode, CODE_VERSION]
     for name in sorted(os.listdir(sf_dir)) if os.path.isdir(sf_dir) else []:
         st = os.stat(os.path.join(sf_dir, name))
         parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
@@ -103,7 +120,10 @@ def work_table(spark: SparkSession, key: str, name: str, build) -> DataFrame:
     root = ensure_checkpoint_dir(spark).rstrip("/")
     p = f"{root}/depotline-work/{key}/{name}"
     if not _exists(spark, p):
+        t0 = time.time()
         build().write.mode("overwrite").parquet(p)
+        if os.environ.get("DEPOTLINE_TRACE"):
+            print(f"work table {name}: {time.time() - t0:.2f}s")
     return spark.read.parquet(p)
 
 
