@@ -109,13 +109,19 @@ def stock_level(state: State, req: DataFrame) -> DataFrame:
 
 # --- R3 / R4 popular items -----------------------------------------------------
 
-def popular_lines(state: State, req: DataFrame) -> DataFrame:
-    """Distinct (req_id, w, d, o_id, i_id, max_qty) tied at the order's max quantity."""
+def tied_lines(state: State, req: DataFrame) -> DataFrame:
+    """Lines (req_id, w, d, o_id, ol_number, i_id, max_qty) at their order's max
+    quantity; the window groups are single orders (bounded)."""
     lines = recent_lines(state, req)
     per_order = Window.partitionBy("req_id", "w_id", "d_id", "o_id")
     m = lines.withColumn("max_qty", F.max("qty").over(per_order))
     return m.where(F.col("qty") == F.col("max_qty")) \
-            .select("req_id", "w_id", "d_id", "o_id", "i_id", "max_qty").distinct()
+            .select("req_id", "w_id", "d_id", "o_id", "ol_number", "i_id", "max_qty")
+
+
+def popular_lines(state: State, req: DataFrame) -> DataFrame:
+    """Distinct (req_id, w, d, o_id, i_id, max_qty) tied at the order's max quantity."""
+    return tied_lines(state, req).drop("ol_number").distinct()
 
 
 def popular_items(state: State, req: DataFrame) -> DataFrame:
@@ -144,6 +150,19 @@ def popular_item_pct(state: State, req: DataFrame) -> DataFrame:
                     (F.col("n_orders") / F.col("n_examined")).cast("double").alias("pct"))
 
 
+def popular_item_pct_by_name(state: State, req: DataFrame) -> DataFrame:
+    """Parity form of the share: tied *lines* counted per item *name* over the
+    examined orders (several items share a name, so the share can exceed 1)."""
+    ords = recent_orders(state, req)
+    n_exam = ords.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_examined"))
+    it = state.item.select(F.col("i_id").alias("it_id"), "i_name")
+    t = tied_lines(state, req).join(it, F.col("i_id") == F.col("it_id"), "inner")
+    g = t.groupBy("req_id", "i_name").agg(F.count(F.lit(1)).alias("n_lines"))
+    j = g.join(n_exam, "req_id", "inner")
+    return j.select("req_id", "i_name", "n_lines", "n_examined",
+                    (F.col("n_lines") / F.col("n_examined")).cast("double").alias("pct"))
+
+
 # --- R5 top balance -----------------------------------------------------------
 
 def _with_names(df: DataFrame, state: State, w_col: str, d_col: str) -> DataFrame:
@@ -236,6 +255,30 @@ def related_customers(state: State, req: DataFrame) -> DataFrame:
                     F.col("o_c").alias("c_id")).distinct()
 
 
+def related_customers_by_lines(state: State, req: DataFrame) -> DataFrame:
+    """Parity form: order pairs with at least two *matching line pairs* (an item
+    ordered twice in one order counts twice).  Equal to the distinct-item form
+    plus pairs that share one item held at least twice by one of the orders;
+    that second part joins only duplicated items with the orders holding them."""
+    base = related_customers(state, req)
+    ol = state.orderline.groupBy("ol_w_id", "ol_d_id", "ol_o_id", "ol_i_id").agg(
+        F.count(F.lit(1)).alias("mult"))
+    o = state.orders.select("o_w_id", "o_d_id", "o_id", "o_c_id")
+    oc = ol.join(o, (ol.ol_w_id == o.o_w_id) & (ol.ol_d_id == o.o_d_id) & (ol.ol_o_id == o.o_id), "inner") \
+        .select(F.col("o_w_id").alias("w"), F.col("o_d_id").alias("d"), F.col("o_c_id").alias("c"),
+                F.col("ol_i_id").alias("i"), "mult")
+    mine = broadcast_if_small(req.select("req_id", F.col("w_id").alias("r_w"), F.col("d_id").alias("r_d"),
+                                         F.col("c_id").alias("r_c")))
+    rq = oc.join(mine, (oc.w == mine.r_w) & (oc.d == mine.r_d) & (oc.c == mine.r_c), "inner") \
+        .select("req_id", "r_w", F.col("i").alias("ri"), F.col("mult").alias("rm"))
+    rq = rq.groupBy("req_id", "r_w", "ri").agg(F.max("rm").alias("rm"))
+    other = oc.groupBy("w", "d", "c", "i").agg(F.max("mult").alias("om"))
+    j = rq.join(other, (rq.ri == other.i) & (rq.r_w != other.w)
+                & ((F.col("rm") >= 2) | (F.col("om") >= 2)), "inner")
+    dup = j.select("req_id", F.col("w").alias("w_id"), F.col("d").alias("d_id"), F.col("c").alias("c_id"))
+    return base.unionByName(dup).distinct()
+
+
 def related_pairs(state: State) -> DataFrame:
     """All unordered pairs of related customers (first warehouse < second)."""
     cip = customer_item_pairs(state)

@@ -43,6 +43,16 @@ def _last_order(spark, sf_dir):
     return lo.withColumn("o_entry_d", reads.fmt_ts("o_entry_d"))
 
 
+def _popular_item_pct_by_name(spark, sf_dir):
+    s = load_state(spark, sf_dir)
+    return reads.popular_item_pct_by_name(s, rq.district_requests(s))
+
+
+def _related_customers_by_lines(spark, sf_dir):
+    s = load_state(spark, sf_dir)
+    return reads.related_customers_by_lines(s, rq.customer_requests(s))
+
+
 def _related_customers(spark, sf_dir):
     s = load_state(spark, sf_dir)
     return reads.related_customers(s, rq.customer_requests(s))
@@ -58,6 +68,8 @@ QUERIES: dict[str, Query] = {
     "top_balance_by_district": _reads(lambda s: reads.top_balance_by_district(s, rq.TOP_K)),
     "related_customers": _related_customers,
     "related_pairs": _reads(reads.related_pairs),
+    "related_customers_by_lines": _related_customers_by_lines,
+    "popular_item_pct_by_name": _popular_item_pct_by_name,
     "pending_orders": _reads(reads.pending_orders),
     "oldest_pending": _reads(reads.oldest_pending),
     "order_amount": _reads(reads.order_amount),

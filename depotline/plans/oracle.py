@@ -170,6 +170,22 @@ SELECT DISTINCT ac AS req_id, bw AS w_id, bd AS d_id, bc AS c_id FROM x_opairs""
     "related_pairs": with_ctes(ALL, RELATED) + """
 SELECT DISTINCT aw AS w1, ad AS d1, ac AS c1, bw AS w2, bd AS d2, bc AS c2 FROM x_opairs WHERE aw < bw""",
 
+    "related_customers_by_lines": with_ctes(ALL) + """
+, x_lc AS (SELECT ol_w_id AS w, ol_d_id AS d, ol_o_id AS o, ol_i_id AS i, o_c_id AS c
+           FROM x_ol JOIN x_ord ON o_w_id = ol_w_id AND o_d_id = ol_d_id AND o_id = ol_o_id)
+SELECT DISTINCT ac AS req_id, bw AS w_id, bd AS d_id, bc AS c_id FROM (
+  SELECT a.w AS aw, a.c AS ac, a.o AS ao, b.w AS bw, b.d AS bd, b.c AS bc, b.o AS bo
+  FROM x_lc a JOIN x_lc b ON a.i = b.i AND a.w <> b.w
+  GROUP BY a.w, a.d, a.c, a.o, b.w, b.d, b.c, b.o HAVING count(*) >= 2)""",
+
+    "popular_item_pct_by_name": with_ctes(ALL, DIST_REQ) + """
+, x_tied AS (SELECT * FROM (
+    SELECT *, max(qty) OVER (PARTITION BY req_id, w_id, d_id, o_id) AS mq FROM x_rlines) WHERE qty = mq)
+SELECT t.req_id, it.i_name, count(*) AS n_lines, e.n_examined, CAST(count(*) AS DOUBLE) / e.n_examined AS pct
+FROM x_tied t JOIN x_item it ON it.i_id = t.i_id
+JOIN (SELECT req_id, count(*) AS n_examined FROM x_rords GROUP BY req_id) e ON e.req_id = t.req_id
+GROUP BY t.req_id, it.i_name, e.n_examined""",
+
     "pending_orders": with_ctes(ALL) + """
 SELECT o_w_id, o_d_id, o_id, o_c_id FROM x_ord WHERE o_carrier_id IS NULL""",
 
