@@ -18,3 +18,26 @@ def broadcast_if_small(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> Dat
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+# Request frames with at most this many rows become literal scan filters.
+MAX_PUSHDOWN_KEYS = 256
+
+
+def small_rows(df: DataFrame, max_rows: int = MAX_PUSHDOWN_KEYS) -> list | None:
+    """The rows of ``df`` when it provably has at most ``max_rows`` of them
+    (one bounded fetch), else None."""
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
+def literal_key_filter(rows: list, clauses) -> F.Column | None:
+    """OR over the request rows of ``clauses(row)`` (a Column built from literal
+    values): a superset filter that Spark pushes into the parquet scan, where
+    the min/max statistics of key-sorted files skip the other row groups.  The
+    exact match is still done by the join that follows."""
+    cond = None
+    for r in rows:
+        c = clauses(r)
+        cond = c if cond is None else cond | c
+    return cond

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotline.functions.money import cents
-from depotline.functions.sizing import broadcast_if_small
+from depotline.functions.sizing import broadcast_if_small, literal_key_filter, small_rows
 from depotline.sources.adapter import State
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
@@ -22,32 +22,54 @@ def fmt_ts(c: F.Column | str) -> F.Column:
     return F.date_format(c, TS_FORMAT)
 
 
-def _recent_range(state: State, req: DataFrame) -> DataFrame:
+class RecentRange:
     """Requests with the half-open o_id range [next - l, next) of their district.
 
-    The request frame is size-checked before it is broadcast; the district
-    side is bounded by the nation dimension."""
-    req = broadcast_if_small(req)
-    d = state.district.select(F.col("d_w_id").alias("_dw"), F.col("d_id").alias("_dd"), "d_next_o_id")
-    r = req.join(F.broadcast(d), (req.w_id == d._dw) & (req.d_id == d._dd), "inner")
-    return r.select(*req.columns, (F.col("d_next_o_id") - F.col("last_l")).alias("o_lo"),
-                    F.col("d_next_o_id").alias("o_hi"))
-
-
-def recent_orders(state: State, req: DataFrame) -> DataFrame:
+    The request frame is fetched once when it is small (at most
+    MAX_PUSHDOWN_KEYS rows): it is then broadcast and its ranges become a
+    literal filter pushed into the order / order-line scans (row groups of
+    the key-sorted snapshot outside the ranges are skipped).  A large
+    request frame is joined without either.  The district side is bounded by
+    the nation dimension."""
+
+    def __init__(self, state: State, req: DataFrame):
+        self.small = small_rows(req) is not None
+        req_b = F.broadcast(req) if self.small else req
+        d = state.district.select(F.col("d_w_id").alias("_dw"), F.col("d_id").alias("_dd"), "d_next_o_id")
+        r = req_b.join(F.broadcast(d), (req.w_id == d._dw) & (req.d_id == d._dd), "inner")
+        self.df = r.select("req_id", "w_id", "d_id", (F.col("d_next_o_id") - F.col("last_l")).alias("o_lo"),
+                           F.col("d_next_o_id").alias("o_hi"))
+        self.rows = small_rows(self.df) if self.small else None
+
+    def literal(self, w: str, d: str, o: str) -> F.Column | None:
+        if not self.rows:
+            return None
+        return literal_key_filter(self.rows, lambda x: (F.col(w) == x.w_id) & (F.col(d) == x.d_id)
+                                  & (F.col(o) >= x.o_lo) & (F.col(o) < x.o_hi))
+
+
+def recent_orders(state: State, req: DataFrame, rng: RecentRange | None = None) -> DataFrame:
     """(req_id, w, d, o_id, o_c_id, o_entry_d) of the last ``last_l`` orders."""
-    r = _recent_range(state, req).select("req_id", "w_id", "d_id", "o_lo", "o_hi")
+    rng = rng or RecentRange(state, req)
+    r = rng.df
     o = state.orders.select("o_w_id", "o_d_id", "o_id", "o_c_id", "o_entry_d")
+    lit = rng.literal("o_w_id", "o_d_id", "o_id")
+    if lit is not None:
+        o = o.where(lit)
     j = o.join(r, (o.o_w_id == r.w_id) & (o.o_d_id == r.d_id)
                & (o.o_id >= r.o_lo) & (o.o_id < r.o_hi), "inner")
     return j.select("req_id", "w_id", "d_id", "o_id", "o_c_id", "o_entry_d")
 
 
-def recent_lines(state: State, req: DataFrame) -> DataFrame:
+def recent_lines(state: State, req: DataFrame, rng: RecentRange | None = None) -> DataFrame:
     """(req_id, w, d, o_id, i_id, qty, amount) of the lines of the last orders."""
-    r = _recent_range(state, req).select("req_id", "w_id", "d_id", "o_lo", "o_hi")
+    rng = rng or RecentRange(state, req)
+    r = rng.df
     ol = state.orderline.select("ol_w_id", "ol_d_id", "ol_o_id", "ol_number", "ol_i_id",
                                 "ol_quantity", "ol_amount")
+    lit = rng.literal("ol_w_id", "ol_d_id", "ol_o_id")
+    if lit is not None:
+        ol = ol.where(lit)
     j = ol.join(r, (ol.ol_w_id == r.w_id) & (ol.ol_d_id == r.d_id)
                 & (ol.ol_o_id >= r.o_lo) & (ol.ol_o_id < r.o_hi), "inner")
     return j.select("req_id", "w_id", "d_id", F.col("ol_o_id").alias("o_id"), "ol_number",
@@ -57,11 +79,23 @@ def recent_lines(state: State, req: DataFrame) -> DataFrame:
 
 # --- R1 order status -------------------------------------------------------
 
+def _customer_filter(req: DataFrame, w: str, d: str, c: str) -> F.Column | None:
+    rows = small_rows(req.select("w_id", "d_id", "c_id").distinct())
+    if not rows:
+        return None
+    return literal_key_filter(rows, lambda x: (F.col(w) == x.w_id) & (F.col(d) == x.d_id)
+                              & (F.col(c) == x.c_id))
+
+
 def last_order(state: State, req: DataFrame) -> DataFrame:
     """Latest order (max o_id) of each requested customer: header only."""
     keys = broadcast_if_small(req.select(F.col("w_id").alias("_w"), F.col("d_id").alias("_d"),
                                          F.col("c_id").alias("_c")).distinct())
-    o = state.orders.join(keys, (F.col("o_w_id") == F.col("_w")) & (F.col("o_d_id") == F.col("_d"))
+    orders = state.orders
+    lit = _customer_filter(req, "o_w_id", "o_d_id", "o_c_id")
+    if lit is not None:
+        orders = orders.where(lit)
+    o = orders.join(keys, (F.col("o_w_id") == F.col("_w")) & (F.col("o_d_id") == F.col("_d"))
                           & (F.col("o_c_id") == F.col("_c")), "left_semi")
     return (o.groupBy("o_w_id", "o_d_id", "o_c_id")
              .agg(F.max_by(F.struct("o_id", "o_entry_d", "o_carrier_id"), "o_id").alias("o"))
@@ -71,6 +105,9 @@ def last_order(state: State, req: DataFrame) -> DataFrame:
 def order_status(state: State, req: DataFrame) -> DataFrame:
     """Customer name and balance, the customer's last order and all its lines."""
     c = state.customer.select("c_w_id", "c_d_id", "c_id", "c_first", "c_middle", "c_last", "c_balance")
+    lit = _customer_filter(req, "c_w_id", "c_d_id", "c_id")
+    if lit is not None:
+        c = c.where(lit)
     rc = req.select("req_id", "w_id", "d_id", F.col("c_id").alias("r_c_id")).join(
         c, (F.col("w_id") == c.c_w_id) & (F.col("d_id") == c.c_d_id) & (F.col("r_c_id") == c.c_id),
         "inner")
@@ -78,6 +115,12 @@ def order_status(state: State, req: DataFrame) -> DataFrame:
     j = rc.join(lo, (rc.c_w_id == lo.o_w_id) & (rc.c_d_id == lo.o_d_id) & (rc.c_id == lo.o_c_id), "left")
     ol = state.lines_with_supply.select("ol_w_id", "ol_d_id", "ol_o_id", "ol_number", "ol_i_id",
                                         "ol_supply_w_id", "ol_quantity", "ol_amount", "ol_delivery_d")
+    if lit is not None:
+        # few requests: their last orders are few too; read only their lines
+        rows = small_rows(lo.select("o_w_id", "o_d_id", "o_id"))
+        if rows:
+            ol = ol.where(literal_key_filter(rows, lambda x: (F.col("ol_w_id") == x.o_w_id)
+                                             & (F.col("ol_d_id") == x.o_d_id) & (F.col("ol_o_id") == x.o_id)))
     j = j.join(ol, (j.o_w_id == ol.ol_w_id) & (j.o_d_id == ol.ol_d_id) & (j.o_id == ol.ol_o_id), "left")
     return j.select(
         "req_id", "c_w_id", "c_d_id", "c_id", "c_first", "c_middle", "c_last",
@@ -109,26 +152,27 @@ def stock_level(state: State, req: DataFrame) -> DataFrame:
 
 # --- R3 / R4 popular items -----------------------------------------------------
 
-def tied_lines(state: State, req: DataFrame) -> DataFrame:
+def tied_lines(state: State, req: DataFrame, rng: RecentRange | None = None) -> DataFrame:
     """Lines (req_id, w, d, o_id, ol_number, i_id, max_qty) at their order's max
     quantity; the window groups are single orders (bounded)."""
-    lines = recent_lines(state, req)
+    lines = recent_lines(state, req, rng)
     per_order = Window.partitionBy("req_id", "w_id", "d_id", "o_id")
     m = lines.withColumn("max_qty", F.max("qty").over(per_order))
     return m.where(F.col("qty") == F.col("max_qty")) \
             .select("req_id", "w_id", "d_id", "o_id", "ol_number", "i_id", "max_qty")
 
 
-def popular_lines(state: State, req: DataFrame) -> DataFrame:
+def popular_lines(state: State, req: DataFrame, rng: RecentRange | None = None) -> DataFrame:
     """Distinct (req_id, w, d, o_id, i_id, max_qty) tied at the order's max quantity."""
-    return tied_lines(state, req).drop("ol_number").distinct()
+    return tied_lines(state, req, rng).drop("ol_number").distinct()
 
 
 def popular_items(state: State, req: DataFrame) -> DataFrame:
     """Per examined order: header, customer, and the items tied at max quantity
     (an examined order without lines keeps one row with NULL item)."""
-    ords = recent_orders(state, req)
-    pop = popular_lines(state, req)
+    rng = RecentRange(state, req)
+    ords = recent_orders(state, req, rng)
+    pop = popular_lines(state, req, rng)
     j = ords.join(pop, ["req_id", "w_id", "d_id", "o_id"], "left")
     c = state.customer.select("c_w_id", "c_d_id", "c_id", "c_first", "c_middle", "c_last")
     j = j.join(c, (j.w_id == c.c_w_id) & (j.d_id == c.c_d_id) & (j.o_c_id == c.c_id), "left")
@@ -140,9 +184,10 @@ def popular_items(state: State, req: DataFrame) -> DataFrame:
 
 def popular_item_pct(state: State, req: DataFrame) -> DataFrame:
     """Per request and popular item: share of the examined orders in which it is popular."""
-    ords = recent_orders(state, req)
+    rng = RecentRange(state, req)
+    ords = recent_orders(state, req, rng)
     n_exam = ords.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_examined"))
-    pop = popular_lines(state, req)
+    pop = popular_lines(state, req, rng)
     per_item = pop.groupBy("req_id", "i_id").agg(F.count_distinct("o_id").alias("n_orders"))
     it = state.item.select(F.col("i_id").alias("it_id"), "i_name")
     j = per_item.join(n_exam, "req_id", "inner").join(it, F.col("i_id") == F.col("it_id"), "left")
@@ -153,10 +198,11 @@ def popular_item_pct(state: State, req: DataFrame) -> DataFrame:
 def popular_item_pct_by_name(state: State, req: DataFrame) -> DataFrame:
     """Parity form of the share: tied *lines* counted per item *name* over the
     examined orders (several items share a name, so the share can exceed 1)."""
-    ords = recent_orders(state, req)
+    rng = RecentRange(state, req)
+    ords = recent_orders(state, req, rng)
     n_exam = ords.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_examined"))
     it = state.item.select(F.col("i_id").alias("it_id"), "i_name")
-    t = tied_lines(state, req).join(it, F.col("i_id") == F.col("it_id"), "inner")
+    t = tied_lines(state, req, rng).join(it, F.col("i_id") == F.col("it_id"), "inner")
     g = t.groupBy("req_id", "i_name").agg(F.count(F.lit(1)).alias("n_lines"))
     j = g.join(n_exam, "req_id", "inner")
     return j.select("req_id", "i_name", "n_lines", "n_examined",
