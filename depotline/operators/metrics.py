@@ -19,7 +19,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from depotline.functions.sequencing import running_agg
+from depotline.functions.sequencing import DEFAULT_BUCKET_WIDTH, running_agg
 
 N_CLIENTS = 20
 # Fixed percentiles of the summaries, in percent.
@@ -35,12 +35,12 @@ def measurements(events: DataFrame, n_clients: int = N_CLIENTS) -> DataFrame:
 
 
 def exact_percentiles(m: DataFrame, keys: Sequence[str], pcts: Sequence[int],
-                      value: str = "elapsed") -> DataFrame:
+                      value: str = "elapsed", width: int = DEFAULT_BUCKET_WIDTH) -> DataFrame:
     """(keys..., p<pct> for pct in pcts): element at index floor(n*pct/100)."""
     keys = list(keys)
     hist = m.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_cnt"))
     hist = hist.withColumn("_v", (F.col(value) * 100).cast("long"))
-    hist = running_agg(hist, keys, "_v", "_cnt", "_hi")  # inclusive cumulative count
+    hist = running_agg(hist, keys, "_v", "_cnt", "_hi", width=width)  # inclusive cumulative count
     n = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     h = hist.join(n, keys, "inner")
     cols = []

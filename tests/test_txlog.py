@@ -67,3 +67,26 @@ def test_skip_and_interleave(spark, tmpdir_path):
     recs, _ = read_txlog(spark, tmpdir_path)
     ords = sorted((r.ord, r.txn_type, r.w_id) for r in client_interleave(recs).collect())
     assert [o[0] for o in ords] == [2, 3, 4, 5, 6]
+
+
+def test_order_survives_many_splits(spark, tmpdir_path):
+    """One file read as many input splits: records are still numbered in file
+    order and N lines stay with their header."""
+    lines = []
+    for k in range(300):
+        lines += [f"N,{k},1,1,2", f"{k},1,1", f"{k + 1},1,2", f"P,1,1,{k},1.00"]
+    _write(tmpdir_path, "big.txt", "\n".join(lines))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "512")
+    try:
+        recs, errs = read_txlog(spark, tmpdir_path)
+        rows = sorted(recs.collect(), key=lambda r: r.record_no)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert errs.count() == 0
+    assert len(rows) == 600
+    for k in range(300):
+        n, p = rows[2 * k], rows[2 * k + 1]
+        assert (n.txn_type, n.c_id, n.record_no) == ("N", k, 2 * k + 1)
+        assert [(x.i_id, x.qty) for x in n.lines] == [(k, 1), (k + 1, 2)]
+        assert (p.txn_type, p.c_id) == ("P", k)
