@@ -146,11 +146,13 @@ def _register_misc():
     def txlog_counts(rp):
         lg = rp.log
         lines = TX.render_log(lg.n_hdr, lg.n_lines, lg.pay, lg.dlv, lg.status)
-        recs, errs = TX.parse_txlog(lines, "pos", ())
-        ok = recs.groupBy("txn_type").agg(F.count(F.lit(1)).alias("n_records"),
-                                         F.sum(F.size("lines")).cast("long").alias("n_lines"))
-        bad = errs.groupBy().agg(F.count(F.lit(1)).alias("n_records")).where(F.col("n_records") > 0) \
-                  .select(F.lit("error").alias("txn_type"), "n_records", F.lit(0).cast("long").alias("n_lines"))
+        typed, orphan = TX.parse_txlog_checked(lines, "pos", ())
+        kind = F.when(F.col("reason").isNull(), F.col("txn_type")).otherwise(F.lit("error"))
+        ok = typed.groupBy(kind.alias("txn_type")).agg(
+            F.count(F.lit(1)).alias("n_records"),
+            F.sum(F.when(F.col("reason").isNull(), F.size("lines")).otherwise(0)).cast("long").alias("n_lines"))
+        bad = orphan.groupBy().agg(F.count(F.lit(1)).alias("n_records")).where(F.col("n_records") > 0) \
+                    .select(F.lit("orphan").alias("txn_type"), "n_records", F.lit(0).cast("long").alias("n_lines"))
         return ok.unionByName(bad)
 
     def check_invariants(rp):

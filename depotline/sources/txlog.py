@@ -67,6 +67,18 @@ def parse_txlog(lines: DataFrame, order_col: str = "block", tiebreak: Iterable[s
     ``lines`` (array of N line structs, in file order); errors: file,
     record_no, reason, text.  ``skip`` drops whole record types (A9).
     """
+    typed, orphan = parse_txlog_checked(lines, order_col, tiebreak, skip)
+    errors = typed.where(F.col("reason").isNotNull()).select("file", "record_no", "reason", "text") \
+                  .unionByName(orphan)
+    records = typed.where(F.col("reason").isNull()).drop("reason", "text")
+    return records, errors
+
+
+def parse_txlog_checked(lines: DataFrame, order_col: str = "block", tiebreak: Iterable[str] = ("pos",),
+                        skip: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """One parsed frame with a ``reason`` column (NULL = valid record), plus the
+    lines found before the first header of their file.  Consumers that need
+    both valid and invalid records (counts, audits) read it in one pass."""
     tiebreak = list(tiebreak)
     v = F.col("value")
     l = lines.withColumn("is_hdr", v.rlike("^[A-Z]").cast("long")) \
@@ -120,16 +132,14 @@ def parse_txlog(lines: DataFrame, order_col: str = "block", tiebreak: Iterable[s
                      F.lit("wrong number of order lines"))
                .when((F.col("txn_type") != "N") & (F.size("_lines") > 0), F.lit("unexpected lines"))
                .when(bad_line, F.lit("bad order line")))
-    typed = typed.withColumn("reason", reason)
-    errors = typed.where(F.col("reason").isNotNull()).select("file", "record_no", "reason", "text") \
-                  .unionByName(orphan)
-    records = typed.where(F.col("reason").isNull()).select(
+    typed = typed.select(
         "file", "record_no", "txn_type", "c_id", "w_id", "d_id", "n_lines", "carrier_id",
         "threshold", "last_l", "amount",
         F.transform("_lines", lambda x: F.struct(x["i_id"].alias("i_id"),
                                                  x["supply_w_id"].alias("supply_w_id"),
-                                                 x["qty"].alias("qty"))).alias("lines"))
-    return records, errors
+                                                 x["qty"].alias("qty"))).alias("lines"),
+        reason.alias("reason"), "text")
+    return typed, orphan
 
 
 def read_txlog(spark: SparkSession, path: str, skip: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
