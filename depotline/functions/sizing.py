@@ -31,13 +31,14 @@ def small_rows(df: DataFrame, max_rows: int = MAX_PUSHDOWN_KEYS) -> list | None:
     return rows if len(rows) <= max_rows else None
 
 
-def literal_key_filter(rows: list, clauses) -> F.Column | None:
-    """OR over the request rows of ``clauses(row)`` (a Column built from literal
-    values): a superset filter that Spark pushes into the parquet scan, where
-    the min/max statistics of key-sorted files skip the other row groups.  The
-    exact match is still done by the join that follows."""
+def key_in_filter(rows: list, columns: dict[str, str]) -> F.Column:
+    """``col IN (values)`` per key column, AND-ed: a superset filter of the
+    request keys (one conjunction, cheap to plan) that Spark pushes into the
+    parquet scan, where the min/max statistics of key-sorted files skip the
+    other row groups.  The exact match is done by the join that follows.
+    ``columns`` maps the scanned column to the field of the request rows."""
     cond = None
-    for r in rows:
-        c = clauses(r)
-        cond = c if cond is None else cond | c
+    for col, field in columns.items():
+        c = F.col(col).isin(sorted({getattr(r, field) for r in rows}))
+        cond = c if cond is None else cond & c
     return cond

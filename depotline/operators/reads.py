@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotline.functions.money import cents
-from depotline.functions.sizing import broadcast_if_small, literal_key_filter, small_rows
+from depotline.functions.sizing import broadcast_if_small, key_in_filter, small_rows
 from depotline.sources.adapter import State
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
@@ -33,19 +33,25 @@ class RecentRange:
     the nation dimension."""
 
     def __init__(self, state: State, req: DataFrame):
-        self.small = small_rows(req) is not None
-        req_b = F.broadcast(req) if self.small else req
         d = state.district.select(F.col("d_w_id").alias("_dw"), F.col("d_id").alias("_dd"), "d_next_o_id")
-        r = req_b.join(F.broadcast(d), (req.w_id == d._dw) & (req.d_id == d._dd), "inner")
-        self.df = r.select("req_id", "w_id", "d_id", (F.col("d_next_o_id") - F.col("last_l")).alias("o_lo"),
-                           F.col("d_next_o_id").alias("o_hi"))
-        self.rows = small_rows(self.df) if self.small else None
+        r = req.join(F.broadcast(d), (req.w_id == d._dw) & (req.d_id == d._dd), "inner")
+        r = r.select("req_id", "w_id", "d_id", (F.col("d_next_o_id") - F.col("last_l")).alias("o_lo"),
+                     F.col("d_next_o_id").alias("o_hi"))
+        # one bounded fetch decides both the broadcast and the literal filter
+        self.rows = small_rows(r)
+        self.df = F.broadcast(r) if self.rows is not None else r
 
     def literal(self, w: str, d: str, o: str) -> F.Column | None:
+        """One conjunction (IN lists + the o_id hull of the ranges): a superset
+        of the wanted rows that parquet can use for row-group skipping; the
+        exact ranges are applied by the join."""
         if not self.rows:
             return None
-        return literal_key_filter(self.rows, lambda x: (F.col(w) == x.w_id) & (F.col(d) == x.d_id)
-                                  & (F.col(o) >= x.o_lo) & (F.col(o) < x.o_hi))
+        ws = sorted({x.w_id for x in self.rows})
+        ds = sorted({x.d_id for x in self.rows})
+        lo = min(x.o_lo for x in self.rows)
+        hi = max(x.o_hi for x in self.rows)
+        return F.col(w).isin(ws) & F.col(d).isin(ds) & (F.col(o) >= lo) & (F.col(o) < hi)
 
 
 def recent_orders(state: State, req: DataFrame, rng: RecentRange | None = None) -> DataFrame:
@@ -83,8 +89,7 @@ def _customer_filter(req: DataFrame, w: str, d: str, c: str) -> F.Column | None:
     rows = small_rows(req.select("w_id", "d_id", "c_id").distinct())
     if not rows:
         return None
-    return literal_key_filter(rows, lambda x: (F.col(w) == x.w_id) & (F.col(d) == x.d_id)
-                              & (F.col(c) == x.c_id))
+    return key_in_filter(rows, {w: "w_id", d: "d_id", c: "c_id"})
 
 
 def last_order(state: State, req: DataFrame) -> DataFrame:
@@ -119,8 +124,7 @@ def order_status(state: State, req: DataFrame) -> DataFrame:
         # few requests: their last orders are few too; read only their lines
         rows = small_rows(lo.select("o_w_id", "o_d_id", "o_id"))
         if rows:
-            ol = ol.where(literal_key_filter(rows, lambda x: (F.col("ol_w_id") == x.o_w_id)
-                                             & (F.col("ol_d_id") == x.o_d_id) & (F.col("ol_o_id") == x.o_id)))
+            ol = ol.where(key_in_filter(rows, {"ol_w_id": "o_w_id", "ol_d_id": "o_d_id", "ol_o_id": "o_id"}))
     j = j.join(ol, (j.o_w_id == ol.ol_w_id) & (j.o_d_id == ol.ol_d_id) & (j.o_id == ol.ol_o_id), "left")
     return j.select(
         "req_id", "c_w_id", "c_d_id", "c_id", "c_first", "c_middle", "c_last",
