@@ -264,7 +264,8 @@ def load_state(spark: SparkSession, sf_dir: str, mode: str = "all",
     if materialized:
         from depotline.sources.sinks import materialize, snapshot_path
         state = materialize(spark, lambda o=None: derive_state(spark, sf_dir, mode, o),
-                            snapshot_path(spark, sf_dir, mode), _read_sources(spark, sf_dir))
+                            snapshot_path(spark, sf_dir, mode), _read_sources(spark, sf_dir),
+                            shared_path=snapshot_path(spark, sf_dir, "shared"))
     else:
         state = derive_state(spark, sf_dir, mode)
     _STATE_CACHE[key] = state

@@ -128,10 +128,16 @@ def snapshot_path(spark: SparkSession, sf_dir: str, mode: str) -> str:
     return f"{root}/depotline-state/{snapshot_key(sf_dir, mode)}-{mode}"
 
 
-def materialize(spark: SparkSession, derive, path: str, sources: dict):
+# Tables that do not depend on which orders are loaded: written once and
+# shared by the snapshots of every mode.
+SHARED = {"warehouse", "district_base", "customer", "item"}
+
+
+def materialize(spark: SparkSession, derive, path: str, sources: dict, shared_path: str | None = None):
     """Read the state snapshot at ``path``; tables that are missing are derived
     (``derive()`` builds the lazy state once) and written first.  The returned
-    state reads parquet only: its lineage is cut at the snapshot."""
+    state reads parquet only: its lineage is cut at the snapshot.  Tables in
+    SHARED live under ``shared_path`` (one copy for all modes)."""
     from depotline.sources.adapter import State
 
     tables, state = {}, None
@@ -139,7 +145,8 @@ def materialize(spark: SparkSession, derive, path: str, sources: dict):
     # orders first: district and orderline are then derived from the written
     # orders, so the dense numbering runs once.
     for name in ["orders"] + [n for n in LAYOUT if n != "orders"]:
-        p = f"{path}/{name}" + (f".b{nb}" if name in BUCKETED else "")
+        root = shared_path if (shared_path and name in SHARED) else path
+        p = f"{root}/{name}" + (f".b{nb}" if name in BUCKETED else "")
         if not _exists(spark, p):
             if state is None:
                 state = derive(tables.get("orders"))
