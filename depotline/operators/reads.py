@@ -276,11 +276,19 @@ def order_item_pairs(state: State) -> DataFrame:
 
 
 def customer_item_pairs(state: State) -> DataFrame:
-    """Distinct (w, d, c_id, i1, i2): a customer has an order containing both items."""
-    p = order_item_pairs(state)
-    o = state.orders.select("o_w_id", "o_d_id", "o_id", "o_c_id")
-    j = p.join(o, (p.w_id == o.o_w_id) & (p.d_id == o.o_d_id) & (p.o_id == o.o_id), "inner")
-    return j.select("w_id", "d_id", F.col("o_c_id").alias("c_id"), "i1", "i2").distinct()
+    """Distinct (w, d, c_id, i1, i2): a customer has an order containing both items.
+
+    For a snapshot state this index is written once (a work table keyed by
+    the snapshot) and shared by every related-customer query."""
+    def build() -> DataFrame:
+        p = order_item_pairs(state)
+        o = state.orders.select("o_w_id", "o_d_id", "o_id", "o_c_id")
+        j = p.join(o, (p.w_id == o.o_w_id) & (p.d_id == o.o_d_id) & (p.o_id == o.o_id), "inner")
+        return j.select("w_id", "d_id", F.col("o_c_id").alias("c_id"), "i1", "i2").distinct()
+    if state.key is None:
+        return build()
+    from depotline.sources.sinks import work_table
+    return work_table(state.orders.sparkSession, state.key + "-idx", "customer_item_pairs", build)
 
 
 def related_customers(state: State, req: DataFrame) -> DataFrame:

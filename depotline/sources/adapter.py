@@ -198,6 +198,9 @@ class State:
     # changed stock rows (s_w_id, s_i_id, s_quantity, s_ytd, s_order_cnt,
     # s_remote_cnt) on top of the functional base stock
     stock_overrides: DataFrame | None = None
+    # snapshot identity of a materialised state: derived indexes built from it
+    # are written once as work tables under this key
+    key: str | None = None
 
     @property
     def lines_with_supply(self) -> DataFrame:
@@ -266,6 +269,8 @@ def load_state(spark: SparkSession, sf_dir: str, mode: str = "all",
         state = materialize(spark, lambda o=None: derive_state(spark, sf_dir, mode, o),
                             snapshot_path(spark, sf_dir, mode), _read_sources(spark, sf_dir),
                             shared_path=snapshot_path(spark, sf_dir, "shared"))
+        from depotline.sources.sinks import snapshot_key
+        state.key = snapshot_key(sf_dir, mode)
     else:
         state = derive_state(spark, sf_dir, mode)
     _STATE_CACHE[key] = state
