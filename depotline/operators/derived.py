@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from depotline.functions.money import cents
-from depotline.operators.reads import fmt_ts, pending_orders  # noqa: F401  (re-export)
+from depotline.operators.reads import fmt_ts
 from depotline.sources.adapter import State
 
 

@@ -45,10 +45,6 @@ FIELDS = {
     "T": [],
     "R": ["w_id", "d_id", "c_id"],
 }
-INT_FIELDS = ["c_id", "w_id", "d_id", "n_lines", "carrier_id", "threshold", "last_l"]
-
-LINE_TYPE = "struct<i_id:bigint,supply_w_id:int,qty:int>"
-
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text files -> (file, block, pos, value) with a total order per file."""

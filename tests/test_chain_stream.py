@@ -6,7 +6,7 @@ import os
 from pyspark.sql import functions as F
 
 from depotline.plans.chain import apply_batch, read_snapshot, split_log, write_snapshot
-from depotline.plans.replay import Replay, derived_log
+from depotline.plans.replay import derived_log
 from depotline.sources.adapter import load_state
 from depotline.streaming.stream_replay import stream_replay
 from tests.conftest import SF_SMALL

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from depotline.functions.sequencing import dense_number, running_agg, running_aggs
+from depotline.functions.sequencing import dense_number, running_aggs
 from depotline.operators.writes import stock_closed_form
 
 
