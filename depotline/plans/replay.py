@@ -132,9 +132,11 @@ _REPLAYS: dict = {}
 
 def replay_context(spark: SparkSession, sf_dir: str) -> Replay:
     import os
+    from depotline.sources.sinks import WRITE_LOCK
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
-    if key not in _REPLAYS:
-        _REPLAYS[key] = Replay.from_tables(spark, sf_dir)
+    with WRITE_LOCK:
+        if key not in _REPLAYS:
+            _REPLAYS[key] = Replay.from_tables(spark, sf_dir)
     return _REPLAYS[key]
 
 

@@ -264,17 +264,19 @@ def load_state(spark: SparkSession, sf_dir: str, mode: str = "all",
     key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), mode, materialized)
     if key in _STATE_CACHE:
         return _STATE_CACHE[key]
-    if materialized:
-        from depotline.sources.sinks import materialize, snapshot_path
-        state = materialize(spark, lambda o=None: derive_state(spark, sf_dir, mode, o),
-                            snapshot_path(spark, sf_dir, mode), _read_sources(spark, sf_dir),
-                            shared_path=snapshot_path(spark, sf_dir, "shared"))
-        from depotline.sources.sinks import snapshot_key
-        state.key = snapshot_key(sf_dir, mode)
-    else:
+    if not materialized:
         state = derive_state(spark, sf_dir, mode)
-    _STATE_CACHE[key] = state
-    return state
+        _STATE_CACHE[key] = state
+        return state
+    from depotline.sources.sinks import WRITE_LOCK, materialize, snapshot_key, snapshot_path
+    with WRITE_LOCK:  # one snapshot writer per driver process
+        if key not in _STATE_CACHE:
+            state = materialize(spark, lambda o=None: derive_state(spark, sf_dir, mode, o),
+                                snapshot_path(spark, sf_dir, mode), _read_sources(spark, sf_dir),
+                                shared_path=snapshot_path(spark, sf_dir, "shared"))
+            state.key = snapshot_key(sf_dir, mode)
+            _STATE_CACHE[key] = state
+        return _STATE_CACHE[key]
 
 
 def _read_sources(spark: SparkSession, sf_dir: str) -> dict:

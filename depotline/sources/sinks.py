@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import threading
 import time
 
 from pyspark.errors import AnalysisException
@@ -166,6 +167,11 @@ def materialize(spark: SparkSession, derive, path: str, sources: dict, shared_pa
     return State(sources=sources, **tables)
 
 
+# One writer per snapshot / work table within a driver process (queries may be
+# started from several threads of one application).
+WRITE_LOCK = threading.RLock()
+
+
 def work_table(spark: SparkSession, key: str, name: str, build) -> DataFrame:
     """A written intermediate table under the shared checkpoint folder: built
     once by ``build()`` (a lazy frame), then read back.  Cuts the lineage of
@@ -173,6 +179,11 @@ def work_table(spark: SparkSession, key: str, name: str, build) -> DataFrame:
     costs its own tasks, never a recomputation of the whole chain."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     p = f"{root}/depotline-work/{key}/{name}"
+    with WRITE_LOCK:
+        return _work_table(spark, p, name, build)
+
+
+def _work_table(spark: SparkSession, p: str, name: str, build) -> DataFrame:
     if not _exists(spark, p):
         t0 = time.time()
         build().write.mode("overwrite").parquet(p)
