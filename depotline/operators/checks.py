@@ -76,13 +76,15 @@ def check_fk(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def check_invariants(district: DataFrame, order_ids: DataFrame, delivery: DataFrame,
-                     lines: DataFrame, ytd: DataFrame) -> DataFrame:
+                     lines: DataFrame, ytd: DataFrame, warehouse: DataFrame | None = None) -> DataFrame:
     """W5 audit of a replay -> (check, w_id, d_id, detail); empty when all hold.
 
     * new o_ids of a district are dense and start at the old d_next_o_id;
     * an order is delivered at most once;
     * every stock draw leaves 10 <= s_quantity <= 109;
-    * warehouse YTD equals the sum of its districts' YTD.
+    * the change of a warehouse's YTD equals the sum of the changes of its
+      districts' YTD (``ytd`` holds the values after the batch; the values
+      before come from ``district`` and ``warehouse``).
     """
     d = district.select(F.col("d_w_id").alias("w_id"), "d_id", "d_next_o_id")
     g = order_ids.groupBy("w_id", "d_id").agg(F.min("o_id").alias("lo"), F.max("o_id").alias("hi"),
@@ -98,7 +100,14 @@ def check_invariants(district: DataFrame, order_ids: DataFrame, delivery: DataFr
     st = lines.where((F.col("s_quantity_after") < 10) | (F.col("s_quantity_after") > 109))
     st = st.select(F.lit("stock_range").alias("check"), "w_id", "d_id",
                    F.concat_ws(",", "supply_w_id", "i_id", "s_quantity_after").alias("detail"))
-    wy = ytd.groupBy("w_id").agg(F.sum("d_ytd_cents").alias("s"), F.max("w_ytd_cents").alias("w"))
+    before_d = district.select(F.col("d_w_id").alias("w_id"), "d_id",
+                               (F.col("d_ytd") * 100).cast("long").alias("_d0"))
+    dy = ytd.join(before_d, ["w_id", "d_id"], "left").withColumn(
+        "_dd", F.col("d_ytd_cents") - F.coalesce(F.col("_d0"), F.lit(0)))
+    wy = dy.groupBy("w_id").agg(F.sum("_dd").alias("s"), F.max("w_ytd_cents").alias("w"))
+    if warehouse is not None:
+        w0 = warehouse.select("w_id", (F.col("w_ytd") * 100).cast("long").alias("_w0"))
+        wy = wy.join(w0, "w_id", "left").withColumn("w", F.col("w") - F.coalesce(F.col("_w0"), F.lit(0)))
     wy = wy.where(F.col("s") != F.col("w")).select(
         F.lit("ytd_balance").alias("check"), "w_id", F.lit(None).cast("int").alias("d_id"),
         F.concat_ws(",", "s", "w").alias("detail"))

@@ -157,7 +157,7 @@ def _register_misc():
 
     def check_invariants(rp):
         return C.check_invariants(rp.state.district, rp.order_ids, rp.delivery, rp.lines,
-                                  P.replay_ytd(rp))
+                                  P.replay_ytd(rp), rp.state.warehouse)
 
     def ledger(spark, sf_dir):
         cust = read_source(spark, sf_dir, "customer")
