@@ -30,3 +30,25 @@ def render_payment_receipts(receipts: DataFrame) -> DataFrame:
         F.concat(F.lit("Balance: "), money_text("balance_after_cents")))
     return receipts.select("ord", F.posexplode(lines).alias("line_no", "text")) \
                    .select("ord", F.col("line_no").cast("int").alias("line_no"), "text")
+
+
+def rate_text(bp_col: str) -> F.Column:
+    """Basis points (rate x 10000, below 1) -> '0.0400'."""
+    return F.format_string("0.%04d", F.col(bp_col))
+
+
+def render_new_orders(totals: DataFrame, lines: DataFrame) -> DataFrame:
+    """New-order results -> report lines (ord, line_no, text): three header
+    lines per order, then one line per order line (line_no = 2 + ol_number)."""
+    head = F.array(
+        F.format_string("Customer (%d, %d, %d): %s, credit %s, discount %s", "w_id", "d_id", "c_id",
+                        "c_last", "c_credit", rate_text("c_discount_bp")),
+        F.concat(F.lit("Warehouse tax "), rate_text("w_tax_bp"), F.lit(", district tax "),
+                 rate_text("d_tax_bp")),
+        F.concat(F.format_string("Order %d, %d items, total ", "o_id", "n_items"), money_text("total_cents")))
+    h = totals.select("ord", F.posexplode(head).alias("line_no", "text"))
+    body = lines.select("ord", (F.col("ol_number") + 2).alias("line_no"), F.concat(
+        F.format_string("Item %d %s, supplier %d, qty %d, amount ", "i_id", "i_name", "supply_w_id", "qty"),
+        money_text("amount_cents"), F.format_string(", stock %d", "s_quantity_after")).alias("text"))
+    return h.select("ord", F.col("line_no").cast("int").alias("line_no"), "text") \
+            .unionByName(body.select("ord", F.col("line_no").cast("int").alias("line_no"), "text"))

@@ -187,6 +187,8 @@ def _register_misc():
         "report_lines": _replay_q(lambda rp: RP.render_payment_receipts(
             W.payment_receipts(rp.state, rp.log.pay))),
         "ledger_post": ledger,
+        "new_order_report": _replay_q(lambda rp: RP.render_new_orders(
+            rp.totals(), rp.lines.withColumn("amount_cents", cents(F.col("amount"))))),
     })
 
 

@@ -540,4 +540,31 @@ UNION ALL
 SELECT 'ytd_balance', w_id, CAST(NULL AS INTEGER), '' FROM x_ytd GROUP BY w_id HAVING false""",
 }
 
+def _rate_text(col: str) -> str:
+    return f"('0.' || lpad(CAST({col} AS VARCHAR), 4, '0'))"
+
+
+MISC["new_order_report"] = RB + f"""
+, x_tot AS (
+  SELECT o.ord, o.w_id, o.d_id, o.o_id, o.c_id, c.c_last, c.c_credit,
+         CAST(c.c_discount * 10000 AS INTEGER) AS c_bp, CAST(w.w_tax * 10000 AS INTEGER) AS w_bp,
+         CAST(d.d_tax * 10000 AS INTEGER) AS d_bp, coalesce(a.n, 0) AS n_items,
+         CAST(round(CAST(coalesce(a.s, 0) AS DECIMAL(18,2)) * (1 + d.d_tax + w.w_tax) * (1 - c.c_discount), 2) * 100
+              AS BIGINT) AS total_cents
+  FROM x_oid o
+  LEFT JOIN (SELECT ord, sum(amount) AS s, count(*) AS n FROM x_lines2 GROUP BY ord) a ON a.ord = o.ord
+  JOIN x_cust c ON c.c_w_id = o.w_id AND c.c_d_id = o.d_id AND c.c_id = o.c_id
+  JOIN x_wh w ON w.w_id = o.w_id
+  JOIN x_dist d ON d.d_w_id = o.w_id AND d.d_id = o.d_id)
+SELECT ord, 0 AS line_no, printf('Customer (%d, %d, %d): %s, credit %s, discount ', w_id, d_id, c_id, c_last,
+       c_credit) || {_rate_text('c_bp')} AS text FROM x_tot
+UNION ALL SELECT ord, 1, 'Warehouse tax ' || {_rate_text('w_bp')} || ', district tax ' || {_rate_text('d_bp')}
+FROM x_tot
+UNION ALL SELECT ord, 2, printf('Order %d, %d items, total ', o_id, n_items) || {_money_text('total_cents')}
+FROM x_tot
+UNION ALL SELECT ord, ol_number + 2,
+       printf('Item %d %s, supplier %d, qty %d, amount ', i_id, i_name, supply_w_id, qty)
+       || {_money_text('CAST(amount * 100 AS BIGINT)')} || printf(', stock %d', CAST(s_after AS INTEGER))
+FROM x_lines2"""
+
 ORACLE.update(MISC)
