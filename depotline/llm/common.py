@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from depotline.session import ensure_checkpoint_dir
 
@@ -72,3 +74,20 @@ def fold(id_col: str = "doc_id") -> Column:
 
 def sha256_hex(c: Column) -> Column:
     return F.sha2(c.cast("binary"), 256)
+
+
+def with_text_columns(df: DataFrame, text: str, schema: str, f) -> DataFrame:
+    """``df`` with the columns of ``schema``, which ``f`` makes from the list of a
+    batch's texts.  Other columns pass through as they are; columns of the
+    same names are replaced."""
+    new = T.StructType.fromDDL(schema)
+    old = [x for x in df.columns if x not in new.names]
+
+    def add(batches):
+        for b in batches:
+            made = f(b.column(b.schema.get_field_index("_ll_text")).to_pylist())
+            cols = [b.column(i) for i in range(len(old))]
+            yield pa.RecordBatch.from_arrays([*cols, *[pa.array(m) for m in made]], [*old, *new.names])
+
+    out = T.StructType([*[df.schema[x] for x in old], *new.fields])
+    return df.select(*old, F.col(text).cast("string").alias("_ll_text")).mapInArrow(add, out)

@@ -19,7 +19,7 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +31,8 @@ CAPACITY = 4096
 END_ID = 1
 GROUP_PIECES = 20_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+PIECE_COLUMNS = ["doc_id", "piece", "start", "length", "ids_crc32"]
+PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def pieces(df: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id",
@@ -41,17 +43,18 @@ def pieces(df: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
             rows = []
-            for d, t in zip(batch["i"].tolist(), batch["t"].tolist()):
+            for d, t in zip(batch["i"].to_pylist(), batch["t"].to_pylist()):
                 raw = ids.text(t) + end
                 n = len(raw) // 4
                 for p in range(-(-n // capacity)):
                     part = raw[p * capacity * 4:(p + 1) * capacity * 4]
                     rows.append((d, p, p * capacity, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-            yield out.astype({"doc_id": "Int64"})
+            if rows:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(zip(*rows), PIECE_TYPES)], PIECE_COLUMNS)
 
     return df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")) \
-             .mapInPandas(cut, PIECE_SCHEMA)
+             .mapInArrow(cut, PIECE_SCHEMA)
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,16 +91,17 @@ def pack(piece_rows: DataFrame, *, capacity: int = CAPACITY, group_pieces: int =
     groups = max(1, -(-piece_rows.count() // group_pieces))
 
     def place(batches):
-        got = [b for b in batches if len(b)]
+        got = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if not got:
             return
-        d = pd.concat(got).sort_values(["length", "doc_id", "piece", "ids_crc32"],
-                                       ascending=[False, True, True, True])
-        seq, off = sum_of_squares(d["length"].to_numpy(), capacity)
+        got = got.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"),
+                           ("ids_crc32", "ascending")])
+        seq, off = sum_of_squares(got["length"].to_numpy(), capacity)
         base = TaskContext.get().partitionId() << 32
-        yield d.assign(sequence_id=base + seq, offset=off)
+        yield from got.append_column("sequence_id", pa.array(base + seq)) \
+                      .append_column("offset", pa.array(off)).to_batches()
 
-    return piece_rows.repartition(groups).mapInPandas(place, f"{PIECE_SCHEMA}, sequence_id long, offset long")
+    return piece_rows.repartition(groups).mapInArrow(place, f"{PIECE_SCHEMA}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, **kw) -> DataFrame:

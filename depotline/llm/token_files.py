@@ -31,6 +31,7 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -121,7 +122,7 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, *, text: str = "
         docs, offsets, tokens, nulls, at = [], [38], [], [], 38
         stream = None
         for b in batches:
-            for d, t in zip(b["i"].tolist(), b["t"].tolist()):
+            for d, t in zip(b["i"].to_pylist(), b["t"].to_pylist()):
                 if stream is None:
                     stream = out_fs.open_output_stream(own)
                     stream.write(MAGIC + bytes([1, width]) + digest)
@@ -129,9 +130,8 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, *, text: str = "
                 frame = press.compress(raw)
                 stream.write(frame)
                 at += len(frame)
-                missing = d is None or d != d
-                docs.append(0 if missing else int(d))
-                nulls.append(missing)
+                docs.append(d or 0)
+                nulls.append(d is None)
                 offsets.append(at)
                 tokens.append(len(raw) // width)
         if stream is None:
@@ -141,31 +141,19 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, *, text: str = "
         stream.write(index + struct.pack("<QQ", len(docs), at) + MAGIC)
         stream.close()
         out_fs.move(own, f"{folder}/{name}")
-        yield pd.DataFrame({"shard": [task.partitionId()], "file": [name], "docs": [len(docs)],
-                            "tokens": [sum(tokens)], "bytes": [at + len(index) + 20]})
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([len(docs)]),
+             pa.array([sum(tokens)]), pa.array([at + len(index) + 20])],
+            ["shard", "file", "docs", "tokens", "bytes"])
 
     n = shards or shuffle_partitions(spark)
     rows = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")) \
              .repartitionByRange(n, "i").sortWithinPartitions("i", "t")
-    # ids travel as nullable integers, not as doubles
-    manifest = rows.mapInPandas(_exact_ids(write), MANIFEST_SCHEMA)
+    manifest = rows.mapInArrow(write, MANIFEST_SCHEMA)
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest")
 
 
-def _exact_ids(f):
-    """pandas turns a long column with nulls into doubles, which lose large ids;
-    such a batch's ids are told apart here (a double is exact below 2^53)."""
-    def g(batches):
-        def checked():
-            for b in batches:
-                if b["i"].dtype.kind == "f" and b["i"].abs().max() >= 1 << 53:
-                    raise ValueError("ids of 2^53 or more beside null ids")
-                yield b
-        yield from f(checked())
-    return g
-
-
 class Shard:
     """Random access to the documents of one shard."""
 
@@ -219,16 +207,15 @@ def scan_token_files(spark: SparkSession, path: str) -> DataFrame:
 
     def read(batches):
         for b in batches:
-            for name, start in zip(b["file"], b["before"].tolist()):
+            for name, start in zip(b["file"].to_pylist(), b["before"].to_pylist()):
                 s = Shard(path, name, dictionary)
                 crc = [zlib.crc32(s.ids(k).tobytes()) for k in range(len(s.docs))]
                 n = s.tokens.astype(np.int64)
-                yield pd.DataFrame({
-                    "doc_id": pd.array(s.docs, "Int64"), "start": start + np.cumsum(n) - n,
-                    "n_tokens": n, "ids_crc32": crc}).assign(
-                        doc_id=lambda d, s=s: d["doc_id"].mask(s.nulls))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(s.docs, pa.int64(), mask=s.nulls), pa.array(start + np.cumsum(n) - n),
+                     pa.array(n), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return manifest.repartition(max(1, manifest.count())).mapInPandas(read, DOCUMENT_SCHEMA)
+    return manifest.repartition(max(1, manifest.count())).mapInArrow(read, DOCUMENT_SCHEMA)
 
 
 def op10_zstd_token_files(spark, sf_dir) -> DataFrame:
