@@ -17,6 +17,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
 DOCUMENT_COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 FOLDS = 4
 HELD_OUT_FOLD = 2
 
@@ -37,8 +38,13 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     Later jobs restart from the files, so a lost executor costs only its
     running tasks, and the planner knows the table's size.
     """
-    path = scratch_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    path, conf = scratch_dir(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEAN_SHUFFLES, "false")
+    conf.set(CLEAN_SHUFFLES, "true")  # once the table is there, its job's shuffle files are not needed
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEAN_SHUFFLES, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out
