@@ -95,7 +95,11 @@ def train_dictionary(df: DataFrame, tokenizer: str, *, text: str, doc_id: str, e
 @functools.lru_cache(maxsize=4)
 def compression(dictionary: bytes):
     import zstandard
-    return zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if not dictionary:
+        return None
+    shared = zstandard.ZstdCompressionDict(dictionary)
+    shared.precompute_compress(level=LEVEL)  # digested once per worker, not once per document
+    return shared
 
 
 def write_token_files(df: DataFrame, path: str, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id",
