@@ -44,6 +44,7 @@ from depotline.llm.shingles import mixed, shingle_sets
 SIZE = 5
 NEED = "cast((4 * n + 4) div 5 as int)"  # ceil(4 n / 5)
 SIFT = 10  # l is a tenth of the set
+MOST_BITS = 1 << 28  # 32 MB
 LIST = pa.list_(pa.int64())
 
 
@@ -91,11 +92,49 @@ def sift(classes: DataFrame) -> DataFrame:
     return kept
 
 
+def _bit(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (mixed(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def probably_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows (id, text) of ``docs`` whose id is in ``ids`` (id), and a few others: texts
+    that can't be wanted need not be shuffled.  The ids are hashed into a bit
+    map of 16 bits each and of at most ``MOST_BITS``, which is broadcast."""
+    bits = min(MOST_BITS, 1 << max(16, (16 * ids.count()).bit_length()))
+
+    def mark(batches):
+        on = np.zeros(bits, bool)
+        for b in batches:
+            on[_bit(b.column(0).to_numpy(zero_copy_only=False), bits)] = True
+        for part in np.flatnonzero(on.reshape(-1, 1 << 16).any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array(
+                [np.packbits(on[part << 16:(part + 1) << 16]).tobytes()])], ["part", "raw"])
+
+    def either(d):
+        whole = np.bitwise_or.reduce(np.stack([np.frombuffer(r, np.uint8) for r in d["raw"]]))
+        return d.head(1).assign(raw=[whole.tobytes()])
+
+    found = np.zeros(bits // 8, np.uint8)
+    marked = ids.select("id").mapInArrow(mark, "part int, raw binary").groupBy("part").applyInPandas(either, "part int, raw binary")
+    for r in marked.collect():
+        found[r["part"] << 13:(r["part"] + 1) << 13] = np.frombuffer(r["raw"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    def pick(batches):
+        for b in batches:
+            b = b.filter(b.column(0).is_valid())
+            at = _bit(b.column(0).to_numpy(zero_copy_only=False), bits)
+            hit = (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
+            yield b.filter(pa.array(hit.astype(bool)))
+
+    return docs.mapInArrow(pick, docs.schema)
+
+
 def ordered_sets(docs: DataFrame, kept: DataFrame, size: int) -> DataFrame:
     """(h, n, k, centre, s): the ``k`` shingles of a class that others have, rarest
     first, and the mean count of all ``n`` (step 3)."""
     own = kept.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
-    texts = docs.join(own.select("_id").distinct(), F.col("id") == F.col("_id")).select("id", "text")
+    texts = probably_in(docs, kept).join(own.select("_id").distinct(), F.col("id") == F.col("_id")).select("id", "text")
     # an id that several rows have brings all their texts; only the class it stands for is meant
     found = _sets(texts, size, sift=False)
     sets = write_table(found, "kept-sets")
