@@ -44,7 +44,7 @@ from depotline.llm.shingles import mixed, shingle_sets
 SIZE = 5
 NEED = "cast((4 * n + 4) div 5 as int)"  # ceil(4 n / 5)
 SIFT = 10  # l is a tenth of the set
-MOST_BITS = 1 << 28  # 32 MB
+MOST_BITS = 1 << 26  # 8 MB
 LIST = pa.list_(pa.int64())
 
 
@@ -203,13 +203,23 @@ def link_classes(sets: DataFrame) -> DataFrame:
     return components(links.unionByName(more))
 
 
+def narrow(rows: DataFrame, *cols: str) -> DataFrame:
+    """A copy of a written table with fewer columns, in its place."""
+    out = write_table(rows.select(*cols), "narrow")
+    drop_table(rows)
+    return out
+
+
 def near_duplicates(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SIZE) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, component_id."""
     docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     rows = write_table(_sets(docs, size, sift=True), "sift-sets")
     classes = write_table(rows.where("n > 0 and id is not null").groupBy("h")
                           .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("s").alias("s")), "classes")
-    linked = link_classes(ordered_sets(docs, sift(classes), size)).select(F.col("node").alias("h"), "comp")
+    kept = sift(classes)
+    # the lists of shingles are the bulk of both tables and not needed any more
+    rows, classes = narrow(rows, "id", "n", "h"), narrow(classes, "h", "id")
+    linked = link_classes(ordered_sets(docs, kept, size)).select(F.col("node").alias("h"), "comp")
     near = write_table(classes.select("h", "id").join(linked, "h"), "linked-classes")
     root = near.groupBy("comp").agg(F.min("id").alias("component_id"))
     near = write_table(near.join(root, "comp").select("h", "component_id"), "linked-roots")
