@@ -1,6 +1,5 @@
 from depotline.functions.sequencing import running_agg, running_aggs, dense_number, running_max
 from depotline.functions.money import cents, to_money, to_rate, round_cents
-from depotline.functions.sizing import broadcast_if_small
 
 __all__ = ["running_agg", "running_aggs", "dense_number", "running_max", "cents", "to_money", "to_rate",
-           "round_cents", "broadcast_if_small"]
+           "round_cents"]

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 MONEY = "decimal(12,2)"
 WIDE_MONEY = "decimal(18,2)"
+TOTAL_MONEY = "decimal(30,2)"  # running totals and balances of a state
 RATE = "decimal(4,4)"
 
 

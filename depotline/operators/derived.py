@@ -35,7 +35,7 @@ def order_summary(state: State) -> DataFrame:
 def customer_district(state: State) -> DataFrame:
     """customer joined with its district on the full key (w, d)."""
     c = state.customer
-    d = F.broadcast(state.district.select("d_w_id", "d_id", "d_name", "d_tax", "d_next_o_id"))
+    d = state.district.select("d_w_id", "d_id", "d_name", "d_tax", "d_next_o_id")
     j = c.join(d, (c.c_w_id == d.d_w_id) & (c.c_d_id == d.d_id), "inner")
     return j.select("c_w_id", "c_d_id", "c_id", "c_first", "c_middle", "c_last",
                     cents(F.col("c_balance")).alias("c_balance_cents"),

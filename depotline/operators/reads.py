@@ -1,9 +1,10 @@
 """The five analytical transactions and their helpers, set-oriented.
 
 Every operator takes the state and a request frame and keeps ``req_id`` in its
-result.  Request frames are broadcast only after ``broadcast_if_small`` has
-measured them; order-range reads keep the (w, d) equi-keys so the planner uses
-hash joins with a range condition, never a nested-loop join.
+result.  One plan serves one request and millions: which side of a join is
+broadcast is left to the planner and AQE, which know the measured sizes.
+Order-range reads keep the (w, d) equi-keys so the planner uses hash joins
+with a range condition, never a nested-loop join.
 """
 
 from __future__ import annotations
@@ -12,7 +13,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotline.functions.money import cents
-from depotline.functions.sizing import broadcast_if_small, key_in_filter, small_rows
 from depotline.sources.adapter import State
 
 TS_FORMAT = "yyyy-MM-dd HH:mm:ss.SSS"
@@ -23,35 +23,17 @@ def fmt_ts(c: F.Column | str) -> F.Column:
 
 
 class RecentRange:
-    """Requests with the half-open o_id range [next - l, next) of their district.
-
-    The request frame is fetched once when it is small (at most
-    MAX_PUSHDOWN_KEYS rows): it is then broadcast and its ranges become a
-    literal filter pushed into the order / order-line scans (row groups of
-    the key-sorted snapshot outside the ranges are skipped).  A large
-    request frame is joined without either.  The district side is bounded by
-    the nation dimension."""
+    """Requests with the half-open o_id range [next - l, next) of their district;
+    requests with a ``next_o_id`` of their own are read as of that point."""
 
     def __init__(self, state: State, req: DataFrame):
-        d = state.district.select(F.col("d_w_id").alias("_dw"), F.col("d_id").alias("_dd"), "d_next_o_id")
-        r = req.join(F.broadcast(d), (req.w_id == d._dw) & (req.d_id == d._dd), "inner")
-        r = r.select("req_id", "w_id", "d_id", (F.col("d_next_o_id") - F.col("last_l")).alias("o_lo"),
-                     F.col("d_next_o_id").alias("o_hi"))
-        # one bounded fetch decides both the broadcast and the literal filter
-        self.rows = small_rows(r)
-        self.df = F.broadcast(r) if self.rows is not None else r
-
-    def literal(self, w: str, d: str, o: str) -> F.Column | None:
-        """One conjunction (IN lists + the o_id hull of the ranges): a superset
-        of the wanted rows that parquet can use for row-group skipping; the
-        exact ranges are applied by the join."""
-        if not self.rows:
-            return None
-        ws = sorted({x.w_id for x in self.rows})
-        ds = sorted({x.d_id for x in self.rows})
-        lo = min(x.o_lo for x in self.rows)
-        hi = max(x.o_hi for x in self.rows)
-        return F.col(w).isin(ws) & F.col(d).isin(ds) & (F.col(o) >= lo) & (F.col(o) < hi)
+        if "next_o_id" in req.columns:
+            r = req.withColumn("d_next_o_id", F.col("next_o_id"))
+        else:
+            d = state.district.select(F.col("d_w_id").alias("_dw"), F.col("d_id").alias("_dd"), "d_next_o_id")
+            r = req.join(d, (req.w_id == d._dw) & (req.d_id == d._dd), "inner")
+        self.df = r.select("req_id", "w_id", "d_id", (F.col("d_next_o_id") - F.col("last_l")).alias("o_lo"),
+                           F.col("d_next_o_id").alias("o_hi"))
 
 
 def recent_orders(state: State, req: DataFrame, rng: RecentRange | None = None) -> DataFrame:
@@ -59,9 +41,6 @@ def recent_orders(state: State, req: DataFrame, rng: RecentRange | None = None)
     rng = rng or RecentRange(state, req)
     r = rng.df
     o = state.orders.select("o_w_id", "o_d_id", "o_id", "o_c_id", "o_entry_d")
-    lit = rng.literal("o_w_id", "o_d_id", "o_id")
-    if lit is not None:
-        o = o.where(lit)
     j = o.join(r, (o.o_w_id == r.w_id) & (o.o_d_id == r.d_id)
                & (o.o_id >= r.o_lo) & (o.o_id < r.o_hi), "inner")
     return j.select("req_id", "w_id", "d_id", "o_id", "o_c_id", "o_entry_d")
@@ -73,9 +52,6 @@ def recent_lines(state: State, req: DataFrame, rng: RecentRange | None = None) -
     r = rng.df
     ol = state.orderline.select("ol_w_id", "ol_d_id", "ol_o_id", "ol_number", "ol_i_id",
                                 "ol_quantity", "ol_amount")
-    lit = rng.literal("ol_w_id", "ol_d_id", "ol_o_id")
-    if lit is not None:
-        ol = ol.where(lit)
     j = ol.join(r, (ol.ol_w_id == r.w_id) & (ol.ol_d_id == r.d_id)
                 & (ol.ol_o_id >= r.o_lo) & (ol.ol_o_id < r.o_hi), "inner")
     return j.select("req_id", "w_id", "d_id", F.col("ol_o_id").alias("o_id"), "ol_number",
@@ -85,22 +61,10 @@ def recent_lines(state: State, req: DataFrame, rng: RecentRange | None = None) -
 
 # --- R1 order status -------------------------------------------------------
 
-def _customer_filter(req: DataFrame, w: str, d: str, c: str) -> F.Column | None:
-    rows = small_rows(req.select("w_id", "d_id", "c_id").distinct())
-    if not rows:
-        return None
-    return key_in_filter(rows, {w: "w_id", d: "d_id", c: "c_id"})
-
-
 def last_order(state: State, req: DataFrame) -> DataFrame:
     """Latest order (max o_id) of each requested customer: header only."""
-    keys = broadcast_if_small(req.select(F.col("w_id").alias("_w"), F.col("d_id").alias("_d"),
-                                         F.col("c_id").alias("_c")).distinct())
-    orders = state.orders
-    lit = _customer_filter(req, "o_w_id", "o_d_id", "o_c_id")
-    if lit is not None:
-        orders = orders.where(lit)
-    o = orders.join(keys, (F.col("o_w_id") == F.col("_w")) & (F.col("o_d_id") == F.col("_d"))
+    keys = req.select(F.col("w_id").alias("_w"), F.col("d_id").alias("_d"), F.col("c_id").alias("_c"))
+    o = state.orders.join(keys, (F.col("o_w_id") == F.col("_w")) & (F.col("o_d_id") == F.col("_d"))
                           & (F.col("o_c_id") == F.col("_c")), "left_semi")
     return (o.groupBy("o_w_id", "o_d_id", "o_c_id")
              .agg(F.max_by(F.struct("o_id", "o_entry_d", "o_carrier_id"), "o_id").alias("o"))
@@ -110,9 +74,6 @@ def last_order(state: State, req: DataFrame) -> DataFrame:
 def order_status(state: State, req: DataFrame) -> DataFrame:
     """Customer name and balance, the customer's last order and all its lines."""
     c = state.customer.select("c_w_id", "c_d_id", "c_id", "c_first", "c_middle", "c_last", "c_balance")
-    lit = _customer_filter(req, "c_w_id", "c_d_id", "c_id")
-    if lit is not None:
-        c = c.where(lit)
     rc = req.select("req_id", "w_id", "d_id", F.col("c_id").alias("r_c_id")).join(
         c, (F.col("w_id") == c.c_w_id) & (F.col("d_id") == c.c_d_id) & (F.col("r_c_id") == c.c_id),
         "inner")
@@ -120,11 +81,6 @@ def order_status(state: State, req: DataFrame) -> DataFrame:
     j = rc.join(lo, (rc.c_w_id == lo.o_w_id) & (rc.c_d_id == lo.o_d_id) & (rc.c_id == lo.o_c_id), "left")
     ol = state.lines_with_supply.select("ol_w_id", "ol_d_id", "ol_o_id", "ol_number", "ol_i_id",
                                         "ol_supply_w_id", "ol_quantity", "ol_amount", "ol_delivery_d")
-    if lit is not None:
-        # few requests: their last orders are few too; read only their lines
-        rows = small_rows(lo.select("o_w_id", "o_d_id", "o_id"))
-        if rows:
-            ol = ol.where(key_in_filter(rows, {"ol_w_id": "o_w_id", "ol_d_id": "o_d_id", "ol_o_id": "o_id"}))
     j = j.join(ol, (j.o_w_id == ol.ol_w_id) & (j.o_d_id == ol.ol_d_id) & (j.o_id == ol.ol_o_id), "left")
     return j.select(
         "req_id", "c_w_id", "c_d_id", "c_id", "c_first", "c_middle", "c_last",
@@ -137,16 +93,22 @@ def order_status(state: State, req: DataFrame) -> DataFrame:
 
 # --- R2 stock level ----------------------------------------------------------
 
-def stock_level(state: State, req: DataFrame) -> DataFrame:
+def recent_items(state: State, req: DataFrame) -> DataFrame:
+    """Distinct (req_id, w_id, i_id) of the lines of the last orders."""
+    return recent_lines(state, req).select("req_id", "w_id", "i_id").distinct()
+
+
+def stock_level(state: State, req: DataFrame, quantity: DataFrame | None = None) -> DataFrame:
     """Distinct items of the district's last L orders whose stock in the
-    request's warehouse is below the threshold."""
-    lines = recent_lines(state, req)
-    ri = lines.select("req_id", "w_id", "i_id").distinct()
-    keys = ri.select(F.col("w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")).distinct()
-    st = state.stock_for(keys).select("s_w_id", "s_i_id", "s_quantity")
+    request's warehouse is below the threshold.  ``quantity`` (req_id, i_id,
+    s_quantity) replaces the state's stock for reads as of a point of a log."""
+    if quantity is None:
+        ri = recent_items(state, req)
+        keys = ri.select(F.col("w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")).distinct()
+        st = state.stock_for(keys).select("s_w_id", "s_i_id", "s_quantity")
+        quantity = ri.join(st, (ri.w_id == st.s_w_id) & (ri.i_id == st.s_i_id), "inner")
     th = req.select(F.col("req_id").alias("t_req"), "threshold")
-    j = ri.join(st, (ri.w_id == st.s_w_id) & (ri.i_id == st.s_i_id), "inner") \
-          .join(th, F.col("req_id") == F.col("t_req"), "inner")
+    j = quantity.join(th, F.col("req_id") == F.col("t_req"), "inner")
     cnt = j.groupBy("req_id").agg(
         F.count_if(F.col("s_quantity") < F.col("threshold")).alias("items_below"))
     out = req.join(cnt, "req_id", "left")
@@ -216,8 +178,8 @@ def popular_item_pct_by_name(state: State, req: DataFrame) -> DataFrame:
 # --- R5 top balance -----------------------------------------------------------
 
 def _with_names(df: DataFrame, state: State, w_col: str, d_col: str) -> DataFrame:
-    wh = F.broadcast(state.warehouse.select("w_id", "w_name"))
-    di = F.broadcast(state.district.select("d_w_id", "d_id", "d_name"))
+    wh = state.warehouse.select("w_id", "w_name")
+    di = state.district.select("d_w_id", "d_id", "d_name")
     df = df.join(wh, F.col(w_col) == wh.w_id, "left")
     return df.join(di, (F.col(w_col) == di.d_w_id) & (F.col(d_col) == di.d_id), "left")
 
@@ -303,7 +265,6 @@ def related_customers(state: State, req: DataFrame) -> DataFrame:
     cip = customer_item_pairs(state)
     mine = req.select("req_id", F.col("w_id").alias("r_w"), F.col("d_id").alias("r_d"),
                       F.col("c_id").alias("r_c"))
-    mine = broadcast_if_small(mine)
     rq = cip.join(mine, (cip.w_id == mine.r_w) & (cip.d_id == mine.r_d) & (cip.c_id == mine.r_c),
                   "inner").select("req_id", "r_w", "i1", "i2").distinct()
     other = cip.select(F.col("w_id").alias("o_w"), F.col("d_id").alias("o_d"),
@@ -314,10 +275,10 @@ def related_customers(state: State, req: DataFrame) -> DataFrame:
 
 
 def related_customers_by_lines(state: State, req: DataFrame) -> DataFrame:
-    """Parity form: order pairs with at least two *matching line pairs* (an item
-    ordered twice in one order counts twice).  Equal to the distinct-item form
-    plus pairs that share one item held at least twice by one of the orders;
-    that second part joins only duplicated items with the orders holding them."""
+    """Parity form: the other order holds at least two *lines* whose item is in
+    the requested order.  Equal to the distinct-item form plus the other orders
+    that hold one of the requested items twice; only those duplicated items
+    (mult >= 2) enter the second join."""
     base = related_customers(state, req)
     ol = state.orderline.groupBy("ol_w_id", "ol_d_id", "ol_o_id", "ol_i_id").agg(
         F.count(F.lit(1)).alias("mult"))
@@ -325,14 +286,11 @@ def related_customers_by_lines(state: State, req: DataFrame) -> DataFrame:
     oc = ol.join(o, (ol.ol_w_id == o.o_w_id) & (ol.ol_d_id == o.o_d_id) & (ol.ol_o_id == o.o_id), "inner") \
         .select(F.col("o_w_id").alias("w"), F.col("o_d_id").alias("d"), F.col("o_c_id").alias("c"),
                 F.col("ol_i_id").alias("i"), "mult")
-    mine = broadcast_if_small(req.select("req_id", F.col("w_id").alias("r_w"), F.col("d_id").alias("r_d"),
-                                         F.col("c_id").alias("r_c")))
+    mine = req.select("req_id", F.col("w_id").alias("r_w"), F.col("d_id").alias("r_d"), F.col("c_id").alias("r_c"))
     rq = oc.join(mine, (oc.w == mine.r_w) & (oc.d == mine.r_d) & (oc.c == mine.r_c), "inner") \
-        .select("req_id", "r_w", F.col("i").alias("ri"), F.col("mult").alias("rm"))
-    rq = rq.groupBy("req_id", "r_w", "ri").agg(F.max("rm").alias("rm"))
-    other = oc.groupBy("w", "d", "c", "i").agg(F.max("mult").alias("om"))
-    j = rq.join(other, (rq.ri == other.i) & (rq.r_w != other.w)
-                & ((F.col("rm") >= 2) | (F.col("om") >= 2)), "inner")
+        .select("req_id", "r_w", F.col("i").alias("ri")).distinct()
+    other = oc.where(F.col("mult") >= 2).select("w", "d", "c", "i").distinct()
+    j = rq.join(other, (rq.ri == other.i) & (rq.r_w != other.w), "inner")
     dup = j.select("req_id", F.col("w").alias("w_id"), F.col("d").alias("d_id"), F.col("c").alias("c_id"))
     return base.unionByName(dup).distinct()
 

@@ -50,12 +50,12 @@ def _popular_item_pct_by_name(spark, sf_dir):
 
 def _related_customers_by_lines(spark, sf_dir):
     s = load_state(spark, sf_dir)
-    return reads.related_customers_by_lines(s, rq.customer_requests(s))
+    return reads.related_customers_by_lines(s, rq.searched_customers(s))
 
 
 def _related_customers(spark, sf_dir):
     s = load_state(spark, sf_dir)
-    return reads.related_customers(s, rq.customer_requests(s))
+    return reads.related_customers(s, rq.searched_customers(s))
 
 
 QUERIES: dict[str, Query] = {
@@ -103,6 +103,27 @@ def _register_writes():
         s = W.stock_after(rp.state, rp.log.n_hdr, rp.log.n_lines)
         return s.select("s_w_id", "s_i_id", F.col("s_order_cnt").alias("n_draws"), "s_quantity")
 
+    def replay_errors(spark, sf_dir):
+        rp = P.replay_context(spark, sf_dir)
+        return P.replay_errors(rp, P.faulty_records(spark, sf_dir, rp.state))
+
+    def as_of(rp):
+        """Reads in the middle of the log: one per 'view' record, of its district."""
+        req = rp.log.status.select(F.col("ord").alias("req_id"), "w_id", "d_id",
+                                   F.lit(rq.STOCK_THRESHOLD).alias("threshold"), F.lit(rq.LAST_ORDERS).alias("last_l"))
+        return P.after_orders(rp), P.next_order_as_of(rp.state, rp.order_ids, req)
+
+    def replay_stock_level(rp):
+        after, req = as_of(rp)
+        q = P.stock_as_of(rp.state, rp.lines, reads.recent_items(after, req))
+        return reads.stock_level(after, req, q).drop("threshold", "last_l")
+
+    def replay_popular_items(rp):
+        after, req = as_of(rp)
+        pop = reads.popular_lines(after, req)
+        return pop.groupBy("req_id").agg(F.count_distinct("o_id").alias("n_orders"), F.count_distinct("i_id").alias("n_items"),
+                                         F.sum("max_qty").cast("long").alias("sum_qty"))
+
     QUERIES.update({
         "replay_order_ids": _replay_q(P.replay_order_ids),
         "new_order_lines": _replay_q(nol),
@@ -116,6 +137,9 @@ def _register_writes():
         "replay_balance": _replay_q(P.replay_balance),
         "replay_ytd": _replay_q(P.replay_ytd),
         "replay_reads": _replay_q(P.replay_reads),
+        "replay_errors": replay_errors,
+        "replay_stock_level": _replay_q(replay_stock_level),
+        "replay_popular_items": _replay_q(replay_popular_items),
     })
 
 
@@ -146,7 +170,7 @@ def _register_misc():
     def txlog_counts(rp):
         lg = rp.log
         lines = TX.render_log(lg.n_hdr, lg.n_lines, lg.pay, lg.dlv, lg.status)
-        typed, orphan = TX.parse_txlog_checked(lines, "pos", ())
+        typed, orphan = TX.parse_txlog_checked(lines, "pos", ("line_no",))
         kind = F.when(F.col("reason").isNull(), F.col("txn_type")).otherwise(F.lit("error"))
         ok = typed.groupBy(kind.alias("txn_type")).agg(
             F.count(F.lit(1)).alias("n_records"),
@@ -164,7 +188,7 @@ def _register_misc():
         n = cust.select(F.count(F.lit(1))).scalar()
         acc = cust.select(F.col("c_custkey").alias("acct"),
                           cents(F.col("c_acctbal").cast("decimal(12,2)")).alias("balance"))
-        ev = read_source(spark, sf_dir, "events").where(F.col("event_type") == "click")
+        ev = read_source(spark, sf_dir, "events")
         tr = ev.select(F.pmod(F.col("user_id"), n).alias("from_acct"),
                        F.pmod(F.col("event_id"), n).alias("to_acct"),
                        cents(F.col("value").cast("decimal(12,2)")).alias("amount"))

@@ -9,14 +9,16 @@ test-suite compares a one-batch replay with a two-batch chain.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from depotline.functions.money import MONEY, WIDE_MONEY
+from depotline.functions.money import MONEY, TOTAL_MONEY, WIDE_MONEY
 from depotline.operators import writes
-from depotline.plans.replay import Log, Replay, replay_balance
+from depotline.plans.replay import Log, Replay, replay_balance, validate, without
 from depotline.sources.adapter import State
-from depotline.sources.sinks import _exists
+from depotline.sources.sinks import _exists, work_table
 
 DEFAULT_AS_OF = "2000-01-01 00:00:00"
 
@@ -25,9 +27,16 @@ def apply_batch(spark: SparkSession, state: State, log: Log, as_of_ts: str = DEF
                 key: str | None = None) -> tuple[State, Replay]:
     """-> (next state, the batch's replay with all per-record results).
 
-    ``as_of_ts`` is the entry date of new orders and the delivery date of
-    delivered lines (a parameter, never the clock)."""
-    rp = Replay(spark, state, log, key)
+    Records that reference missing rows are rejected first; ``errors`` of the
+    returned replay holds them with their reasons.  ``as_of_ts`` is the entry
+    date of new orders and the delivery date of delivered lines (a parameter,
+    never the clock).  Work tables are this call's own: ``key`` only begins
+    their folder's name."""
+    key = key and f"{key}-{uuid.uuid4().hex[:12]}"
+    found = validate(state, log)
+    errors = work_table(spark, key, "errors", lambda: found) if key else found
+    rp = Replay(spark, state, without(log, errors), key)
+    rp.errors = errors
     ts = F.lit(as_of_ts).cast("timestamp")
     delivered = rp.delivery.where(F.col("o_id").isNotNull()).select(
         F.col("w_id").alias("_dw"), F.col("d_id").alias("_dd"), F.col("o_id").alias("_do"),
@@ -42,17 +51,17 @@ def apply_batch(spark: SparkSession, state: State, log: Log, as_of_ts: str = DEF
         .withColumn("d_next_o_id", (F.col("d_next_o_id") + F.coalesce(F.col("_n"), F.lit(0))).cast("long")) \
         .drop("_w", "_d", "_n")
     dist = dist.join(pay_d, (F.col("d_w_id") == F.col("_w")) & (F.col("d_id") == F.col("_d")), "left") \
-        .withColumn("d_ytd", (F.col("d_ytd") + F.coalesce(F.col("_p"), F.lit(0))).cast(MONEY)) \
+        .withColumn("d_ytd", (F.col("d_ytd") + F.coalesce(F.col("_p"), F.lit(0))).cast(TOTAL_MONEY)) \
         .drop("_w", "_d", "_p")
     pay_w = rp.log.pay.groupBy(F.col("w_id").alias("_w")).agg(F.sum("amount").cast(WIDE_MONEY).alias("_p"))
     wh = state.warehouse.join(pay_w, F.col("w_id") == F.col("_w"), "left") \
-        .withColumn("w_ytd", (F.col("w_ytd") + F.coalesce(F.col("_p"), F.lit(0))).cast(MONEY)).drop("_w", "_p")
+        .withColumn("w_ytd", (F.col("w_ytd") + F.coalesce(F.col("_p"), F.lit(0))).cast(TOTAL_MONEY)).drop("_w", "_p")
 
     # customers
     bal = replay_balance(rp).select(
         F.col("c_w_id").alias("_w"), F.col("c_d_id").alias("_d"), F.col("c_id").alias("_c"),
-        (F.col("c_balance_cents") / 100).cast(MONEY).alias("_bal"),
-        (F.col("c_ytd_payment_cents") / 100).cast(MONEY).alias("_ytd"),
+        (F.col("c_balance_cents").cast("decimal(20,0)") / 100).cast(TOTAL_MONEY).alias("_bal"),
+        (F.col("c_ytd_payment_cents").cast("decimal(20,0)") / 100).cast(TOTAL_MONEY).alias("_ytd"),
         F.col("c_payment_cnt").alias("_pc"), F.col("c_delivery_cnt").alias("_dc"))
     cust = state.customer.join(bal, (F.col("c_w_id") == F.col("_w")) & (F.col("c_d_id") == F.col("_d"))
                                & (F.col("c_id") == F.col("_c")), "left")
@@ -69,9 +78,13 @@ def apply_batch(spark: SparkSession, state: State, log: Log, as_of_ts: str = DEF
         return j.withColumn("o_carrier_id", F.coalesce(F.col("_carrier"), F.col("o_carrier_id"))) \
                 .drop("_dw", "_dd", "_do", "_carrier")
 
-    new_o = rp.order_ids.select(F.col("w_id").alias("o_w_id"), F.col("d_id").alias("o_d_id"), "o_id",
+    size = rp.lines.groupBy("ord").agg(
+        F.count(F.lit(1)).cast("int").alias("o_ol_cnt"),
+        F.min((F.col("supply_w_id") == F.col("w_id")).cast("int")).alias("o_all_local"))
+    new_o = rp.order_ids.join(size, "ord", "left").select(F.col("w_id").alias("o_w_id"), F.col("d_id").alias("o_d_id"), "o_id",
                                 F.col("c_id").alias("o_c_id"), F.lit(None).cast("int").alias("o_carrier_id"),
-                                ts.alias("o_entry_d"))
+                                ts.alias("o_entry_d"), F.coalesce("o_ol_cnt", F.lit(0)).alias("o_ol_cnt"),
+                                F.coalesce("o_all_local", F.lit(1)).alias("o_all_local"))
     orders = carry(state.orders).unionByName(carry(new_o), allowMissingColumns=True)
 
     # order lines: delivery date of delivered orders, plus the new lines

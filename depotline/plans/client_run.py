@@ -6,23 +6,27 @@
 record with the matching operator, each read type as one job over all its
 records (the record's ``ord`` is its ``req_id``):
 
-* O (order status) is answered as of its position in the log (``replay_reads``);
-* S, I, T, R are answered against the state before the batch (their results
-  do not depend on the other reads; a file that needs them after its own
-  writes is cut into batches with ``chain``).
+* O, S and I are answered as of their position in the log: the district's next
+  order id and the stock of every item count the earlier N records;
+* T and R are answered against the state before the batch; a file that needs
+  them after its own writes is cut into batches with ``chain``.
 
-Malformed records are returned in ``errors`` with their reason.
+Malformed records and records that reference missing rows are returned in
+``errors`` with their reason; they change nothing.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotline.operators import reads
 from depotline.plans.chain import apply_batch
-from depotline.plans.replay import replay_reads
+from depotline.plans.replay import next_order_as_of, replay_reads, stock_as_of
 from depotline.sources.adapter import State
+from depotline.sources.sinks import work_table
 from depotline.sources.txlog import read_txlog
 from depotline.streaming.stream_replay import records_to_log
 
@@ -32,6 +36,10 @@ TOP_K = 10
 def run_log(spark: SparkSession, state: State, path: str, skip=(), as_of_ts: str = "2000-01-01 00:00:00",
             key: str | None = None) -> dict[str, DataFrame]:
     records, errors = read_txlog(spark, path, skip)
+    if key:  # parsed once; every later step reads the written records
+        own, parsed, rejected = f"{key}-{uuid.uuid4().hex[:12]}", records, errors
+        records = work_table(spark, own, "records", lambda: parsed)
+        errors = work_table(spark, own, "parse_errors", lambda: rejected)
     log = records_to_log(records, 0)
     nxt, rp = apply_batch(spark, state, log, as_of_ts, key=key)
     from depotline.sources.txlog import client_interleave
@@ -40,17 +48,21 @@ def run_log(spark: SparkSession, state: State, path: str, skip=(), as_of_ts: str
     def req(kind: str, cols: list[str]) -> DataFrame:
         return r.where(F.col("txn_type") == kind).select(F.col("ord").alias("req_id"), *cols)
 
+    missing = rp.errors.select("ord", "reason").join(r.select("ord", "file", "record_no", "txn_type"), "ord") \
+                .select("file", "record_no", "reason", F.col("txn_type").alias("text"))
+    levels = next_order_as_of(state, rp.order_ids, req("S", ["w_id", "d_id", "threshold", "last_l"]))
+    recent = next_order_as_of(state, rp.order_ids, req("I", ["w_id", "d_id", "last_l"]))
     out = {
-        "errors": errors,
+        "errors": errors.unionByName(missing),
         "state": nxt,
         "new_order_totals": rp.totals(),
         "new_order_lines": rp.lines,
         "payments": rp.log.pay,
         "deliveries": rp.delivery,
         "order_status": replay_reads(rp),
-        "stock_level": reads.stock_level(state, req("S", ["w_id", "d_id", "threshold", "last_l"])),
-        "popular_items": reads.popular_items(state, req("I", ["w_id", "d_id", "last_l"])),
-        "popular_item_pct": reads.popular_item_pct(state, req("I", ["w_id", "d_id", "last_l"])),
+        "stock_level": reads.stock_level(nxt, levels, stock_as_of(state, rp.lines, reads.recent_items(nxt, levels))),
+        "popular_items": reads.popular_items(nxt, recent),
+        "popular_item_pct": reads.popular_item_pct(nxt, recent),
         "related_customers": reads.related_customers(state, req("R", ["w_id", "d_id", "c_id"])),
     }
     # T has no arguments: every T record has the same answer, computed once

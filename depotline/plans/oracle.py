@@ -165,7 +165,7 @@ LEFT JOIN x_dist d ON d.d_w_id = c_w_id AND d.d_id = c_d_id
 QUALIFY rank <= 10""",
 
     "related_customers": with_ctes(ALL, RELATED) + """
-SELECT DISTINCT ac AS req_id, bw AS w_id, bd AS d_id, bc AS c_id FROM x_opairs""",
+SELECT DISTINCT ac AS req_id, bw AS w_id, bd AS d_id, bc AS c_id FROM x_opairs WHERE ac % 50 = 0""",
 
     "related_pairs": with_ctes(ALL, RELATED) + """
 SELECT DISTINCT aw AS w1, ad AS d1, ac AS c1, bw AS w2, bd AS d2, bc AS c2 FROM x_opairs WHERE aw < bw""",
@@ -174,8 +174,8 @@ SELECT DISTINCT aw AS w1, ad AS d1, ac AS c1, bw AS w2, bd AS d2, bc AS c2 FROM
 , x_lc AS (SELECT ol_w_id AS w, ol_d_id AS d, ol_o_id AS o, ol_i_id AS i, o_c_id AS c
            FROM x_ol JOIN x_ord ON o_w_id = ol_w_id AND o_d_id = ol_d_id AND o_id = ol_o_id)
 SELECT DISTINCT ac AS req_id, bw AS w_id, bd AS d_id, bc AS c_id FROM (
-  SELECT a.w AS aw, a.c AS ac, a.o AS ao, b.w AS bw, b.d AS bd, b.c AS bc, b.o AS bo
-  FROM x_lc a JOIN x_lc b ON a.i = b.i AND a.w <> b.w
+  SELECT a.w AS aw, a.d AS ad, a.c AS ac, a.o AS ao, b.w AS bw, b.d AS bd, b.c AS bc, b.o AS bo
+  FROM (SELECT DISTINCT w, d, c, o, i FROM x_lc WHERE c % 50 = 0) a JOIN x_lc b ON a.i = b.i AND a.w <> b.w
   GROUP BY a.w, a.d, a.c, a.o, b.w, b.d, b.c, b.o HAVING count(*) >= 2)""",
 
     "popular_item_pct_by_name": with_ctes(ALL, DIST_REQ) + """
@@ -261,16 +261,21 @@ x_oid AS (
   FROM x_n JOIN x_dist ON x_dist.d_w_id = x_n.w_id AND x_dist.d_id = x_n.d_id),
 x_lines AS (
   SELECT nl.*, o.w_id, o.d_id, o.o_id,
-         sum(qty) OVER (PARTITION BY supply_w_id, i_id ORDER BY nl.ord, ol_number
-                        ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum,
+         row_number() OVER (PARTITION BY supply_w_id, i_id ORDER BY nl.ord, ol_number) AS seq,
          10 + (((i_id * 7 + supply_w_id * 13) % 91) + 91) % 91 AS q0
   FROM x_nl nl JOIN x_oid o ON o.ord = nl.ord),
+x_steps AS (
+  WITH RECURSIVE st(supply_w_id, i_id, seq, q) AS (
+    SELECT DISTINCT supply_w_id, i_id, CAST(0 AS BIGINT), q0 FROM x_lines
+    UNION ALL
+    SELECT l.supply_w_id, l.i_id, l.seq, CASE WHEN st.q - l.qty < 10 THEN st.q - l.qty + 100 ELSE st.q - l.qty END
+    FROM st JOIN x_lines l ON l.supply_w_id = st.supply_w_id AND l.i_id = st.i_id AND l.seq = st.seq + 1)
+  SELECT * FROM st),
 x_lines2 AS (
-  SELECT l.*, it.i_name, CAST(it.i_price * qty AS DECIMAL(12,2)) AS amount,
-         CASE WHEN q0 - cum + qty >= 10 THEN q0 - cum + qty
-              ELSE 10 + (((q0 - cum + qty - 10) % 100) + 100) % 100 END AS s_before,
-         CASE WHEN q0 - cum >= 10 THEN q0 - cum ELSE 10 + (((q0 - cum - 10) % 100) + 100) % 100 END AS s_after
-  FROM x_lines l JOIN x_item it ON it.i_id = l.i_id),
+  SELECT l.*, it.i_name, CAST(it.i_price * qty AS DECIMAL(12,2)) AS amount, b.q AS s_before, a.q AS s_after
+  FROM x_lines l JOIN x_item it ON it.i_id = l.i_id
+  JOIN x_steps b ON b.supply_w_id = l.supply_w_id AND b.i_id = l.i_id AND b.seq = l.seq - 1
+  JOIN x_steps a ON a.supply_w_id = l.supply_w_id AND a.i_id = l.i_id AND a.seq = l.seq),
 x_newo AS (
   SELECT o.ord, o.w_id, o.d_id, o.o_id, o.c_id, CAST(coalesce(a.s, 0) AS DECIMAL(18,2)) AS amount
   FROM x_oid o LEFT JOIN (SELECT ord, sum(amount) AS s FROM x_lines2 GROUP BY ord) a ON a.ord = o.ord),
@@ -319,6 +324,19 @@ x_deliv AS (
 
 RB = with_ctes(BASE, LOG)
 
+# Reads in the middle of the log: the last 20 orders of the district of every order-status record.
+AS_OF = """
+, x_asreq AS (
+  SELECT s.ord AS req_id, s.w_id, s.d_id,
+         d.d_next_o_id + (SELECT count(*) FROM x_n n WHERE n.w_id = s.w_id AND n.d_id = s.d_id AND n.ord < s.ord) AS o_hi
+  FROM x_stat s JOIN x_dist d ON d.d_w_id = s.w_id AND d.d_id = s.d_id),
+x_allol AS (
+  SELECT ol_w_id AS w_id, ol_d_id AS d_id, ol_o_id AS o_id, ol_i_id AS i_id, ol_quantity AS qty FROM x_ol
+  UNION ALL SELECT w_id, d_id, o_id, i_id, qty FROM x_lines2),
+x_asl AS (
+  SELECT r.req_id, r.w_id, r.d_id, l.o_id, l.i_id, l.qty
+  FROM x_asreq r JOIN x_allol l ON l.w_id = r.w_id AND l.d_id = r.d_id AND l.o_id >= r.o_hi - 20 AND l.o_id < r.o_hi)"""
+
 REPLAY = {
     "replay_order_ids": RB + """
 SELECT ord, w_id, d_id, c_id, o_id FROM x_oid""",
@@ -346,10 +364,10 @@ JOIN x_dist d ON d.d_w_id = o.w_id AND d.d_id = o.d_id""",
 
     "stock_after": RB + """
 SELECT supply_w_id AS s_w_id, i_id AS s_i_id,
-       CAST(CASE WHEN q0 - c >= 10 THEN q0 - c ELSE 10 + (((q0 - c - 10) % 100) + 100) % 100 END AS INTEGER) AS s_quantity,
+       CAST(list_reduce(draws, lambda q, x: CASE WHEN q - x < 10 THEN q - x + 100 ELSE q - x END, q0) AS INTEGER) AS s_quantity,
        CAST(c AS BIGINT) AS s_ytd, CAST(n AS BIGINT) AS s_order_cnt, CAST(r AS BIGINT) AS s_remote_cnt
 FROM (SELECT supply_w_id, i_id, any_value(q0) AS q0, sum(qty) AS c, count(*) AS n,
-             sum(CAST(supply_w_id <> w_id AS INTEGER)) AS r
+             list(qty ORDER BY ord, ol_number) AS draws, sum(CAST(supply_w_id <> w_id AS INTEGER)) AS r
       FROM x_lines GROUP BY supply_w_id, i_id)""",
 
     # step rule folded over the ordered draws (independent of the closed form)
@@ -415,6 +433,29 @@ SELECT r.ord, r.w_id, r.d_id, r.c_id,
                      WHERE x.w_id = r.w_id AND x.d_id = r.d_id AND x.c_id = r.c_id AND x.o_id IS NOT NULL
                        AND x.ord < r.ord), 0) AS balance_cents
 FROM x_stat r JOIN x_cust c ON c.c_w_id = r.w_id AND c.c_d_id = r.d_id AND c.c_id = r.c_id""",
+
+    "replay_errors": """
+SELECT event_id * 2 + 1 AS ord,
+       CASE event_id % 4 WHEN 2 THEN 'P' WHEN 3 THEN 'D' ELSE 'N' END AS txn_type,
+       CASE event_id % 4 WHEN 1 THEN 'unknown item' WHEN 3 THEN 'unknown warehouse' ELSE 'unknown customer' END AS reason
+FROM events WHERE event_type = 'error'""",
+
+    "replay_stock_level": RB + AS_OF + """
+SELECT r.req_id, r.w_id, r.d_id, CAST(coalesce(s.n, 0) AS BIGINT) AS items_below
+FROM x_asreq r LEFT JOIN (
+  SELECT req_id, count(*) FILTER (WHERE coalesce(after, q0) < 60) AS n
+  FROM (SELECT i.req_id, i.i_id, any_value(10 + (((i.i_id * 7 + i.w_id * 13) % 91) + 91) % 91) AS q0,
+               arg_max(l.s_after, (l.ord, l.ol_number)) AS after
+        FROM (SELECT DISTINCT req_id, w_id, i_id FROM x_asl) i
+        LEFT JOIN x_lines2 l ON l.supply_w_id = i.w_id AND l.i_id = i.i_id AND l.ord < i.req_id
+        GROUP BY i.req_id, i.i_id)
+  GROUP BY req_id) s ON s.req_id = r.req_id""",
+
+    "replay_popular_items": RB + AS_OF + """
+SELECT req_id, count(DISTINCT o_id) AS n_orders, count(DISTINCT i_id) AS n_items, CAST(sum(qty) AS BIGINT) AS sum_qty
+FROM (SELECT DISTINCT req_id, o_id, i_id, qty
+      FROM (SELECT *, max(qty) OVER (PARTITION BY req_id, o_id) AS mq FROM x_asl) WHERE qty = mq)
+GROUP BY req_id""",
 }
 
 ORACLE.update(REPLAY)
@@ -512,7 +553,7 @@ UNION ALL SELECT ord, 4, 'Balance: ' || {_money_text('bal')} FROM x_r""",
 WITH x_nc AS (SELECT count(*) AS n FROM customer),
 x_tr AS (SELECT ((user_id % n) + n) % n AS f, ((event_id % n) + n) % n AS t,
                 CAST(CAST(value AS DECIMAL(12,2)) * 100 AS BIGINT) AS a
-         FROM events, x_nc WHERE event_type = 'click'),
+         FROM events, x_nc),
 x_post AS (SELECT f AS acct, -a AS d FROM x_tr UNION ALL SELECT t, a FROM x_tr)
 SELECT c_custkey AS acct, CAST(CAST(c_acctbal AS DECIMAL(12,2)) * 100 AS BIGINT) + coalesce(s, 0) AS balance_cents,
        coalesce(np, 0) AS n_postings

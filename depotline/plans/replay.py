@@ -20,7 +20,7 @@ N + D -> delivery queue; P + deliveries -> balances; P -> YTD.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -95,7 +95,7 @@ class Replay:
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> "Replay":
         state = load_state(spark, sf_dir, "base")
-        return cls(spark, state, derived_log(spark, sf_dir, state), snapshot_key(sf_dir, "base") + "-log1")
+        return cls(spark, state, derived_log(spark, sf_dir, state), snapshot_key(spark, sf_dir, "base") + "-log1")
 
     def _mat(self, name: str, build) -> DataFrame:
         if self.key is None:
@@ -131,15 +131,121 @@ _REPLAYS: dict = {}
 
 
 def replay_context(spark: SparkSession, sf_dir: str) -> Replay:
-    import os
     from depotline.sources.sinks import WRITE_LOCK
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir))
+    key = (spark.sparkContext.applicationId, snapshot_key(spark, sf_dir, "base"))
     with WRITE_LOCK:
         if key not in _REPLAYS:
             _REPLAYS[key] = Replay.from_tables(spark, sf_dir)
     return _REPLAYS[key]
 
 
+# --- requests that reference missing rows ------------------------------------------------
+
+def validate(state: State, log: Log) -> DataFrame:
+    """Errors (ord, txn_type, reason) of a log.
+
+    N, P and O need their customer, every N line its item and its stock row, D
+    its warehouse.  One left join or anti-join per rule; a rejected record
+    takes no part in order ids, sums or windows."""
+    cust = state.customer.select(F.col("c_w_id").alias("w_id"), F.col("c_d_id").alias("d_id"), "c_id")
+    keys = ["w_id", "d_id", "c_id"]
+
+    def bad(df: DataFrame, kind: str, reason: str) -> DataFrame:
+        return df.select("ord", F.lit(kind).alias("txn_type"), F.lit(reason).alias("reason"))
+
+    drawn = log.n_lines.select("ord", "i_id", F.col("supply_w_id").alias("w"))
+    no_item = drawn.join(state.item.select("i_id"), "i_id", "left_anti")
+    stock_keys = drawn.select(F.col("w").alias("s_w_id"), F.col("i_id").alias("s_i_id")).distinct()
+    stock = state.stock_for(stock_keys).select(F.col("s_w_id").alias("w"), F.col("s_i_id").alias("i_id"))
+    errors = bad(log.n_hdr.join(cust, keys, "left_anti"), "N", "unknown customer") \
+        .unionByName(bad(no_item, "N", "unknown item")) \
+        .unionByName(bad(drawn.join(stock, ["w", "i_id"], "left_anti"), "N", "unknown stock")) \
+        .unionByName(bad(log.pay.join(cust, keys, "left_anti"), "P", "unknown customer")) \
+        .unionByName(bad(log.status.join(cust, keys, "left_anti"), "O", "unknown customer")) \
+        .unionByName(bad(log.dlv.join(state.warehouse.select("w_id"), "w_id", "left_anti"), "D", "unknown warehouse"))
+    # several reasons for one record: the first by name
+    return errors.groupBy("ord", "txn_type").agg(F.min("reason").alias("reason"))
+
+
+def without(log: Log, errors: DataFrame) -> Log:
+    gone = errors.select("ord")
+    return Log(**{f: getattr(log, f).join(gone, "ord", "left_anti") for f in Log.__dataclass_fields__})
+
+
+def faulty_records(spark: SparkSession, sf_dir: str, state: State) -> Log:
+    """Records that reference missing rows, one per 'error' event: in turn an order
+    of an unknown customer, an order of an unknown item, a payment of an unknown
+    customer, a delivery of an unknown warehouse."""
+    ev = read_source(spark, sf_dir, "events").where(F.col("event_type") == "error")
+    n_cust = read_source(spark, sf_dir, "customer").select(F.count(F.lit(1))).scalar()
+    ev = ev.select((F.col("event_id") * 2 + 1).alias("ord"), F.pmod(F.col("event_id"), F.lit(4)).alias("turn"),
+                   (-1 - F.col("user_id")).alias("missing"), F.pmod(F.col("user_id"), n_cust).alias("c_id"), "value")
+    cust = state.customer.select("c_id", F.col("c_w_id").alias("w_id"), F.col("c_d_id").alias("d_id"))
+    ev = ev.join(cust, "c_id")
+    stranger = ev.select("ord", "turn", "w_id", "d_id", F.col("missing").alias("c_id"), F.col("value").cast(MONEY).alias("amount"))
+    item = ev.where("turn = 1")
+    return Log(
+        n_hdr=stranger.where("turn = 0").select("ord", "w_id", "d_id", "c_id").unionByName(
+            item.select("ord", "w_id", "d_id", "c_id")),
+        n_lines=item.select("ord", F.lit(1).alias("ol_number"), F.col("missing").alias("i_id"),
+                            F.col("w_id").alias("supply_w_id"), F.lit(1).alias("qty")),
+        pay=stranger.where("turn = 2").select("ord", "w_id", "d_id", "c_id", "amount"),
+        dlv=ev.where("turn = 3").select("ord", F.lit(0).alias("w_id"), F.lit(1).alias("carrier_id")),
+        status=stranger.where("false").select("ord", "w_id", "d_id", "c_id"))
+
+
+def replay_errors(rp: Replay, faulty: Log) -> DataFrame:
+    """The rejected records of the derived log and the faulty records together."""
+    both = Log(**{f: getattr(rp.log, f).unionByName(getattr(faulty, f)) for f in Log.__dataclass_fields__})
+    return validate(rp.state, both)
+
+
+# --- reads as of their place in the log ------------------------------------------------
+
+def next_order_as_of(state: State, order_ids: DataFrame, req: DataFrame) -> DataFrame:
+    """``req`` (req_id = ord, w_id, d_id, ...) with ``next_o_id``: the district's next
+    order id when all earlier N records of the log have been applied."""
+    ev = order_ids.select("ord", "w_id", "d_id", F.lit(1).cast("long").alias("_n")) \
+        .unionByName(req.select(F.col("req_id").alias("ord"), "w_id", "d_id", F.lit(0).cast("long").alias("_n")))
+    seen = running_aggs(ev, ["w_id", "d_id"], "ord", [("_n", "_before", "sum", True)]) \
+        .where("_n = 0").select(F.col("ord").alias("req_id"), "_before")
+    d = state.district.select(F.col("d_w_id").alias("w_id"), "d_id", "d_next_o_id")
+    return req.join(seen, "req_id").join(d, ["w_id", "d_id"]) \
+              .withColumn("next_o_id", F.col("d_next_o_id") + F.col("_before")).drop("_before", "d_next_o_id")
+
+
+def after_orders(rp: Replay) -> State:
+    """The state with the orders and lines of the log's N records added (what reads as
+    of a point of the log look into; ranges of o_id keep later ones out)."""
+    new_o = rp.order_ids.select(F.col("w_id").alias("o_w_id"), F.col("d_id").alias("o_d_id"), "o_id",
+                                F.col("c_id").alias("o_c_id"))
+    new_l = rp.lines.select(F.col("w_id").alias("ol_w_id"), F.col("d_id").alias("ol_d_id"), F.col("o_id").alias("ol_o_id"),
+                            "ol_number", F.col("i_id").alias("ol_i_id"), F.col("qty").alias("ol_quantity"),
+                            F.col("amount").alias("ol_amount"))
+    return replace(rp.state, key=None, orders=rp.state.orders.unionByName(new_o, allowMissingColumns=True),
+                   orderline=rp.state.orderline.unionByName(new_l, allowMissingColumns=True))
+
+
+def stock_as_of(state: State, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(req_id, i_id, s_quantity): for ``wanted`` (req_id = ord, w_id, i_id) the stock
+    after the last draw with a smaller ord, or that of ``state``.
+
+    Draws and reads of a stock key are numbered together by a running count;
+    a read then joins the draw with its own number."""
+    draws = lines.select("ord", F.col("supply_w_id").alias("w_id"), "i_id", "ol_number",
+                         F.col("s_quantity_after").alias("after"), F.lit(1).cast("long").alias("_n"))
+    reads = wanted.select(F.col("req_id").alias("ord"), "w_id", "i_id", F.lit(0).alias("ol_number"),
+                          F.lit(None).cast("int").alias("after"), F.lit(0).cast("long").alias("_n"))
+    ev = running_aggs(draws.unionByName(reads), ["w_id", "i_id"], "ord", [("_n", "_k", "sum", True)],
+                      tiebreak=["ol_number"])
+    last = ev.where("_n = 1").select("w_id", "i_id", "_k", "after")
+    asked = ev.where("_n = 0").select(F.col("ord").alias("req_id"), "w_id", "i_id", "_k")
+    keys = wanted.select(F.col("w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")).distinct()
+    base = state.stock_for(keys).select(F.col("s_w_id").alias("w_id"), F.col("s_i_id").alias("i_id"), "s_quantity")
+    return asked.join(last, ["w_id", "i_id", "_k"], "left").join(base, ["w_id", "i_id"]) \
+                .select("req_id", "i_id", F.coalesce("after", "s_quantity").alias("s_quantity"))
+
+
 # --- results of the replay ------------------------------------------------------------
 
 def replay_order_ids(rp: Replay) -> DataFrame:

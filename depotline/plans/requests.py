@@ -17,6 +17,7 @@ from depotline.sources.adapter import State
 STOCK_THRESHOLD = 60
 LAST_ORDERS = 20
 TOP_K = 10
+SEARCH_STEP = 50
 
 
 def customer_requests(state: State) -> DataFrame:
@@ -25,6 +26,12 @@ def customer_requests(state: State) -> DataFrame:
                                  F.col("c_d_id").alias("d_id"), "c_id")
 
 
+def searched_customers(state: State) -> DataFrame:
+    """The query set of the related-customer searches: every customer whose id is
+    divisible by SEARCH_STEP, searched against all customers."""
+    return customer_requests(state).where(F.col("c_id") % SEARCH_STEP == 0)
+
+
 def district_requests(state: State, threshold: int = STOCK_THRESHOLD,
                       last: int = LAST_ORDERS) -> DataFrame:
     """One request per district; req_id = the nation key of the district."""

@@ -41,8 +41,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     The cluster names it in ``spark.checkpoint.dir``; that folder (not the
     per-application subfolder Spark adds for RDD checkpoints) holds the state
     snapshots, so a snapshot written by one application is reused by the
-    next.  Only when the setting is absent (local tests) a fresh scratch
-    folder is created and registered.
+    next.  Without the setting a local master gets a fresh scratch folder;
+    on a cluster that is an error, because executors do not share one.
     """
     sc = spark.sparkContext
     conf = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -53,6 +53,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     cur = sc.getCheckpointDir()
     if cur:
         return cur
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     conf = tempfile.mkdtemp(prefix="depotline-ckpt-", dir="/tmp")
     sc.setCheckpointDir(conf)
     return conf

@@ -234,19 +234,15 @@ class State:
     def stock(self) -> DataFrame:
         """Full stock table: every warehouse x every part.
 
-        The warehouse ids are expanded with ``sequence`` over the id range
-        (a scalar subquery) and then kept only where the warehouse exists;
-        the warehouse side is bounded by the region dimension.
+        The warehouse ids (one per region) are gathered into one array by a
+        scalar subquery and expanded per part.
         """
         if self.stock_table is not None:
             return self._with_overrides(self.stock_table)
         part = self.sources["part"]
         wh = self.warehouse.select("w_id")
-        lo = wh.select(F.min("w_id")).scalar()
-        hi = wh.select(F.max("w_id")).scalar()
-        keys = part.select(F.col("p_partkey").alias("s_i_id"),
-                           F.explode(F.sequence(lo, hi)).alias("s_w_id"))
-        keys = keys.join(F.broadcast(wh), keys.s_w_id == wh.w_id, "left_semi")
+        ids = wh.select(F.collect_set("w_id")).scalar()
+        keys = part.select(F.col("p_partkey").alias("s_i_id"), F.explode(ids).alias("s_w_id"))
         return self._with_overrides(stock_rows(keys, part))
 
 
@@ -260,21 +256,21 @@ def load_state(spark: SparkSession, sf_dir: str, mode: str = "all",
 
     The returned frames are lazy and immutable, so one State is reused by all
     queries of a session."""
-    import os
-    key = (spark.sparkContext.applicationId, os.path.abspath(sf_dir), mode, materialized)
+    from depotline.sources.sinks import WRITE_LOCK, materialize, snapshot_key, snapshot_path
+    data = snapshot_key(spark, sf_dir, mode)
+    key = (spark.sparkContext.applicationId, data, materialized)
     if key in _STATE_CACHE:
         return _STATE_CACHE[key]
     if not materialized:
         state = derive_state(spark, sf_dir, mode)
         _STATE_CACHE[key] = state
         return state
-    from depotline.sources.sinks import WRITE_LOCK, materialize, snapshot_key, snapshot_path
     with WRITE_LOCK:  # one snapshot writer per driver process
         if key not in _STATE_CACHE:
             state = materialize(spark, lambda o=None: derive_state(spark, sf_dir, mode, o),
                                 snapshot_path(spark, sf_dir, mode), _read_sources(spark, sf_dir),
                                 shared_path=snapshot_path(spark, sf_dir, "shared"))
-            state.key = snapshot_key(sf_dir, mode)
+            state.key = data
             _STATE_CACHE[key] = state
         return _STATE_CACHE[key]
 

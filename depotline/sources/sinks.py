@@ -116,17 +116,29 @@ def write_state(state, path: str, tables: list[str] | None = None) -> None:
         write_table(getattr(state, name), f"{path}/{name}", LAYOUT[name])
 
 
-def snapshot_key(sf_dir: str, mode: str) -> str:
-    parts = [os.path.abspath(sf_dir), mode, CODE_VERSION]
-    for name in sorted(os.listdir(sf_dir)) if os.path.isdir(sf_dir) else []:
-        st = os.stat(os.path.join(sf_dir, name))
-        parts.append(f"{name}:{st.st_size}:{int(st.st_mtime)}")
+def _file_facts(spark: SparkSession, path: str) -> list[str]:
+    """name:length:time of the files of a folder of tables, through Hadoop's file
+    systems, so that changed data in any store gets a new key."""
+    sc = spark.sparkContext
+    root = sc._jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(sc._jsc.hadoopConfiguration())
+    facts, todo = [fs.makeQualified(root).toString()], [root] if fs.exists(root) else []
+    for folder in todo:  # the folder itself, then the tables that are folders of part files
+        for st in fs.listStatus(folder):
+            facts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+            if st.isDirectory() and folder is root:
+                todo.append(st.getPath())
+    return sorted(facts)
+
+
+def snapshot_key(spark: SparkSession, sf_dir: str, mode: str) -> str:
+    parts = [*_file_facts(spark, sf_dir), mode, CODE_VERSION]
     return hashlib.sha1("|".join(parts).encode()).hexdigest()[:16]
 
 
 def snapshot_path(spark: SparkSession, sf_dir: str, mode: str) -> str:
     root = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{root}/depotline-state/{snapshot_key(sf_dir, mode)}-{mode}"
+    return f"{root}/depotline-state/{snapshot_key(spark, sf_dir, mode)}-{mode}"
 
 
 # Tables that do not depend on which orders are loaded: written once and
@@ -192,9 +204,13 @@ def _work_table(spark: SparkSession, p: str, name: str, build) -> DataFrame:
     return spark.read.parquet(p)
 
 
-def write_results(df: DataFrame, path: str, partition_by: str | None = "txn_type") -> None:
-    """A7: append typed results; one folder per transaction type."""
-    w = df.write.mode("append")
-    if partition_by and partition_by in df.columns:
-        w = w.partitionBy(partition_by)
-    w.parquet(path)
+def write_results(df: DataFrame, path: str, batch: str = "0", errors: DataFrame | None = None) -> None:
+    """A7: typed results of a batch, one folder per batch and transaction type, and
+    its rejected records under ``errors``.  A repeated batch replaces its own
+    folders, so a retry leaves no duplicates."""
+    w = df.write.mode("overwrite")
+    if "txn_type" in df.columns:
+        w = w.partitionBy("txn_type")
+    w.parquet(f"{path}/results/batch={batch}")
+    if errors is not None:
+        errors.write.mode("overwrite").parquet(f"{path}/errors/batch={batch}")

@@ -30,7 +30,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from depotline.functions.sequencing import running_aggs
-from depotline.functions.sizing import broadcast_if_small
 
 # Number of fields of the header of each record type.
 ARITY = {"N": 5, "P": 5, "D": 3, "O": 4, "S": 5, "I": 4, "T": 1, "R": 4}
@@ -77,7 +76,7 @@ def parse_txlog_checked(lines: DataFrame, order_col: str = "block", tiebreak: It
     both valid and invalid records (counts, audits) read it in one pass."""
     tiebreak = list(tiebreak)
     v = F.col("value")
-    l = lines.withColumn("is_hdr", v.rlike("^[A-Z]").cast("long")) \
+    l = lines.withColumn("is_hdr", v.rlike("^[A-Za-z]").cast("long")) \
              .withColumn("is_blank", (F.trim(v) == "").cast("long"))
     l = running_aggs(l, ["file"], order_col, [("is_hdr", "record_no", "sum", True),
                                              ("is_blank", "_blanks", "sum", True)], tiebreak=tiebreak)
@@ -151,26 +150,27 @@ def client_interleave(records: DataFrame) -> DataFrame:
     # one row per client file (a handful of files per run)
     files = files.withColumn("client", F.row_number().over(Window.orderBy("file")) - 1)
     n = files.select(F.count(F.lit(1))).scalar()
-    r = records.join(broadcast_if_small(files), "file", "inner")
+    r = records.join(files, "file", "inner")
     return r.withColumn("ord", F.col("record_no") * n + F.col("client"))
 
 
 def render_log(n_hdr: DataFrame, n_lines: DataFrame, pay: DataFrame, dlv: DataFrame,
                status: DataFrame, file: str = "log") -> DataFrame:
-    """Log frames -> text lines (file, pos, value); pos = ord * 1000 + line."""
+    """Log frames -> text lines (file, pos, line_no, value) in order of (pos, line_no):
+    pos is the record's ord, line_no 0 for its header."""
     cnt = n_lines.groupBy("ord").agg(F.count(F.lit(1)).alias("m"))
     h = n_hdr.join(cnt, "ord", "left").select(
-        (F.col("ord") * 1000).alias("pos"),
+        F.col("ord").alias("pos"), F.lit(0).alias("line_no"),
         F.concat_ws(",", F.lit("N"), "c_id", "w_id", "d_id",
                     F.coalesce(F.col("m"), F.lit(0)).cast("string")).alias("value"))
-    nl = n_lines.select((F.col("ord") * 1000 + F.col("ol_number")).alias("pos"),
+    nl = n_lines.select(F.col("ord").alias("pos"), F.col("ol_number").cast("int").alias("line_no"),
                         F.concat_ws(",", "i_id", "supply_w_id", "qty").alias("value"))
-    p = pay.select((F.col("ord") * 1000).alias("pos"),
+    p = pay.select(F.col("ord").alias("pos"), F.lit(0).alias("line_no"),
                    F.concat_ws(",", F.lit("P"), "w_id", "d_id", "c_id",
                                F.col("amount").cast("string")).alias("value"))
-    d = dlv.select((F.col("ord") * 1000).alias("pos"),
+    d = dlv.select(F.col("ord").alias("pos"), F.lit(0).alias("line_no"),
                    F.concat_ws(",", F.lit("D"), "w_id", "carrier_id").alias("value"))
-    o = status.select((F.col("ord") * 1000).alias("pos"),
+    o = status.select(F.col("ord").alias("pos"), F.lit(0).alias("line_no"),
                       F.concat_ws(",", F.lit("O"), "w_id", "d_id", "c_id").alias("value"))
     return h.unionByName(nl).unionByName(p).unionByName(d).unionByName(o) \
             .withColumn("file", F.lit(file))

@@ -13,6 +13,7 @@ arrive in ``ord`` order (one file per time slice).
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ from pyspark.sql.streaming import StreamingQuery
 from depotline.plans.chain import apply_batch, read_snapshot, write_snapshot
 from depotline.plans.replay import Log
 from depotline.sources.adapter import State
-from depotline.sources.sinks import _exists
+from depotline.sources.sinks import _exists, work_table
 from depotline.sources.txlog import client_interleave, parse_txlog
 
 # ord of batch b starts at b * BATCH_ORD_SPAN (records of later batches sort later)
@@ -58,12 +59,15 @@ def stream_replay(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         lines = batch.withColumn("pos", F.monotonically_increasing_id())
-        records, errors = parse_txlog(lines, "block", ("pos",))
+        parsed, errors = parse_txlog(lines, "block", ("pos",))
+        records = work_table(spark, f"stream-{uuid.uuid4().hex[:12]}-b{batch_id}", "records", lambda: parsed)
         prev = read_snapshot(spark, _latest_snapshot(spark, out_dir, batch_id), initial)
         key = "stream-" + hashlib.sha1(out_dir.encode()).hexdigest()[:12] + f"-b{batch_id}"
         nxt, rp = apply_batch(spark, prev, records_to_log(records, batch_id), as_of_ts, key=key)
         base = f"{out_dir}/results/batch={batch_id}"
-        errors.write.mode("overwrite").parquet(f"{base}/errors")
+        missing = rp.errors.select(F.lit(None).cast("string").alias("file"), F.col("ord").alias("record_no"), "reason",
+                                   F.col("txn_type").alias("text"))
+        errors.unionByName(missing).write.mode("overwrite").parquet(f"{base}/errors")
         rp.order_ids.write.mode("overwrite").parquet(f"{base}/order_ids")
         rp.delivery.write.mode("overwrite").parquet(f"{base}/delivery")
         rp.totals().write.mode("overwrite").parquet(f"{base}/new_order_totals")

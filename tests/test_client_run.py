@@ -30,7 +30,8 @@ def test_run_log_fixture(spark, tmpdir_path):
     # as of its position: the new order 11 exists, the payment is applied
     assert (o.o_id, o.balance_cents) == (11, 2000 - 5000000)
     assert out["stock_level"].collect()[0].items_below == 2
-    assert {(r.o_id, r.i_id) for r in out["popular_items"].collect()} == {(9, 1), (10, 2)}
+    # the order placed at the head of the file is one of the last two
+    assert {(r.o_id, r.i_id) for r in out["popular_items"].collect()} == {(10, 2)} | {(11, i) for i in (1, 2, 3, 4)}
     assert out["top_balance"].count() == 1 and out["top_balance_requests"].count() == 1
     assert out["related_customers"].count() == 0
     d = {r.d_id: r.o_id for r in out["deliveries"].collect()}

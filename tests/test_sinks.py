@@ -24,6 +24,7 @@ def test_write_state_round_trip(spark, tmpdir_path):
 def test_write_results_partitioned(spark, tmpdir_path):
     df = spark.createDataFrame([("N", 1), ("P", 2), ("P", 3)], "txn_type string, v int")
     write_results(df, f"{tmpdir_path}/res")
-    back = spark.read.parquet(f"{tmpdir_path}/res")
+    write_results(df, f"{tmpdir_path}/res")  # a retry replaces the batch
+    back = spark.read.parquet(f"{tmpdir_path}/res/results")
     assert sorted((r.txn_type, r.v) for r in back.collect()) == [("N", 1), ("P", 2), ("P", 3)]
-    assert spark.read.parquet(f"{tmpdir_path}/res/txn_type=P").count() == 2
+    assert spark.read.parquet(f"{tmpdir_path}/res/results/batch=0/txn_type=P").count() == 2
