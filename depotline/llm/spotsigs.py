@@ -133,14 +133,16 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     whole texts are shuffled once.  Of rows that share an id the first by text
     is the next document; a row without an id has none (nothing is appended,
     ``near_next`` is 0)."""
-    docs = docs.select("doc_id", text_or_empty().alias("text"))
-    ids = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.expr("char_length(text) div 3")).alias("take"))
+    texts = docs.where("doc_id is not null").select("doc_id", text_or_empty().alias("text"))
+    ids = texts.groupBy("doc_id").agg(F.max(F.expr("char_length(text) div 3")).alias("take"))
     links = write_table(next_by_id(ids), "next-by-id")
     first = Window.partitionBy("doc_id").orderBy("text")
-    sent = docs.join(links, "doc_id").withColumn("r", F.row_number().over(first)).where("r = 1")
+    # both joins read the same shuffle of the texts
+    sent = texts.join(links, "doc_id").withColumn("r", F.row_number().over(first)).where("r = 1")
     sent = sent.select(F.col("to_id").alias("doc_id"), F.expr("left(text, int(take))").alias("head"),
                        F.unhex(F.array_join(signatures(F.col("text")), "")).alias("next_sigs"))
-    both = docs.join(sent, "doc_id", "left")
+    both = texts.join(sent, "doc_id", "left").unionByName(
+        docs.where("doc_id is null").select("doc_id", text_or_empty().alias("text")), allowMissingColumns=True)
     cut = "char_length(text) div 3"
     d = both.select("doc_id", "text", F.expr("char_length(text)").cast("long").alias("n_chars"), "next_sigs",
                     F.expr(f"concat(left(text, int(char_length(text) - {cut})), "
