@@ -37,7 +37,7 @@ K = 10
 DIMS = 8
 CONFIDENCE = 0.97
 SEED = 20_240_101
-REGION_ROWS = 4_096
+REGION_ROWS = 1_024
 SAMPLE_ROWS = 20_000
 LEAF_ROWS = 64
 STEP_LEAVES = 8
