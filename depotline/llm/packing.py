@@ -64,16 +64,16 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     seq, off = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
     made = 0
     for k, size in enumerate(lengths.tolist()):
-        # change of the sum of squares when a gap g >= size becomes g - size; twice the halved change
-        gaps = open_by_gap[size:capacity]
-        left = open_by_gap[:capacity - size].copy()
-        if len(left):
-            left[0] = -1  # a gap that closes leaves no open sequence
-        cost = np.where(gaps > 0, left - gaps + 1, np.iinfo(np.int64).max)
-        new = open_by_gap[capacity - size] if size < capacity else -1
+        # change of the sum of squares: a gap g (n sequences) becomes g - size (m sequences):
+        # 2 (m - n + 1); a gap that closes: 1 - 2 n; a new sequence: 2 m + 1, or 0 if full at once
+        n, m = open_by_gap[size:capacity], open_by_gap[:capacity - size]
+        cost = np.where(n > 0, 2 * (m - n + 1), np.iinfo(np.int64).max)
+        if len(cost) and n[0] > 0:
+            cost[0] = 1 - 2 * n[0]
+        new = 2 * open_by_gap[capacity - size] + 1 if size < capacity else 0
         # among equal costs the tightest gap, and an open sequence before a new one
         best = int(cost.argmin()) if len(cost) else -1
-        if best >= 0 and gaps[best] > 0 and cost[best] <= new:
+        if best >= 0 and n[best] > 0 and cost[best] <= new:
             gap = size + best
             s = stacks[gap].pop()
             open_by_gap[gap] -= 1
