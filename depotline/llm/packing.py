@@ -104,8 +104,10 @@ def pack(piece_rows: DataFrame, *, capacity: int = CAPACITY, group_pieces: int =
     return piece_rows.repartition(groups).mapInArrow(place, f"{PIECE_SCHEMA}, sequence_id long, offset long")
 
 
-def pack_documents(df: DataFrame, tokenizer: str, **kw) -> DataFrame:
-    return pack(write_table(pieces(df, tokenizer, **kw), "pieces"))
+def pack_documents(df: DataFrame, tokenizer: str, *, capacity: int = CAPACITY,
+                   group_pieces: int = GROUP_PIECES, **kw) -> DataFrame:
+    rows = write_table(pieces(df, tokenizer, capacity=capacity, **kw), "pieces")
+    return pack(rows, capacity=capacity, group_pieces=group_pieces)
 
 
 def default_tokenizer() -> str:
