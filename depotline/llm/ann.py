@@ -211,12 +211,13 @@ def nearest(df: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str = "e
                 yield b.assign(region=tree.value.of(v @ projection(v.shape[1])))
 
     placed = write_table(vectors.mapInPandas(place, "id long, v array<double>, region int"), "ann-vectors")
+
     def per_region(rows: DataFrame, most: int):
         """How many shares of at most about ``most`` rows each region is cut into."""
-        share = F.lit(1)
+        share = np.ones(len(regions.low), np.int32)
         for r in rows.groupBy("region").count().where(F.col("count") > most).collect():  # at most MAX_REGIONS rows
-            share = F.when(F.col("region") == r["region"], -(-r["count"] // most)).otherwise(share)
-        return share.cast("int")
+            share[r["region"]] = -(-r["count"] // most)
+        return F.lit(share)[F.col("region")]  # one literal, whatever the number of regions
 
     def every(n):
         return F.explode(F.sequence(F.lit(0), n - 1))

@@ -60,6 +60,22 @@ def test_ties_hot_vector_and_parts(spark, monkeypatch):
     assert hot and all([i for _, i in got[q]] == [i for _, i in want[q]] for q in hot)
 
 
+def test_many_regions_over_their_size(spark, monkeypatch):
+    """Over 1,000 regions hold more than two shares of rows and are cut into parts."""
+    monkeypatch.setattr(ann, "REGION_ROWS", 1)
+    monkeypatch.setattr(ann, "MAX_REGIONS", 1_200)
+    r = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in r.standard_normal(2)]) for i in range(6_000)]
+    df = spark.createDataFrame([(i, v, 0, "x", "y") for i, v in rows], SCHEMA)
+    low = ann.matrix([np.asarray(v, np.float32) for _, v in rows]) @ ann.projection(2)
+    built = ann.build_regions(ann.valid(df, "vec_id", "embedding"), len(rows))
+    assert (np.bincount(built.of(low)) > 2).sum() > 1_000
+    got = ann.nearest(df, ann.F.col("id") % 200 == 0, k=3).collect()
+    want = brute(rows, lambda q: q % 200 == 0, 3)
+    hits = sum(g["vec_id"] in {i for _, i in want[g["query_id"]]} for g in got)
+    assert len(got) == 3 * len(want) and hits >= 0.9 * len(got)
+
+
 def test_edges(spark):
     rows = [(0, [1.0, 0.0]), (1, [0.0, 0.0]), (2, None), (3, [1.0, None]), (4, [float("nan"), 1.0]),
             (5, [float("inf"), 1.0]), (6, [2.0, 0.0]), (7, [1.0, 1.0]), (None, [1.0, 1.0]), (8, [1.0]), (14, []),
