@@ -20,6 +20,8 @@ and queries meet by region; nothing that grows with the data is broadcast.
   (ties: the longer)
 * fewer than k candidates: all of them; ties go to the smaller id
 * a null id takes no part; repeated rows are candidates each
+* repeated query rows (same id and vector) are one query; rows of one id with
+  unlike vectors are a query each, all listed under that id
 """
 
 from __future__ import annotations
@@ -44,7 +46,7 @@ STEP_LEAVES = 8
 QUERY_BLOCK = 4_096
 MAX_REGIONS = 4_096
 QUERY_STEP = 100
-FOUND_SCHEMA = "query_id long, vec_id long, score double"
+FOUND_SCHEMA = "query_id long, query_key long, vec_id long, score double"
 
 
 def chi_square_cdf(x: np.ndarray, dims: int = DIMS) -> np.ndarray:
@@ -146,7 +148,7 @@ def matrix(vectors) -> np.ndarray:
 
 
 def search_part(data: pd.DataFrame, queries: pd.DataFrame, k: int, ratio: float) -> pd.DataFrame:
-    """The k nearest of ``data`` (id, v) for each of ``queries`` (id, v, reach): candidates in
+    """The k nearest of ``data`` (id, v) for each of ``queries`` (id, key, v, reach): candidates in
     order of projected distance, a few leaves at a time, until the test holds.
     ``reach``: the k-th distance that is known already."""
     found = []
@@ -156,7 +158,7 @@ def search_part(data: pd.DataFrame, queries: pd.DataFrame, k: int, ratio: float)
         low = x @ plane
         tree = Tree(low, LEAF_ROWS)
         x, ids = x[tree.order], ids[tree.order]
-        for q, v, reach in zip(queries["id"], matrix(queries["v"]), queries["reach"]):
+        for q, key, v, reach in zip(queries["id"], queries["key"], matrix(queries["v"]), queries["reach"]):
             box = tree.box_distance(v @ plane)
             leaves = np.argsort(box, kind="stable")
             best_d, best_i, kth, at = np.zeros(0), np.zeros(0, np.int64), float(reach), 0
@@ -172,8 +174,8 @@ def search_part(data: pd.DataFrame, queries: pd.DataFrame, k: int, ratio: float)
                 best_d, best_i = best_d[keep], best_i[keep]
                 if len(best_d) == k:
                     kth = min(kth, best_d[-1])
-            found.append(pd.DataFrame({"query_id": q, "vec_id": best_i, "score": best_d}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            found.append(pd.DataFrame({"query_id": q, "query_key": key, "vec_id": best_i, "score": best_d}))
+    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": []})
 
 
 def valid(df: DataFrame, vec_id: str, vector: str) -> DataFrame:
@@ -197,7 +199,7 @@ def build_regions(vectors: DataFrame, rows: int) -> Regions:
 
 def nearest(df: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str = "embedding", k: int = K,
             confidence: float = CONFIDENCE) -> DataFrame:
-    """(query_id, rank, vec_id, score): the ``k`` nearest found of each row for which
+    """(query_id, rank, vec_id, score): the ``k`` nearest found of each distinct row for which
     the column ``is_query`` (on the column ``id``) holds, among all other rows."""
     spark, ratio = df.sparkSession, stop_ratio(confidence)
     vectors = valid(df, vec_id, vector)
@@ -223,7 +225,8 @@ def nearest(df: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str = "e
         return F.explode(F.sequence(F.lit(0), n - 1))
 
     parts = per_region(placed, 2 * REGION_ROWS)
-    queries = placed.where(is_query)
+    # one row per query: the key tells unlike vectors of one id apart
+    queries = placed.where(is_query).select("id", "v", "region").distinct().withColumn("key", F.xxhash64("v"))
 
     def search(asked: DataFrame) -> DataFrame:
         """Each block of a region's queries meets each part of its vectors in one group."""
@@ -234,26 +237,26 @@ def nearest(df: DataFrame, is_query, *, vec_id: str = "vec_id", vector: str = "e
             lambda d, q: search_part(d, q, k, ratio), FOUND_SCHEMA)
 
     def top(found: DataFrame) -> DataFrame:
-        w = Window.partitionBy("query_id").orderBy("score", "vec_id")
+        w = Window.partitionBy("query_id", "query_key").orderBy("score", "vec_id")
         return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
     own = write_table(top(search(queries.withColumn("reach", F.lit(float("inf"))))), "ann-own")
-    reach = own.groupBy("query_id").agg(F.when(F.count(F.lit(1)) == k, F.max("score")).alias("kth"))
-    known = queries.join(reach, F.col("id") == F.col("query_id"), "left") \
-                   .select("id", "v", "region", F.coalesce("kth", F.lit(float("inf"))).alias("reach"))
+    reach = own.groupBy("query_id", "query_key").agg(F.when(F.count(F.lit(1)) == k, F.max("score")).alias("kth"))
+    known = queries.join(reach, (F.col("id") == F.col("query_id")) & (F.col("key") == F.col("query_key")), "left") \
+                   .select("id", "key", "v", "region", F.coalesce("kth", F.lit(float("inf"))).alias("reach"))
 
     def others(batches):
         for b in batches:
             rows = []
-            for q, v, own_region, far in zip(b["id"], b["v"], b["region"], b["reach"]):
+            for q, key, v, own_region, far in zip(b["id"], b["key"], b["v"], b["region"], b["reach"]):
                 v = np.asarray(v, np.float64)
                 for r in tree.value.near(v @ projection(len(v)), ratio * far * far):
                     if r != own_region:
-                        rows.append((q, v, r, far))
-            yield pd.DataFrame(rows, columns=["id", "v", "region", "reach"])
+                        rows.append((q, key, v, r, far))
+            yield pd.DataFrame(rows, columns=["id", "key", "v", "region", "reach"])
 
-    wider = write_table(known.mapInPandas(others, "id long, v array<double>, region int, reach double"), "ann-wider")
-    return top(own.select("query_id", "vec_id", "score").unionByName(search(wider))) \
+    wider = write_table(known.mapInPandas(others, "id long, key long, v array<double>, region int, reach double"), "ann-wider")
+    return top(own.select("query_id", "query_key", "vec_id", "score").unionByName(search(wider))) \
         .select("query_id", "rank", "vec_id", "score")
 
 

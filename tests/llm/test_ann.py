@@ -86,6 +86,31 @@ def test_edges(spark):
     assert run(spark, []) == {} and run(spark, [(7, [1.0, 2.0])]) == {}
 
 
+def test_repeated_query_rows(spark, monkeypatch):
+    """Copies of a query row are one query; unlike vectors of one id are a query each."""
+    monkeypatch.setattr(ann, "REGION_ROWS", 64)
+    r = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in r.standard_normal(3)]) for i in range(400)]
+    want = brute(rows, lambda q: q % 7 == 0, 10)
+    copies = [(i, v) for i, v in rows if i % 7 == 0]
+    df = spark.createDataFrame([(i, v, 0, "x", "y") for i, v in rows], SCHEMA)
+    more = spark.createDataFrame([(i, v, 0, "x", "y") for i, v in copies * 9], SCHEMA)
+    got = {}
+    for g in ann.nearest(df.unionByName(more), ann.F.col("id") % 7 == 0, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(g["query_id"], []).append((g["score"], g["vec_id"]))
+    assert got.keys() == want.keys()
+    hits = 0
+    for q in want:  # candidates are counted with their copies
+        near = sorted((s, i) for s, i in brute(rows, lambda x: x == q, 400)[q] for _ in range(10 if i % 7 == 0 else 1))[:10]
+        assert len(got[q]) == 10
+        hits += len({i for _, i in got[q]} & {i for _, i in near}) / len({i for _, i in near})
+    assert hits >= 0.9 * len(want)
+
+    two = [(7, [0.0, 1.0]), (7, [0.0, 9.0]), (1, [0.0, 2.0]), (2, [0.0, 3.0]), (3, [0.0, 8.0]), (4, [0.0, 6.0])]
+    found = run(spark, two, k=2)[7]
+    assert sorted(i for _, i in found) == [1, 2, 3, 4]
+
+
 def test_query(spark):
     out = ann.op4_srs_neighbours(spark, "/root/testdata/sf0.001")
     rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()]
