@@ -10,8 +10,9 @@ bytes; the language with the shortest code wins.  Texts are lower-cased first
 and start after ``ORDER`` line feeds.
 
 The trees are fitted on a bounded sample: of the learning folds, about
-``TRAIN_DOCS`` whole documents of each language of at most ``TRAIN_BYTES``
-bytes, those with the smallest hashes.  As statistics are frozen, the cost of
+``TRAIN_DOCS`` documents of each language, those with the smallest hashes.  A
+text over ``TRAIN_BYTES`` bytes is learned from ``TRAIN_PIECES`` pieces spread
+evenly over it, about ``TRAIN_BYTES`` together.  As statistics are frozen, the cost of
 every known (context, byte) for every language is tabulated once; scoring
 looks up each byte's longest known context.
 
@@ -24,7 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from depotline.llm.common import HELD_OUT_FOLD, drop_table, fold, table, with_text_columns, write_table
@@ -33,6 +34,7 @@ from depotline.llm.keytable import KeyTable
 ORDER = 4
 TRAIN_DOCS = 400
 TRAIN_BYTES = 32_768
+TRAIN_PIECES = 8
 CHUNK_BYTES = 1 << 20
 UNKNOWN = "und"
 
@@ -53,9 +55,9 @@ def as_bytes(text: str) -> bytes:
 
 def training_sample(df: DataFrame, text: str, lang: str, doc_id: str, train_docs: int,
                     train_bytes: int) -> DataFrame:
-    """(lang, text) of about ``train_docs`` documents of each language."""
+    """(lang, text) of about ``train_docs`` documents of each language; long ones in pieces."""
     d = df.where((fold(doc_id) != HELD_OUT_FOLD) & F.col(lang).isNotNull()
-                 & F.octet_length(text).between(1, train_bytes)) \
+                 & (F.octet_length(text) > 0)) \
           .select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
                   F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)).alias("h"))
     counts = d.groupBy("lang").count().collect()  # one row per language
@@ -63,7 +65,24 @@ def training_sample(df: DataFrame, text: str, lang: str, doc_id: str, train_docs
     for r in counts:
         share = min(1.0, train_docs / r["count"])
         bound = F.when(F.col("lang") == r["lang"], int(share * (1 << 30))).otherwise(bound)
-    return d.where(F.col("h") < bound).select("lang", "text")
+    return d.where(F.col("h") < bound).select("lang", F.explode(pieces("text", train_bytes)).alias("text"))
+
+
+def pieces(text: str, most: int) -> Column:
+    """The whole text, or of a longer one TRAIN_PIECES pieces of about ``most`` bytes
+    together, the first at its start and the last at its end."""
+    t, chars, size = F.col(text), F.char_length(text), F.octet_length(text)
+    each = F.greatest((chars * F.lit(float(most)) / size / TRAIN_PIECES).cast("int"), F.lit(1))
+    cut = F.transform(F.sequence(F.lit(0), F.lit(TRAIN_PIECES - 1)), lambda k: F.substring(
+        t, (k * ((chars - each) / (TRAIN_PIECES - 1))).cast("int") + 1, each))
+    return F.when(size <= most, F.array(t)).otherwise(cut)
+
+
+def with_letters(df: DataFrame, *, text: str = "text") -> DataFrame:
+    """The rows of ``df`` whose text has a letter."""
+    def letter(texts):
+        return [[bool(t) and any(map(str.isalpha, t)) for t in texts]]
+    return with_text_columns(df, text, "_ll_letter boolean", letter).where("_ll_letter").drop("_ll_letter")
 
 
 def count_grams(sample: DataFrame) -> pd.DataFrame:

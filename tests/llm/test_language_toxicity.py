@@ -91,6 +91,20 @@ def test_language_edges(spark):
     assert langid.identify(frame(spark, []), langid.fit(frame(spark, []))).count() == 0
 
 
+def test_language_only_in_long_texts(spark):
+    en, de = "the cat sat on the mat and saw the dog. ", "der Hund läuft über die Straße und sieht die Maus. "
+    rows = [(i, en * 3, "en") for i in range(30)] + [(100 + i, "7 " * 30_000 + de * 2_000, "de") for i in range(8)]
+    docs = frame(spark, rows)
+    model = langid.fit(docs)
+    assert model.langs == ["de", "en"]
+    assert model.predict(["die Maus sieht über die Straße", "the dog sat"])[0] == ["de", "en"]
+    cut = langid.training_sample(docs, "text", "lang", "doc_id", 400, langid.TRAIN_BYTES).where("lang = 'de'")
+    texts = [r["text"] for r in cut.collect()]
+    n = sum(not held_out(d) for d, _, lang in rows if lang == "de")
+    assert len(texts) == n * langid.TRAIN_PIECES and any("Maus" in t for t in texts) and any("7 7" in t for t in texts)
+    assert sum(len(t.encode()) for t in texts) <= 1.1 * n * langid.TRAIN_BYTES
+
+
 def test_toxicity_query(spark):
     rows = toxicity.op9_nb_toxicity(spark, "/root/testdata/sf0.1").toPandas()
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "toxic").toPandas()

@@ -27,6 +27,12 @@ def test_stages_against_brute_force(spark):
     check_packing(corpus_pipeline.run(spark, SF).collect(), want, 4096)
 
 
+def test_language_stage_without_labels(spark):
+    rows = [(1, "a clean text"), (2, None), (3, "..."), (4, ""), (5, "你好"), (6, "123")]
+    out = corpus_pipeline.language(spark, frame(spark, rows), SF)
+    assert out.columns == DOCUMENT_COLUMNS and sorted(r["doc_id"] for r in out.collect()) == [1, 5]
+
+
 def test_mix_stage_writes_in_order(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     from depotline.llm.mixing import mix
