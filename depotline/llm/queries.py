@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from depotline.llm import ann, langid, line_dedup, mixing, ngram_join, packing, pii, spotsigs, token_files, toxicity
+from depotline.llm import (ann, decontamination, langid, line_dedup, mixing, ngram_join, packing, pii, spotsigs, token_files,
+                           toxicity)
 
 QUERIES = {
     "op1_spotsigs": spotsigs.op1_spotsigs,
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_boosted_pii": pii.op8_boosted_pii,
     "op9_nb_toxicity": toxicity.op9_nb_toxicity,
     "op10_zstd_token_files": token_files.op10_zstd_token_files,
+    "op12_leak_windows": decontamination.op12_leak_windows,
 }
 
 # Where SQL can express the query; the others are held against brute force in tests/llm.
@@ -22,4 +24,5 @@ ORACLE = {
     "op1_spotsigs": spotsigs.ORACLE,
     "op2_line_dedup": line_dedup.ORACLE,
     "op5_pfair_mix": mixing.ORACLE,
+    "op12_leak_windows": decontamination.ORACLE,
 }
