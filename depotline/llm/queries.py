@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from depotline.llm import (ann, decontamination, langid, line_dedup, mixing, ngram_join, packing, pii, spotsigs, token_files,
-                           toxicity)
+from depotline.llm import (ann, decontamination, hard_negatives, langid, line_dedup, mixing, ngram_join, packing, pii, spotsigs,
+                           token_files, toxicity)
 
 QUERIES = {
     "op1_spotsigs": spotsigs.op1_spotsigs,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_nb_toxicity": toxicity.op9_nb_toxicity,
     "op10_zstd_token_files": token_files.op10_zstd_token_files,
     "op12_leak_windows": decontamination.op12_leak_windows,
+    "op13_kronecker_negatives": hard_negatives.op13_kronecker_negatives,
 }
 
 # Where SQL can express the query; the others are held against brute force in tests/llm.
@@ -25,4 +26,5 @@ ORACLE = {
     "op2_line_dedup": line_dedup.ORACLE,
     "op5_pfair_mix": mixing.ORACLE,
     "op12_leak_windows": decontamination.ORACLE,
+    "op13_kronecker_negatives": hard_negatives.ORACLE,
 }
