@@ -3,8 +3,8 @@
 Every operator takes the state and a request frame and keeps ``req_id`` in its
 result.  One plan serves one request and millions: which side of a join is
 broadcast is left to the planner and AQE, which know the measured sizes.
-Order-range reads keep the (w, d) equi-keys so the planner uses hash joins
-with a range condition, never a nested-loop join.
+Reads of the last orders expand each request to its order ids and join on the
+full order key, so no join carries a range and no district is a hot key.
 """
 
 from __future__ import annotations
@@ -22,41 +22,34 @@ def fmt_ts(c: F.Column | str) -> F.Column:
     return F.date_format(c, TS_FORMAT)
 
 
-class RecentRange:
-    """Requests with the half-open o_id range [next - l, next) of their district;
-    requests with a ``next_o_id`` of their own are read as of that point."""
+def recent_keys(state: State, req: DataFrame) -> DataFrame:
+    """(req_id, w_id, d_id, o_id): the order ids of the district's last ``last_l`` orders.
 
-    def __init__(self, state: State, req: DataFrame):
-        if "next_o_id" in req.columns:
-            r = req.withColumn("d_next_o_id", F.col("next_o_id"))
-        else:
-            d = state.district.select(F.col("d_w_id").alias("_dw"), F.col("d_id").alias("_dd"), "d_next_o_id")
-            r = req.join(d, (req.w_id == d._dw) & (req.d_id == d._dd), "inner")
-        self.df = r.select("req_id", "w_id", "d_id", (F.col("d_next_o_id") - F.col("last_l")).alias("o_lo"),
-                           F.col("d_next_o_id").alias("o_hi"))
+    Ids are dense, so a request becomes its own key list, and orders and lines
+    are found by equi-joins on the full order key, however many requests share a
+    district.  Requests with a ``next_o_id`` of their own are read as of that
+    point; those without orders before them, or of unknown districts, have no keys."""
+    if "next_o_id" in req.columns:
+        r = req.withColumn("_next", F.col("next_o_id"))
+    else:
+        d = state.district.select(F.col("d_w_id").alias("_dw"), F.col("d_id").alias("_dd"), F.col("d_next_o_id").alias("_next"))
+        r = req.join(d, (F.col("w_id") == F.col("_dw")) & (F.col("d_id") == F.col("_dd")), "inner")
+    first = F.greatest(F.col("_next") - F.col("last_l"), F.lit(1))
+    return r.where((F.col("last_l") > 0) & (F.col("_next") > 1)).select(
+        "req_id", "w_id", "d_id", F.explode(F.sequence(first.cast("long"), F.col("_next").cast("long") - 1)).alias("o_id"))
 
 
-def recent_orders(state: State, req: DataFrame, rng: RecentRange | None = None) -> DataFrame:
-    """(req_id, w, d, o_id, o_c_id, o_entry_d) of the last ``last_l`` orders."""
-    rng = rng or RecentRange(state, req)
-    r = rng.df
-    o = state.orders.select("o_w_id", "o_d_id", "o_id", "o_c_id", "o_entry_d")
-    j = o.join(r, (o.o_w_id == r.w_id) & (o.o_d_id == r.d_id)
-               & (o.o_id >= r.o_lo) & (o.o_id < r.o_hi), "inner")
-    return j.select("req_id", "w_id", "d_id", "o_id", "o_c_id", "o_entry_d")
+def recent_orders(state: State, keys: DataFrame) -> DataFrame:
+    """(req_id, w, d, o_id, o_c_id, o_entry_d) of the orders of ``keys``."""
+    o = state.orders.select(F.col("o_w_id").alias("w_id"), F.col("o_d_id").alias("d_id"), "o_id", "o_c_id", "o_entry_d")
+    return o.join(keys, ["w_id", "d_id", "o_id"]).select("req_id", "w_id", "d_id", "o_id", "o_c_id", "o_entry_d")
 
 
-def recent_lines(state: State, req: DataFrame, rng: RecentRange | None = None) -> DataFrame:
-    """(req_id, w, d, o_id, i_id, qty, amount) of the lines of the last orders."""
-    rng = rng or RecentRange(state, req)
-    r = rng.df
-    ol = state.orderline.select("ol_w_id", "ol_d_id", "ol_o_id", "ol_number", "ol_i_id",
-                                "ol_quantity", "ol_amount")
-    j = ol.join(r, (ol.ol_w_id == r.w_id) & (ol.ol_d_id == r.d_id)
-                & (ol.ol_o_id >= r.o_lo) & (ol.ol_o_id < r.o_hi), "inner")
-    return j.select("req_id", "w_id", "d_id", F.col("ol_o_id").alias("o_id"), "ol_number",
-                    F.col("ol_i_id").alias("i_id"), F.col("ol_quantity").alias("qty"),
-                    F.col("ol_amount").alias("amount"))
+def recent_lines(state: State, keys: DataFrame) -> DataFrame:
+    """(req_id, w, d, o_id, ol_number, i_id, qty) of the lines of the orders of ``keys``."""
+    ol = state.orderline.select(F.col("ol_w_id").alias("w_id"), F.col("ol_d_id").alias("d_id"), F.col("ol_o_id").alias("o_id"),
+                                "ol_number", F.col("ol_i_id").alias("i_id"), F.col("ol_quantity").alias("qty"))
+    return ol.join(keys, ["w_id", "d_id", "o_id"]).select("req_id", "w_id", "d_id", "o_id", "ol_number", "i_id", "qty")
 
 
 # --- R1 order status -------------------------------------------------------
@@ -95,7 +88,7 @@ def order_status(state: State, req: DataFrame) -> DataFrame:
 
 def recent_items(state: State, req: DataFrame) -> DataFrame:
     """Distinct (req_id, w_id, i_id) of the lines of the last orders."""
-    return recent_lines(state, req).select("req_id", "w_id", "i_id").distinct()
+    return recent_lines(state, recent_keys(state, req)).select("req_id", "w_id", "i_id").distinct()
 
 
 def stock_level(state: State, req: DataFrame, quantity: DataFrame | None = None) -> DataFrame:
@@ -118,27 +111,26 @@ def stock_level(state: State, req: DataFrame, quantity: DataFrame | None = None)
 
 # --- R3 / R4 popular items -----------------------------------------------------
 
-def tied_lines(state: State, req: DataFrame, rng: RecentRange | None = None) -> DataFrame:
-    """Lines (req_id, w, d, o_id, ol_number, i_id, max_qty) at their order's max
-    quantity; the window groups are single orders (bounded)."""
-    lines = recent_lines(state, req, rng)
+def tied_lines(lines: DataFrame) -> DataFrame:
+    """``recent_lines`` rows (req_id, w, d, o_id, ol_number, i_id, max_qty) at their order's
+    max quantity; the window groups are single orders (bounded)."""
     per_order = Window.partitionBy("req_id", "w_id", "d_id", "o_id")
     m = lines.withColumn("max_qty", F.max("qty").over(per_order))
     return m.where(F.col("qty") == F.col("max_qty")) \
             .select("req_id", "w_id", "d_id", "o_id", "ol_number", "i_id", "max_qty")
 
 
-def popular_lines(state: State, req: DataFrame, rng: RecentRange | None = None) -> DataFrame:
+def popular_lines(lines: DataFrame) -> DataFrame:
     """Distinct (req_id, w, d, o_id, i_id, max_qty) tied at the order's max quantity."""
-    return tied_lines(state, req, rng).drop("ol_number").distinct()
+    return tied_lines(lines).drop("ol_number").distinct()
 
 
 def popular_items(state: State, req: DataFrame) -> DataFrame:
     """Per examined order: header, customer, and the items tied at max quantity
     (an examined order without lines keeps one row with NULL item)."""
-    rng = RecentRange(state, req)
-    ords = recent_orders(state, req, rng)
-    pop = popular_lines(state, req, rng)
+    keys = recent_keys(state, req)
+    ords = recent_orders(state, keys)
+    pop = popular_lines(recent_lines(state, keys))
     j = ords.join(pop, ["req_id", "w_id", "d_id", "o_id"], "left")
     c = state.customer.select("c_w_id", "c_d_id", "c_id", "c_first", "c_middle", "c_last")
     j = j.join(c, (j.w_id == c.c_w_id) & (j.d_id == c.c_d_id) & (j.o_c_id == c.c_id), "left")
@@ -148,15 +140,19 @@ def popular_items(state: State, req: DataFrame) -> DataFrame:
                     "c_first", "c_middle", "c_last", "i_id", "i_name", "max_qty")
 
 
+def examined(state: State, keys: DataFrame) -> DataFrame:
+    """(req_id, n_examined): how many orders each request looks at."""
+    o = state.orders.select(F.col("o_w_id").alias("w_id"), F.col("o_d_id").alias("d_id"), "o_id")
+    return keys.join(o, ["w_id", "d_id", "o_id"]).groupBy("req_id").agg(F.count(F.lit(1)).alias("n_examined"))
+
+
 def popular_item_pct(state: State, req: DataFrame) -> DataFrame:
     """Per request and popular item: share of the examined orders in which it is popular."""
-    rng = RecentRange(state, req)
-    ords = recent_orders(state, req, rng)
-    n_exam = ords.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_examined"))
-    pop = popular_lines(state, req, rng)
+    keys = recent_keys(state, req)
+    pop = popular_lines(recent_lines(state, keys))
     per_item = pop.groupBy("req_id", "i_id").agg(F.count_distinct("o_id").alias("n_orders"))
     it = state.item.select(F.col("i_id").alias("it_id"), "i_name")
-    j = per_item.join(n_exam, "req_id", "inner").join(it, F.col("i_id") == F.col("it_id"), "left")
+    j = per_item.join(examined(state, keys), "req_id", "inner").join(it, F.col("i_id") == F.col("it_id"), "left")
     return j.select("req_id", "i_id", "i_name", "n_orders", "n_examined",
                     (F.col("n_orders") / F.col("n_examined")).cast("double").alias("pct"))
 
@@ -164,20 +160,18 @@ def popular_item_pct(state: State, req: DataFrame) -> DataFrame:
 def popular_item_pct_by_name(state: State, req: DataFrame) -> DataFrame:
     """Parity form of the share: tied *lines* counted per item *name* over the
     examined orders (several items share a name, so the share can exceed 1)."""
-    rng = RecentRange(state, req)
-    ords = recent_orders(state, req, rng)
-    n_exam = ords.groupBy("req_id").agg(F.count(F.lit(1)).alias("n_examined"))
+    keys = recent_keys(state, req)
     it = state.item.select(F.col("i_id").alias("it_id"), "i_name")
-    t = tied_lines(state, req, rng).join(it, F.col("i_id") == F.col("it_id"), "inner")
+    t = tied_lines(recent_lines(state, keys)).join(it, F.col("i_id") == F.col("it_id"), "inner")
     g = t.groupBy("req_id", "i_name").agg(F.count(F.lit(1)).alias("n_lines"))
-    j = g.join(n_exam, "req_id", "inner")
+    j = g.join(examined(state, keys), "req_id", "inner")
     return j.select("req_id", "i_name", "n_lines", "n_examined",
                     (F.col("n_lines") / F.col("n_examined")).cast("double").alias("pct"))
 
 
 # --- R5 top balance -----------------------------------------------------------
 
-def _with_names(df: DataFrame, state: State, w_col: str, d_col: str) -> DataFrame:
+def with_place_names(df: DataFrame, state: State, w_col: str, d_col: str) -> DataFrame:
     wh = state.warehouse.select("w_id", "w_name")
     di = state.district.select("d_w_id", "d_id", "d_name")
     df = df.join(wh, F.col(w_col) == wh.w_id, "left")
@@ -195,7 +189,7 @@ def top_balance(state: State, k: int = 10) -> DataFrame:
     rank = F.row_number().over(Window.orderBy(F.col("c_balance").desc_nulls_last(),
                                               "c_w_id", "c_d_id", "c_id"))
     top = top.withColumn("rank", rank.cast("int"))  # window over k rows only
-    out = _with_names(top, state, "c_w_id", "c_d_id")
+    out = with_place_names(top, state, "c_w_id", "c_d_id")
     return out.select("rank", "c_w_id", "c_d_id", "c_id", "c_first", "c_middle", "c_last",
                       cents(F.col("c_balance")).alias("c_balance_cents"), "w_name", "d_name")
 
@@ -210,7 +204,7 @@ def top_balance_by_district(state: State, k: int = 10) -> DataFrame:
     c = state.customer.select("c_w_id", "c_d_id", "c_id", "c_first", "c_middle", "c_last", "c_balance")
     w = Window.partitionBy("c_w_id", "c_d_id").orderBy(F.col("c_balance").desc_nulls_last(), "c_id")
     top = c.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    out = _with_names(top, state, "c_w_id", "c_d_id")
+    out = with_place_names(top, state, "c_w_id", "c_d_id")
     return out.select("c_w_id", "c_d_id", F.col("rank").cast("int").alias("rank"), "c_id",
                       "c_first", "c_middle", "c_last",
                       cents(F.col("c_balance")).alias("c_balance_cents"), "w_name", "d_name")
@@ -227,14 +221,17 @@ def order_item_pairs(state: State) -> DataFrame:
     """
     ol = state.orderline.groupBy("ol_w_id", "ol_d_id", "ol_o_id").agg(
         F.array_sort(F.collect_set("ol_i_id")).alias("items"))
-    ol = ol.where(F.size("items") >= 2)
+    ol = ol.withColumnsRenamed({"ol_w_id": "w_id", "ol_d_id": "d_id", "ol_o_id": "o_id"})
+    return item_pairs(ol, "w_id", "d_id", "o_id")
+
+
+def item_pairs(orders: DataFrame, *key: str) -> DataFrame:
+    """(key, i1, i2) for every pair i1 < i2 of the sorted distinct ``items`` of each row."""
     pairs = F.flatten(F.transform(
         "items",
         lambda x, i: F.transform(F.slice("items", i + 2, F.size("items")),
                                  lambda y: F.struct(x.alias("i1"), y.alias("i2")))))
-    return ol.select(F.col("ol_w_id").alias("w_id"), F.col("ol_d_id").alias("d_id"),
-                     F.col("ol_o_id").alias("o_id"), F.explode(pairs).alias("p")) \
-             .select("w_id", "d_id", "o_id", "p.i1", "p.i2")
+    return orders.where(F.size("items") >= 2).select(*key, F.explode(pairs).alias("p")).select(*key, "p.i1", "p.i2")
 
 
 def customer_item_pairs(state: State) -> DataFrame:

@@ -46,11 +46,11 @@ def allocate_order_ids(state: State, n_hdr: DataFrame) -> DataFrame:
             .drop("_rank", "d_next_o_id")
 
 
-def in_stock_domain(q0: F.Column, max_draw: F.Column) -> F.Column:
-    """Where the closed form is exact: start of 10 or more with draws <= 100, or
-    start 0..9 with draws <= 10."""
-    return (((q0 >= STOCK_FLOOR) & (max_draw <= STOCK_REFILL))
-            | ((q0 >= 0) & (q0 < STOCK_FLOOR) & (max_draw <= STOCK_FLOOR)))
+def in_stock_domain(q0: F.Column, max_draw: F.Column, min_draw: F.Column) -> F.Column:
+    """Where the closed form is exact: start of 10 or more with draws 1..100, or
+    start 0..9 with draws 1..10."""
+    return (min_draw >= 1) & (((q0 >= STOCK_FLOOR) & (max_draw <= STOCK_REFILL))
+                              | ((q0 >= 0) & (q0 < STOCK_FLOOR) & (max_draw <= STOCK_FLOOR)))
 
 
 def _step(q: F.Column, x: F.Column) -> F.Column:
@@ -89,10 +89,10 @@ def new_order_lines(state: State, n_hdr: DataFrame, n_lines: DataFrame,
     hdr = (hdr if hdr is not None else allocate_order_ids(state, n_hdr)).select("ord", "w_id", "d_id", "o_id")
     raw = n_lines.join(hdr, "ord", "inner")
     # keys outside the closed form's domain, from per-key totals of the raw draws
-    kmax = raw.groupBy("supply_w_id", "i_id").agg(F.max("qty").alias("_mx"))
+    kmax = raw.groupBy("supply_w_id", "i_id").agg(F.max("qty").alias("_mx"), F.min("qty").alias("_mn"))
     kq = state.stock_for(kmax.select(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")))
     bad_keys = kmax.join(kq, (kmax.supply_w_id == kq.s_w_id) & (kmax.i_id == kq.s_i_id), "inner") \
-        .where(~in_stock_domain(F.col("s_quantity"), F.col("_mx"))).select("supply_w_id", "i_id", "s_quantity")
+        .where(~in_stock_domain(F.col("s_quantity"), F.col("_mx"), F.col("_mn"))).select("supply_w_id", "i_id", "s_quantity")
     fb = stock_fallback(raw.join(bad_keys, ["supply_w_id", "i_id"], "inner"))
     ln = running_aggs(raw, ["supply_w_id", "i_id"], "ord", [("qty", "_cum", "sum", True)],
                       tiebreak=["ol_number"])
@@ -144,13 +144,13 @@ def stock_after(state: State, n_hdr: DataFrame, n_lines: DataFrame) -> DataFrame
     hdr = n_hdr.select("ord", "w_id")
     ln = n_lines.join(hdr, "ord", "inner")
     g = ln.groupBy("supply_w_id", "i_id").agg(
-        F.sum("qty").alias("_c"), F.count(F.lit(1)).alias("_n"), F.max("qty").alias("_mx"),
+        F.sum("qty").alias("_c"), F.count(F.lit(1)).alias("_n"), F.max("qty").alias("_mx"), F.min("qty").alias("_mn"),
         F.sum((F.col("supply_w_id") != F.col("w_id")).cast("int")).alias("_r"))
     keys = g.select(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id"))
     st = state.stock_for(keys).select("s_w_id", "s_i_id", "s_quantity", "s_ytd", "s_order_cnt",
                                       "s_remote_cnt")
     j = g.join(st, (g.supply_w_id == st.s_w_id) & (g.i_id == st.s_i_id), "inner")
-    bad = j.where(~in_stock_domain(F.col("s_quantity"), F.col("_mx"))).select(
+    bad = j.where(~in_stock_domain(F.col("s_quantity"), F.col("_mx"), F.col("_mn"))).select(
         "supply_w_id", "i_id", "s_quantity")
     fb = stock_fallback(ln.join(bad, ["supply_w_id", "i_id"], "inner"))
     last = fb.groupBy("supply_w_id", "i_id").agg(

@@ -94,7 +94,9 @@ def _register_writes():
 
     from depotline.functions.money import cents
     from depotline.operators import writes as W
+    from depotline.plans import as_of as A
     from depotline.plans import replay as P
+    from depotline.sources.sinks import scratch_table
 
     def nol(rp):
         return rp.lines.withColumn("amount_cents", cents(F.col("amount"))).drop("amount")
@@ -111,19 +113,27 @@ def _register_writes():
         """Reads in the middle of the log: one per 'view' record, of its district."""
         req = rp.log.status.select(F.col("ord").alias("req_id"), "w_id", "d_id",
                                    F.lit(rq.STOCK_THRESHOLD).alias("threshold"), F.lit(rq.LAST_ORDERS).alias("last_l"))
-        return P.after_orders(rp), P.next_order_as_of(rp.state, rp.order_ids, req)
+        return A.after_orders(rp), A.next_order_as_of(rp.state, rp.order_ids, req)
 
     def replay_stock_level(rp):
         after, req = as_of(rp)
-        q = P.stock_as_of(rp.state, rp.lines, reads.recent_items(after, req))
+        wanted = scratch_table(rp.spark, "asof_items", reads.recent_items(after, req))
+        q = A.stock_as_of(rp.state, rp.lines, wanted)
         return reads.stock_level(after, req, q).drop("threshold", "last_l")
 
     def replay_popular_items(rp):
         after, req = as_of(rp)
-        pop = reads.popular_lines(after, req)
+        pop = reads.popular_lines(reads.recent_lines(after, reads.recent_keys(after, req)))
         return pop.groupBy("req_id").agg(F.count_distinct("o_id").alias("n_orders"), F.count_distinct("i_id").alias("n_items"),
                                          F.sum("max_qty").cast("long").alias("sum_qty"))
 
+    def replay_top_balance(rp):
+        places = rp.log.asked("T").withColumnRenamed("req_id", "ord")
+        return A.top_balance_as_of(rp, places, P.balance_ledger(rp), rq.TOP_K)
+
+    def replay_related(rp):
+        return A.related_as_of(rp, rp.log.asked("R", "w_id", "d_id", "c_id"))
+
     QUERIES.update({
         "replay_order_ids": _replay_q(P.replay_order_ids),
         "new_order_lines": _replay_q(nol),
@@ -140,6 +150,9 @@ def _register_writes():
         "replay_errors": replay_errors,
         "replay_stock_level": _replay_q(replay_stock_level),
         "replay_popular_items": _replay_q(replay_popular_items),
+        "replay_order_status": _replay_q(lambda rp: A.order_status_as_of(rp, P.replay_reads(rp))),
+        "replay_top_balance": _replay_q(replay_top_balance),
+        "replay_related": _replay_q(replay_related),
     })
 
 

@@ -137,6 +137,4 @@ def read_snapshot(spark: SparkSession, path: str, like: State) -> State:
 
 def split_log(log: Log, cut: int) -> tuple[Log, Log]:
     """Records with ord < cut, and the rest."""
-    lo = Log(**{f: getattr(log, f).where(F.col("ord") < cut) for f in Log.__dataclass_fields__})
-    hi = Log(**{f: getattr(log, f).where(F.col("ord") >= cut) for f in Log.__dataclass_fields__})
-    return lo, hi
+    return log.each(lambda _, df: df.where(F.col("ord") < cut)), log.each(lambda _, df: df.where(F.col("ord") >= cut))

@@ -6,10 +6,10 @@
 record with the matching operator, each read type as one job over all its
 records (the record's ``ord`` is its ``req_id``):
 
-* O, S and I are answered as of their position in the log: the district's next
-  order id and the stock of every item count the earlier N records;
-* T and R are answered against the state before the batch; a file that needs
-  them after its own writes is cut into batches with ``chain``.
+every read as of its place in the log (``plans.as_of``): O with name, balance,
+header and all lines, S and I by the district's next order id and the stock after
+the earlier N records, T by the balances after the earlier payments and
+deliveries, R by the orders placed before it.
 
 Malformed records and records that reference missing rows are returned in
 ``errors`` with their reason; they change nothing.
@@ -24,10 +24,11 @@ from pyspark.sql import functions as F
 
 from depotline.operators import reads
 from depotline.plans.chain import apply_batch
-from depotline.plans.replay import next_order_as_of, replay_reads, stock_as_of
+from depotline.plans.as_of import next_order_as_of, order_status_as_of, related_as_of, stock_as_of, top_balance_as_of
+from depotline.plans.replay import balance_ledger, replay_reads
 from depotline.sources.adapter import State
 from depotline.sources.sinks import work_table
-from depotline.sources.txlog import read_txlog
+from depotline.sources.txlog import client_interleave, read_txlog
 from depotline.streaming.stream_replay import records_to_log
 
 TOP_K = 10
@@ -42,30 +43,22 @@ def run_log(spark: SparkSession, state: State, path: str, skip=(), as_of_ts: str
         errors = work_table(spark, own, "parse_errors", lambda: rejected)
     log = records_to_log(records, 0)
     nxt, rp = apply_batch(spark, state, log, as_of_ts, key=key)
-    from depotline.sources.txlog import client_interleave
     r = client_interleave(records)
-
-    def req(kind: str, cols: list[str]) -> DataFrame:
-        return r.where(F.col("txn_type") == kind).select(F.col("ord").alias("req_id"), *cols)
-
     missing = rp.errors.select("ord", "reason").join(r.select("ord", "file", "record_no", "txn_type"), "ord") \
                 .select("file", "record_no", "reason", F.col("txn_type").alias("text"))
-    levels = next_order_as_of(state, rp.order_ids, req("S", ["w_id", "d_id", "threshold", "last_l"]))
-    recent = next_order_as_of(state, rp.order_ids, req("I", ["w_id", "d_id", "last_l"]))
-    out = {
+    levels = next_order_as_of(state, rp.order_ids, rp.log.asked("S", "w_id", "d_id", "threshold", "last_l"))
+    recent = next_order_as_of(state, rp.order_ids, rp.log.asked("I", "w_id", "d_id", "last_l"))
+    return {
         "errors": errors.unionByName(missing),
         "state": nxt,
         "new_order_totals": rp.totals(),
         "new_order_lines": rp.lines,
         "payments": rp.log.pay,
         "deliveries": rp.delivery,
-        "order_status": replay_reads(rp),
+        "order_status": order_status_as_of(rp, replay_reads(rp), as_of_ts),
         "stock_level": reads.stock_level(nxt, levels, stock_as_of(state, rp.lines, reads.recent_items(nxt, levels))),
         "popular_items": reads.popular_items(nxt, recent),
         "popular_item_pct": reads.popular_item_pct(nxt, recent),
-        "related_customers": reads.related_customers(state, req("R", ["w_id", "d_id", "c_id"])),
+        "top_balance": top_balance_as_of(rp, rp.log.asked("T").withColumnRenamed("req_id", "ord"), balance_ledger(rp), TOP_K),
+        "related_customers": related_as_of(rp, rp.log.asked("R", "w_id", "d_id", "c_id")),
     }
-    # T has no arguments: every T record has the same answer, computed once
-    out["top_balance_requests"] = req("T", [])
-    out["top_balance"] = reads.top_balance(state, TOP_K)
-    return out

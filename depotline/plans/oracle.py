@@ -1,8 +1,7 @@
 """DuckDB oracle SQL for the registered queries.
 
 The state derivation of ``depotline.sources.adapter`` is repeated here as CTEs
-(plain window functions: DuckDB is the reference side, the Spark side uses the
-skew-safe forms).  Money leaves as BIGINT cents, rates as INTEGER basis
+(plain window functions here, the skew-safe forms on the Spark side).  Money leaves as BIGINT cents, rates as INTEGER basis
 points, timestamps as 'yyyy-MM-dd HH:mm:ss.SSS' text.
 """
 
@@ -253,6 +252,9 @@ x_pay AS (
 x_stat AS (
   SELECT ord, c_w_id AS w_id, c_d_id AS d_id, c_id
   FROM x_ev JOIN x_cust ON cc = c_id WHERE event_type = 'view'),
+x_asks AS (
+  SELECT ord, substr('SITR', CAST(event_id % 4 + 1 AS INTEGER), 1) AS kind, c_w_id AS w_id, c_d_id AS d_id, c_id
+  FROM x_ev JOIN x_cust ON cc = c_id WHERE event_type = 'click'),
 x_dlv AS (
   SELECT ord, dw AS w_id, CAST(event_id % 10 + 1 AS INTEGER) AS carrier_id
   FROM x_ev WHERE event_type = 'signup'),
@@ -434,11 +436,72 @@ SELECT r.ord, r.w_id, r.d_id, r.c_id,
                        AND x.ord < r.ord), 0) AS balance_cents
 FROM x_stat r JOIN x_cust c ON c.c_w_id = r.w_id AND c.c_d_id = r.d_id AND c.c_id = r.c_id""",
 
-    "replay_errors": """
-SELECT event_id * 2 + 1 AS ord,
-       CASE event_id % 4 WHEN 2 THEN 'P' WHEN 3 THEN 'D' ELSE 'N' END AS txn_type,
-       CASE event_id % 4 WHEN 1 THEN 'unknown item' WHEN 3 THEN 'unknown warehouse' ELSE 'unknown customer' END AS reason
-FROM events WHERE event_type = 'error'""",
+    "replay_errors": RB + """
+SELECT event_id * 2 + 1 AS ord, ['N', 'N', 'P', 'D', 'S', 'I', 'R', 'N', 'P', 'O'][event_id % 10 + 1] AS txn_type,
+       ['unknown customer', 'unknown item', 'unknown customer', 'unknown warehouse', 'unknown district', 'unknown district',
+        'unknown customer', 'quantity below 1', 'amount not above 0', 'unknown customer'][event_id % 10 + 1] AS reason
+FROM events WHERE event_type = 'error'
+UNION ALL SELECT ord, 'P', 'amount not above 0' FROM x_pay WHERE amount <= 0
+UNION ALL SELECT DISTINCT ord, 'N', 'quantity below 1' FROM x_nl WHERE qty < 1""",
+
+    # balances added up for every customer at every place
+    "replay_top_balance": with_ctes(BASE, LOG, DELIVERY_SIM) + """
+, x_led AS (
+  SELECT ord, c_id, -CAST(amount * 100 AS BIGINT) AS delta FROM x_pay
+  UNION ALL SELECT ord, c_id, amount_cents FROM x_deliv WHERE o_id IS NOT NULL),
+x_t AS (SELECT ord FROM x_asks WHERE kind = 'T'),
+x_sums AS (SELECT t.ord, c_id, sum(delta) AS s FROM x_t t JOIN x_led l ON l.ord < t.ord GROUP BY t.ord, c_id),
+x_bal AS (
+  SELECT t.ord AS req_id, c.*, CAST(c.c_balance * 100 AS BIGINT) + coalesce(s.s, 0) AS c_balance_cents
+  FROM x_t t CROSS JOIN x_cust c LEFT JOIN x_sums s ON s.ord = t.ord AND s.c_id = c.c_id)
+SELECT req_id, CAST(row_number() OVER (PARTITION BY req_id ORDER BY c_balance_cents DESC, c_w_id, c_d_id, c_id) AS INTEGER) AS rank,
+       c_w_id, c_d_id, c_id, c_first, c_middle, c_last, CAST(c_balance_cents AS BIGINT) AS c_balance_cents, w_name, d_name
+FROM x_bal LEFT JOIN x_wh w ON w.w_id = c_w_id LEFT JOIN x_dist d ON d.d_w_id = c_w_id AND d.d_id = c_d_id
+QUALIFY rank <= 10""",
+
+    "replay_related": RB + """
+, x_oi AS (
+  SELECT DISTINCT ol_w_id AS w, ol_d_id AS d, ol_o_id AS o, ol_i_id AS i, o_c_id AS c, -1 AS since
+  FROM x_ol JOIN x_ord ON o_w_id = ol_w_id AND o_d_id = ol_d_id AND o_id = ol_o_id
+  UNION ALL
+  SELECT DISTINCT l.w_id, l.d_id, l.o_id, l.i_id, o.c_id, l.ord FROM x_lines l JOIN x_oid o ON o.ord = l.ord),
+x_r AS (SELECT * FROM x_asks WHERE kind = 'R'),
+x_op AS (
+  SELECT a.w AS aw, a.c AS ac, b.w AS bw, b.d AS bd, b.c AS bc, any_value(a.since) AS s1, any_value(b.since) AS s2
+  FROM x_oi a JOIN x_oi b ON a.i = b.i AND a.w <> b.w
+  WHERE a.c IN (SELECT c_id FROM x_r)
+  GROUP BY a.w, a.d, a.c, a.o, b.w, b.d, b.c, b.o HAVING count(*) >= 2)
+SELECT DISTINCT r.ord AS req_id, bw AS w_id, bd AS d_id, bc AS c_id
+FROM x_r r JOIN x_op ON ac = r.c_id AND aw = r.w_id AND s1 < r.ord AND s2 < r.ord""",
+
+    # the latest order, and its carrier from the deliveries simulated step by step
+    "replay_order_status": with_ctes(BASE, LOG, DELIVERY_SIM) + f"""
+, x_all AS (
+  SELECT o_w_id AS w_id, o_d_id AS d_id, o_id, o_c_id AS c_id, -1 AS since, o_carrier_id AS carrier,
+         strftime(o_entry_d, {TS}) AS entry FROM x_ord
+  UNION ALL SELECT w_id, d_id, o_id, c_id, ord, NULL, '2000-01-01 00:00:00.000' FROM x_oid),
+x_last AS (
+  SELECT r.ord, r.w_id, r.d_id, r.c_id, max(o_id) AS o_id
+  FROM x_stat r LEFT JOIN x_all a ON a.w_id = r.w_id AND a.d_id = r.d_id AND a.c_id = r.c_id AND a.since < r.ord
+  GROUP BY r.ord, r.w_id, r.d_id, r.c_id),
+x_al AS (
+  SELECT ol_w_id AS w_id, ol_d_id AS d_id, ol_o_id AS o_id, ol_number, ol_i_id, ol_supply_w_id, ol_quantity, ol_amount, ol_delivery_d
+  FROM x_olsup
+  UNION ALL SELECT w_id, d_id, o_id, ol_number, i_id, supply_w_id, qty, amount, NULL FROM x_lines2),
+x_bal AS (
+  SELECT r.ord, CAST(c.c_balance * 100 AS BIGINT)
+         - coalesce((SELECT CAST(sum(amount) * 100 AS BIGINT) FROM x_pay p WHERE p.c_id = r.c_id AND p.ord < r.ord), 0)
+         + coalesce((SELECT sum(amount_cents) FROM x_deliv x WHERE x.c_id = r.c_id AND x.o_id IS NOT NULL AND x.ord < r.ord), 0) AS bal
+  FROM x_stat r JOIN x_cust c ON c.c_id = r.c_id)
+SELECT l.ord AS req_id, l.w_id AS c_w_id, l.d_id AS c_d_id, l.c_id, c.c_first, c.c_middle, c.c_last,
+       CAST(b.bal AS BIGINT) AS c_balance_cents, l.o_id, a.entry AS o_entry_d, coalesce(dv.carrier_id, a.carrier) AS o_carrier_id,
+       al.ol_number, al.ol_i_id, al.ol_supply_w_id, al.ol_quantity, CAST(al.ol_amount * 100 AS BIGINT) AS ol_amount_cents,
+       CASE WHEN al.ol_number IS NOT NULL THEN
+         CASE WHEN dv.carrier_id IS NOT NULL THEN '2000-01-01 00:00:00.000' ELSE strftime(al.ol_delivery_d, {TS}) END END AS ol_delivery_d
+FROM x_last l JOIN x_cust c ON c.c_id = l.c_id JOIN x_bal b ON b.ord = l.ord
+LEFT JOIN x_all a ON a.w_id = l.w_id AND a.d_id = l.d_id AND a.o_id = l.o_id
+LEFT JOIN x_deliv dv ON dv.w_id = l.w_id AND dv.d_id = l.d_id AND dv.o_id = l.o_id AND dv.ord < l.ord
+LEFT JOIN x_al al ON al.w_id = l.w_id AND al.d_id = l.d_id AND al.o_id = l.o_id""",
 
     "replay_stock_level": RB + AS_OF + """
 SELECT r.req_id, r.w_id, r.d_id, CAST(coalesce(s.n, 0) AS BIGINT) AS items_below

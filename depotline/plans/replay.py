@@ -9,7 +9,9 @@ transaction log of their own):
   amount = value;                                       ord = 2 * event_id + 1
 * D  (delivery):   every 'signup' event, warehouse = pmod(user_id, #warehouses)
   + 1, carrier = pmod(event_id, 10) + 1;                ord = 2 * event_id + 1
-* O  (order status, as-of read): every 'view' event, customer as for P.
+* O  (order status, as-of read): every 'view' event, customer as for P;
+* S, I, T, R (stock level, popular items, top balance, related customers):
+  every 'click' event by its id modulo 4, district and customer as for P.
 
 The base state is ``load_state(mode="base")`` (orders 'F' and 'O').  Record
 counts come from scalar subqueries, never from the driver.
@@ -20,7 +22,7 @@ N + D -> delivery queue; P + deliveries -> balances; P -> YTD.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -30,6 +32,7 @@ from depotline.functions.money import MONEY, WIDE_MONEY, cents
 from depotline.functions.sequencing import running_aggs
 from depotline.operators import writes
 from depotline.sources.adapter import State, load_state, read_source, supply_warehouse
+from depotline.plans.requests import LAST_ORDERS, STOCK_THRESHOLD
 from depotline.sources.sinks import snapshot_key, work_table
 
 
@@ -40,6 +43,18 @@ class Log:
     pay: DataFrame      # ord, w_id, d_id, c_id, amount
     dlv: DataFrame      # ord, w_id, carrier_id
     status: DataFrame   # ord, w_id, d_id, c_id
+    reads: DataFrame | None = None  # READS: the S, I, T and R records
+
+    def each(self, f) -> "Log":
+        """The log with ``f(name, frame)`` in place of every frame it has."""
+        return Log(**{x.name: None if getattr(self, x.name) is None else f(x.name, getattr(self, x.name)) for x in fields(Log)})
+
+    def asked(self, kind: str, *cols: str) -> DataFrame:
+        """The requests of one kind of read, by req_id = ord."""
+        return self.reads.where(F.col("txn_type") == kind).select(F.col("ord").alias("req_id"), *cols)
+
+
+READS = "ord long, txn_type string, w_id int, d_id int, c_id long, threshold int, last_l int"
 
 
 def derived_log(spark: SparkSession, sf_dir: str, state: State) -> Log:
@@ -70,10 +85,14 @@ def derived_log(spark: SparkSession, sf_dir: str, state: State) -> Log:
         F.col("value").cast(MONEY).alias("amount"))
     status = cust_ev.where(F.col("event_type") == "view").select(
         "ord", F.col("c_w_id").alias("w_id"), F.col("c_d_id").alias("d_id"), "c_id")
+    turn = F.pmod(F.col("event_id"), F.lit(4)).cast("int")
+    reads = cust_ev.where(F.col("event_type") == "click").select(
+        "ord", F.element_at(F.array(*map(F.lit, "SITR")), turn + 1).alias("txn_type"), F.col("c_w_id").alias("w_id"),
+        F.col("c_d_id").alias("d_id"), "c_id", F.lit(STOCK_THRESHOLD).alias("threshold"), F.lit(LAST_ORDERS).alias("last_l"))
     dlv = ev.where(F.col("event_type") == "signup").select(
         "ord", (F.pmod(F.col("user_id"), n_wh) + 1).cast("int").alias("w_id"),
         (F.pmod(F.col("event_id"), F.lit(10)) + 1).cast("int").alias("carrier_id"))
-    return Log(n_hdr=n_hdr, n_lines=n_lines, pay=pay, dlv=dlv, status=status)
+    return Log(n_hdr=n_hdr, n_lines=n_lines, pay=pay, dlv=dlv, status=status, reads=reads)
 
 
 class Replay:
@@ -89,8 +108,7 @@ class Replay:
         self.spark = spark
         self.state = state
         self.key = key
-        self.log = Log(**{f: self._mat(f"log_{f}", lambda f=f: getattr(log, f))
-                          for f in ("n_hdr", "n_lines", "pay", "dlv", "status")})
+        self.log = log.each(lambda name, df: self._mat(f"log_{name}", lambda: df))
 
     @classmethod
     def from_tables(cls, spark: SparkSession, sf_dir: str) -> "Replay":
@@ -144,14 +162,16 @@ def replay_context(spark: SparkSession, sf_dir: str) -> Replay:
 def validate(state: State, log: Log) -> DataFrame:
     """Errors (ord, txn_type, reason) of a log.
 
-    N, P and O need their customer, every N line its item and its stock row, D
-    its warehouse.  One left join or anti-join per rule; a rejected record
-    takes no part in order ids, sums or windows."""
+    N, P, O and R need their customer, every N line its item, its stock row and a
+    quantity of 1 or more, P an amount above 0, D its warehouse, S and I their
+    district.  One anti-join or filter per rule; a rejected record takes no part
+    in order ids, sums, windows or answers."""
     cust = state.customer.select(F.col("c_w_id").alias("w_id"), F.col("c_d_id").alias("d_id"), "c_id")
     keys = ["w_id", "d_id", "c_id"]
+    kind_col = F.col("txn_type")
 
-    def bad(df: DataFrame, kind: str, reason: str) -> DataFrame:
-        return df.select("ord", F.lit(kind).alias("txn_type"), F.lit(reason).alias("reason"))
+    def bad(df: DataFrame, kind, reason: str) -> DataFrame:
+        return df.select("ord", (F.lit(kind) if isinstance(kind, str) else kind).alias("txn_type"), F.lit(reason).alias("reason"))
 
     drawn = log.n_lines.select("ord", "i_id", F.col("supply_w_id").alias("w"))
     no_item = drawn.join(state.item.select("i_id"), "i_id", "left_anti")
@@ -160,92 +180,61 @@ def validate(state: State, log: Log) -> DataFrame:
     errors = bad(log.n_hdr.join(cust, keys, "left_anti"), "N", "unknown customer") \
         .unionByName(bad(no_item, "N", "unknown item")) \
         .unionByName(bad(drawn.join(stock, ["w", "i_id"], "left_anti"), "N", "unknown stock")) \
+        .unionByName(bad(log.n_lines.where(~F.coalesce(F.col("qty") >= 1, F.lit(False))), "N", "quantity below 1")) \
         .unionByName(bad(log.pay.join(cust, keys, "left_anti"), "P", "unknown customer")) \
+        .unionByName(bad(log.pay.where(~F.coalesce(F.col("amount") > 0, F.lit(False))), "P", "amount not above 0")) \
         .unionByName(bad(log.status.join(cust, keys, "left_anti"), "O", "unknown customer")) \
         .unionByName(bad(log.dlv.join(state.warehouse.select("w_id"), "w_id", "left_anti"), "D", "unknown warehouse"))
+    if log.reads is not None:
+        dist = state.district.select(F.col("d_w_id").alias("w_id"), "d_id")
+        errors = errors.unionByName(bad(log.reads.where(kind_col.isin("S", "I")).join(dist, ["w_id", "d_id"], "left_anti"),
+                                        kind_col, "unknown district")) \
+            .unionByName(bad(log.reads.where(kind_col == "R").join(cust, keys, "left_anti"), "R", "unknown customer"))
     # several reasons for one record: the first by name
     return errors.groupBy("ord", "txn_type").agg(F.min("reason").alias("reason"))
 
 
 def without(log: Log, errors: DataFrame) -> Log:
     gone = errors.select("ord")
-    return Log(**{f: getattr(log, f).join(gone, "ord", "left_anti") for f in Log.__dataclass_fields__})
+    return log.each(lambda _, df: df.join(gone, "ord", "left_anti"))
 
 
 def faulty_records(spark: SparkSession, sf_dir: str, state: State) -> Log:
-    """Records that reference missing rows, one per 'error' event: in turn an order
-    of an unknown customer, an order of an unknown item, a payment of an unknown
-    customer, a delivery of an unknown warehouse."""
+    """Faulty records of all kinds, one per 'error' event, by its id modulo 10: an order of
+    an unknown customer, an order of an unknown item, a payment of an unknown
+    customer, a delivery of an unknown warehouse, a stock level and popular items of
+    unknown districts, related customers of an unknown one, an order of a quantity
+    below 1, a payment of nothing, a status of an unknown customer."""
     ev = read_source(spark, sf_dir, "events").where(F.col("event_type") == "error")
     n_cust = read_source(spark, sf_dir, "customer").select(F.count(F.lit(1))).scalar()
-    ev = ev.select((F.col("event_id") * 2 + 1).alias("ord"), F.pmod(F.col("event_id"), F.lit(4)).alias("turn"),
-                   (-1 - F.col("user_id")).alias("missing"), F.pmod(F.col("user_id"), n_cust).alias("c_id"), "value")
+    ev = ev.select((F.col("event_id") * 2 + 1).alias("ord"), F.pmod(F.col("event_id"), F.lit(10)).alias("turn"),
+                   (-1 - F.col("user_id")).alias("missing"), F.pmod(F.col("user_id"), n_cust).alias("c_id"))
     cust = state.customer.select("c_id", F.col("c_w_id").alias("w_id"), F.col("c_d_id").alias("d_id"))
     ev = ev.join(cust, "c_id")
-    stranger = ev.select("ord", "turn", "w_id", "d_id", F.col("missing").alias("c_id"), F.col("value").cast(MONEY).alias("amount"))
-    item = ev.where("turn = 1")
+    who = ["ord", "w_id", "d_id", "c_id"]
+    stranger = ev.withColumn("c_id", F.col("missing"))
+    lines = ev.where("turn in (1, 7)")
+    asks = stranger.where("turn in (4, 5, 6)")
     return Log(
-        n_hdr=stranger.where("turn = 0").select("ord", "w_id", "d_id", "c_id").unionByName(
-            item.select("ord", "w_id", "d_id", "c_id")),
-        n_lines=item.select("ord", F.lit(1).alias("ol_number"), F.col("missing").alias("i_id"),
-                            F.col("w_id").alias("supply_w_id"), F.lit(1).alias("qty")),
-        pay=stranger.where("turn = 2").select("ord", "w_id", "d_id", "c_id", "amount"),
+        n_hdr=stranger.where("turn = 0").select(*who).unionByName(lines.select(*who)),
+        n_lines=lines.select("ord", F.lit(1).alias("ol_number"),
+                             F.when(F.col("turn") == 1, F.col("missing")).otherwise(F.lit(1)).alias("i_id"),
+                             F.col("w_id").alias("supply_w_id"), F.when(F.col("turn") == 7, F.col("missing")).otherwise(1).cast("int").alias("qty")),
+        pay=stranger.where("turn = 2").unionByName(ev.where("turn = 8")).select(
+            *who, F.when(F.col("turn") == 8, 0).otherwise(1).cast(MONEY).alias("amount")),
         dlv=ev.where("turn = 3").select("ord", F.lit(0).alias("w_id"), F.lit(1).alias("carrier_id")),
-        status=stranger.where("false").select("ord", "w_id", "d_id", "c_id"))
+        status=stranger.where("turn = 9").select(*who),
+        reads=asks.select("ord", F.element_at(F.array(*map(F.lit, "SIR")), (F.col("turn") - 3).cast("int")).alias("txn_type"),
+                          F.when(F.col("turn") == 6, F.col("w_id")).otherwise(0).alias("w_id"), "d_id", "c_id",
+                          F.lit(STOCK_THRESHOLD).alias("threshold"), F.lit(LAST_ORDERS).alias("last_l")))
 
 
 def replay_errors(rp: Replay, faulty: Log) -> DataFrame:
     """The rejected records of the derived log and the faulty records together."""
-    both = Log(**{f: getattr(rp.log, f).unionByName(getattr(faulty, f)) for f in Log.__dataclass_fields__})
+    both = rp.log.each(lambda name, df: df.unionByName(getattr(faulty, name)))
     return validate(rp.state, both)
 
 
-# --- reads as of their place in the log ------------------------------------------------
-
-def next_order_as_of(state: State, order_ids: DataFrame, req: DataFrame) -> DataFrame:
-    """``req`` (req_id = ord, w_id, d_id, ...) with ``next_o_id``: the district's next
-    order id when all earlier N records of the log have been applied."""
-    ev = order_ids.select("ord", "w_id", "d_id", F.lit(1).cast("long").alias("_n")) \
-        .unionByName(req.select(F.col("req_id").alias("ord"), "w_id", "d_id", F.lit(0).cast("long").alias("_n")))
-    seen = running_aggs(ev, ["w_id", "d_id"], "ord", [("_n", "_before", "sum", True)]) \
-        .where("_n = 0").select(F.col("ord").alias("req_id"), "_before")
-    d = state.district.select(F.col("d_w_id").alias("w_id"), "d_id", "d_next_o_id")
-    return req.join(seen, "req_id").join(d, ["w_id", "d_id"]) \
-              .withColumn("next_o_id", F.col("d_next_o_id") + F.col("_before")).drop("_before", "d_next_o_id")
-
-
-def after_orders(rp: Replay) -> State:
-    """The state with the orders and lines of the log's N records added (what reads as
-    of a point of the log look into; ranges of o_id keep later ones out)."""
-    new_o = rp.order_ids.select(F.col("w_id").alias("o_w_id"), F.col("d_id").alias("o_d_id"), "o_id",
-                                F.col("c_id").alias("o_c_id"))
-    new_l = rp.lines.select(F.col("w_id").alias("ol_w_id"), F.col("d_id").alias("ol_d_id"), F.col("o_id").alias("ol_o_id"),
-                            "ol_number", F.col("i_id").alias("ol_i_id"), F.col("qty").alias("ol_quantity"),
-                            F.col("amount").alias("ol_amount"))
-    return replace(rp.state, key=None, orders=rp.state.orders.unionByName(new_o, allowMissingColumns=True),
-                   orderline=rp.state.orderline.unionByName(new_l, allowMissingColumns=True))
-
-
-def stock_as_of(state: State, lines: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(req_id, i_id, s_quantity): for ``wanted`` (req_id = ord, w_id, i_id) the stock
-    after the last draw with a smaller ord, or that of ``state``.
-
-    Draws and reads of a stock key are numbered together by a running count;
-    a read then joins the draw with its own number."""
-    draws = lines.select("ord", F.col("supply_w_id").alias("w_id"), "i_id", "ol_number",
-                         F.col("s_quantity_after").alias("after"), F.lit(1).cast("long").alias("_n"))
-    reads = wanted.select(F.col("req_id").alias("ord"), "w_id", "i_id", F.lit(0).alias("ol_number"),
-                          F.lit(None).cast("int").alias("after"), F.lit(0).cast("long").alias("_n"))
-    ev = running_aggs(draws.unionByName(reads), ["w_id", "i_id"], "ord", [("_n", "_k", "sum", True)],
-                      tiebreak=["ol_number"])
-    last = ev.where("_n = 1").select("w_id", "i_id", "_k", "after")
-    asked = ev.where("_n = 0").select(F.col("ord").alias("req_id"), "w_id", "i_id", "_k")
-    keys = wanted.select(F.col("w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")).distinct()
-    base = state.stock_for(keys).select(F.col("s_w_id").alias("w_id"), F.col("s_i_id").alias("i_id"), "s_quantity")
-    return asked.join(last, ["w_id", "i_id", "_k"], "left").join(base, ["w_id", "i_id"]) \
-                .select("req_id", "i_id", F.coalesce("after", "s_quantity").alias("s_quantity"))
-
-
 # --- results of the replay ------------------------------------------------------------
 
 def replay_order_ids(rp: Replay) -> DataFrame:
@@ -256,8 +245,8 @@ def replay_delivery(rp: Replay) -> DataFrame:
     return rp.delivery
 
 
-def _balance_ledger(rp: Replay) -> DataFrame:
-    """(ord, w_id, d_id, c_id, delta_cents, kind) of every balance change."""
+def balance_ledger(rp: Replay) -> DataFrame:
+    """(ord, w_id, d_id, c_id, delta in cents, kind) of every balance change."""
     dl = rp.delivery.where(F.col("o_id").isNotNull())
     pays = rp.log.pay.select("ord", "w_id", "d_id", "c_id", (-cents(F.col("amount"))).alias("delta"),
                              F.lit("P").alias("kind"))
@@ -270,7 +259,7 @@ def replay_balance(rp: Replay) -> DataFrame:
     """Final customer rows after the log: balance, ytd payment, counts.
     A final state needs sums only: a map-side combined aggregation."""
     state = rp.state
-    led = _balance_ledger(rp)
+    led = balance_ledger(rp)
     g = led.groupBy("w_id", "d_id", "c_id").agg(
         F.sum("delta").alias("_d"),
         F.sum(F.when(F.col("kind") == "P", -F.col("delta")).otherwise(0)).alias("_ytd"),
@@ -304,7 +293,7 @@ def replay_reads(rp: Replay) -> DataFrame:
                                      F.col("o_c_id").alias("c_id")).agg(F.max("o_id").alias("base_o"))
     new_o = replay_order_ids(rp).select("ord", "w_id", "d_id", "c_id", "o_id",
                                         F.lit(0).cast("long").alias("delta"), F.lit(0).alias("is_read"))
-    led = _balance_ledger(rp).select("ord", "w_id", "d_id", "c_id",
+    led = balance_ledger(rp).select("ord", "w_id", "d_id", "c_id",
                                      F.lit(None).cast("long").alias("o_id"), "delta",
                                      F.lit(0).alias("is_read"))
     reads = rp.log.status.select("ord", "w_id", "d_id", "c_id", F.lit(None).cast("long").alias("o_id"),

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 MONEY = T.DecimalType(12, 2)
 RATE = T.DecimalType(4, 4)
 
-# Keys of every state table (the reference declares them as primary keys).
+# The primary key of every state table.
 KEYS = {
     "warehouse": ["w_id"],
     "district": ["d_w_id", "d_id"],
@@ -20,7 +20,7 @@ KEYS = {
     "pending_orders": ["o_w_id", "o_d_id", "o_id"],
 }
 
-# Headerless CSV layouts of the base tables, in file column order.
+# Headerless CSV layouts of the base tables, in file column order.
 CSV_SCHEMAS = {
     "warehouse": T.StructType([
         T.StructField("w_id", T.IntegerType()), T.StructField("w_name", T.StringType()),

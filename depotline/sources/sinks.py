@@ -17,6 +17,7 @@ import hashlib
 import os
 import threading
 import time
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -48,10 +49,12 @@ BUCKETED = {
 
 def _code_version() -> str:
     """Digest of the package sources: a snapshot or work table written by other
-    code is never reused."""
+    code is never reused.  The text operators write none of these tables."""
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     h = hashlib.sha1(SNAPSHOT_VERSION.encode())
     for dirpath, _dirs, files in sorted(os.walk(root)):
+        if os.path.relpath(dirpath, root).split(os.sep)[0] == "llm":
+            continue
         for f in sorted(files):
             if f.endswith(".py"):
                 with open(os.path.join(dirpath, f), "rb") as fh:
@@ -204,6 +207,11 @@ def _work_table(spark: SparkSession, p: str, name: str, build) -> DataFrame:
     return spark.read.parquet(p)
 
 
+def scratch_table(spark: SparkSession, name: str, df: DataFrame) -> DataFrame:
+    """A work table of this call's own: written each time and never reused."""
+    return work_table(spark, f"scratch-{uuid.uuid4().hex}", name, lambda: df)
+
+
 def write_results(df: DataFrame, path: str, batch: str = "0", errors: DataFrame | None = None) -> None:
     """A7: typed results of a batch, one folder per batch and transaction type, and
     its rejected records under ``errors``.  A repeated batch replaces its own

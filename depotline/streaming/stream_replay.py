@@ -39,7 +39,9 @@ def records_to_log(records: DataFrame, batch_id: int) -> Log:
     pay = r.where(F.col("txn_type") == "P").select("ord", "w_id", "d_id", "c_id", "amount")
     dlv = r.where(F.col("txn_type") == "D").select("ord", "w_id", "carrier_id")
     status = r.where(F.col("txn_type") == "O").select("ord", "w_id", "d_id", "c_id")
-    return Log(n_hdr=n_hdr, n_lines=n_lines, pay=pay, dlv=dlv, status=status)
+    reads = r.where(F.col("txn_type").isin("S", "I", "T", "R")).select(
+        "ord", "txn_type", "w_id", "d_id", "c_id", "threshold", "last_l")
+    return Log(n_hdr=n_hdr, n_lines=n_lines, pay=pay, dlv=dlv, status=status, reads=reads)
 
 
 def _latest_snapshot(spark: SparkSession, root: str, below: int) -> str:

@@ -86,3 +86,24 @@ def test_duplicate_lines_of_the_requested_order_do_not_count(spark, tmpdir_path)
     req = spark.createDataFrame([(1, 1, 1, 1)], "req_id long, w_id int, d_id int, c_id long")
     got = reads.related_customers_by_lines(replace(st, orders=orders, orderline=lines, key=None), req).collect()
     assert [(r.w_id, r.c_id) for r in got] == [(3, 6)]
+
+
+def test_reads_of_missing_rows_and_impossible_amounts(spark, tmpdir_path):
+    st, _ = fixture_state(spark, os.path.join(tmpdir_path, "fx"))
+    log = "\n".join(["S,9,9,60,2", "I,9,9,2", "R,9,9,9", "N,1,1,1,2", "1,1,11", "1,1,-11", "P,1,1,1,-5.00", "P,1,1,1,0.00", "T"])
+    out = _run(spark, os.path.join(tmpdir_path, "logs"), st, log, key="reads")
+    got = sorted((r.record_no, r.reason, r.text) for r in out["errors"].collect())
+    assert got == [(1, "unknown district", "S"), (2, "unknown district", "I"), (3, "unknown customer", "R"),
+                   (4, "quantity below 1", "N"), (5, "amount not above 0", "P"), (6, "amount not above 0", "P")]
+    assert all(out[k].count() == 0 for k in ("stock_level", "popular_items", "related_customers", "payments", "new_order_lines"))
+    assert out["top_balance"].count() == 1
+
+
+def test_draws_outside_the_closed_form_take_the_step_rule(spark, tmpdir_path):
+    from depotline.operators import writes
+    st, _ = fixture_state(spark, os.path.join(tmpdir_path, "fx"))
+    hdr = spark.createDataFrame([(0, 1, 1, 1), (1, 1, 1, 1)], "ord long, w_id int, d_id int, c_id long")
+    lines = spark.createDataFrame([(0, 1, 1, 1, 11), (1, 1, 1, 1, -11)], "ord long, ol_number int, i_id long, supply_w_id int, qty int")
+    got = writes.new_order_lines(st, hdr, lines).orderBy("ord").collect()
+    assert [(r.s_quantity_before, r.s_quantity_after) for r in got] == [(20, 109), (109, 120)]
+    assert [r.s_quantity for r in writes.stock_after(st, hdr, lines).collect()] == [120]
