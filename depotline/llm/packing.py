@@ -42,18 +42,19 @@ def pieces(df: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "
         ids = word_ids(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for d, t in zip(batch["i"].to_pylist(), batch["t"].to_pylist()):
-                raw = ids.text(t) + end
-                n = len(raw) // 4
-                for p in range(-(-n // capacity)):
-                    part = raw[p * capacity * 4:(p + 1) * capacity * 4]
-                    rows.append((d, p, p * capacity, len(part) // 4, zlib.crc32(part)))
-            if rows:
+            docs = iter(batch.column(0).to_pylist())
+            for flat, ends in ids.texts(batch.column(1)):
+                rows, flat, ends = [], flat.tobytes(), (4 * ends).tolist()
+                for a, b in zip(ends[:-1], ends[1:]):
+                    d, raw = next(docs), flat[a:b] + end
+                    n = len(raw) // 4
+                    for p in range(-(-n // capacity)):
+                        part = raw[p * capacity * 4:(p + 1) * capacity * 4]
+                        rows.append((d, p, p * capacity, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, t) for c, t in zip(zip(*rows), PIECE_TYPES)], PIECE_COLUMNS)
 
-    return df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")) \
+    return df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")) \
              .mapInArrow(cut, PIECE_SCHEMA)
 
 

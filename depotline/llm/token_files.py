@@ -9,9 +9,15 @@ A shard holds the documents of one range of doc_id in ascending order::
     footer: n uint64, index position uint64, magic
 
 A reader takes footer and index and then only the frames it wants.  The
-dictionary is trained once, on a bounded sample (``SAMPLE_DOCS`` whole
-documents of at most ``SAMPLE_BYTES`` of text, those with the smallest
-hashes), and written beside the shards; readers check its hash.
+dictionary is trained once, on a bounded sample (``SAMPLE_DOCS`` documents of
+all sizes, those with the smallest hashes; of a text longer than
+``SAMPLE_CHARS`` code points, that many from a place that the hash draws), and
+written beside the shards; readers check its hash.
+
+A shard takes about ``SHARD_BYTES`` of text, or less where there is less than
+that for each shuffle partition.  Documents are dealt by ranges of doc_id, and
+those of one id by the hash of their text and a number of their row, so an id
+that is repeated very often fills several shards.
 
 A task writes its shard under a name of its own and then moves it into
 place, so a repeated task leaves the same file.  Files are written through
@@ -28,9 +34,9 @@ import functools
 import hashlib
 import struct
 import zlib
+from array import array
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -43,10 +49,13 @@ from depotline.llm.tokens import word_ids
 END_ID = 2
 MAGIC = b"DLTK"
 SAMPLE_DOCS = 1_000
-SAMPLE_BYTES = 16_384
+SAMPLE_CHARS = 16_384
+SHARD_BYTES = 128 << 20
+LEAST_SHARD_BYTES = 1 << 20
+ROW_BYTES = 64  # what a document counts beside its text
 DICTIONARY_BYTES = 64 * 1024
 LEVEL = 3
-MANIFEST_SCHEMA = "shard int, file string, docs long, tokens long, bytes long"
+MANIFEST_SCHEMA = "shard int, file string, docs long, tokens long, bytes long, first_id long, last_id long"
 DOCUMENT_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -59,32 +68,36 @@ def id_width(tokenizer: str) -> int:
     return 2 if word_ids(tokenizer).tokenizer.get_vocab_size() <= 1 << 16 else 4
 
 
-def encode(ids, text: str | None, end_id: int, width: int) -> bytes:
-    raw = ids.text(text) + struct.pack("<I", end_id)
-    return raw if width == 4 else np.frombuffer(raw, "<u4").astype("<u2").tobytes()
+def encoded(ids, texts: pa.Array, end_id: int, width: int):
+    """The ids of each text and the end id, as bytes."""
+    for flat, ends in ids.texts(texts):
+        raw = np.insert(flat.astype(f"<u{width}"), ends[1:], end_id).tobytes()
+        stops = (width * (ends[1:] + np.arange(1, len(ends)))).tolist()
+        yield from (raw[a:b] for a, b in zip([0, *stops], stops))
 
 
-def train_dictionary(df: DataFrame, tokenizer: str, *, text: str, doc_id: str, end_id: int,
-                     sample_docs: int, sample_bytes: int) -> bytes:
+def train_dictionary(df: DataFrame, rows: int, tokenizer: str, *, text: str, doc_id: str, end_id: int,
+                     sample_docs: int, sample_chars: int) -> bytes:
     """The dictionary's bytes; empty if there is too little text to train on."""
     import zstandard
-    short = df.where(F.octet_length(text) <= sample_bytes).select(
-        F.xxhash64(F.col(doc_id), F.col(text)).alias("h"), F.col(text).alias("t"))
-    count = short.count()
-    if not count:
+    if not rows:
         return b""
     width = id_width(tokenizer)
-    share = min(1.0, 1.2 * sample_docs / count)
-    bound = int(-(1 << 63) + share * ((1 << 64) - 1))
+    bound = int(-(1 << 63) + min(1.0, 1.2 * sample_docs / rows) * ((1 << 64) - 1))
+    t, h = F.col(text).cast("string"), F.col("h")
+    some = df.select(F.xxhash64(F.col(doc_id), t).alias("h"), t.alias("t")).where(F.col("t") != "") \
+             .where(h <= min(bound, (1 << 63) - 1))
+    room = F.greatest(F.char_length("t") - sample_chars, F.lit(0))
+    some = some.select("h", F.col("t").substr((F.pmod(h, room + 1) + 1).cast("int"), F.lit(sample_chars)).alias("t"))
 
     def serialise(batches):
         ids = word_ids(tokenizer)
         for b in batches:
-            yield pd.DataFrame({"h": b["h"], "raw": [encode(ids, t, end_id, width) for t in b["t"]]})
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(encoded(ids, b.column(1), end_id, width), pa.binary())],
+                                             ["h", "raw"])
 
-    rows = short.where(F.col("h") <= min(bound, (1 << 63) - 1)).mapInPandas(serialise, "h long, raw binary") \
-                .orderBy("h").limit(sample_docs).collect()
-    samples = [bytes(r["raw"]) for r in rows]
+    found = some.mapInArrow(serialise, "h long, raw binary").orderBy("h").limit(sample_docs).collect()
+    samples = [bytes(r["raw"]) for r in found]
     size = min(DICTIONARY_BYTES, sum(map(len, samples)) // 8)
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
@@ -104,13 +117,14 @@ def compression(dictionary: bytes):
 
 def write_token_files(df: DataFrame, path: str, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id",
                       end_id: int = END_ID, sample_docs: int = SAMPLE_DOCS,
-                      sample_bytes: int = SAMPLE_BYTES, shards: int | None = None) -> DataFrame:
+                      sample_chars: int = SAMPLE_CHARS, shards: int | None = None) -> DataFrame:
     """Write the shards and the dictionary below ``path``; return the manifest
     (``MANIFEST_SCHEMA``), which is also written there as Parquet."""
     import zstandard
     spark = df.sparkSession
-    dictionary = train_dictionary(df, tokenizer, text=text, doc_id=doc_id, end_id=end_id,
-                                  sample_docs=sample_docs, sample_bytes=sample_bytes)
+    size = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length(F.col(text).cast("string"))).alias("bytes")).first()
+    dictionary = train_dictionary(df, size["rows"], tokenizer, text=text, doc_id=doc_id, end_id=end_id,
+                                  sample_docs=sample_docs, sample_chars=sample_chars)
     fs, root = filesystem(path)
     fs.create_dir(root, recursive=True)
     with fs.open_output_stream(f"{root}/dictionary.zstd") as f:
@@ -123,14 +137,13 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, *, text: str = "
         name = f"shard-{task.partitionId():06d}.bin"
         own = f"{folder}/.{name}-{task.taskAttemptId()}"
         ids, press = word_ids(tokenizer), zstandard.ZstdCompressor(level=LEVEL, dict_data=compression(dictionary))
-        docs, offsets, tokens, nulls, at = [], [38], [], [], 38
+        docs, offsets, tokens, nulls, at = array("q"), array("Q", [38]), array("I"), bytearray(), 38
         stream = None
         for b in batches:
-            for d, t in zip(b["i"].to_pylist(), b["t"].to_pylist()):
+            for d, raw in zip(b.column(0).to_pylist(), encoded(ids, b.column(1), end_id, width)):
                 if stream is None:
                     stream = out_fs.open_output_stream(own)
                     stream.write(MAGIC + bytes([1, width]) + digest)
-                raw = encode(ids, t, end_id, width)
                 frame = press.compress(raw)
                 stream.write(frame)
                 at += len(frame)
@@ -140,20 +153,27 @@ def write_token_files(df: DataFrame, path: str, tokenizer: str, *, text: str = "
                 tokens.append(len(raw) // width)
         if stream is None:
             return
-        index = (np.asarray(docs, "<i8").tobytes() + np.asarray(offsets, "<u8").tobytes()
-                 + np.asarray(tokens, "<u4").tobytes() + np.asarray(nulls, "u1").tobytes())
-        stream.write(index + struct.pack("<QQ", len(docs), at) + MAGIC)
+        parts = [np.asarray(docs, "<i8"), np.asarray(offsets, "<u8"), np.asarray(tokens, "<u4"), np.frombuffer(nulls, "u1")]
+        for part in parts:
+            stream.write(part.tobytes())
+        stream.write(struct.pack("<QQ", len(docs), at) + MAGIC)
         stream.close()
         out_fs.move(own, f"{folder}/{name}")
+        named = parts[0][parts[3] == 0]
+        first, last = (int(named[0]), int(named[-1])) if len(named) else (None, None)
         yield pa.RecordBatch.from_arrays(
             [pa.array([task.partitionId()], pa.int32()), pa.array([name]), pa.array([len(docs)]),
-             pa.array([sum(tokens)]), pa.array([at + len(index) + 20])],
-            ["shard", "file", "docs", "tokens", "bytes"])
-
-    n = shards or shuffle_partitions(spark)
-    rows = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")) \
-             .repartitionByRange(n, "i").sortWithinPartitions("i", "t")
-    manifest = rows.mapInArrow(write, MANIFEST_SCHEMA)
+             pa.array([int(parts[2].sum(dtype=np.int64))]), pa.array([at + sum(x.nbytes for x in parts) + 20]),
+             pa.array([first], pa.int64()), pa.array([last], pa.int64())],
+            ["shard", "file", "docs", "tokens", "bytes", "first_id", "last_id"])
+
+    total = (size["bytes"] or 0) + ROW_BYTES * size["rows"]
+    n = shards or max(1, -(-total // SHARD_BYTES), min(shuffle_partitions(spark), -(-total // LEAST_SHARD_BYTES)))
+    by = ["i", "h", "row"]
+    rows = df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")) \
+             .withColumns({"h": F.xxhash64("t"), "row": F.monotonically_increasing_id()}) \
+             .repartitionByRange(n, *by).sortWithinPartitions(*by)
+    manifest = rows.select("i", "t").mapInArrow(write, MANIFEST_SCHEMA)
     manifest.write.parquet(f"{path}/manifest")
     return spark.read.schema(MANIFEST_SCHEMA).parquet(f"{path}/manifest")
 
@@ -192,9 +212,10 @@ def read_dictionary(path: str) -> bytes:
 
 
 def read_documents(path: str, doc_ids: list[int], manifest: DataFrame) -> dict[int, np.ndarray]:
-    """The ids of a few documents, by index and offset only."""
+    """The ids of a few documents, by index and offset only, from the shards that may hold them."""
     dictionary, out = read_dictionary(path), {}
-    for row in manifest.collect():
+    wanted = F.lit(np.array(sorted(doc_ids), np.int64))
+    for row in manifest.where(F.exists(wanted, lambda i: i.between(F.col("first_id"), F.col("last_id")))).collect():
         s = Shard(path, row["file"], dictionary)
         for k in np.flatnonzero(np.isin(s.docs, doc_ids) & ~s.nulls):
             out[int(s.docs[k])] = s.ids(int(k))

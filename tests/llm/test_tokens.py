@@ -2,14 +2,15 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from depotline.llm.common import scratch_dir, table
 from depotline.llm.packing import default_tokenizer, op6_sum_of_squares_packing, pack_documents, sum_of_squares
-from depotline.llm.token_files import read_documents, scan_token_files, write_token_files
-from depotline.llm.tokens import WordIds, word_ids
-from tests.llm.data import edge_rows, frame
+from depotline.llm.token_files import read_dictionary, read_documents, scan_token_files, write_token_files
+from depotline.llm.tokens import PieceIds, word_ids
+from tests.llm.data import edge_rows, frame, words
 
 
 def library(text):
@@ -23,15 +24,31 @@ def as_bytes(ids):
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.sampled_from(list(" \n\tabcXYZéÉß's.,!|0123́Σİ\x1c\x85  <|>你\U0001f600")), max_size=60))
 def test_word_cache_equals_library(text):
-    assert word_ids(default_tokenizer()).text(text) == as_bytes(library(text))
+    ids = word_ids(default_tokenizer())
+    assert ids.by_pieces and ids.text(text) == as_bytes(library(text))
+    assert of_batch(ids, [text, None, text]) == [as_bytes(library(text)), b"", as_bytes(library(text))]
+
+
+def of_batch(ids, texts):
+    return [flat[a:b].tobytes() for flat, ends in ids.texts(pa.array(texts, pa.string())) for a, b in zip(ends[:-1], ends[1:])]
 
 
 def test_word_cache_on_given_texts_and_when_full(spark, monkeypatch):
-    monkeypatch.setattr("depotline.llm.tokens.CACHE_WORDS", 100)
-    ids = WordIds(default_tokenizer())
-    for r in table(spark, "/root/testdata/sf0.001", "documents", "text").collect():
-        assert ids.text(r["text"]) == as_bytes(library(r["text"]))
-    assert ids.text("<|endoftext|> x") == as_bytes(library("<|endoftext|> x"))
+    monkeypatch.setattr("depotline.llm.tokens.GENERATION", 100)
+    monkeypatch.setattr("depotline.llm.tokens.CHUNK_BYTES", 5_000)
+    ids = PieceIds(default_tokenizer())
+    texts = [r["text"] for r in table(spark, "/root/testdata/sf0.001", "documents", "text").collect()] + ["<|endoftext|> x"]
+    assert of_batch(ids, texts) == [as_bytes(library(t)) for t in texts]
+    assert [ids.text(t) for t in texts] == [as_bytes(library(t)) for t in texts]
+
+
+def test_vocabulary_with_another_pre_tokeniser():
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    ids = PieceIds(path)
+    texts = ["It's  a Test, 123 days", "naïve\nwords", ""]
+    assert not ids.by_pieces
+    assert of_batch(ids, texts) == [as_bytes(ids.tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
 
 
 @settings(max_examples=60, deadline=None)
@@ -118,3 +135,22 @@ def test_token_files_edges(spark):
     path = scratch_dir(spark, "token-none")
     write_token_files(frame(spark, []), path, default_tokenizer())
     assert scan_token_files(spark, path).count() == 0
+
+
+def test_dictionary_of_long_texts_only(spark):
+    path = scratch_dir(spark, "token-long")
+    docs = {i: " ".join(words(i, 6_000, 400)) for i in range(40)}
+    manifest = write_token_files(frame(spark, list(docs.items())), path, default_tokenizer(), shards=2, sample_chars=2_000)
+    assert read_dictionary(path)
+    got = read_documents(path, [3, 39], manifest)
+    assert {d: got[d].tobytes() for d in got} == {d: as_bytes([*library(docs[d]), 2]) for d in (3, 39)}
+
+
+def test_one_id_in_many_shards(spark):
+    path = scratch_dir(spark, "token-one-id")
+    rows = [(5, "the same row")] * 300 + [(5, f"row {i}") for i in range(100)] + [(4, "a"), (6, "b")]
+    manifest = write_token_files(frame(spark, rows), path, default_tokenizer(), shards=6).collect()
+    assert sum(r.docs for r in manifest) == len(rows) and max(r.docs for r in manifest) < 200
+    got = sorted((r["start"], r["doc_id"], r["n_tokens"]) for r in scan_token_files(spark, path).collect())
+    assert [d for _, d, _ in got] == [4] + [5] * 400 + [6]
+    assert [s for s, _, _ in got] == [sum(n for _, _, n in got[:k]) for k in range(len(got))]
