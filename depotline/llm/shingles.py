@@ -3,7 +3,8 @@
 Words are runs of bytes other than ASCII white space, after A-Z are
 lower-cased.  A word's hash is a polynomial in its bytes modulo 2^64, taken
 from prefix sums over the whole batch; a shingle's hash mixes the hashes of
-its words in order.
+its words in order.  Texts go through in chunks of about ``CHUNK_BYTES``, and a
+longer text in slices cut at white space, so the working arrays stay small.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ import numpy as np
 from depotline.llm.keytable import MULTIPLIER
 
 BASE = 0x5851F42D4C957F2D  # fixed value: an odd multiplier modulo 2^64
-CHUNK_BYTES = 1 << 22
+CHUNK_BYTES = 1 << 18
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -38,11 +39,28 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(start, hash) of each word of a byte array."""
+    starts, hashes, first = [], [], 0
+    while first < len(data):
+        last = min(len(data), first + 2 * CHUNK_BYTES)
+        if last < len(data):
+            white = np.flatnonzero(_WHITE[data[first:last]])
+            while not len(white) and last < len(data):  # a word longer than the slice stays whole
+                last = min(len(data), 2 * last - first)
+                white = np.flatnonzero(_WHITE[data[first:last]])
+            last = first + int(white[-1]) + 1 if len(white) else len(data)
+        start, h = _word_hashes(data[first:last])
+        starts.append(start + first)
+        hashes.append(h)
+        first = last
+    return (np.concatenate(starts), np.concatenate(hashes)) if starts else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+
+
+def _word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     word = ~_WHITE[data]
     edge = np.diff(word.astype(np.int8), prepend=0, append=0)
     start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    size = max(CHUNK_BYTES, 1 << int(len(data)).bit_length())
-    up, down = powers(size)
+    small = len(data) <= 2 * CHUNK_BYTES
+    up, down = powers(2 * CHUNK_BYTES) if small else powers.__wrapped__(len(data))  # large ones aren't kept
     total = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:len(data)])])
     return start, mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * MULTIPLIER)
 
