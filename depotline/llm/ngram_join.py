@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depotline.llm.common import drop_table, table, write_table
+from depotline.llm.common import WHITE, drop_table, table, write_table
 from depotline.llm.components import components
 from depotline.llm.shingles import mixed, shingle_sets
 
@@ -49,7 +49,10 @@ LIST = pa.list_(pa.int64())
 
 
 def _sets(df: DataFrame, size: int, sift: bool) -> DataFrame:
-    """(id, h, n, s): class hash, set size and, sorted by hash, the set or its sift prefix."""
+    """(id, h, n, s): class hash, set size and, sorted by hash, the set or its sift prefix;
+    columns of ``df`` after id and text follow."""
+    more = df.columns[2:]
+
     def make(batches):
         for b in batches:
             ids, texts = b.column(0), b.column(1).to_pylist()
@@ -62,9 +65,11 @@ def _sets(df: DataFrame, size: int, sift: bool) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(keep)], pa.int32()),
                                                  pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(first, len(sets)), pa.array(h, pa.int64()), pa.array(n), lists], ["id", "h", "n", "s"])
+                    [ids.slice(first, len(sets)), pa.array(h, pa.int64()), pa.array(n), lists,
+                     *[b.column(c).slice(first, len(sets)) for c in more]], ["id", "h", "n", "s", *more])
 
-    return df.mapInArrow(make, "id long, h long, n long, s array<long>")
+    return df.mapInArrow(make, ", ".join(["id long, h long, n long, s array<long>", *[
+        f"`{c}` {df.schema[c].dataType.simpleString()}" for c in more]]))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -210,35 +215,47 @@ def narrow(rows: DataFrame, *cols: str) -> DataFrame:
     return out
 
 
-def near_duplicates(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SIZE) -> DataFrame:
-    """One row per row of ``df``: id, n_shingles, component_id."""
-    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+def linked_rows(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (id, n, h, ...) of ``docs`` (id, text, ...), and for each class (h) of documents
+    with shingles its smallest id and its component (a class; null: without links)."""
+    more = docs.columns[2:]
     rows = write_table(_sets(docs, size, sift=True), "sift-sets")
     classes = write_table(rows.where("n > 0 and id is not null").groupBy("h")
                           .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("s").alias("s")), "classes")
     kept = sift(classes)
     # the lists of shingles are the bulk of both tables and not needed any more
-    rows, classes = narrow(rows, "id", "n", "h"), narrow(classes, "h", "id")
-    linked = link_classes(ordered_sets(docs, kept, size)).select(F.col("node").alias("h"), "comp")
-    near = write_table(classes.select("h", "id").join(linked, "h"), "linked-classes")
-    root = near.groupBy("comp").agg(F.min("id").alias("component_id"))
-    near = write_table(near.join(root, "comp").select("h", "component_id"), "linked-roots")
-    of_class = write_table(classes.select("h", "id").join(near, "h", "left")
+    rows, classes = narrow(rows, "id", "n", "h", *more), narrow(classes, "h", "id")
+    linked = link_classes(ordered_sets(docs.select("id", "text"), kept, size)).select(F.col("node").alias("h"), "comp")
+    return rows, write_table(classes.join(linked, "h", "left"), "linked-classes")
+
+
+def near_duplicates(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SIZE) -> DataFrame:
+    """One row per row of ``df``: id, n_shingles, component_id."""
+    docs = df.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    rows, classes = linked_rows(docs, size)
+    root = classes.where("comp is not null").groupBy("comp").agg(F.min("id").alias("component_id"))
+    of_class = write_table(classes.join(root, "comp", "left")
                            .select("h", F.coalesce("component_id", "id").alias("component_id")), "class-components")
     return rows.select("id", "n", "h").join(of_class, "h", "left").select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"),
         F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
-def keep_one(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``df`` less the documents that are linked to one with a smaller id.  Rows
-    without an id stay; of rows that share an id the first by text stays."""
-    near = near_duplicates(df.where(F.col(doc_id).isNotNull()), text=text, doc_id=doc_id)
-    first = near.where("doc_id = component_id").select(F.col("doc_id").alias("_ll_id")).distinct()
-    kept = df.join(first, F.col(doc_id) == F.col("_ll_id"))
-    one = Window.partitionBy("_ll_id").orderBy(F.col(text).asc_nulls_last())
-    kept = kept.withColumn("_ll_n", F.row_number().over(one)).where("_ll_n = 1").drop("_ll_n", "_ll_id")
-    return kept.unionByName(df.where(F.col(doc_id).isNull()))
+def keep_one(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id", size: int = SIZE) -> DataFrame:
+    """``df`` with one row of each group of linked or equal documents: that of the smallest id
+    (rows of one id: of the smallest hash of the text).  Rows without an id or
+    without words stay, and so do rows that share an id and aren't linked."""
+    i, t = F.col(doc_id).cast("long"), F.col(text).cast("string")
+    wordless = F.coalesce(F.translate(t, WHITE, ""), F.lit("")) == ""
+    alone = F.col(doc_id).isNull() | wordless
+    docs = df.where(~alone).select(i.alias("id"), t.alias("text"), F.xxhash64(t).alias("x"))
+    rows, classes = linked_rows(docs, size)
+    group = rows.join(classes.select("h", "comp"), "h").groupBy(F.coalesce("comp", "h"))
+    first = group.agg(F.min(F.struct("id", "x")).alias("f")).select(F.col("f.id").alias("_ll_id"), F.col("f.x").alias("_ll_x"))
+    kept = df.where(~alone).join(first, (i == F.col("_ll_id")) & (F.xxhash64(t) == F.col("_ll_x")))
+    one = Window.partitionBy("_ll_id", "_ll_x").orderBy("_ll_id")  # exact repeats
+    kept = kept.withColumn("_ll_n", F.row_number().over(one)).where("_ll_n = 1").drop("_ll_n", "_ll_id", "_ll_x")
+    return kept.unionByName(df.where(alone))
 
 
 def op7_grouped_prefix_join(spark, sf_dir) -> DataFrame:
