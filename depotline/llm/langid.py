@@ -33,6 +33,7 @@ from depotline.llm.keytable import KeyTable
 
 ORDER = 4
 TRAIN_DOCS = 400
+TRAIN_TOTAL = 40_000  # documents of all languages; more than 100 languages have fewer each
 TRAIN_BYTES = 32_768
 TRAIN_PIECES = 8
 CHUNK_BYTES = 1 << 20
@@ -60,11 +61,11 @@ def training_sample(df: DataFrame, text: str, lang: str, doc_id: str, train_docs
                  & (F.octet_length(text) > 0)) \
           .select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"),
                   F.pmod(F.xxhash64(F.col(doc_id), F.col(text)), F.lit(1 << 30)).alias("h"))
-    counts = d.groupBy("lang").count().collect()  # one row per language
-    bound = F.lit(0)
-    for r in counts:
-        share = min(1.0, train_docs / r["count"])
-        bound = F.when(F.col("lang") == r["lang"], int(share * (1 << 30))).otherwise(bound)
+    # one row per language, written so that the planner knows its size
+    counts = write_table(d.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    each = max(1, min(train_docs, TRAIN_TOTAL // max(1, counts.count())))
+    bound = F.floor(F.least(F.lit(1.0), F.lit(float(each)) / F.col("n")) * (1 << 30))
+    d = d.join(counts, "lang")
     return d.where(F.col("h") < bound).select("lang", F.explode(pieces("text", train_bytes)).alias("text"))
 
 

@@ -1,3 +1,4 @@
+import binascii
 import math
 import zlib
 from collections import Counter, defaultdict
@@ -134,3 +135,11 @@ def test_toxicity_edges(spark, labels):
     assert len(out) == len(edge_rows()) and all(0 <= r["score"] <= 1 for r in out)
     assert len({r["score"] for r in out}) == 1
     assert toxicity.classify(frame(spark, []), toxicity.fit(df, lab)).count() == 0
+
+
+def test_two_thousand_languages(spark):
+    """One language a document, and more than a plan could hold as nested conditions."""
+    rows = [(i, f"{chr(97 + i % 26) * 3}{chr(97 + i // 26 % 26) * 3}{chr(97 + i // 676 % 26) * 3}", f"l{i:04d}", "a") for i in range(2000)]
+    sample = langid.training_sample(frame(spark, rows), "text", "lang", "doc_id", 400, 32_768)
+    learned = [r for r in rows if binascii.crc32(str(r[0]).encode()) % 4 != 2]
+    assert sorted((r["lang"], r["text"]) for r in sample.collect()) == sorted((r[2], r[1]) for r in learned)
