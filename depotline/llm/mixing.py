@@ -25,7 +25,9 @@ ratios stay as the weights say.  No document is dropped or repeated.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import accumulate
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from depotline.functions.sequencing import dense_number
@@ -49,11 +51,10 @@ def given_weights(df: DataFrame, weights: dict[str, float], source: str = "sourc
                   slots: int = FRAME_SLOTS) -> DataFrame:
     """(_ll_src, _ll_quota) from weights by source name; others get one block."""
     total = sum(weights.values()) or 1.0
-    quota = F.lit(1)
-    for name, w in weights.items():
-        quota = F.when(F.col("_ll_src") == "s" + name, max(1, int(w * slots / total + 0.5))).otherwise(quota)
-    return df.select(_source_key(source).alias("_ll_src")).distinct() \
-             .withColumn("_ll_quota", quota.cast("int"))
+    given = [("s" + name, max(1, int(w * slots / total + 0.5))) for name, w in weights.items()]
+    given = df.sparkSession.createDataFrame(given, "_ll_src string, _ll_quota int")
+    return df.select(_source_key(source).alias("_ll_src")).distinct().join(given, "_ll_src", "left") \
+             .select("_ll_src", F.coalesce("_ll_quota", F.lit(1)).alias("_ll_quota"))
 
 
 def _source_key(source: str):
@@ -63,25 +64,51 @@ def _source_key(source: str):
 
 def schedule_frame(quotas: DataFrame) -> DataFrame:
     """(_ll_src, _ll_quota, _ll_frame, _ll_slots): the slots of one frame, by
-    source, from earliest-deadline-first.  One row per source."""
-    one = quotas.agg(F.array_sort(F.collect_list(F.struct("_ll_src", "_ll_quota"))).alias("_ll_s"),
-                     F.sum("_ll_quota").cast("int").alias("_ll_frame"))
-    one = one.where(F.size("_ll_s") > 0)
-    # done[i]: blocks of source i so far; picked: the source of each slot so far
+    source, from earliest-deadline-first.  One row per source.
+
+    Only sources of several blocks (fewer than the frame was asked to have
+    slots) are scheduled slot by slot, in one row.  The block of any other source
+    is due at the frame's end, so these are due one after the other by name; the
+    fold knows how many come before each of the scheduled names, and they take
+    the slots that it leaves free."""
+    quotas = write_table(quotas, "mix-quotas")
+    many, ones = quotas.where("_ll_quota > 1"), quotas.where("_ll_quota <= 1").select("_ll_src")
+    # a few figures that come to the driver: the frame's size and, for each scheduled source, its name and the others before it
+    frame = quotas.agg(F.coalesce(F.sum("_ll_quota"), F.lit(0)).cast("int")).first()[0]
+    names = sorted(r["_ll_src"] for r in many.select("_ll_src").collect())
+    names = F.lit(names) if names else F.array().cast("array<string>")
+    behind = ones.groupBy(F.size(F.filter(names, lambda m: m < F.col("_ll_src"))).alias("k")).count().collect()
+    counts = {r["k"]: r["count"] for r in behind}  # at most one row more than there are scheduled sources
+    before = F.lit(list(accumulate(counts.get(k, 0) for k in range(max(counts, default=0) + 1))))
+    before = before[F.least(F.col("_ll_s._ll_i"), F.size(before) - 1)]
+    numbered = many.withColumn("_ll_i", F.size(F.filter(names, lambda m: m < F.col("_ll_src"))))
+    one = numbered.select(F.struct("_ll_src", "_ll_quota", "_ll_i").alias("_ll_s")) \
+        .select(F.struct("_ll_s._ll_src", "_ll_s._ll_quota", before.alias("before")).alias("_ll_s")) \
+        .agg(F.array_sort(F.collect_list("_ll_s")).alias("_ll_s"))
+    one = one.select("_ll_s", F.lit(frame).alias("_ll_frame"), F.lit(sum(counts.values())).alias("_ll_n"))
+    # done[i]: blocks of source i so far; ones: others so far; taken: (slot, source) of the scheduled blocks
     pick = """
       aggregate(sequence(0, _ll_frame - 1),
-        named_struct('done', array_repeat(0, size(_ll_s)), 'picked', cast(array() as array<int>)),
+        named_struct('done', array_repeat(0, size(_ll_s)), 'ones', 0, 'taken', cast(array() as array<struct<t:int,i:int>>)),
         (st, t) -> aggregate(array(array_min(filter(transform(_ll_s, (s, i) -> named_struct(
               'due', if(st.done[i] < s._ll_quota and floor(st.done[i] * _ll_frame / s._ll_quota) <= t,
-                        ceil((st.done[i] + 1) * _ll_frame / s._ll_quota), null), 'i', i)), x -> x.due is not null)).i),
-            st, (w, best) -> named_struct(
-              'done', transform(w.done, (d, i) -> if(i = best, d + 1, d)),
-              'picked', concat(w.picked, array(best)))),
-        st -> st.picked)"""
-    one = one.withColumn("_ll_picked", F.expr(pick))
-    src = one.select("_ll_frame", "_ll_picked", F.posexplode("_ll_s").alias("_ll_i", "_ll_s"))
-    slots = F.expr("filter(transform(_ll_picked, (p, t) -> if(p = _ll_i, t, null)), x -> x is not null)")
-    return src.select("_ll_s._ll_src", "_ll_s._ll_quota", "_ll_frame", slots.alias("_ll_slots"))
+                        ceil((st.done[i] + 1) * _ll_frame / s._ll_quota), null), 'i', i)), x -> x.due is not null))),
+            st, (w, best) -> if(
+              w.ones < _ll_n and (best is null or (best.due = _ll_frame and w.ones < _ll_s[best.i].before)),
+              named_struct('done', w.done, 'ones', w.ones + 1, 'taken', w.taken),
+              named_struct('done', transform(w.done, (d, i) -> if(i = best.i, d + 1, d)), 'ones', w.ones,
+                           'taken', concat(w.taken, array(named_struct('t', t, 'i', best.i)))))),
+        st -> st.taken)"""
+    taken = one.where("_ll_frame > 0").select("_ll_s", F.expr(pick).alias("_ll_taken"))
+    src = taken.select("_ll_taken", F.posexplode("_ll_s").alias("_ll_i", "_ll_s"))
+    slots = F.expr("transform(filter(_ll_taken, x -> x.i = _ll_i), x -> x.t)")
+    scheduled = write_table(src.select("_ll_s._ll_src", "_ll_s._ll_quota", F.lit(frame).alias("_ll_frame"), slots.alias("_ll_slots")), "mix-scheduled")
+    # the p-th free slot is p and the number of taken ones before it; one row per source here
+    full = sorted(t for r in scheduled.select("_ll_slots").collect() for t in r["_ll_slots"])
+    full = F.lit([t - j for j, t in enumerate(full)]) if full else F.array().cast("array<int>")
+    place = ones.withColumn("_ll_p", F.row_number().over(Window.orderBy("_ll_src")) - 1)
+    at = F.col("_ll_p") + F.size(F.filter(full, lambda y: y <= F.col("_ll_p")))
+    return scheduled.unionByName(place.select("_ll_src", F.lit(1).alias("_ll_quota"), F.lit(frame).alias("_ll_frame"), F.array(at).alias("_ll_slots")))
 
 
 def mix(df: DataFrame, quotas: DataFrame | None = None, *, source: str = "source",

@@ -1,3 +1,4 @@
+import time
 from collections import Counter
 
 import pytest
@@ -52,3 +53,22 @@ def test_edges(spark):
     assert {r["source"] for r in out} == {"a", "b", "c", None}
     assert "score" in mix(df).columns and mix(df).columns.count("slot") == 1
     assert mix(frame(spark, [])).count() == 0
+
+
+def test_many_sources_of_one_block(spark):
+    """The same as scheduling every source, and twenty thousand of them in seconds."""
+    weights = {"m1": 6, "b": 3, "x": 2, **{f"{c}{i}": 0.01 for i in range(5) for c in "anz"}}
+    rows = schedule_frame(given_weights(frame(spark, [(i, "x", "en", s) for i, s in enumerate(weights)]), weights, slots=20)).collect()
+    order = earliest_deadline_first({r["_ll_src"]: r["_ll_quota"] for r in rows})
+    assert {r["_ll_src"]: r["_ll_slots"] for r in rows} == {
+        r["_ll_src"]: [t for t, s in enumerate(order) if s == r["_ll_src"]] for r in rows}
+    many = spark.range(20_000).selectExpr("concat('s', id) as _ll_src", "if(id % 2000 = 7, 25, 1) as _ll_quota")
+    began = time.time()
+    slots = sorted(t for r in schedule_frame(many).collect() for t in r["_ll_slots"])
+    assert slots == list(range(20_000 + 24 * 10)) and time.time() - began < 60
+
+
+def test_many_weights(spark):
+    df = spark.range(700).selectExpr("concat('w', id) as source")
+    got = given_weights(df, {f"w{i}": 1.0 for i in range(600)}, slots=1200).collect()
+    assert len(got) == 700 and sum(r["_ll_quota"] for r in got) == 1300
