@@ -159,6 +159,87 @@ def _register_writes():
 _register_writes()
 
 
+# --- chained batches, audit of two snapshots -------------------------------------------
+
+def _register_chain():
+    from pyspark.sql import functions as F
+
+    from depotline.functions.money import cents
+    from depotline.operators import checks as C
+    from depotline.plans import chain as CH
+    from depotline.plans.replay import replay_context
+    from depotline.sources.adapter import State
+    from depotline.sources.sinks import WRITE_LOCK, work_path
+
+    def chained(spark, sf_dir):
+        """(base state, state after the derived log in two batches, joined by their deltas)."""
+        rp = replay_context(spark, sf_dir)
+        half = rp.log.pay.select(F.expr("max(ord) div 2")).scalar()
+        with WRITE_LOCK:
+            root = work_path(spark, rp.key, "chain")
+            return rp.state, CH.run_chain(spark, rp.state, list(CH.split_log(rp.log, half)), root, f"{rp.key}-chain")
+
+    def final_rows(st):
+        """A state as (tbl, w_id, d_id, id, v1, v2, v3)."""
+        def rows(df, tbl, w, d, key, v1, v2, v3):
+            long = [c.cast("long") for c in (key, v1, v2, v3)]
+            return df.select(F.lit(tbl).alias("tbl"), F.col(w).cast("int").alias("w_id"), d.cast("int").alias("d_id"),
+                             *[c.alias(n) for c, n in zip(long, ("id", "v1", "v2", "v3"))])
+
+        lines = st.orderline.groupBy("ol_w_id", "ol_d_id", "ol_o_id").agg(
+            F.count(F.lit(1)).alias("n"), cents(F.sum("ol_amount")).alias("a"), F.count("ol_delivery_d").alias("sent"))
+        c = F.col
+        return rows(st.customer, "customer", "c_w_id", c("c_d_id"), c("c_id"), cents(c("c_balance")), c("c_payment_cnt"),
+                    c("c_delivery_cnt")) \
+            .unionByName(rows(st.district, "district", "d_w_id", c("d_id"), F.lit(0), c("d_next_o_id"), cents(c("d_ytd")), F.lit(0))) \
+            .unionByName(rows(st.warehouse, "warehouse", "w_id", F.lit(0), F.lit(0), cents(c("w_ytd")), F.lit(0), F.lit(0))) \
+            .unionByName(rows(st.orders, "order", "o_w_id", c("o_d_id"), c("o_id"), c("o_c_id"), c("o_carrier_id"), F.lit(0))) \
+            .unionByName(rows(lines, "lines", "ol_w_id", c("ol_d_id"), c("ol_o_id"), c("n"), c("a"), c("sent"))) \
+            .unionByName(rows(st.stock_overrides, "stock", "s_w_id", F.lit(0), c("s_i_id"), c("s_quantity"), c("s_ytd"),
+                              c("s_order_cnt")))
+
+    def with_faults(old, st):
+        """``st`` with faults of every kind that the audit looks for, chosen by ids."""
+        delivered = old.orders.where("o_carrier_id is not null")
+        gone = delivered.where("o_id % 59 = 0").select("o_w_id", "o_d_id", "o_id")
+        orders = st.orders.join(gone, ["o_w_id", "o_d_id", "o_id"], "left_anti") \
+            .withColumn("o_carrier_id", F.expr("o_carrier_id + if(o_id % 53 = 0, 1, 0)")) \
+            .withColumn("o_entry_d", F.expr("o_entry_d + if(o_id % 71 = 0, interval 1 day, interval 0 day)"))
+        on = (F.col("ol_w_id") == F.col("o_w_id")) & (F.col("ol_d_id") == F.col("o_d_id")) & (F.col("ol_o_id") == F.col("o_id"))
+        lines = st.orderline.join(gone, on, "left_anti") \
+            .withColumn("ol_quantity", F.expr("ol_quantity + if(ol_o_id % 47 = 0 and ol_number = 1, 1, 0)"))
+        cust = st.customer.where("c_id % 97 <> 0") \
+            .withColumn("c_balance", F.expr("c_balance + if(c_id % 89 = 0, 1, 0)")) \
+            .withColumn("c_delivery_cnt", F.expr("c_delivery_cnt + if(c_id % 83 = 0, 1, 0)")) \
+            .withColumn("c_payment_cnt", F.expr("c_payment_cnt - if(c_id % 79 = 0, 1000000, 0)"))
+        dist = st.district.where("not (d_w_id = 3 and d_id = 1)") \
+            .withColumn("d_next_o_id", F.expr("d_next_o_id - if(d_id = 2, 1000000, 0)"))
+        wh = st.warehouse.withColumn("w_ytd", F.expr("w_ytd + if(w_id = 2, 1, 0)"))
+        return State(warehouse=wh, district_base=st.district_base, district=dist, customer=cust, orders=orders,
+                     orderline=lines, item=st.item, sources=st.sources, stock_overrides=st.stock_overrides)
+
+    def audit(spark, sf_dir):
+        old, new = chained(spark, sf_dir)
+        return C.audit_states(old, with_faults(old, new)).drop("detail")
+
+    def check_fk_orphans(spark, sf_dir):
+        """A4 where parents are missing: every seventh customer and every eleventh part."""
+        t = {n: spark.read.parquet(f"{sf_dir}/{n}.parquet")
+             for n in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")}
+        t["customer"] = t["customer"].where("c_custkey % 7 <> 0")
+        t["part"] = t["part"].where("p_partkey % 11 <> 0")
+        return C.check_fk(t)
+
+    QUERIES.update({
+        "chain_two_batches": lambda spark, sf_dir: final_rows(chained(spark, sf_dir)[1]),
+        "audit_snapshots": audit,
+        "check_fk_orphans": check_fk_orphans,
+    })
+
+
+_register_chain()
+
+
 # --- checks, metrics, log ingest, reports, ledger ----------------------------------------
 
 def _register_misc():

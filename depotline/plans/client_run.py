@@ -25,15 +25,48 @@ from pyspark.sql import functions as F
 from depotline.operators import reads
 from depotline.plans.chain import apply_batch
 from depotline.plans.as_of import next_order_as_of, order_status_as_of, related_as_of, stock_as_of, top_balance_as_of
-from depotline.plans.replay import balance_ledger, replay_reads
+from depotline.plans.replay import Log, Replay, balance_ledger, replay_reads
 from depotline.sources.adapter import State
 from depotline.sources.sinks import work_table
 from depotline.sources.txlog import client_interleave, read_txlog
-from depotline.streaming.stream_replay import records_to_log
 
 TOP_K = 10
 
 
+# ord of batch b starts at b * BATCH_ORD_SPAN (records of later batches sort later)
+BATCH_ORD_SPAN = 1 << 40
+
+
+def records_to_log(records: DataFrame, batch_id: int) -> Log:
+    r = client_interleave(records).withColumn("ord", F.col("ord") + F.lit(batch_id * BATCH_ORD_SPAN))
+    n = r.where(F.col("txn_type") == "N")
+    n_hdr = n.select("ord", "w_id", "d_id", "c_id")
+    n_lines = n.select("ord", F.posexplode("lines").alias("_p", "l")).select(
+        "ord", (F.col("_p") + 1).cast("int").alias("ol_number"), F.col("l.i_id").alias("i_id"),
+        F.col("l.supply_w_id").alias("supply_w_id"), F.col("l.qty").alias("qty"))
+    pay = r.where(F.col("txn_type") == "P").select("ord", "w_id", "d_id", "c_id", "amount")
+    dlv = r.where(F.col("txn_type") == "D").select("ord", "w_id", "carrier_id")
+    status = r.where(F.col("txn_type") == "O").select("ord", "w_id", "d_id", "c_id")
+    reads = r.where(F.col("txn_type").isin("S", "I", "T", "R")).select(
+        "ord", "txn_type", "w_id", "d_id", "c_id", "threshold", "last_l")
+    return Log(n_hdr=n_hdr, n_lines=n_lines, pay=pay, dlv=dlv, status=status, reads=reads)
+
+
+def answers(rp: Replay, after: State, as_of_ts: str = "2000-01-01 00:00:00") -> dict[str, DataFrame]:
+    """The read records of a batch answered as of their place; ``after`` is the state
+    that the batch leaves."""
+    levels = next_order_as_of(rp.state, rp.order_ids, rp.log.asked("S", "w_id", "d_id", "threshold", "last_l"))
+    recent = next_order_as_of(rp.state, rp.order_ids, rp.log.asked("I", "w_id", "d_id", "last_l"))
+    return {
+        "order_status": order_status_as_of(rp, replay_reads(rp), as_of_ts),
+        "stock_level": reads.stock_level(after, levels, stock_as_of(rp.state, rp.lines, reads.recent_items(after, levels))),
+        "popular_items": reads.popular_items(after, recent),
+        "popular_item_pct": reads.popular_item_pct(after, recent),
+        "top_balance": top_balance_as_of(rp, rp.log.asked("T").withColumnRenamed("req_id", "ord"), balance_ledger(rp), TOP_K),
+        "related_customers": related_as_of(rp, rp.log.asked("R", "w_id", "d_id", "c_id")),
+    }
+
+
 def run_log(spark: SparkSession, state: State, path: str, skip=(), as_of_ts: str = "2000-01-01 00:00:00",
             key: str | None = None) -> dict[str, DataFrame]:
     records, errors = read_txlog(spark, path, skip)
@@ -46,8 +79,6 @@ def run_log(spark: SparkSession, state: State, path: str, skip=(), as_of_ts: str
     r = client_interleave(records)
     missing = rp.errors.select("ord", "reason").join(r.select("ord", "file", "record_no", "txn_type"), "ord") \
                 .select("file", "record_no", "reason", F.col("txn_type").alias("text"))
-    levels = next_order_as_of(state, rp.order_ids, rp.log.asked("S", "w_id", "d_id", "threshold", "last_l"))
-    recent = next_order_as_of(state, rp.order_ids, rp.log.asked("I", "w_id", "d_id", "last_l"))
     return {
         "errors": errors.unionByName(missing),
         "state": nxt,
@@ -55,10 +86,5 @@ def run_log(spark: SparkSession, state: State, path: str, skip=(), as_of_ts: str
         "new_order_lines": rp.lines,
         "payments": rp.log.pay,
         "deliveries": rp.delivery,
-        "order_status": order_status_as_of(rp, replay_reads(rp), as_of_ts),
-        "stock_level": reads.stock_level(nxt, levels, stock_as_of(state, rp.lines, reads.recent_items(nxt, levels))),
-        "popular_items": reads.popular_items(nxt, recent),
-        "popular_item_pct": reads.popular_item_pct(nxt, recent),
-        "top_balance": top_balance_as_of(rp, rp.log.asked("T").withColumnRenamed("req_id", "ord"), balance_ledger(rp), TOP_K),
-        "related_customers": related_as_of(rp, rp.log.asked("R", "w_id", "d_id", "c_id")),
+        **answers(rp, nxt, as_of_ts),
     }

@@ -567,11 +567,14 @@ def _pk_sql() -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-def _fk_sql() -> str:
+def _fk_sql(kept: dict[str, str] | None = None) -> str:
+    """``kept``: condition of the parent rows that are not missing, by table."""
     parts = []
     for c, cc, p, pc in _FK:
+        where = (kept or {}).get(p, "true")
+        also = (kept or {}).get(c, "true")
         parts.append(f"SELECT '{c}->{p}' AS fk, CAST({cc} AS VARCHAR) AS key, count(*) AS n_rows FROM {c} "
-                     f"WHERE {cc} NOT IN (SELECT {pc} FROM {p} WHERE {pc} IS NOT NULL) AND {cc} IS NOT NULL "
+                     f"WHERE {cc} NOT IN (SELECT {pc} FROM {p} WHERE {pc} IS NOT NULL AND {where}) AND {cc} IS NOT NULL AND {also} "
                      f"GROUP BY {cc}")
     return "\nUNION ALL\n".join(parts)
 
@@ -584,6 +587,7 @@ def _money_text(col: str) -> str:
 MISC = {
     "check_pk": _pk_sql(),
     "check_fk": _fk_sql(),
+    "check_fk_orphans": _fk_sql({"customer": "c_custkey % 7 <> 0", "part": "p_partkey % 11 <> 0"}),
     "latency_summary": "WITH " + MEAS + "\nSELECT * FROM x_sum",
     "latency_by_type": "WITH " + MEAS + "\nSELECT * FROM x_typ",
     "throughput_fleet": "WITH " + MEAS + """
@@ -641,7 +645,70 @@ SELECT 'stock_range', w_id, d_id, CAST(supply_w_id AS VARCHAR) || ',' || CAST(i_
        CAST(s_after AS VARCHAR)
 FROM x_lines2 WHERE s_after < 10 OR s_after > 109
 UNION ALL
-SELECT 'ytd_balance', w_id, CAST(NULL AS INTEGER), '' FROM x_ytd GROUP BY w_id HAVING false""",
+SELECT 'ytd_balance', y.w_id, CAST(NULL AS INTEGER), CAST(sum(y.d_ytd_cents) AS VARCHAR) || ',' || CAST(max(p.a) AS VARCHAR)
+FROM x_ytd y JOIN (SELECT w_id, CAST(sum(amount) * 100 AS BIGINT) AS a FROM x_pay GROUP BY w_id) p ON p.w_id = y.w_id
+GROUP BY y.w_id HAVING sum(y.d_ytd_cents) <> max(p.a)""",
+
+    # the final state, from the records of the whole log at once
+    "chain_two_batches": with_ctes(BASE, LOG, DELIVERY_SIM) + """
+, x_led AS (
+  SELECT w_id, d_id, c_id, -CAST(amount * 100 AS BIGINT) AS delta, 1 AS np, 0 AS nd FROM x_pay
+  UNION ALL SELECT w_id, d_id, c_id, amount_cents, 0, 1 FROM x_deliv WHERE o_id IS NOT NULL),
+x_bal AS (SELECT w_id, d_id, c_id, sum(delta) AS d, sum(np) AS np, sum(nd) AS nd FROM x_led GROUP BY w_id, d_id, c_id),
+x_sent AS (SELECT w_id, d_id, o_id, carrier_id FROM x_deliv WHERE o_id IS NOT NULL),
+x_allo AS (
+  SELECT o_w_id AS w_id, o_d_id AS d_id, o_id, o_c_id AS c_id, o_carrier_id AS carrier FROM x_ord
+  UNION ALL SELECT w_id, d_id, o_id, c_id, NULL FROM x_oid),
+x_fino AS (
+  SELECT o.w_id, o.d_id, o.o_id, o.c_id, coalesce(s.carrier_id, o.carrier) AS carrier
+  FROM x_allo o LEFT JOIN x_sent s ON s.w_id = o.w_id AND s.d_id = o.d_id AND s.o_id = o.o_id),
+x_finl AS (
+  SELECT ol_w_id AS w_id, ol_d_id AS d_id, ol_o_id AS o_id, ol_amount AS amount FROM x_ol
+  UNION ALL SELECT w_id, d_id, o_id, amount FROM x_lines2)
+SELECT 'customer' AS tbl, c_w_id AS w_id, c_d_id AS d_id, x_cust.c_id AS id,
+       CAST(CAST(c_balance * 100 AS BIGINT) + coalesce(b.d, 0) AS BIGINT) AS v1, CAST(coalesce(b.np, 0) AS BIGINT) AS v2,
+       CAST(coalesce(b.nd, 0) AS BIGINT) AS v3
+FROM x_cust LEFT JOIN x_bal b ON b.w_id = c_w_id AND b.d_id = c_d_id AND b.c_id = x_cust.c_id
+UNION ALL
+SELECT 'district', d_w_id, d_id, 0,
+       d_next_o_id + (SELECT count(*) FROM x_n WHERE x_n.w_id = d_w_id AND x_n.d_id = x_dist.d_id),
+       CAST(coalesce((SELECT sum(amount) FROM x_pay p WHERE p.w_id = d_w_id AND p.d_id = x_dist.d_id), 0) * 100 AS BIGINT), 0
+FROM x_dist
+UNION ALL
+SELECT 'warehouse', x_wh.w_id, 0, 0,
+       CAST(coalesce((SELECT sum(amount) FROM x_pay p WHERE p.w_id = x_wh.w_id), 0) * 100 AS BIGINT), 0, 0
+FROM x_wh
+UNION ALL SELECT 'order', w_id, d_id, o_id, c_id, carrier, 0 FROM x_fino
+UNION ALL
+SELECT 'lines', l.w_id, l.d_id, l.o_id, count(*), CAST(sum(l.amount) * 100 AS BIGINT), count(o.carrier)
+FROM x_finl l JOIN x_fino o ON o.w_id = l.w_id AND o.d_id = l.d_id AND o.o_id = l.o_id GROUP BY l.w_id, l.d_id, l.o_id
+UNION ALL
+SELECT 'stock', supply_w_id, 0, i_id,
+       CAST(list_reduce(list(qty ORDER BY ord, ol_number), lambda q, x: CASE WHEN q - x < 10 THEN q - x + 100 ELSE q - x END,
+                        any_value(q0)) AS BIGINT), CAST(sum(qty) AS BIGINT), count(*)
+FROM x_lines GROUP BY supply_w_id, i_id""",
+
+    # the seeded faults, from the state before the log
+    "audit_snapshots": RB + """
+, x_gone AS (SELECT o_w_id, o_d_id, o_id FROM x_ord WHERE o_carrier_id IS NOT NULL AND o_id % 59 = 0),
+x_kept AS (SELECT * FROM x_ord WHERE NOT (o_carrier_id IS NOT NULL AND o_id % 59 = 0)),
+x_keptl AS (SELECT x_ol.* FROM x_ol ANTI JOIN x_gone ON ol_w_id = o_w_id AND ol_d_id = o_d_id AND ol_o_id = o_id),
+x_keptc AS (SELECT * FROM x_cust WHERE c_id % 97 <> 0)
+SELECT 'district_lost' AS "check", d_w_id AS w_id, d_id, CAST(NULL AS BIGINT) AS id FROM x_dist WHERE d_w_id = 3 AND d_id = 1
+UNION ALL SELECT 'next_o_id_falls', d_w_id, d_id, NULL FROM x_dist WHERE d_id = 2
+UNION ALL SELECT 'orders_added', d_w_id, d_id, NULL FROM x_dist WHERE d_id = 2
+UNION ALL SELECT 'ytd_change', w_id, NULL, NULL FROM x_wh
+WHERE w_id = 2 OR w_id = 3 AND coalesce((SELECT sum(amount) FROM x_pay p WHERE p.w_id = 3 AND p.d_id = 1), 0) <> 0
+UNION ALL SELECT 'customer_lost', c_w_id, c_d_id, c_id FROM x_cust WHERE c_id % 97 = 0
+UNION ALL SELECT 'balance_change', c_w_id, c_d_id, c_id FROM x_keptc WHERE c_id % 89 = 0
+UNION ALL SELECT 'delivery_count', c_w_id, c_d_id, c_id FROM x_keptc WHERE c_id % 83 = 0
+UNION ALL SELECT 'payment_count', c_w_id, c_d_id, c_id FROM x_keptc WHERE c_id % 79 = 0
+UNION ALL SELECT 'order_lost', o_w_id, o_d_id, o_id FROM x_gone
+UNION ALL SELECT 'carrier_changed', o_w_id, o_d_id, o_id FROM x_kept WHERE o_carrier_id IS NOT NULL AND o_id % 53 = 0
+UNION ALL SELECT 'order_changed', o_w_id, o_d_id, o_id FROM x_kept WHERE o_id % 71 = 0
+UNION ALL SELECT 'line_lost', ol_w_id, ol_d_id, ol_o_id FROM x_ol
+SEMI JOIN x_gone ON ol_w_id = o_w_id AND ol_d_id = o_d_id AND ol_o_id = o_id
+UNION ALL SELECT 'line_changed', ol_w_id, ol_d_id, ol_o_id FROM x_keptl WHERE ol_o_id % 47 = 0 AND ol_number = 1""",
 }
 
 def _rate_text(col: str) -> str:

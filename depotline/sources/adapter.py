@@ -256,7 +256,7 @@ def load_state(spark: SparkSession, sf_dir: str, mode: str = "all",
 
     The returned frames are lazy and immutable, so one State is reused by all
     queries of a session."""
-    from depotline.sources.sinks import WRITE_LOCK, materialize, snapshot_key, snapshot_path
+    from depotline.sources.sinks import WRITE_LOCK, materialize, snapshot_key, snapshot_path, table_bytes
     data = snapshot_key(spark, sf_dir, mode)
     key = (spark.sparkContext.applicationId, data, materialized)
     if key in _STATE_CACHE:
@@ -269,7 +269,8 @@ def load_state(spark: SparkSession, sf_dir: str, mode: str = "all",
         if key not in _STATE_CACHE:
             state = materialize(spark, lambda o=None: derive_state(spark, sf_dir, mode, o),
                                 snapshot_path(spark, sf_dir, mode), _read_sources(spark, sf_dir),
-                                shared_path=snapshot_path(spark, sf_dir, "shared"))
+                                shared_path=snapshot_path(spark, sf_dir, "shared"),
+                                n_bytes=table_bytes(spark, sf_dir, "orders", "lineitem"))
             state.key = data
             _STATE_CACHE[key] = state
         return _STATE_CACHE[key]

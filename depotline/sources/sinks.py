@@ -82,9 +82,19 @@ def write_table(df: DataFrame, path: str, keys: list[str] | None) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def bucket_count(spark: SparkSession) -> int:
-    n = spark.conf.get("depotline.buckets", None) or spark.conf.get("spark.sql.shuffle.partitions")
-    return max(1, int(n))
+# Bytes of the orders and lineitem files per bucket: a bucket is one file of each
+# order table and one task of every job that reads it by its order key.
+BUCKET_BYTES = 256 << 20
+
+
+def bucket_count(spark: SparkSession, n_bytes: int = 0) -> int:
+    """Buckets of the order tables: from the size of the data, at least the session's
+    shuffle partitions, at most what Spark allows; ``depotline.buckets`` overrides."""
+    asked = spark.conf.get("depotline.buckets", None)
+    if asked:
+        return max(1, int(asked))
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    return min(most, max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n_bytes // BUCKET_BYTES)))
 
 
 def _table_name(path: str) -> str:
@@ -93,10 +103,12 @@ def _table_name(path: str) -> str:
 
 def write_bucketed(spark: SparkSession, df: DataFrame, path: str, bucket_cols: list[str],
                    sort_cols: list[str], n: int) -> None:
-    """Bucketed, sorted external table at ``path`` (files carry their bucket id)."""
+    """Bucketed, sorted external table at ``path``.  Rows are first shuffled by the
+    bucket's own hash, so a bucket is written by one task as one file, whatever
+    the number of tasks that made the rows."""
     name = _table_name(path)
     spark.sql(f"DROP TABLE IF EXISTS {name}")
-    (df.write.mode("overwrite").bucketBy(n, *bucket_cols).sortBy(*sort_cols)
+    (df.repartition(n, *bucket_cols).write.mode("overwrite").bucketBy(n, *bucket_cols).sortBy(*sort_cols)
        .option("path", path).format("parquet").saveAsTable(name))
 
 
@@ -119,6 +131,14 @@ def write_state(state, path: str, tables: list[str] | None = None) -> None:
         write_table(getattr(state, name), f"{path}/{name}", LAYOUT[name])
 
 
+def table_bytes(spark: SparkSession, sf_dir: str, *tables: str) -> int:
+    """Bytes of the files of the named tables of a folder, in any store."""
+    sc = spark.sparkContext
+    paths = [sc._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet") for t in tables]
+    stores = [p.getFileSystem(sc._jsc.hadoopConfiguration()) for p in paths]
+    return sum(fs.getContentSummary(p).getLength() for fs, p in zip(stores, paths) if fs.exists(p))
+
+
 def _file_facts(spark: SparkSession, path: str) -> list[str]:
     """name:length:time of the files of a folder of tables, through Hadoop's file
     systems, so that changed data in any store gets a new key."""
@@ -149,15 +169,17 @@ def snapshot_path(spark: SparkSession, sf_dir: str, mode: str) -> str:
 SHARED = {"warehouse", "district_base", "customer", "item"}
 
 
-def materialize(spark: SparkSession, derive, path: str, sources: dict, shared_path: str | None = None):
+def materialize(spark: SparkSession, derive, path: str, sources: dict, shared_path: str | None = None,
+                n_bytes: int = 0):
     """Read the state snapshot at ``path``; tables that are missing are derived
     (``derive()`` builds the lazy state once) and written first.  The returned
     state reads parquet only: its lineage is cut at the snapshot.  Tables in
-    SHARED live under ``shared_path`` (one copy for all modes)."""
+    SHARED live under ``shared_path`` (one copy for all modes); ``n_bytes``, the
+    size of the order data, sets the number of buckets."""
     from depotline.sources.adapter import State
 
     tables, state = {}, None
-    nb = bucket_count(spark)
+    nb = bucket_count(spark, n_bytes)
     # orders first: district and orderline are then derived from the written
     # orders, so the dense numbering runs once.
     for name in ["orders"] + [n for n in LAYOUT if n != "orders"]:
@@ -187,13 +209,16 @@ def materialize(spark: SparkSession, derive, path: str, sources: dict, shared_pa
 WRITE_LOCK = threading.RLock()
 
 
+def work_path(spark: SparkSession, key: str, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/depotline-work/{key}/{name}"
+
+
 def work_table(spark: SparkSession, key: str, name: str, build) -> DataFrame:
     """A written intermediate table under the shared checkpoint folder: built
     once by ``build()`` (a lazy frame), then read back.  Cuts the lineage of
     long chains and lets later queries reuse the result; a lost executor only
     costs its own tasks, never a recomputation of the whole chain."""
-    root = ensure_checkpoint_dir(spark).rstrip("/")
-    p = f"{root}/depotline-work/{key}/{name}"
+    p = work_path(spark, key, name)
     with WRITE_LOCK:
         return _work_table(spark, p, name, build)
 

@@ -2,10 +2,12 @@
 
 ``readStream.text`` on a landing folder; each micro-batch (inside
 ``foreachBatch``, where the frame is static) is parsed, turned into log
-frames, applied to the latest state snapshot with ``plans.chain.apply_batch``
-and written as snapshot ``v=<batchId>`` plus the batch's results.  A retried
-batch reads the same previous snapshot and overwrites its own outputs, so
-it is idempotent.  Whole files are handed to a batch, so an N record never
+frames, applied to the state of the batch before with ``plans.chain.apply_batch``
+and written as the rows it changes (``state/v=<batchId>/delta``); every
+``chain.COMPACT_EVERY``-th batch also writes a full snapshot, which later batches
+start from.  Read records (O, S, I, T, R) are answered in their batch, as of their
+place in it.  A retried batch reads the same earlier versions and overwrites its
+own outputs, so it is idempotent.  Whole files are handed to a batch, so an N record never
 straddles batches.  A batch result equals the one-shot replay when files
 arrive in ``ord`` order (one file per time slice).
 """
@@ -19,53 +21,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from depotline.plans.chain import apply_batch, read_snapshot, write_snapshot
-from depotline.plans.replay import Log
+from depotline.plans.chain import COMPACT_EVERY, apply_batch, read_chain, write_delta, write_snapshot
+from depotline.plans.client_run import answers, records_to_log
 from depotline.sources.adapter import State
 from depotline.sources.sinks import _exists, work_table
-from depotline.sources.txlog import client_interleave, parse_txlog
-
-# ord of batch b starts at b * BATCH_ORD_SPAN (records of later batches sort later)
-BATCH_ORD_SPAN = 1 << 40
-
-
-def records_to_log(records: DataFrame, batch_id: int) -> Log:
-    r = client_interleave(records).withColumn("ord", F.col("ord") + F.lit(batch_id * BATCH_ORD_SPAN))
-    n = r.where(F.col("txn_type") == "N")
-    n_hdr = n.select("ord", "w_id", "d_id", "c_id")
-    n_lines = n.select("ord", F.posexplode("lines").alias("_p", "l")).select(
-        "ord", (F.col("_p") + 1).cast("int").alias("ol_number"), F.col("l.i_id").alias("i_id"),
-        F.col("l.supply_w_id").alias("supply_w_id"), F.col("l.qty").alias("qty"))
-    pay = r.where(F.col("txn_type") == "P").select("ord", "w_id", "d_id", "c_id", "amount")
-    dlv = r.where(F.col("txn_type") == "D").select("ord", "w_id", "carrier_id")
-    status = r.where(F.col("txn_type") == "O").select("ord", "w_id", "d_id", "c_id")
-    reads = r.where(F.col("txn_type").isin("S", "I", "T", "R")).select(
-        "ord", "txn_type", "w_id", "d_id", "c_id", "threshold", "last_l")
-    return Log(n_hdr=n_hdr, n_lines=n_lines, pay=pay, dlv=dlv, status=status, reads=reads)
-
-
-def _latest_snapshot(spark: SparkSession, root: str, below: int) -> str:
-    for v in range(below - 1, -2, -1):
-        p = f"{root}/state/v={v}"
-        if _exists(spark, f"{p}/district"):
-            return p
-    raise FileNotFoundError(f"no state snapshot under {root}")
-
+from depotline.sources.txlog import parse_txlog
 
 def stream_replay(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                   initial: State, as_of_ts: str = "2000-01-01 00:00:00",
                   available_now: bool = True) -> StreamingQuery:
     """Start the streaming replay; ``initial`` is written as snapshot v=-1 once."""
-    if not _exists(spark, f"{out_dir}/state/v=-1/district"):
-        write_snapshot(initial, f"{out_dir}/state/v=-1")
+    states = f"{out_dir}/state"
+    if not _exists(spark, f"{states}/v=-1/full/done"):
+        write_snapshot(initial, f"{states}/v=-1")
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         lines = batch.withColumn("pos", F.monotonically_increasing_id())
         parsed, errors = parse_txlog(lines, "block", ("pos",))
         records = work_table(spark, f"stream-{uuid.uuid4().hex[:12]}-b{batch_id}", "records", lambda: parsed)
-        prev = read_snapshot(spark, _latest_snapshot(spark, out_dir, batch_id), initial)
+        prev = read_chain(spark, states, batch_id - 1, initial)
         key = "stream-" + hashlib.sha1(out_dir.encode()).hexdigest()[:12] + f"-b{batch_id}"
-        nxt, rp = apply_batch(spark, prev, records_to_log(records, batch_id), as_of_ts, key=key)
+        _, rp = apply_batch(spark, prev, records_to_log(records, batch_id), as_of_ts, key=key)
         base = f"{out_dir}/results/batch={batch_id}"
         missing = rp.errors.select(F.lit(None).cast("string").alias("file"), F.col("ord").alias("record_no"), "reason",
                                    F.col("txn_type").alias("text"))
@@ -73,7 +49,12 @@ def stream_replay(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
         rp.order_ids.write.mode("overwrite").parquet(f"{base}/order_ids")
         rp.delivery.write.mode("overwrite").parquet(f"{base}/delivery")
         rp.totals().write.mode("overwrite").parquet(f"{base}/new_order_totals")
-        write_snapshot(nxt, f"{out_dir}/state/v={batch_id}")
+        write_delta(rp.changes, f"{states}/v={batch_id}")
+        nxt = read_chain(spark, states, batch_id, initial)
+        for kind, rows in answers(rp, nxt, as_of_ts).items():
+            rows.write.mode("overwrite").parquet(f"{base}/{kind}")
+        if batch_id % COMPACT_EVERY == COMPACT_EVERY - 1:
+            write_snapshot(nxt, f"{states}/v={batch_id}")
 
     src = (spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(in_dir)
            .select(F.col("_metadata.file_path").alias("file"),

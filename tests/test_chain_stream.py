@@ -5,7 +5,8 @@ import os
 
 from pyspark.sql import functions as F
 
-from depotline.plans.chain import apply_batch, read_snapshot, split_log, write_snapshot
+from depotline.operators.checks import audit_states
+from depotline.plans.chain import apply_batch, newest_rows, read_chain, read_snapshot, run_chain, split_log, write_delta, write_snapshot
 from depotline.plans.replay import derived_log
 from depotline.sources.adapter import load_state
 from depotline.streaming.stream_replay import stream_replay
@@ -38,6 +39,35 @@ def test_chain_equals_one_batch(spark, tmpdir_path):
     write_snapshot(s2, f"{tmpdir_path}/b2")
     s2 = read_snapshot(spark, f"{tmpdir_path}/b2", base)
     assert _final(one) == _final(s2)
+    # the same by deltas; a right run passes the audit of its two snapshots
+    chained = run_chain(spark, base, [lo, hi], f"{tmpdir_path}/chain", f"{tag}-chain")
+    assert _final(one) == _final(chained)
+    assert audit_states(base, one).collect() == []
+
+
+def test_delta_follows_the_batch(spark, tmpdir_path):
+    """A batch of a few records writes a few rows, however large the state; of two
+    deltas the newer row of a key counts, and a snapshot cuts the chain."""
+    base = load_state(spark, SF_SMALL, "base")
+    log = derived_log(spark, SF_SMALL, base)
+    tag = os.path.basename(tmpdir_path)
+    first = [r.ord for r in log.pay.orderBy("ord").limit(3).collect()]
+    few = log.each(lambda _, df: df.where(F.col("ord").isin(first)))
+    state = base
+    for v in (0, 1):
+        state, rp = apply_batch(spark, state, few, key=f"{tag}-{v}")
+        write_delta(rp.changes, f"{tmpdir_path}/v={v}")
+        sizes = {n: spark.read.parquet(f"{tmpdir_path}/v={v}/delta/{n}").count() for n in rp.changes}
+        assert 1 <= sizes["customer"] <= 3 and sizes["orders"] == sizes["orderline"] == sizes["stock_overrides"] == 0
+        state = read_chain(spark, tmpdir_path, v, base)
+    paid = few.pay.groupBy("c_id").agg(F.count("*").alias("n")).collect()
+    now = {r.c_id: r.c_payment_cnt for r in newest_rows(spark, tmpdir_path, [1, 0], "customer").collect()}
+    assert now == {r.c_id: 2 * r.n for r in paid}
+    assert state.customer.count() == base.customer.count()
+    write_snapshot(state, f"{tmpdir_path}/v=1")
+    cut = read_chain(spark, tmpdir_path, 5, base)  # versions 2 to 5 never ran
+    assert cut.customer.where("c_payment_cnt > 0").count() == len(paid)
+    assert "delta" not in " ".join(cut.customer.inputFiles())
 
 
 def test_stream_replay_small_log(spark, tmpdir_path):
@@ -48,7 +78,8 @@ def test_stream_replay_small_log(spark, tmpdir_path):
     os.makedirs(land)
     # two time slices, one file each
     with open(os.path.join(land, "a.txt"), "w") as f:
-        f.write(f"N,{cid},1,1,2\n5,1,3\n7,2,4\nP,1,1,{cid},10.50\nD,1,3")
+        f.write(f"N,{cid},1,1,2\n5,1,3\n7,2,4\nP,1,1,{cid},10.50\nD,1,3\n"
+                f"O,1,1,{cid}\nS,1,1,60,5\nI,1,1,5\nT\nR,1,1,{cid}")
     q = stream_replay(spark, land, f"{tmpdir_path}/out", f"{tmpdir_path}/ckpt", base)
     q.awaitTermination(120)
     with open(os.path.join(land, "b.txt"), "w") as f:
@@ -60,7 +91,16 @@ def test_stream_replay_small_log(spark, tmpdir_path):
     assert len(oids) == 1
     d1 = spark.read.parquet(f"{out}/results/batch=1/delivery")
     assert d1.count() == base.district_base.where("d_w_id = 1").count()
-    s1 = read_snapshot(spark, f"{out}/state/v=1", base)
+    # the reads of the first file are answered in its batch, as of their place
+    res = f"{out}/results/batch=0"
+    status = spark.read.parquet(f"{res}/order_status").collect()
+    assert {r.o_id for r in status} == {oids[0].o_id} and len(status) == 2
+    assert spark.read.parquet(f"{res}/top_balance").count() == 10
+    assert spark.read.parquet(f"{res}/stock_level").count() == 1
+    assert spark.read.parquet(f"{res}/popular_items").where(f"o_id = {oids[0].o_id}").count() >= 1
+    assert spark.read.parquet(f"{out}/results/batch=1/top_balance").count() == 0
+    assert not os.path.exists(f"{out}/state/v=1/full")
+    s1 = read_chain(spark, f"{out}/state", 1, base)
     c = s1.customer.where(f"c_id = {cid}").collect()[0]
     c0 = cust
     assert c.c_payment_cnt == c0.c_payment_cnt + 2

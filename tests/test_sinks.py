@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from depotline.sources.adapter import load_state
-from depotline.sources.sinks import write_results, write_state
+from depotline.sources.sinks import BUCKET_BYTES, bucket_count, write_results, write_state
 from tests.conftest import SF_SMALL
 
 
@@ -28,3 +28,16 @@ def test_write_results_partitioned(spark, tmpdir_path):
     back = spark.read.parquet(f"{tmpdir_path}/res/results")
     assert sorted((r.txn_type, r.v) for r in back.collect()) == [("N", 1), ("P", 2), ("P", 3)]
     assert spark.read.parquet(f"{tmpdir_path}/res/results/batch=0/txn_type=P").count() == 2
+
+
+def test_bucketed_layout(spark):
+    """One file for each bucket, the number of buckets from the size of the data, and
+    a request for one district reaches the scan as a filter."""
+    st = load_state(spark, SF_SMALL, "all")
+    n = bucket_count(spark)
+    for t in (st.orders, st.orderline):
+        assert len(t.inputFiles()) == n
+    assert bucket_count(spark, 1000 * BUCKET_BYTES + 1) == 1001
+    assert bucket_count(spark, 1 << 60) == 100_000
+    plan = st.orders.where("o_w_id = 1 AND o_d_id = 2 AND o_id > 3")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(o_w_id,1)" in plan and "EqualTo(o_d_id,2)" in plan and "Exchange" not in plan
