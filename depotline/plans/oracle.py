@@ -528,7 +528,7 @@ ORACLE.update(REPLAY)
 
 MEAS = """
 x_m AS (SELECT CAST(((user_id % 20) + 20) % 20 AS INTEGER) AS client, event_type AS txn_type,
-               CAST(value AS DECIMAL(12,2)) AS elapsed FROM events),
+               CAST(value AS DECIMAL(18,9)) AS elapsed FROM events),
 x_ms AS (SELECT client, txn_type, elapsed,
                 row_number() OVER (PARTITION BY client ORDER BY elapsed) - 1 AS ix,
                 count(*) OVER (PARTITION BY client) AS n,
@@ -595,7 +595,8 @@ SELECT txn_type, min(throughput) AS min_tput, max(throughput) AS max_tput, round
        count(*) AS n_clients
 FROM (SELECT 'ALL' AS txn_type, throughput FROM x_sum UNION ALL SELECT txn_type, throughput FROM x_typ)
 GROUP BY txn_type""",
-    "measure_log": "WITH " + MEAS + "\nSELECT client, n, total_s FROM x_sum",
+    "measure_log": "WITH " + MEAS + "\nSELECT * FROM x_sum",
+    "measure_log_types": "WITH " + MEAS + "\nSELECT * FROM x_typ",
     "txlog_counts": RB + """
 SELECT 'N' AS txn_type, (SELECT count(*) FROM x_n) AS n_records, (SELECT count(*) FROM x_nl) AS n_lines
 UNION ALL SELECT 'P', (SELECT count(*) FROM x_pay), 0
