@@ -243,6 +243,7 @@ _register_chain()
 # --- checks, metrics, log ingest, reports, ledger ----------------------------------------
 
 def _register_misc():
+    from pyspark.sql import Window
     from pyspark.sql import functions as F
 
     from depotline.functions.money import cents
@@ -253,7 +254,7 @@ def _register_misc():
     from depotline.plans import replay as P
     from depotline.sources import txlog as TX
     from depotline.sources.adapter import read_source
-    from depotline.sources.sinks import WRITE_LOCK, _exists, snapshot_key, work_path
+    from depotline.sources.sinks import WRITE_LOCK, _exists, snapshot_key, work_path, work_table
 
     def sources(spark, sf_dir):
         return {t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
@@ -262,14 +263,36 @@ def _register_misc():
     def meas(spark, sf_dir):
         return M.measurements(read_source(spark, sf_dir, "events"))
 
-    def txlog_counts(rp):
+    def log_files(rp, skip=()):
+        """The derived log, all eight letters, written as text files and read back:
+        (records, order lines, orphans)."""
+        path = work_path(rp.spark, rp.key, "log_text")
         lg = rp.log
-        lines = TX.render_log(lg.n_hdr, lg.n_lines, lg.pay, lg.dlv, lg.status)
-        typed, orphan = TX.parse_txlog_checked(lines, "pos", ("line_no",))
+        with WRITE_LOCK:
+            if not _exists(rp.spark, path):
+                TX.write_log(TX.render_log(lg.n_hdr, lg.n_lines, lg.pay, lg.dlv, lg.status, lg.reads), path)
+        return TX.parse_rows(TX.read_lines(rp.spark, path), skip=skip,
+                             store=lambda name, df: work_table(rp.spark, rp.key, name, lambda: df))
+
+    def log_records(rp):
+        """Every record read from the files, with its place in the whole log and sums of its lines."""
+        records, lines, _ = log_files(rp)
+        sizes = records.groupBy("file").agg(F.count(F.lit(1)).alias("_n"))
+        # one row for each file
+        files = sizes.withColumn("_before", F.sum("_n").over(Window.orderBy("file")) - F.col("_n")).drop("_n")
+        sums = lines.groupBy("file", "record_no").agg(
+            F.sum(F.col("ol_number") * (F.col("i_id") * 100 + F.col("qty"))).alias("line_sum"),
+            F.sum(F.col("ol_number") * F.col("supply_w_id")).alias("supply_sum"))
+        return records.join(files, "file").join(sums, ["file", "record_no"], "left").select(
+            (F.col("_before") + F.col("record_no")).alias("seq"), "txn_type", "w_id", "d_id", "c_id", "carrier_id", "threshold",
+            "last_l", cents(F.col("amount")).alias("amount_cents"), "n_lines", "line_sum", "supply_sum", "reason")
+
+    def txlog_counts(rp):
+        records, lines, orphan = log_files(rp, skip=("S", "I", "T", "R"))
         kind = F.when(F.col("reason").isNull(), F.col("txn_type")).otherwise(F.lit("error"))
-        ok = typed.groupBy(kind.alias("txn_type")).agg(
-            F.count(F.lit(1)).alias("n_records"),
-            F.sum(F.when(F.col("reason").isNull(), F.size("lines")).otherwise(0)).cast("long").alias("n_lines"))
+        ok = records.groupBy(kind.alias("txn_type")).agg(F.count(F.lit(1)).alias("n_records"))
+        n = lines.select(F.count(F.lit(1))).scalar()
+        ok = ok.withColumn("n_lines", F.when(F.col("txn_type") == "N", n).otherwise(0).cast("long"))
         bad = orphan.groupBy().agg(F.count(F.lit(1)).alias("n_records")).where(F.col("n_records") > 0) \
                     .select(F.lit("orphan").alias("txn_type"), "n_records", F.lit(0).cast("long").alias("n_lines"))
         return ok.unionByName(bad)
@@ -309,6 +332,7 @@ def _register_misc():
         "throughput_fleet": lambda spark, sf_dir: M.throughput_fleet(meas(spark, sf_dir)),
         "measure_log": lambda spark, sf_dir: measure_log(spark, sf_dir)[0],
         "measure_log_types": lambda spark, sf_dir: measure_log(spark, sf_dir)[1],
+        "log_records": _replay_q(log_records),
         "txlog_counts": _replay_q(txlog_counts),
         "report_lines": _replay_q(lambda rp: RP.render_payment_receipts(
             W.payment_receipts(rp.state, rp.log.pay))),

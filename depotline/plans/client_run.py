@@ -28,7 +28,7 @@ from depotline.plans.as_of import next_order_as_of, order_status_as_of, related_
 from depotline.plans.replay import Log, Replay, balance_ledger, replay_reads
 from depotline.sources.adapter import State
 from depotline.sources.sinks import work_table
-from depotline.sources.txlog import client_interleave, read_txlog
+from depotline.sources.txlog import client_interleave, parse_rows, read_lines, valid_and_errors
 
 TOP_K = 10
 
@@ -37,13 +37,12 @@ TOP_K = 10
 BATCH_ORD_SPAN = 1 << 40
 
 
-def records_to_log(records: DataFrame, batch_id: int) -> Log:
+def records_to_log(records: DataFrame, order_lines: DataFrame, batch_id: int) -> Log:
     r = client_interleave(records).withColumn("ord", F.col("ord") + F.lit(batch_id * BATCH_ORD_SPAN))
-    n = r.where(F.col("txn_type") == "N")
-    n_hdr = n.select("ord", "w_id", "d_id", "c_id")
-    n_lines = n.select("ord", F.posexplode("lines").alias("_p", "l")).select(
-        "ord", (F.col("_p") + 1).cast("int").alias("ol_number"), F.col("l.i_id").alias("i_id"),
-        F.col("l.supply_w_id").alias("supply_w_id"), F.col("l.qty").alias("qty"))
+    n_hdr = r.where(F.col("txn_type") == "N").select("ord", "w_id", "d_id", "c_id", "file", "record_no")
+    n_lines = order_lines.join(n_hdr.select("ord", "file", "record_no"), ["file", "record_no"]) \
+                         .select("ord", "ol_number", "i_id", "supply_w_id", "qty")
+    n_hdr = n_hdr.drop("file", "record_no")
     pay = r.where(F.col("txn_type") == "P").select("ord", "w_id", "d_id", "c_id", "amount")
     dlv = r.where(F.col("txn_type") == "D").select("ord", "w_id", "carrier_id")
     status = r.where(F.col("txn_type") == "O").select("ord", "w_id", "d_id", "c_id")
@@ -69,12 +68,16 @@ def answers(rp: Replay, after: State, as_of_ts: str = "2000-01-01 00:00:00") ->
 
 def run_log(spark: SparkSession, state: State, path: str, skip=(), as_of_ts: str = "2000-01-01 00:00:00",
             key: str | None = None) -> dict[str, DataFrame]:
-    records, errors = read_txlog(spark, path, skip)
-    if key:  # parsed once; every later step reads the written records
-        own, parsed, rejected = f"{key}-{uuid.uuid4().hex[:12]}", records, errors
-        records = work_table(spark, own, "records", lambda: parsed)
-        errors = work_table(spark, own, "parse_errors", lambda: rejected)
-    log = records_to_log(records, 0)
+    own = f"{key}-{uuid.uuid4().hex[:12]}"
+
+    def store(name: str, df: DataFrame) -> DataFrame:
+        return work_table(spark, own, name, lambda: df) if key else df
+
+    typed, order_lines, orphan = parse_rows(read_lines(spark, path), skip=skip, store=store)
+    # parsed once; every later step reads the written records
+    records, errors = valid_and_errors(store("records", typed), orphan)
+    order_lines = store("order_lines", order_lines)
+    log = records_to_log(records, order_lines, 0)
     nxt, rp = apply_batch(spark, state, log, as_of_ts, key=key)
     r = client_interleave(records)
     missing = rp.errors.select("ord", "reason").join(r.select("ord", "file", "record_no", "txn_type"), "ord") \

@@ -597,6 +597,20 @@ FROM (SELECT 'ALL' AS txn_type, throughput FROM x_sum UNION ALL SELECT txn_type,
 GROUP BY txn_type""",
     "measure_log": "WITH " + MEAS + "\nSELECT * FROM x_sum",
     "measure_log_types": "WITH " + MEAS + "\nSELECT * FROM x_typ",
+    "log_records": RB + """
+, x_rec AS (
+  SELECT ord, 'N' AS txn_type, w_id, d_id, c_id, NULL AS carrier_id, NULL AS threshold, NULL AS last_l, NULL AS amount_cents,
+         (SELECT count(*) FROM x_nl WHERE x_nl.ord = x_n.ord) AS n_lines FROM x_n
+  UNION ALL SELECT ord, 'P', w_id, d_id, c_id, NULL, NULL, NULL, CAST(amount * 100 AS BIGINT), NULL FROM x_pay
+  UNION ALL SELECT ord, 'D', w_id, NULL, NULL, carrier_id, NULL, NULL, NULL, NULL FROM x_dlv
+  UNION ALL SELECT ord, 'O', w_id, d_id, c_id, NULL, NULL, NULL, NULL, NULL FROM x_stat
+  UNION ALL SELECT ord, kind, CASE WHEN kind <> 'T' THEN w_id END, CASE WHEN kind <> 'T' THEN d_id END,
+                   CASE WHEN kind = 'R' THEN c_id END, NULL, CASE WHEN kind = 'S' THEN 60 END,
+                   CASE WHEN kind IN ('S', 'I') THEN 20 END, NULL, NULL FROM x_asks)
+SELECT row_number() OVER (ORDER BY x_rec.ord) AS seq, x_rec.* EXCLUDE (ord), l.line_sum, l.supply_sum, NULL AS reason
+FROM x_rec LEFT JOIN (SELECT ord, CAST(sum(ol_number * (i_id * 100 + qty)) AS BIGINT) AS line_sum,
+                             CAST(sum(ol_number * supply_w_id) AS BIGINT) AS supply_sum FROM x_nl GROUP BY ord) l
+  ON l.ord = x_rec.ord""",
     "txlog_counts": RB + """
 SELECT 'N' AS txn_type, (SELECT count(*) FROM x_n) AS n_records, (SELECT count(*) FROM x_nl) AS n_lines
 UNION ALL SELECT 'P', (SELECT count(*) FROM x_pay), 0

@@ -16,15 +16,16 @@ A blank line ends its file (later lines are dropped).  Malformed records
 lines, lines before the first header) go to the error frame; they never
 abort the job.
 
-The line order of a file is rebuilt from (file_block_start, row id) and the
-record number of a line is a running count of headers in that order,
-computed with the bucketed running aggregate, so one huge file is still
-processed by many tasks.
+The line order of a file is rebuilt from (file_block_start, row id); the number of
+a line, of its record and of the record's header line are running aggregates in
+that order, bucketed, so one huge file is still processed by many tasks.  A
+record's lines stay rows (``parse_rows``): its header knows how many there are and
+how many are bad from sums, so no record is gathered, however long.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,87 +55,100 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def parse_txlog(lines: DataFrame, order_col: str = "block", tiebreak: Iterable[str] = ("pos",),
-                skip: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """(file, <order>, value) lines -> (records, errors).
-
-    records: file, record_no, txn_type, the typed fields of FIELDS, and
-    ``lines`` (array of N line structs, in file order); errors: file,
-    record_no, reason, text.  ``skip`` drops whole record types (A9).
-    """
-    typed, orphan = parse_txlog_checked(lines, order_col, tiebreak, skip)
-    errors = typed.where(F.col("reason").isNotNull()).select("file", "record_no", "reason", "text") \
-                  .unionByName(orphan)
-    records = typed.where(F.col("reason").isNull()).drop("reason", "text")
-    return records, errors
-
-
-def parse_txlog_checked(lines: DataFrame, order_col: str = "block", tiebreak: Iterable[str] = ("pos",),
-                        skip: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
-    """One parsed frame with a ``reason`` column (NULL = valid record), plus the
-    lines found before the first header of their file.  Consumers that need
-    both valid and invalid records (counts, audits) read it in one pass."""
-    tiebreak = list(tiebreak)
+TYPES = {"amount": "decimal(12,2)", "c_id": "long"}  # all other fields are int
+VALUES = ["c_id", "w_id", "d_id", "n_lines", "carrier_id", "threshold", "last_l", "amount"]
+
+
+def number_lines(lines: DataFrame, order_col: str = "block", tiebreak: Iterable[str] = ("pos",)) -> DataFrame:
+    """(file, line_no, record_no, hdr_no, is_hdr, value): the lines up to their file's first
+    blank line, with their own number, their record's and that of its header line."""
     v = F.col("value")
     l = lines.withColumn("is_hdr", v.rlike("^[A-Za-z]").cast("long")) \
-             .withColumn("is_blank", (F.trim(v) == "").cast("long"))
-    l = running_aggs(l, ["file"], order_col, [("is_hdr", "record_no", "sum", True),
-                                             ("is_blank", "_blanks", "sum", True)], tiebreak=tiebreak)
-    l = l.where(F.col("_blanks") == 0).withColumn("f", F.split(v, ",", -1))
-    l = l.withColumn("_o", F.struct(*[F.col(c) for c in [order_col, *tiebreak]]))
+             .withColumn("is_blank", (F.trim(v) == "").cast("long")).withColumn("_one", F.lit(1).cast("long"))
+    l = running_aggs(l, ["file"], order_col, [("is_hdr", "record_no", "sum", True), ("is_blank", "_blanks", "sum", True),
+                                             ("_one", "line_no", "sum", True)], tiebreak=list(tiebreak))
+    l = l.where(F.col("_blanks") == 0)
+    return l.select("file", "line_no", "record_no", F.col("is_hdr") == 1, "value").toDF(
+        "file", "line_no", "record_no", "is_hdr", "value")
+
+
+def parse_rows(lines: DataFrame, order_col: str = "block", tiebreak: Iterable[str] = ("pos",), skip: Iterable[str] = (),
+               store: Callable[[str, DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(file, <order>, value) lines -> (records, order lines, orphans).
+
+    records: file, record_no, txn_type, the typed fields of FIELDS, reason (null: valid)
+    and text; order lines (file, record_no, ol_number, i_id, supply_w_id, qty) of the
+    valid N records; orphans: lines before the first header of their file, as errors.
+    ``skip`` drops whole record types (A9).  ``store`` writes the numbered lines
+    under a name and reads them back: the text is then scanned once."""
+    l = number_lines(lines, order_col, tiebreak)
+    l = (store("log_lines", l) if store else l).withColumn("f", F.split("value", ",", -1))
     orphan = l.where(F.col("record_no") == 0).select(
-        "file", "record_no", F.lit("line before first header").alias("reason"),
-        F.col("value").alias("text"))
-    l = l.where(F.col("record_no") > 0)
-    g = l.groupBy("file", "record_no").agg(
-        F.max_by(F.struct(F.col("f").alias("f"), F.col("value").alias("text")),
-                 F.when(F.col("is_hdr") == 1, F.col("_o"))).alias("h"),
-        F.sort_array(F.collect_list(F.when(F.col("is_hdr") == 0, F.struct("_o", "f")))).alias("_ls"),
-        F.sum("is_hdr").alias("_nh"))
-    h = F.col("h.f")
-    letter = F.element_at(h, 1)
-    nf = F.size(h)
-    g = g.select("file", "record_no", letter.alias("txn_type"), F.col("h.text").alias("text"),
-                 nf.alias("_nf"), h.alias("_h"),
-                 F.transform("_ls", lambda x: x["f"]).alias("_lf"))
-    if skip:
-        g = g.where(~F.col("txn_type").isin(list(skip)))
+        "file", "record_no", F.lit("line before first header").alias("reason"), F.col("value").alias("text"))
+
+    field = lambda n, kind: F.trim(F.get("f", n)).try_cast(kind)
+    body = l.where(~F.col("is_hdr") & (F.col("record_no") > 0)).select(
+        "file", "record_no", "line_no", field(0, "long").alias("i_id"), field(1, "int").alias("supply_w_id"),
+        field(2, "int").alias("qty"), F.size("f").alias("_nf"))
+    bad_line = (F.col("_nf") != 3) | F.col("i_id").isNull() | F.col("supply_w_id").isNull() | F.col("qty").isNull()
+    per_record = body.groupBy("file", "record_no").agg(F.count(F.lit(1)).alias("_lines"), F.count_if(bad_line).alias("_bad"))
+
+    letter, nf = F.element_at("f", 1), F.size("f")
     arity = F.create_map(*[x for k, a in ARITY.items() for x in (F.lit(k), F.lit(a))])
-    typed_cols, raw_cols = [], []
-    for name in ["c_id", "w_id", "d_id", "n_lines", "carrier_id", "threshold", "last_l", "amount"]:
-        pos_map = F.create_map(*[x for k, fs in FIELDS.items() if name in fs
-                                 for x in (F.lit(k), F.lit(fs.index(name) + 2))])
-        raw = F.when(F.col("_nf") >= pos_map[F.col("txn_type")],
-                     F.get(F.col("_h"), pos_map[F.col("txn_type")] - 1))
-        tgt = "decimal(12,2)" if name == "amount" else ("long" if name == "c_id" else "int")
-        typed_cols.append(F.trim(raw).try_cast(tgt).alias(name))
-        raw_cols.append(raw.alias(f"_raw_{name}"))
-    line_struct = F.transform("_lf", lambda f: F.struct(
-        F.trim(F.get(f, 0)).try_cast("long").alias("i_id"),
-        F.trim(F.get(f, 1)).try_cast("int").alias("supply_w_id"),
-        F.trim(F.get(f, 2)).try_cast("int").alias("qty"),
-        F.size(f).alias("nf")))
-    typed = g.select("*", *typed_cols, *raw_cols, line_struct.alias("_lines"))
+    values, raws = [], []
+    for name in VALUES:
+        at = F.create_map(*[x for k, fs in FIELDS.items() if name in fs for x in (F.lit(k), F.lit(fs.index(name) + 1))])
+        raw = F.when(nf > at[letter], F.get("f", at[letter]))
+        values.append(F.trim(raw).try_cast(TYPES.get(name, "int")).alias(name))
+        raws.append(raw.alias(f"_raw_{name}"))
+    h = l.where("is_hdr").select("file", "record_no", F.col("line_no").alias("_hdr"), letter.alias("txn_type"), nf.alias("_nf"),
+                                 F.col("value").alias("text"), *values, *raws)
+    h = h.join(per_record, ["file", "record_no"], "left") \
+         .withColumn("_lines", F.coalesce("_lines", F.lit(0))).withColumn("_bad", F.coalesce("_bad", F.lit(0)))
     bad_field = F.lit(False)
-    for name in ["c_id", "w_id", "d_id", "n_lines", "carrier_id", "threshold", "last_l", "amount"]:
+    for name in VALUES:
         bad_field = bad_field | (F.col(f"_raw_{name}").isNotNull() & F.col(name).isNull())
-    bad_line = F.exists("_lines", lambda x: (x["nf"] != 3) | x["i_id"].isNull()
-                        | x["supply_w_id"].isNull() | x["qty"].isNull())
-    reason = (F.when(arity[F.col("txn_type")].isNull(), F.lit("unknown record type"))
-               .when(F.col("_nf") != arity[F.col("txn_type")], F.lit("wrong number of fields"))
+    kind = F.col("txn_type")
+    reason = (F.when(arity[kind].isNull(), F.lit("unknown record type"))
+               .when(F.col("_nf") != arity[kind], F.lit("wrong number of fields"))
                .when(bad_field, F.lit("empty or non-numeric field"))
-               .when((F.col("txn_type") == "N") & (F.size("_lines") != F.col("n_lines")),
-                     F.lit("wrong number of order lines"))
-               .when((F.col("txn_type") != "N") & (F.size("_lines") > 0), F.lit("unexpected lines"))
-               .when(bad_line, F.lit("bad order line")))
-    typed = typed.select(
-        "file", "record_no", "txn_type", "c_id", "w_id", "d_id", "n_lines", "carrier_id",
-        "threshold", "last_l", "amount",
-        F.transform("_lines", lambda x: F.struct(x["i_id"].alias("i_id"),
-                                                 x["supply_w_id"].alias("supply_w_id"),
-                                                 x["qty"].alias("qty"))).alias("lines"),
-        reason.alias("reason"), "text")
-    return typed, orphan
+               .when((kind == "N") & (F.col("_lines") != F.col("n_lines")), F.lit("wrong number of order lines"))
+               .when((kind != "N") & (F.col("_lines") > 0), F.lit("unexpected lines"))
+               .when(F.col("_bad") > 0, F.lit("bad order line")))
+    records = h.select("file", "record_no", "txn_type", *VALUES, reason.alias("reason"), "text", "_hdr")
+    if skip:
+        records = records.where(~kind.isin(list(skip)))
+    own = records.where((kind == "N") & F.col("reason").isNull()).select("file", "record_no", "_hdr")
+    order_lines = body.join(own, ["file", "record_no"]).select(
+        "file", "record_no", (F.col("line_no") - F.col("_hdr")).cast("int").alias("ol_number"), "i_id", "supply_w_id", "qty")
+    return records.drop("_hdr"), order_lines, orphan
+
+
+def valid_and_errors(records: DataFrame, orphan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The valid records, and (file, record_no, reason, text) of the others and the orphans."""
+    errors = records.where(F.col("reason").isNotNull()).select("file", "record_no", "reason", "text").unionByName(orphan)
+    return records.where(F.col("reason").isNull()).drop("reason", "text"), errors
+
+
+def parse_txlog(lines: DataFrame, order_col: str = "block", tiebreak: Iterable[str] = ("pos",),
+                skip: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """(file, <order>, value) lines -> (records, errors), each N record with its lines as
+    an array ``lines`` in file order.  For logs whose orders are of usual size; jobs
+    over whole logs use ``parse_rows``."""
+    typed, order_lines, orphan = parse_rows(lines, order_col, tiebreak, skip)
+    records, errors = valid_and_errors(typed, orphan)
+    item = F.struct("i_id", "supply_w_id", "qty")
+    arrays = order_lines.groupBy("file", "record_no").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("ol_number", item.alias("l")))), lambda x: x["l"]).alias("lines"))
+    records = records.join(arrays, ["file", "record_no"], "left")
+    return records.withColumn("lines", F.coalesce("lines", F.array().cast(arrays.schema["lines"].dataType))), errors
+
+
+def write_log(lines: DataFrame, path: str) -> None:
+    """Rendered lines (pos, line_no, value) -> text files below ``path``, whose order by
+    name is the order of ``pos``; a record's lines are in one file."""
+    lines.repartitionByRange("pos").sortWithinPartitions("pos", "line_no").select("value") \
+         .write.mode("overwrite").text(path)
 
 
 def read_txlog(spark: SparkSession, path: str, skip: Iterable[str] = ()) -> tuple[DataFrame, DataFrame]:
@@ -155,7 +169,7 @@ def client_interleave(records: DataFrame) -> DataFrame:
 
 
 def render_log(n_hdr: DataFrame, n_lines: DataFrame, pay: DataFrame, dlv: DataFrame,
-               status: DataFrame, file: str = "log") -> DataFrame:
+               status: DataFrame, reads: DataFrame | None = None, file: str = "log") -> DataFrame:
     """Log frames -> text lines (file, pos, line_no, value) in order of (pos, line_no):
     pos is the record's ord, line_no 0 for its header."""
     cnt = n_lines.groupBy("ord").agg(F.count(F.lit(1)).alias("m"))
@@ -172,5 +186,10 @@ def render_log(n_hdr: DataFrame, n_lines: DataFrame, pay: DataFrame, dlv: DataFr
                    F.concat_ws(",", F.lit("D"), "w_id", "carrier_id").alias("value"))
     o = status.select(F.col("ord").alias("pos"), F.lit(0).alias("line_no"),
                       F.concat_ws(",", F.lit("O"), "w_id", "d_id", "c_id").alias("value"))
-    return h.unionByName(nl).unionByName(p).unionByName(d).unionByName(o) \
-            .withColumn("file", F.lit(file))
+    out = h.unionByName(nl).unionByName(p).unionByName(d).unionByName(o)
+    if reads is not None:  # one text form per letter, fields in the order of FIELDS
+        text = F.lit(None).cast("string")
+        for kind in ("S", "I", "T", "R"):
+            text = F.when(F.col("txn_type") == kind, F.concat_ws(",", F.lit(kind), *FIELDS[kind])).otherwise(text)
+        out = out.unionByName(reads.select(F.col("ord").alias("pos"), F.lit(0).alias("line_no"), text.alias("value")))
+    return out.withColumn("file", F.lit(file))

@@ -25,7 +25,7 @@ from depotline.plans.chain import COMPACT_EVERY, apply_batch, read_chain, write_
 from depotline.plans.client_run import answers, records_to_log
 from depotline.sources.adapter import State
 from depotline.sources.sinks import _exists, work_table
-from depotline.sources.txlog import parse_txlog
+from depotline.sources.txlog import parse_rows, valid_and_errors
 
 def stream_replay(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: str,
                   initial: State, as_of_ts: str = "2000-01-01 00:00:00",
@@ -37,11 +37,17 @@ def stream_replay(spark: SparkSession, in_dir: str, out_dir: str, checkpoint: st
 
     def on_batch(batch: DataFrame, batch_id: int) -> None:
         lines = batch.withColumn("pos", F.monotonically_increasing_id())
-        parsed, errors = parse_txlog(lines, "block", ("pos",))
-        records = work_table(spark, f"stream-{uuid.uuid4().hex[:12]}-b{batch_id}", "records", lambda: parsed)
+        own = f"stream-{uuid.uuid4().hex[:12]}-b{batch_id}"
+
+        def store(name: str, df: DataFrame) -> DataFrame:
+            return work_table(spark, own, name, lambda: df)
+
+        typed, order_lines, orphan = parse_rows(lines, store=store)
+        records, errors = valid_and_errors(store("records", typed), orphan)
+        order_lines = store("order_lines", order_lines)
         prev = read_chain(spark, states, batch_id - 1, initial)
         key = "stream-" + hashlib.sha1(out_dir.encode()).hexdigest()[:12] + f"-b{batch_id}"
-        _, rp = apply_batch(spark, prev, records_to_log(records, batch_id), as_of_ts, key=key)
+        _, rp = apply_batch(spark, prev, records_to_log(records, order_lines, batch_id), as_of_ts, key=key)
         base = f"{out_dir}/results/batch={batch_id}"
         missing = rp.errors.select(F.lit(None).cast("string").alias("file"), F.col("ord").alias("record_no"), "reason",
                                    F.col("txn_type").alias("text"))
