@@ -53,29 +53,71 @@ def in_stock_domain(q0: F.Column, max_draw: F.Column, min_draw: F.Column) -> F.C
                               | ((q0 >= 0) & (q0 < STOCK_FLOOR) & (max_draw <= STOCK_FLOOR)))
 
 
-def _step(q: F.Column, x: F.Column) -> F.Column:
-    v = q - x
-    return F.when(v < STOCK_FLOOR, v + STOCK_REFILL).otherwise(v)
+# Draws in a block of the general stock rule.
+STOCK_BLOCK = 256
 
 
 def stock_fallback(draws: DataFrame) -> DataFrame:
-    """Exact step-by-step stock sequence for keys outside the closed form's
-    domain (never the case for valid data): the key's draws are folded in
-    order with ``aggregate``.  draws: (supply_w_id, i_id, ord, ol_number, qty,
-    s_quantity) -> (supply_w_id, i_id, ord, ol_number, _before, _after)."""
-    g = draws.groupBy("supply_w_id", "i_id").agg(
-        F.first("s_quantity").alias("_q0"),
-        F.sort_array(F.collect_list(F.struct("ord", "ol_number", "qty"))).alias("_d"))
-    init = F.struct(F.col("_q0").alias("q"),
-                    F.array().cast("array<struct<ord:bigint,ol_number:int,b:int,a:int>>").alias("out"))
-    folded = F.aggregate("_d", init, lambda acc, x: F.struct(
-        _step(acc["q"], x["qty"]).alias("q"),
-        F.concat(acc["out"], F.array(F.struct(
-            x["ord"].cast("bigint").alias("ord"), x["ol_number"].alias("ol_number"),
-            acc["q"].cast("int").alias("b"), _step(acc["q"], x["qty"]).cast("int").alias("a")))).alias("out")))
-    e = g.select("supply_w_id", "i_id", F.explode(folded["out"]).alias("r"))
-    return e.select("supply_w_id", "i_id", "r.ord", "r.ol_number", F.col("r.b").alias("_before"),
-                    F.col("r.a").alias("_after"))
+    """Exact stock sequence for keys outside the closed form's domain, whatever the draws.
+    draws: (supply_w_id, i_id, ord, ol_number, qty, s_quantity) -> (supply_w_id, i_id, ord,
+    ol_number, _before, _after).
+
+    With C the sum of the draws up to one, the quantity after it is q0 - C + 100 k, where k
+    counts the refills so far.  A draw refills where q0 - C + 100 k < 10, that is where
+    k < need = ceil((10 - q0 + C) / 100); so k only ever grows by one where it is below ``need``.
+    Needs come from a running sum.  A key's draws are cut into blocks of STOCK_BLOCK by their
+    number.  A block is reduced to its limits: from a start k it counts as many refills as it
+    has limits above k.  k at a block's start lies between two running bounds, so limits at or
+    under the lower one never count, those above the upper one always do, and only those
+    between are kept.  Blocks are chained by the key (a small row each), and each block then
+    steps through its own draws from its start.  No task holds a key's draws."""
+    key = ["supply_w_id", "i_id"]
+    d = running_aggs(draws, key, "ord", [("qty", "_c", "sum", True), (F.lit(1).cast("long"), "_n", "sum", True)],
+                     tiebreak=["ol_number"])
+    # k <= max(0, needs so far), k <= n; and k >= min(need_j + (n - j), n) for every draw j so far
+    d = d.withColumn("_base", (F.col("s_quantity") - F.col("_c")).cast("long")) \
+         .withColumn("_need", F.expr(f"-((_base - pmod(_base - {STOCK_FLOOR}, {STOCK_REFILL}) - {STOCK_FLOOR}) div {STOCK_REFILL})"))
+    d = running_aggs(d, key, "_n", [("_need", "_most", "max", False), (F.col("_n") - F.col("_need"), "_lag", "max", False)])
+    before = F.col("_n") - 1
+    d = d.withColumn("_block", F.expr(f"(_n - 1) div {STOCK_BLOCK}")) \
+         .withColumn("_hi", F.least(before, F.greatest(F.lit(0), F.coalesce("_most", F.lit(0))))) \
+         .withColumn("_lo", F.greatest(F.lit(0), F.least(before, before - F.coalesce("_lag", F.lit(0)))))
+    block = d.groupBy(*key, "_block").agg(
+        F.sort_array(F.collect_list(F.struct("_n", "_need", "_base", "ord", "ol_number", "qty"))).alias("_d"),
+        F.min_by("_lo", "_n").alias("_lo"), F.min_by("_hi", "_n").alias("_hi"))
+    # A draw's limit: the smallest start from which it does not refill, given the limits before it.
+    # A start s has refilled as often as limits exceed it, so the limit is the least s with
+    # s + (limits above s) >= need; limits stay in order, so this is found among need - 0 .. need - j.
+    limits = F.aggregate("_d", F.array().cast("array<bigint>"), lambda got, x: F.sort_array(F.concat(got, F.array(
+        F.aggregate(F.sort_array(got, asc=False), F.struct(x["_need"].alias("s"), F.lit(0).cast("bigint").alias("j")),
+                    lambda acc, lim: F.struct(
+                        F.when(lim > x["_need"] - acc["j"] - 1, x["_need"] - acc["j"] - 1).otherwise(acc["s"]).alias("s"),
+                        F.when(lim > x["_need"] - acc["j"] - 1, acc["j"] + 1).otherwise(acc["j"]).alias("j")),
+                    lambda acc: acc["s"])))))
+    block = block.withColumn("_limits", limits)
+    small = block.select(*key, F.struct(
+        "_block", F.size(F.filter("_limits", lambda b: b > F.col("_hi"))).cast("bigint").alias("all"),
+        F.filter("_limits", lambda b: (b > F.col("_lo")) & (b <= F.col("_hi"))).alias("some")).alias("_b"))
+    chain = small.groupBy(*key).agg(F.sort_array(F.collect_list("_b")).alias("_bs"))
+    starts = F.aggregate(
+        "_bs", F.struct(F.lit(0).cast("bigint").alias("k"), F.array().cast("array<struct<_block:bigint,k:bigint>>").alias("out")),
+        lambda acc, b: F.struct(
+            (acc["k"] + b["all"] + F.size(F.filter(b["some"], lambda x: x > acc["k"])).cast("bigint")).alias("k"),
+            F.concat(acc["out"], F.array(F.struct(b["_block"].cast("bigint").alias("_block"), acc["k"].alias("k")))).alias("out")),
+        lambda acc: acc["out"])
+    start = chain.select(*key, F.explode(starts).alias("_s")).select(*key, "_s._block", F.col("_s.k").alias("_k"))
+    steps = F.aggregate(
+        "_d", F.struct(F.col("_k").alias("k"), F.array().cast("array<bigint>").alias("ks")),
+        lambda acc, x: F.struct(
+            (acc["k"] + (acc["k"] < x["_need"]).cast("bigint")).alias("k"),
+            F.concat(acc["ks"], F.array(acc["k"] + (acc["k"] < x["_need"]).cast("bigint"))).alias("ks")),
+        lambda acc: acc["ks"])
+    out = block.join(start, [*key, "_block"]).withColumn("_ks", F.concat(F.array("_k"), steps))
+    out = out.select(*key, "_ks", F.posexplode("_d").alias("_i", "_x"))
+    refilled = STOCK_REFILL * F.col("_ks")[F.col("_i")]
+    after = F.col("_x._base") + STOCK_REFILL * F.col("_ks")[F.col("_i") + 1]
+    return out.select(*key, "_x.ord", "_x.ol_number", (F.col("_x._base") + F.col("_x.qty") + refilled).cast("int").alias("_before"),
+                      after.cast("int").alias("_after"))
 
 
 def new_order_lines(state: State, n_hdr: DataFrame, n_lines: DataFrame,
@@ -84,8 +126,8 @@ def new_order_lines(state: State, n_hdr: DataFrame, n_lines: DataFrame,
 
     Stock is drawn at the supply warehouse; the running sum of quantities per
     stock key (in record order, then line order) feeds the closed form.  Keys
-    whose start quantity or draws leave the closed form's domain take the
-    exact step-by-step fallback instead."""
+    whose start quantity or draws leave the closed form's domain take
+    ``stock_fallback`` instead."""
     hdr = (hdr if hdr is not None else allocate_order_ids(state, n_hdr)).select("ord", "w_id", "d_id", "o_id")
     raw = n_lines.join(hdr, "ord", "inner")
     # keys outside the closed form's domain, from per-key totals of the raw draws
@@ -179,20 +221,25 @@ def payment_effects(state: State, pay: DataFrame) -> DataFrame:
                     (F.col("c_payment_cnt") + F.col("_n")).cast("long").alias("c_payment_cnt"))
 
 
+ADDRESS = ("street_1", "street_2", "city", "state", "zip")
+
+
 def payment_receipts(state: State, pay: DataFrame) -> DataFrame:
-    """Per payment: customer, addresses, amount and the balance right after it
-    (skew-safe running sum per customer in record order)."""
+    """Per payment: the customer with address and terms, both addresses, the amount and the
+    balance right after it (skew-safe running sum per customer in record order)."""
     r = running_agg(pay, ["w_id", "d_id", "c_id"], "ord", "amount", "_paid")
-    c = state.customer.select("c_w_id", "c_d_id", F.col("c_id").alias("_c"), "c_first", "c_middle",
-                              "c_last", "c_credit", "c_balance")
+    own = ["c_first", "c_middle", "c_last", *[f"c_{a}" for a in ADDRESS], "c_phone", "c_since", "c_credit"]
+    c = state.customer.select("c_w_id", "c_d_id", F.col("c_id").alias("_c"), *own, "c_credit_lim", "c_discount", "c_balance")
     r = r.join(c, (r.w_id == c.c_w_id) & (r.d_id == c.c_d_id) & (r.c_id == c._c), "inner")
-    wh = state.warehouse.select(F.col("w_id").alias("_w"), "w_street_1", "w_city")
-    di = state.district.select(F.col("d_w_id").alias("_dw"), F.col("d_id").alias("_dd"), "d_street_1", "d_city")
+    w_own, d_own = [f"w_{a}" for a in ADDRESS], [f"d_{a}" for a in ADDRESS]
+    wh = state.warehouse.select(F.col("w_id").alias("_w"), *w_own)
+    di = state.district.select(F.col("d_w_id").alias("_dw"), F.col("d_id").alias("_dd"), *d_own)
     r = r.join(wh, r.w_id == wh._w, "inner").join(di, (r.w_id == di._dw) & (r.d_id == di._dd), "inner")
-    return r.select("ord", "w_id", "d_id", "c_id", "c_first", "c_middle", "c_last", "c_credit",
+    r = r.withColumn("c_since", F.date_format("c_since", "yyyy-MM-dd HH:mm:ss.SSS"))
+    return r.select("ord", "w_id", "d_id", "c_id", *own, cents(F.col("c_credit_lim")).alias("c_credit_lim_cents"),
+                    (F.col("c_discount") * 10000).cast("int").alias("c_discount_bp"),
                     cents(F.col("amount")).alias("amount_cents"),
-                    cents(F.col("c_balance") - F.col("_paid")).alias("balance_after_cents"),
-                    "w_street_1", "w_city", "d_street_1", "d_city")
+                    cents(F.col("c_balance") - F.col("_paid")).alias("balance_after_cents"), *w_own, *d_own)
 
 
 def district_ytd(state: State, pay: DataFrame) -> DataFrame:

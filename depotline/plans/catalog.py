@@ -251,7 +251,9 @@ def _register_misc():
     from depotline.operators import metrics as M
     from depotline.operators import report as RP
     from depotline.operators import writes as W
+    from depotline.plans import as_of as A
     from depotline.plans import replay as P
+    from depotline.sources import csv_tables as CSV
     from depotline.sources import txlog as TX
     from depotline.sources.adapter import read_source
     from depotline.sources.sinks import WRITE_LOCK, _exists, snapshot_key, work_path, work_table
@@ -323,7 +325,60 @@ def _register_misc():
                 M.write_measure_log(M.render_measure_log(M.latency_summary(m), M.latency_by_type(m)), path)
         return [df.where("run = 1").drop("run") for df in M.read_measure_log(spark, path)]
 
+    def asked(rp, kind, *cols):
+        """The log's read records of one kind with the district's next order id."""
+        return A.next_order_as_of(rp.state, rp.order_ids, rp.log.asked(kind, "w_id", "d_id", *cols))
+
+    def report_stock_level(rp):
+        after, req = A.after_orders(rp), asked(rp, "S", "threshold", "last_l")
+        q = A.stock_as_of(rp.state, rp.lines, reads.recent_items(after, req))
+        return RP.render_stock_level(reads.stock_level(after, req, q))
+
+    def report_popular_items(rp):
+        after, req = A.after_orders(rp), asked(rp, "I", "last_l")
+        return RP.render_popular_items(req, reads.popular_items(after, req), reads.popular_item_pct_by_name(after, req))
+
+    def report_top_balance(rp):
+        places = rp.log.asked("T")
+        top = A.top_balance_as_of(rp, places.withColumnRenamed("req_id", "ord"), P.balance_ledger(rp), rq.TOP_K)
+        return RP.render_top_balance(places, top)
+
+    def report_related(rp):
+        req = rp.log.asked("R", "w_id", "d_id", "c_id")
+        return RP.render_related(req, A.related_as_of(rp, req))
+
+    def csv_tables(spark, sf_dir):
+        """Tables written as scaled text files, two kinds of bad lines among them, loaded and decoded."""
+        st = load_state(spark, sf_dir, "all")
+        root = work_path(spark, snapshot_key(spark, sf_dir, "csv"), "files")
+        parts = []
+        for name, key, money, rate in (("district", ["d_w_id", "d_id"], "d_ytd", "d_tax"),
+                                       ("customer", ["c_w_id", "c_d_id", "c_id"], "c_balance", "c_discount"),
+                                       ("item", ["i_id"], "i_price", None)):
+            path = f"{root}/{name}"
+            with WRITE_LOCK:
+                if not _exists(spark, path):
+                    df = getattr(st, name)
+                    lines = CSV.csv_lines(df, name)
+                    for i, spoil in ((7, F.concat(F.lit("x"), "value")), (5, F.concat("value", F.lit(",0")))):
+                        lines = lines.unionByName(CSV.csv_lines(df.where(F.col(key[-1]) % i == 0), name).select(spoil.alias("value")))
+                    lines.write.mode("overwrite").text(path)
+            rows = CSV.from_scaled(CSV.read_rows(spark, path, name), name)
+            good = F.col("bad_text").isNull()
+            bp = (F.col(rate) * 10000).cast("long") if rate else F.lit(None).cast("long")
+            parts.append(rows.select(
+                F.lit(name).alias("tbl"), F.when(good, F.concat_ws(",", *key)).alias("key"),
+                F.when(good, cents(F.col(money))).alias("money_cents"), F.when(good, bp).alias("rate_bp"), F.col("bad_text").alias("text")))
+        return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
     QUERIES.update({
+        "report_deliveries": _replay_q(lambda rp: RP.render_deliveries(rp.log.dlv)),
+        "report_order_status": _replay_q(lambda rp: RP.render_order_status(A.order_status_as_of(rp, P.replay_reads(rp)))),
+        "report_stock_level": _replay_q(report_stock_level),
+        "report_popular_items": _replay_q(report_popular_items),
+        "report_top_balance": _replay_q(report_top_balance),
+        "report_related": _replay_q(report_related),
+        "csv_tables": csv_tables,
         "check_pk": lambda spark, sf_dir: C.check_pk(sources(spark, sf_dir)),
         "check_fk": lambda spark, sf_dir: C.check_fk(sources(spark, sf_dir)),
         "check_invariants": _replay_q(check_invariants),

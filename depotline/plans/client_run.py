@@ -11,6 +11,7 @@ header and all lines, S and I by the district's next order id and the stock afte
 the earlier N records, T by the balances after the earlier payments and
 deliveries, R by the orders placed before it.
 
+``report`` holds the printed lines of every applied record (``operators.report``).
 Malformed records and records that reference missing rows are returned in
 ``errors`` with their reason; they change nothing.
 """
@@ -22,7 +23,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from depotline.functions.money import cents
 from depotline.operators import reads
+from depotline.operators import report as text
+from depotline.operators.writes import payment_receipts
 from depotline.plans.chain import apply_batch
 from depotline.plans.as_of import next_order_as_of, order_status_as_of, related_as_of, stock_as_of, top_balance_as_of
 from depotline.plans.replay import Log, Replay, balance_ledger, replay_reads
@@ -61,11 +65,33 @@ def answers(rp: Replay, after: State, as_of_ts: str = "2000-01-01 00:00:00") ->
         "stock_level": reads.stock_level(after, levels, stock_as_of(rp.state, rp.lines, reads.recent_items(after, levels))),
         "popular_items": reads.popular_items(after, recent),
         "popular_item_pct": reads.popular_item_pct(after, recent),
+        "popular_item_pct_by_name": reads.popular_item_pct_by_name(after, recent),
         "top_balance": top_balance_as_of(rp, rp.log.asked("T").withColumnRenamed("req_id", "ord"), balance_ledger(rp), TOP_K),
         "related_customers": related_as_of(rp, rp.log.asked("R", "w_id", "d_id", "c_id")),
     }
 
 
+def report(rp: Replay, out: dict[str, DataFrame], as_of_ts: str = "2000-01-01 00:00:00") -> DataFrame:
+    """The results of a batch as the printed lines of its records: (ord, line_no, text)."""
+    asked = rp.log.asked
+    amounts = rp.lines.withColumn("amount_cents", cents(F.col("amount")))
+    recent = asked("I", "w_id", "d_id", "last_l")
+    parts = [
+        text.render_new_orders(rp.totals(), amounts, as_of_ts),
+        text.render_payment_receipts(payment_receipts(rp.state, rp.log.pay)),
+        text.render_deliveries(rp.log.dlv),
+        text.render_order_status(out["order_status"]),
+        text.render_stock_level(out["stock_level"]),
+        text.render_popular_items(recent, out["popular_items"], out["popular_item_pct_by_name"]),
+        text.render_top_balance(asked("T"), out["top_balance"]),
+        text.render_related(asked("R", "w_id", "d_id", "c_id"), out["related_customers"]),
+    ]
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    return lines
+
+
 def run_log(spark: SparkSession, state: State, path: str, skip=(), as_of_ts: str = "2000-01-01 00:00:00",
             key: str | None = None) -> dict[str, DataFrame]:
     own = f"{key}-{uuid.uuid4().hex[:12]}"
@@ -82,6 +108,7 @@ def run_log(spark: SparkSession, state: State, path: str, skip=(), as_of_ts: str
     r = client_interleave(records)
     missing = rp.errors.select("ord", "reason").join(r.select("ord", "file", "record_no", "txn_type"), "ord") \
                 .select("file", "record_no", "reason", F.col("txn_type").alias("text"))
+    found = answers(rp, nxt, as_of_ts)
     return {
         "errors": errors.unionByName(missing),
         "state": nxt,
@@ -89,5 +116,6 @@ def run_log(spark: SparkSession, state: State, path: str, skip=(), as_of_ts: str
         "new_order_lines": rp.lines,
         "payments": rp.log.pay,
         "deliveries": rp.delivery,
-        **answers(rp, nxt, as_of_ts),
+        **found,
+        "report": report(rp, found, as_of_ts),
     }

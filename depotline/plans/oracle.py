@@ -30,7 +30,11 @@ x_dist0 AS (
   FROM nation),
 x_cust AS (
   SELECT d_w_id AS c_w_id, d_id AS c_d_id, c_custkey AS c_id, c_mktsegment AS c_first,
-         'OE' AS c_middle, c_name AS c_last, 'GC' AS c_credit,
+         'OE' AS c_middle, c_name AS c_last, '3 ' || c_mktsegment || ' lane' AS c_street_1,
+         'unit ' || CAST(c_custkey AS VARCHAR) AS c_street_2, d_city AS c_city, d_state AS c_state,
+         lpad(CAST(c_nationkey AS VARCHAR), 5, '0') || '3333' AS c_zip, lpad(CAST(c_custkey AS VARCHAR), 16, '0') AS c_phone,
+         TIMESTAMP '2000-01-01 00:00:00' + to_days(CAST(c_custkey % 3650 AS INTEGER)) AS c_since,
+         'GC' AS c_credit, CAST(50000 AS DECIMAL(12,2)) AS c_credit_lim,
          CAST((c_custkey % 5) / 100.0 AS DECIMAL(4,4)) AS c_discount,
          CAST(c_acctbal AS DECIMAL(12,2)) AS c_balance
   FROM customer JOIN x_dist0 ON c_nationkey = d_nationkey),
@@ -339,6 +343,24 @@ x_asl AS (
   SELECT r.req_id, r.w_id, r.d_id, l.o_id, l.i_id, l.qty
   FROM x_asreq r JOIN x_allol l ON l.w_id = r.w_id AND l.d_id = r.d_id AND l.o_id >= r.o_hi - 20 AND l.o_id < r.o_hi)"""
 
+_OWN = ["street_1", "street_2", "city", "state", "zip"]
+
+
+def _address(prefix: str) -> str:
+    return ", ".join(f"{prefix}_{a}" for a in _OWN)
+
+
+PAID = f"""
+, x_paid AS (
+  SELECT p.ord, p.w_id, p.d_id, p.c_id, c.c_first, c.c_middle, c.c_last, {_address('c.c')}, c.c_phone,
+         strftime(c.c_since, {TS}) AS c_since, c.c_credit, CAST(c.c_credit_lim * 100 AS BIGINT) AS c_credit_lim_cents,
+         CAST(c.c_discount * 10000 AS INTEGER) AS c_discount_bp, CAST(p.amount * 100 AS BIGINT) AS amount_cents,
+         CAST((c.c_balance - sum(p.amount) OVER (PARTITION BY p.w_id, p.d_id, p.c_id ORDER BY p.ord
+               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) * 100 AS BIGINT) AS balance_after_cents,
+         {_address('w.w')}, {_address('d.d')}
+  FROM x_pay p JOIN x_cust c ON c.c_w_id = p.w_id AND c.c_d_id = p.d_id AND c.c_id = p.c_id
+  JOIN x_wh w ON w.w_id = p.w_id JOIN x_dist d ON d.d_w_id = p.w_id AND d.d_id = p.d_id)"""
+
 REPLAY = {
     "replay_order_ids": RB + """
 SELECT ord, w_id, d_id, c_id, o_id FROM x_oid""",
@@ -386,14 +408,8 @@ SELECT c.c_w_id, c.c_d_id, c.c_id, CAST((c.c_balance - p.s) * 100 AS BIGINT) AS
 FROM (SELECT w_id, d_id, c_id, sum(amount) AS s, count(*) AS n FROM x_pay GROUP BY w_id, d_id, c_id) p
 JOIN x_cust c ON c.c_w_id = p.w_id AND c.c_d_id = p.d_id AND c.c_id = p.c_id""",
 
-    "payment_receipts": RB + """
-SELECT p.ord, p.w_id, p.d_id, p.c_id, c.c_first, c.c_middle, c.c_last, c.c_credit,
-       CAST(p.amount * 100 AS BIGINT) AS amount_cents,
-       CAST((c.c_balance - sum(p.amount) OVER (PARTITION BY p.w_id, p.d_id, p.c_id ORDER BY p.ord
-             ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) * 100 AS BIGINT) AS balance_after_cents,
-       w.w_street_1, w.w_city, d.d_street_1, d.d_city
-FROM x_pay p JOIN x_cust c ON c.c_w_id = p.w_id AND c.c_d_id = p.d_id AND c.c_id = p.c_id
-JOIN x_wh w ON w.w_id = p.w_id JOIN x_dist d ON d.d_w_id = p.w_id AND d.d_id = p.d_id""",
+    "payment_receipts": RB + PAID + """
+SELECT * FROM x_paid""",
 
     "delivery_effects": RB + """
 SELECT a.ord, a.w_id, a.d_id, a.carrier_id, q.o_id, q.c_id, CAST(q.amount * 100 AS BIGINT) AS amount_cents
@@ -616,21 +632,6 @@ SELECT 'N' AS txn_type, (SELECT count(*) FROM x_n) AS n_records, (SELECT count(*
 UNION ALL SELECT 'P', (SELECT count(*) FROM x_pay), 0
 UNION ALL SELECT 'D', (SELECT count(*) FROM x_dlv), 0
 UNION ALL SELECT 'O', (SELECT count(*) FROM x_stat), 0""",
-    "report_lines": RB + f"""
-, x_r AS (
-  SELECT p.ord, p.w_id, p.d_id, p.c_id, c.c_first, c.c_middle, c.c_last, c.c_credit,
-         CAST(p.amount * 100 AS BIGINT) AS amount_cents,
-         CAST((c.c_balance - sum(p.amount) OVER (PARTITION BY p.w_id, p.d_id, p.c_id ORDER BY p.ord
-               ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) * 100 AS BIGINT) AS bal,
-         w.w_street_1, w.w_city, d.d_street_1, d.d_city
-  FROM x_pay p JOIN x_cust c ON c.c_w_id = p.w_id AND c.c_d_id = p.d_id AND c.c_id = p.c_id
-  JOIN x_wh w ON w.w_id = p.w_id JOIN x_dist d ON d.d_w_id = p.w_id AND d.d_id = p.d_id)
-SELECT ord, 0 AS line_no, printf('Customer (%d, %d, %d): %s %s %s, credit %s', w_id, d_id, c_id, c_first, c_middle,
-                                  c_last, c_credit) AS text FROM x_r
-UNION ALL SELECT ord, 1, 'Warehouse address: ' || w_street_1 || ', ' || w_city FROM x_r
-UNION ALL SELECT ord, 2, 'District address: ' || d_street_1 || ', ' || d_city FROM x_r
-UNION ALL SELECT ord, 3, 'Payment: ' || {_money_text('amount_cents')} FROM x_r
-UNION ALL SELECT ord, 4, 'Balance: ' || {_money_text('bal')} FROM x_r""",
     "ledger_post": """
 WITH x_nc AS (SELECT count(*) AS n FROM customer),
 x_tr AS (SELECT ((user_id % n) + n) % n AS f, ((event_id % n) + n) % n AS t,
@@ -730,7 +731,34 @@ def _rate_text(col: str) -> str:
     return f"('0.' || lpad(CAST({col} AS VARCHAR), 4, '0'))"
 
 
-MISC["new_order_report"] = RB + f"""
+TAB = "chr(9) || "
+
+
+def _report(source: str, lines: list[tuple[str, str]], ord_col: str = "ord") -> str:
+    """One SELECT for each (line number, text) over the rows of ``source``."""
+    return "\nUNION ALL ".join(f"SELECT {ord_col} AS ord, CAST({n} AS INTEGER) AS line_no, {text} AS text FROM {source}" for n, text in lines)
+
+
+def _addressed(prefix: str, name: str) -> str:
+    return " || ', ' || ".join(f"'{name}_{a.upper()}=' || {prefix}_{a}" for a in _OWN)
+
+
+_TUPLE = " || ', ' || "
+MISC["report_lines"] = RB + PAID + "\n" + _report("x_paid", [
+    (0, f"printf('P %d %d %d ', w_id, d_id, c_id) || {_money_text('amount_cents')}"),
+    (1, TAB + "'(a) Customer information:'"),
+    (2, TAB + TAB + "printf('Identifier: (C_W_ID,C_D_ID,C_ID)=(%d, %d, %d)', w_id, d_id, c_id)"),
+    (3, TAB + TAB + "printf('Name: (C_FIRST,C_MIDDLE,C_LAST)=(%s, %s, %s)', c_first, c_middle, c_last)"),
+    (4, TAB + TAB + "'Address: (C_STREET_1,C_STREET_2,C_CITY,C_STATE,C_ZIP)=(' || "
+        + _TUPLE.join(f"c_{a}" for a in _OWN) + " || ')'"),
+    (5, TAB + TAB + f"'Other info: C_PHONE=' || c_phone || ', C_SINCE=' || substr(c_since, 1, 19) || ', C_CREDIT=' || c_credit "
+        f"|| ', C_CREDIT_LIM=' || {_money_text('c_credit_lim_cents')} || ', C_DISCOUNT=' || {_money_text('((c_discount_bp + 50) // 100)')} "
+        f"|| ', C_BALANCE=' || {_money_text('balance_after_cents')}"),
+    (6, TAB + "'(b) Warehouse information:'"), (7, TAB + TAB + _addressed("w", "W")),
+    (8, TAB + "'(c) District information:'"), (9, TAB + TAB + _addressed("d", "D")),
+    (10, TAB + f"'(d) Payment: ' || {_money_text('amount_cents')}")])
+
+MISC["new_order_report"] = RB + """
 , x_tot AS (
   SELECT o.ord, o.w_id, o.d_id, o.o_id, o.c_id, c.c_last, c.c_credit,
          CAST(c.c_discount * 10000 AS INTEGER) AS c_bp, CAST(w.w_tax * 10000 AS INTEGER) AS w_bp,
@@ -741,16 +769,116 @@ MISC["new_order_report"] = RB + f"""
   LEFT JOIN (SELECT ord, sum(amount) AS s, count(*) AS n FROM x_lines2 GROUP BY ord) a ON a.ord = o.ord
   JOIN x_cust c ON c.c_w_id = o.w_id AND c.c_d_id = o.d_id AND c.c_id = o.c_id
   JOIN x_wh w ON w.w_id = o.w_id
-  JOIN x_dist d ON d.d_w_id = o.w_id AND d.d_id = o.d_id)
-SELECT ord, 0 AS line_no, printf('Customer (%d, %d, %d): %s, credit %s, discount ', w_id, d_id, c_id, c_last,
-       c_credit) || {_rate_text('c_bp')} AS text FROM x_tot
-UNION ALL SELECT ord, 1, 'Warehouse tax ' || {_rate_text('w_bp')} || ', district tax ' || {_rate_text('d_bp')}
-FROM x_tot
-UNION ALL SELECT ord, 2, printf('Order %d, %d items, total ', o_id, n_items) || {_money_text('total_cents')}
-FROM x_tot
-UNION ALL SELECT ord, ol_number + 2,
-       printf('Item %d %s, supplier %d, qty %d, amount ', i_id, i_name, supply_w_id, qty)
-       || {_money_text('CAST(amount * 100 AS BIGINT)')} || printf(', stock %d', CAST(s_after AS INTEGER))
-FROM x_lines2"""
+  JOIN x_dist d ON d.d_w_id = o.w_id AND d.d_id = o.d_id),
+x_item_rows AS (
+  SELECT l.*, row_number() OVER (PARTITION BY l.ord ORDER BY ol_number) AS k, t.n_items
+  FROM x_lines2 l JOIN x_tot t ON t.ord = l.ord)
+""" + _report("x_tot", [
+    (0, "printf('N %d %d %d', w_id, d_id, c_id)"),
+    ("n_items + 1", TAB + "printf('Customer identifier (W_ID: %d, D_ID: %d, C_ID: %d), C_LAST: %s, C_CREDIT: %s, C_DISCOUNT: ', "
+     "w_id, d_id, c_id, c_last, c_credit) || " + _rate_text("c_bp")),
+    ("n_items + 2", TAB + f"'W_TAX: ' || {_rate_text('w_bp')} || ', D_TAX: ' || {_rate_text('d_bp')}"),
+    ("n_items + 3", TAB + "printf('O_ID: %d, O_ENTRY_D: 2000-01-01 00:00:00', o_id)"),
+    ("n_items + 4", TAB + f"printf('NUM_ITEMS: %d, TOTAL_AMOUNT: ', n_items) || {_money_text('total_cents')}"),
+]) + "\nUNION ALL " + _report("x_item_rows", [
+    ("k", "printf('%d,%d,%d', i_id, supply_w_id, qty)"),
+    ("n_items + 4 + k", TAB + "printf('ITEM_NUMBER: %d, I_NAME: %s, SUPPLIER_WAREHOUSE: %d, QUANTITY: %d, OL_AMOUNT: ', i_id, i_name, "
+     f"supply_w_id, qty) || {_money_text('CAST(amount * 100 AS BIGINT)')} || printf(', S_QUANTITY: %d', CAST(s_after AS INTEGER))")])
+
+MISC["report_deliveries"] = RB + "\n" + _report("x_dlv", [(0, "printf('D %d %d', w_id, carrier_id)")])
+
+MISC["report_order_status"] = f"""
+WITH x_os AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY ol_number) AS k FROM ({REPLAY['replay_order_status']}))
+""" + _report("x_os WHERE k = 1", [
+    (0, "printf('O %d %d %d', c_w_id, c_d_id, c_id)"),
+    (1, TAB + "printf('(a) Customer name & balance: (C_FIRST,C_MIDDLE,C_LAST)=(%s, %s, %s), C_BALANCE: ', c_first, c_middle, c_last) || "
+     + _money_text("c_balance_cents"))], "req_id") + "\nUNION ALL " + _report("x_os WHERE k = 1 AND o_id IS NOT NULL", [
+    (2, TAB + "printf('(b) O_ID: %d, O_ENTRY_D: ', o_id) || substr(o_entry_d, 1, 19) || ', O_CARRIER_ID: ' || "
+     "coalesce(CAST(o_carrier_id AS VARCHAR), 'null')"),
+    (3, TAB + "printf('(c) For each item in the order %d', o_id)")], "req_id") + "\nUNION ALL " + _report("x_os WHERE ol_number IS NOT NULL", [
+    ("3 + k", TAB + TAB + "printf('OL_I_ID: %d, OL_SUPPLY_W_ID: %d, OL_QUANTITY: %d, OL_AMOUNT: ', ol_i_id, ol_supply_w_id, ol_quantity) || "
+     + _money_text("ol_amount_cents") + " || ', OL_DELIVER_D: ' || coalesce(substr(ol_delivery_d, 1, 19), 'null')")], "req_id")
+
+
+def _asked(kind: str, sql: str) -> str:
+    """A query on every order-status record, asked by the records of ``kind`` instead."""
+    return sql.replace("FROM x_stat s JOIN", f"FROM (SELECT * FROM x_asks WHERE kind = '{kind}') s JOIN")
+
+
+MISC["report_stock_level"] = f"WITH x_sl AS ({_asked('S', REPLAY['replay_stock_level'])})\n" + _report("x_sl", [
+    (0, "printf('S %d %d 20 60', w_id, d_id)"),
+    (1, TAB + "printf('Total number of items in S where its stock quantity at W_ID is below the threshold: %d', items_below)")], "req_id")
+
+MISC["report_popular_items"] = RB + _asked("I", AS_OF) + f""",
+x_exam AS (
+  SELECT r.req_id, r.w_id, r.d_id, o.* EXCLUDE (w, d)
+  FROM x_asreq r JOIN (
+    SELECT o_w_id AS w, o_d_id AS d, o_id, o_c_id, strftime(o_entry_d, '%Y-%m-%d %H:%M:%S') AS entry FROM x_ord
+    UNION ALL SELECT w_id, d_id, o_id, c_id, '2000-01-01 00:00:00' FROM x_oid) o
+  ON o.w = r.w_id AND o.d = r.d_id AND o.o_id >= r.o_hi - 20 AND o.o_id < r.o_hi),
+x_tied AS (
+  SELECT t.req_id, t.o_id, t.i_id, t.qty, it.i_name
+  FROM (SELECT *, max(qty) OVER (PARTITION BY req_id, o_id) AS mq FROM x_asl) t JOIN x_item it ON it.i_id = t.i_id WHERE qty = mq),
+x_share AS (
+  SELECT t.req_id, i_name, count(*) AS n, any_value(e.n) AS n_exam
+  FROM x_tied t JOIN (SELECT req_id, count(*) AS n FROM x_exam GROUP BY req_id) e ON e.req_id = t.req_id GROUP BY t.req_id, i_name),
+x_text AS (
+  SELECT req_id, 0 AS s, 0 AS o, 0 AS j, 0 AS i, '' AS name, printf('I %d %d 20', w_id, d_id) AS text FROM x_asreq
+  UNION ALL SELECT req_id, 0, 0, 1, 0, '', {TAB}printf('District identifier: (%d, %d)', w_id, d_id) FROM x_asreq
+  UNION ALL SELECT req_id, 0, 0, 2, 0, '', {TAB}'Number of last orders to be examined: 20' FROM x_asreq
+  UNION ALL SELECT req_id, 1, o_id, 0, 0, '', {TAB}printf('(a) Order number:(%d) & entry date and time (%s)', o_id, entry) FROM x_exam
+  UNION ALL SELECT req_id, 1, o_id, 1, 0, '', {TAB}printf('(b) Name of customer who placed this order (%s, %s, %s)', c_first, c_middle, c_last)
+            FROM x_exam JOIN x_cust c ON c.c_id = o_c_id
+  UNION ALL SELECT req_id, 1, o_id, 2, 0, '', {TAB}printf('(c) For each popular item in order %d:', o_id) FROM x_exam
+  UNION ALL SELECT DISTINCT req_id, 1, o_id, 3, i_id, '', {TAB}{TAB}printf('Item name: %s, Quantity ordered: %d', i_name, qty) FROM x_tied
+  UNION ALL SELECT req_id, 2, 0, 0, 0, '', {TAB}'(d) For each distinct popular item:' FROM x_asreq
+  UNION ALL SELECT req_id, 3, 0, 0, 0, i_name, {TAB}{TAB}printf('Item name: %s, Occurring percentage: ', i_name)
+                   || {_money_text('((n * 20000 + n_exam) // (2 * n_exam))')} || '%' FROM x_share)
+SELECT req_id AS ord, CAST(row_number() OVER (PARTITION BY req_id ORDER BY s, o, j, i, name) - 1 AS INTEGER) AS line_no, text FROM x_text"""
+
+MISC["report_top_balance"] = RB + f"""
+, x_tb AS (SELECT * FROM ({REPLAY['replay_top_balance']})),
+x_places AS (SELECT ord FROM x_asks WHERE kind = 'T')
+""" + _report("x_places", [(0, "'T'")]) + "\nUNION ALL " + _report("x_tb", [
+    ("rank * 4 - 3", TAB + "printf('(a) Name of Customer: (%s, %s, %s)', c_first, c_middle, c_last)"),
+    ("rank * 4 - 2", TAB + f"'(b) Customer''s Balance: ' || {_money_text('c_balance_cents')} || '0000'"),
+    ("rank * 4 - 1", TAB + "'(c) Customer''s Warehouse: ' || w_name"),
+    ("rank * 4", TAB + "'(d) Customer''s District: ' || d_name")], "req_id")
+
+MISC["report_related"] = RB + f"""
+, x_rel AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY c_id, w_id, d_id) AS k FROM ({REPLAY['replay_related']})),
+x_rq AS (SELECT ord, w_id, d_id, c_id, ord IN (SELECT req_id FROM x_rel) AS found FROM x_asks WHERE kind = 'R')
+""" + _report("x_rq", [
+    (0, "printf('R %d %d %d', w_id, d_id, c_id)"),
+    (1, TAB + "printf('(a) Customer identifier (%d, %d, %d)', w_id, d_id, c_id)"),
+    (2, TAB + "CASE WHEN found THEN '(b) Related customer identifiers:' ELSE '(b) No related customer found' END")
+]) + "\nUNION ALL " + _report("x_rel", [("2 + k", TAB + "printf('(%d, %d, %d)', w_id, d_id, c_id)")], "req_id")
+
+
+_CSV = {  # the files' columns, money in whole cents and rates in 1/10000
+    "district": ("x_dist", ["d_w_id", "d_id"], "CAST(d_ytd AS BIGINT)", "CAST(d_tax * 10000 AS BIGINT)",
+                 "d_w_id, d_id, d_name, d_street_1, d_street_2, d_city, d_state, d_zip, CAST(d_tax * 10000 AS BIGINT), 0, d_next_o_id"),
+    "customer": ("x_cust", ["c_w_id", "c_d_id", "c_id"], "CAST(c_balance * 100 AS BIGINT)", "CAST(c_discount * 10000 AS BIGINT)",
+                 "c_w_id, c_d_id, c_id, c_first, c_middle, c_last, c_street_1, c_street_2, c_city, c_state, c_zip, c_phone, "
+                 f"strftime(c_since, {TS}), c_credit, CAST(c_credit_lim * 100 AS BIGINT), CAST(c_discount * 10000 AS BIGINT), "
+                 "CAST(c_balance * 100 AS BIGINT), 0, 0, 0, 'null'"),
+    "item": ("x_item", ["i_id"], "CAST(i_price * 100 AS BIGINT)", "CAST(NULL AS BIGINT)",
+             "i_id, i_name, CAST(i_price * 100 AS BIGINT), i_im_id, i_data"),
+}
+
+
+def _csv_sql() -> str:
+    parts = []
+    for name, (table, keys, money, rate, columns) in _CSV.items():
+        if name == "district":
+            money = "CAST(0 AS BIGINT)"
+        key = f"concat_ws(',', {', '.join(keys)})"
+        parts.append(f"SELECT '{name}' AS tbl, {key} AS key, {money} AS money_cents, {rate} AS rate_bp, CAST(NULL AS VARCHAR) AS text FROM {table}")
+        parts.append(f"SELECT '{name}', NULL, NULL, NULL, 'x' || concat_ws(',', {columns}) FROM {table} WHERE {keys[-1]} % 7 = 0")
+        parts.append(f"SELECT '{name}', NULL, NULL, NULL, concat_ws(',', {columns}) || ',0' FROM {table} WHERE {keys[-1]} % 5 = 0")
+    return "\nUNION ALL\n".join(parts)
+
+
+MISC["csv_tables"] = with_ctes(ALL) + "\n" + _csv_sql()
 
 ORACLE.update(MISC)

@@ -91,7 +91,7 @@ def districts_base(nation: DataFrame) -> DataFrame:
 
 
 def customers(customer: DataFrame, dist: DataFrame) -> DataFrame:
-    dmap = F.broadcast(dist.select("d_nationkey", "d_w_id", "d_id"))
+    dmap = F.broadcast(dist.select("d_nationkey", "d_w_id", "d_id", "d_city", "d_state"))
     c = customer.join(dmap, customer.c_nationkey == dmap.d_nationkey, "inner")
     return c.select(
         F.col("d_w_id").alias("c_w_id"),
@@ -100,6 +100,13 @@ def customers(customer: DataFrame, dist: DataFrame) -> DataFrame:
         F.col("c_mktsegment").alias("c_first"),
         F.lit(CUSTOMER_MIDDLE).alias("c_middle"),
         F.col("c_name").alias("c_last"),
+        F.concat(F.lit("3 "), F.col("c_mktsegment"), F.lit(" lane")).alias("c_street_1"),
+        F.concat(F.lit("unit "), F.col("c_custkey").cast("string")).alias("c_street_2"),
+        F.col("d_city").alias("c_city"),
+        F.col("d_state").alias("c_state"),
+        F.concat(F.lpad(F.col("c_nationkey").cast("string"), 5, "0"), F.lit("3333")).alias("c_zip"),
+        F.lpad(F.col("c_custkey").cast("string"), 16, "0").alias("c_phone"),
+        F.expr("timestamp'2000-01-01 00:00:00' + make_interval(0, 0, 0, cast(pmod(c_custkey, 3650) as int))").alias("c_since"),
         F.lit(CUSTOMER_CREDIT).alias("c_credit"),
         F.lit(CUSTOMER_CREDIT_LIM).cast(MONEY).alias("c_credit_lim"),
         _rate(F.pmod(F.col("c_custkey"), F.lit(5)), 100).alias("c_discount"),

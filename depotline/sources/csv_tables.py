@@ -26,18 +26,40 @@ MONEY_COLS = {
 RATE_COLS = {"warehouse": ["w_tax"], "district": ["d_tax"], "customer": ["c_discount"]}
 
 
+# A quote inside quotes is doubled.
+OPTIONS = {"nullValue": "null", "timestampFormat": TS_FORMAT, "escape": '"',
+           "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
+
+
+def parse_lines(lines: DataFrame, name: str) -> DataFrame:
+    """Lines (value) -> the columns of table ``name`` and ``bad_text``: the line itself where it
+    does not fit the declared schema, else null.  Empty lines are no rows.  Good and bad rows come
+    out of one pass over the text."""
+    schema = T.StructType(CSV_SCHEMAS[name].fields + [T.StructField("bad_text", T.StringType())])
+    row = F.from_csv("value", schema.simpleString()[len("struct<"):-1].replace(":", " "),
+                     {**OPTIONS, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "bad_text"})
+    return lines.where(F.length(F.trim("value")) > 0).select(row.alias("_r")).select("_r.*")
+
+
+def read_rows(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of a folder of headerless files, good and bad, see ``parse_lines``."""
+    return parse_lines(spark.read.text(path), name)
+
+
 def load_table(spark: SparkSession, path: str, name: str) -> tuple[DataFrame, DataFrame]:
     """-> (rows, bad_rows).  bad_rows keeps the raw text of rows that do not
     fit the declared schema."""
-    schema = CSV_SCHEMAS[name]
-    full = T.StructType(schema.fields + [T.StructField("_corrupt_record", T.StringType())])
-    df = (spark.read.schema(full).option("header", "false").option("nullValue", "null")
-          .option("timestampFormat", TS_FORMAT).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").csv(path))
-    df = df.cache()  # a corrupt-record column can only be queried on a materialised scan
-    bad = df.where(F.col("_corrupt_record").isNotNull()).select(F.col("_corrupt_record").alias("text"))
-    good = df.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
-    return good, bad
+    df = read_rows(spark, path, name)
+    bad = df.where(F.col("bad_text").isNotNull()).select(F.col("bad_text").alias("text"))
+    return df.where(F.col("bad_text").isNull()).drop("bad_text"), bad
+
+
+def csv_lines(df: DataFrame, name: str) -> DataFrame:
+    """Rows of table ``name`` (decimal form) as lines (value) of its file layout; columns that
+    ``df`` lacks are written as null."""
+    scaled = to_scaled(df, name)
+    cols = [F.col(f.name) if f.name in df.columns else F.lit(None).cast(f.dataType).alias(f.name) for f in CSV_SCHEMAS[name].fields]
+    return scaled.select(F.to_csv(F.struct(*cols), OPTIONS).alias("value"))
 
 
 def from_scaled(df: DataFrame, name: str) -> DataFrame:
