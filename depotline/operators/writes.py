@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from depotline.functions.money import MONEY, WIDE_MONEY, cents
 from depotline.functions.sequencing import dense_number, running_agg, running_aggs
 from depotline.sources.adapter import State
+from depotline.sources.sinks import scratch_table
 
 STOCK_FLOOR = 10
 STOCK_REFILL = 100
@@ -120,6 +121,17 @@ def stock_fallback(draws: DataFrame) -> DataFrame:
                       after.cast("int").alias("_after"))
 
 
+def outside_domain(state: State, draws: DataFrame) -> DataFrame | None:
+    """(supply_w_id, i_id, s_quantity) of the keys that the closed form does not cover, from the
+    totals of their draws; written once, None if there are none."""
+    k = draws.groupBy("supply_w_id", "i_id").agg(F.max("qty").alias("_mx"), F.min("qty").alias("_mn"))
+    st = state.stock_for(k.select(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id"))).select("s_w_id", "s_i_id", "s_quantity")
+    bad = k.join(st, (k.supply_w_id == st.s_w_id) & (k.i_id == st.s_i_id), "inner") \
+        .where(~in_stock_domain(F.col("s_quantity"), F.col("_mx"), F.col("_mn"))).select("supply_w_id", "i_id", "s_quantity")
+    bad = scratch_table(draws.sparkSession, "stock_outside", bad)
+    return None if bad.isEmpty() else bad
+
+
 def new_order_lines(state: State, n_hdr: DataFrame, n_lines: DataFrame,
                     hdr: DataFrame | None = None) -> DataFrame:
     """Per N line: order id, amount, stock before/after the draw, dist info.
@@ -130,18 +142,18 @@ def new_order_lines(state: State, n_hdr: DataFrame, n_lines: DataFrame,
     ``stock_fallback`` instead."""
     hdr = (hdr if hdr is not None else allocate_order_ids(state, n_hdr)).select("ord", "w_id", "d_id", "o_id")
     raw = n_lines.join(hdr, "ord", "inner")
-    # keys outside the closed form's domain, from per-key totals of the raw draws
-    kmax = raw.groupBy("supply_w_id", "i_id").agg(F.max("qty").alias("_mx"), F.min("qty").alias("_mn"))
-    kq = state.stock_for(kmax.select(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")))
-    bad_keys = kmax.join(kq, (kmax.supply_w_id == kq.s_w_id) & (kmax.i_id == kq.s_i_id), "inner") \
-        .where(~in_stock_domain(F.col("s_quantity"), F.col("_mx"), F.col("_mn"))).select("supply_w_id", "i_id", "s_quantity")
-    fb = stock_fallback(raw.join(bad_keys, ["supply_w_id", "i_id"], "inner"))
+    bad = outside_domain(state, raw)
     ln = running_aggs(raw, ["supply_w_id", "i_id"], "ord", [("qty", "_cum", "sum", True)],
                       tiebreak=["ol_number"])
     keys = ln.select(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id")).distinct()
     st = state.stock_for(keys).select("s_w_id", "s_i_id", "s_quantity", "s_dist")
     ln = ln.join(st, (ln.supply_w_id == st.s_w_id) & (ln.i_id == st.s_i_id), "inner")
-    ln = ln.join(fb, ["supply_w_id", "i_id", "ord", "ol_number"], "left")
+    none = F.lit(None).cast("int")
+    if bad is None:
+        ln = ln.withColumns({"_before": none, "_after": none})
+    else:
+        fb = stock_fallback(raw.join(bad, ["supply_w_id", "i_id"], "inner"))
+        ln = ln.join(fb, ["supply_w_id", "i_id", "ord", "ol_number"], "left")
     it = state.item.select(F.col("i_id").alias("_i"), "i_name", "i_price")
     ln = ln.join(it, ln.i_id == it._i, "inner")
     after = F.coalesce(F.col("_after"), stock_closed_form(F.col("s_quantity"), F.col("_cum")))
@@ -186,18 +198,19 @@ def stock_after(state: State, n_hdr: DataFrame, n_lines: DataFrame) -> DataFrame
     hdr = n_hdr.select("ord", "w_id")
     ln = n_lines.join(hdr, "ord", "inner")
     g = ln.groupBy("supply_w_id", "i_id").agg(
-        F.sum("qty").alias("_c"), F.count(F.lit(1)).alias("_n"), F.max("qty").alias("_mx"), F.min("qty").alias("_mn"),
+        F.sum("qty").alias("_c"), F.count(F.lit(1)).alias("_n"),
         F.sum((F.col("supply_w_id") != F.col("w_id")).cast("int")).alias("_r"))
     keys = g.select(F.col("supply_w_id").alias("s_w_id"), F.col("i_id").alias("s_i_id"))
     st = state.stock_for(keys).select("s_w_id", "s_i_id", "s_quantity", "s_ytd", "s_order_cnt",
                                       "s_remote_cnt")
     j = g.join(st, (g.supply_w_id == st.s_w_id) & (g.i_id == st.s_i_id), "inner")
-    bad = j.where(~in_stock_domain(F.col("s_quantity"), F.col("_mx"), F.col("_mn"))).select(
-        "supply_w_id", "i_id", "s_quantity")
-    fb = stock_fallback(ln.join(bad, ["supply_w_id", "i_id"], "inner"))
-    last = fb.groupBy("supply_w_id", "i_id").agg(
-        F.max_by("_after", F.struct("ord", "ol_number")).alias("_fa"))
-    j = j.join(last, ["supply_w_id", "i_id"], "left")
+    bad = outside_domain(state, ln)
+    if bad is None:
+        j = j.withColumn("_fa", F.lit(None).cast("int"))
+    else:
+        fb = stock_fallback(ln.join(bad, ["supply_w_id", "i_id"], "inner"))
+        last = fb.groupBy("supply_w_id", "i_id").agg(F.max_by("_after", F.struct("ord", "ol_number")).alias("_fa"))
+        j = j.join(last, ["supply_w_id", "i_id"], "left")
     return j.select("s_w_id", "s_i_id",
                     F.coalesce(F.col("_fa"), stock_closed_form(F.col("s_quantity"), F.col("_c")))
                      .alias("s_quantity"),

@@ -15,7 +15,7 @@ def test_good_and_bad_lines(spark, tmpdir_path):
     assert sorted(r.text for r in bad.collect()) == ["5,short", "6,long,1,1,d,extra", "x4,nut,1,1,d"]
     rows = CSV.read_rows(spark, f"{tmpdir_path}/item", "item")
     plan = rows._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("FileScan") == 1 and "InMemory" not in plan
+    assert plan.count("FileScan") == 1 and "InMemoryTableScan" not in plan
     assert rows.count() == 6
 
 
