@@ -18,18 +18,26 @@ that they are ``PRECISION`` of the proposals there.  However common an unlisted
 form is, it lowers both sides alike.  Proposals that pass and touch no base
 span are added.
 
-The trees are fitted on the counts of distinct feature vectors over all
-documents, so the fit sees every proposal and the driver only those counts
-(the ``CELLS`` most frequent vectors).  They become plain column expressions:
+Proposals are counted by kind, fold and feature vector over all documents, into a
+written table.  The trees of a kind are fitted on these counts; of more than
+``CELLS`` vectors a sample by priority (count over a hash of the vector) takes
+part, with weights that keep every expected count.  Thresholds are calibrated on
+the counts by score (``SCORE_DIGITS`` decimals) over all proposals of the
+held-out fold, added up by Spark.  The trees become plain column expressions:
 scoring is one map over the texts, without a shuffle.
 
+Credentials (``secret_spans``) have a generator of their own and no trees, as no
+base pattern labels them: the value of an assignment to a credential word,
+fixed key forms, and the first line of a private key.
+
 Offsets are code points, ends exclusive.  Patterns are written with possessive
 repeats and start conditions so that long texts take linear time.
 
 * null or empty text: no spans
 * null ids, repeated rows and other columns pass as they are
-* under ``LEAST_BASE`` base spans of a kind in all folds, or none in one of the
-  two: there is nothing to learn from, nothing is added
+* no base spans of a kind in the learning folds or in the held-out one: there is
+  nothing to learn from, nothing is added.  A threshold counts ``UNSEEN`` more
+  proposals than there are, so few base spans alone support none
 * no base spans of a kind behind its cue words: every proposal without a base
   span counts as something else
 """
@@ -40,7 +48,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotline.llm.common import HELD_OUT_FOLD, fold, sha256_hex, table, text_or_empty
+from depotline.llm.common import HELD_OUT_FOLD, drop_table, fold, sha256_hex, table, text_or_empty, write_table
 
 KINDS = ("email", "ip", "card", "phone")
 # The base patterns.  \G or the look-behind only skip starts that can't begin a leftmost match.
@@ -65,6 +73,12 @@ CUES = ("call|phone|tel|fax|mobile", "card|visa|account", "host|server|address",
         "pass|key|token|version|order|number|id")
 OWN_CUE = {"phone": 1, "card": 2, "ip": 3, "email": 4}
 CUE_CHARS = 24
+# Words that credentials are assigned to, and forms that name themselves.
+SECRET_WORD = (r"(?i:passwords?|passwd|pwd|secrets?|tokens?|credentials?|(?:api|access|secret|private|auth)[_-]?key)"
+               r"[\"']?\x20?+[:=]\x20?+[\"']?")
+SECRET = (rf"(?:(?<={SECRET_WORD.replace('?+', '{0,1}')})[^\s\"',;]{{8,}}+"
+          r"|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{32,})\b|-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----)")
+SECRET_MARK = r"(?i:pass|pwd|secret|token|credential|key)|AKIA|gh[pousr]_|sk-"
 FEATURES = ("digits", "marks", "dots", "length", "before", "after", "cue", "varied", "last", "sum_digit")
 
 CELLS = 50_000
@@ -73,7 +87,8 @@ RATE = 0.3
 SMOOTH = 1.0
 PRECISION = 0.98
 TYPICAL = 0.9
-LEAST_BASE = 30
+UNSEEN = 0.5
+SCORE_DIGITS = 2
 
 
 def let(value: Column, body) -> Column:
@@ -145,6 +160,12 @@ def loose_spans(text: Column, kind: str) -> Column:
     return F.when(text.rlike(MARK[kind]), found).otherwise(nothing())
 
 
+def secret_spans(text: Column) -> Column:
+    """array<struct<start, end, m>> of credentials; an assigned value needs more than letters."""
+    found = F.filter(matches(text, SECRET), lambda x: x["m"].rlike("[^A-Za-z]|^AKIA[A-Z]{16}$"))
+    return F.when(text.rlike(SECRET_MARK), found).otherwise(nothing())
+
+
 def char_class(c: Column) -> Column:
     return (F.when(c == "", 0).when(c.rlike(r"\s"), 1).when(c.rlike(r"\p{L}"), 2).when(c.rlike("[0-9]"), 3)
             .when(c.rlike("[.,;:!?)]"), 4).otherwise(5))
@@ -266,13 +287,14 @@ def least_score(score: np.ndarray, y: np.ndarray, w: np.ndarray, part: float) ->
     """The smallest threshold that is precise enough, if ``part`` of the real ones hold base spans."""
     for least in np.unique(score):
         top = score >= least
-        if (w * y)[top].sum() >= max(PRECISION * part * w[top].sum(), 1):
+        if (w * y)[top].sum() >= PRECISION * part * (w[top].sum() + UNSEEN):
             return float(least)
     return None
 
 
 def fit(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> dict:
-    """kind -> (trees, least score); kinds without enough base spans are left out."""
+    """kind -> (trees, least score); kinds without base spans, or without a precise
+    enough threshold, are left out."""
     t = text_or_empty(text)
     wide = with_spans(df.select(F.col(doc_id), F.col(text)), text).withColumn("_ll_out", fold(doc_id) == HELD_OUT_FOLD)
 
@@ -282,25 +304,44 @@ def fit(df: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> dict:
 
     proposals = F.concat(*[described(k) for k in KINDS])
     rows = wide.select("_ll_out", F.explode(proposals).alias("c")).select("_ll_out", "c.kind", "c.y", "c.x.*")
-    cells = rows.groupBy("_ll_out", "kind", "y", *FEATURES).count().orderBy(
-        F.desc("count"), "kind", "y", "_ll_out", *FEATURES).limit(CELLS).collect()
+    cells = write_table(rows.groupBy("_ll_out", "kind", "y", *FEATURES).count(), "pii-cells")
+    seen = {(r["kind"], r["_ll_out"]) for r in cells.where("y").select("kind", "_ll_out").distinct().collect()}
     models = {}
     for kind in KINDS:
-        own = [r for r in cells if r["kind"] == kind]
-        x = np.array([[r[f] for f in FEATURES] for r in own]).reshape(-1, len(FEATURES))
-        y, w, out = (np.array([float(r[c]) for r in own]) for c in ("y", "count", "_ll_out"))
-        learn, check = out == 0, out == 1
-        base = [(w * y)[rows].sum() for rows in (learn, check)]
-        if min(base) < 1 or sum(base) < LEAST_BASE:
+        if not {(kind, False), (kind, True)} <= seen:
             continue
-        model = boost(x[learn], y[learn], w[learn])
-        score, y, w = np.round(score_cells(model, x[check]), 6), y[check], w[check]
-        least = least_score(score, y, w, seen_part(score, y, w, x[check][:, FEATURES.index("cue")] == OWN_CUE[kind]))
+        own = cells.where(F.col("kind") == kind)
+        model = boost(*fitting_cells(own.where("not _ll_out")))
+        score, y, w, cue = scored_cells(own.where("_ll_out"), model, kind)
+        least = least_score(score, y, w, seen_part(score, y, w, cue))
         if least is not None:
             models[kind] = (model, least)
+    drop_table(cells)
     return models
 
 
+def fitting_cells(cells: DataFrame, most: int = CELLS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(features, label, weight) of at most ``most`` counted vectors.  Of more, those with the
+    highest count / u stay, u uniform by hash; a weight is at least the first priority left out,
+    which keeps the expected count of any set of vectors."""
+    u = (F.pmod(F.xxhash64("y", *FEATURES), F.lit(1 << 30)) + 1) / F.lit(1 << 30)
+    got = cells.select("y", *FEATURES, "count", (F.col("count") / u).alias("_ll_priority")) \
+               .orderBy(F.desc("_ll_priority"), "y", *FEATURES).limit(most + 1).collect()
+    floor = got[most]["_ll_priority"] if len(got) > most else 0.0
+    got = got[:most]
+    x = np.array([[r[f] for f in FEATURES] for r in got]).reshape(-1, len(FEATURES))
+    return x, np.array([float(r["y"]) for r in got]), np.array([max(float(r["count"]), floor) for r in got])
+
+
+def scored_cells(cells: DataFrame, model, kind: str) -> tuple[np.ndarray, ...]:
+    """(score, label, weight, behind an own cue), one row for each rounded score: all proposals
+    are counted; the scores of the trees are bounded, so these rows are."""
+    score = F.round(score_column(model, F.struct(*FEATURES)), SCORE_DIGITS).alias("score")
+    got = cells.groupBy(score, "y", (F.col("cue") == OWN_CUE[kind]).alias("own")).agg(F.sum("count").alias("w")) \
+               .orderBy("score", "y", "own").collect()
+    return (*(np.array([float(r[c]) for r in got]) for c in ("score", "y", "w")), np.array([r["own"] for r in got], bool))
+
+
 def find_spans(df: DataFrame, models: dict, *, text: str = "text") -> DataFrame:
     """``df`` with ``base`` and ``spans``: array<struct<kind, start, end>> in order of kind and start."""
     t = text_or_empty(text)
@@ -317,7 +358,7 @@ def find_spans(df: DataFrame, models: dict, *, text: str = "text") -> DataFrame:
         model, least = models[k]
         return F.filter(f"_ll_loose_{k}", lambda c: ~F.exists(
             any_base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-            & let(features(t, c, k), lambda x: F.round(score_column(model, x), 6) >= least))
+            & let(features(t, c, k), lambda x: F.round(score_column(model, x), SCORE_DIGITS) >= least))
 
     base = F.concat(*[tagged(k, F.col(f"_ll_base_{k}")) for k in KINDS])
     spans = F.concat(*[tagged(k, F.concat(F.col(f"_ll_base_{k}"), added(k))) for k in KINDS])
@@ -352,4 +393,6 @@ def op8_boosted_pii(spark, sf_dir) -> DataFrame:
         return F.size(F.filter("base.kind", lambda k: k == kind)).cast("long").alias(f"n_{kind}")
 
     return out.select("doc_id", *map(number, KINDS), sha256_hex(spans_text(F.col("base"))).alias("base_sha256"),
-                      spans_text(F.col("spans")).alias("spans"))
+                      spans_text(F.col("spans")).alias("spans"),
+                      F.array_join(F.transform(secret_spans(text_or_empty()), lambda x: F.concat_ws(":", F.lit("secret"), x["start"], x["end"])),
+                                   ",").alias("secrets"))

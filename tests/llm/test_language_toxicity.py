@@ -143,3 +143,67 @@ def test_two_thousand_languages(spark):
     sample = langid.training_sample(frame(spark, rows), "text", "lang", "doc_id", 400, 32_768)
     learned = [r for r in rows if binascii.crc32(str(r[0]).encode()) % 4 != 2]
     assert sorted((r["lang"], r["text"]) for r in sample.collect()) == sorted((r[2], r[1]) for r in learned)
+
+
+def _grams(text):
+    t = f" {text or ''} ".lower()
+    return {t[i:i + n] for n in toxicity.SIZES for i in range(len(t) - n + 1)}
+
+
+def test_toxicity_against_brute_force(spark):
+    """Document counts, log-count ratios and scores worked out from plain n-gram sets of every text."""
+    rude, kind = ["you utter fool", "shut up fool", "stupid fool", "go away stupid"], ["a fine day", "we saw the sea", "the tea is warm", "see you there"]
+    rows, labels = [], []
+    for i in range(240):
+        toxic = i % 3 == 0
+        rows.append((i, f"{(rude if toxic else kind)[i % 4]} {kind[i % 3]} n{i % 17}"))
+        labels.append((i, int(toxic)))
+    rows += [(500, None), (501, ""), (502, "nothing of the kind"), (503, "STUPID FOOL")]
+    df, lab = frame(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(df, lab)
+    texts, learned = dict(rows), [(i, y) for i, y in labels if not held_out(i)]
+    n = [sum(y == k for _, y in learned) for k in (0, 1)]
+    counts = {}
+    for i, y in learned:
+        for g in _grams(texts[i]):
+            counts.setdefault(g, [0, 0])[y] += 1
+
+    def bucket(g):
+        return int(toxicity.buckets(toxicity.letters(g)[1:-1], len(g))[0])
+    by_bucket = {}
+    for g in counts:
+        by_bucket.setdefault(bucket(g), []).append(g)
+
+    def strength(c):
+        total, seen, g = sum(n), sum(c), 0.0
+        for k in (0, 1):
+            for got, expected in ((c[k], seen * n[k] / total), (n[k] - c[k], (total - seen) * n[k] / total)):
+                g += 2 * got * np.log(got / expected) if got else 0.0
+        return g
+    assert all(len(gs) == 1 for gs in by_bucket.values())  # no two n-grams share a bucket here
+    strong = {bucket(g): c for g, c in counts.items() if strength(c) >= toxicity.EVIDENCE}
+    chosen = np.flatnonzero(model.row >= 0)
+    assert len(strong) > 20 and set(map(int, chosen)) == set(strong)
+    order = chosen[np.argsort(model.row[chosen])]
+    ratio = np.array([np.log((strong[int(b)][1] + 1) / (n[1] + 2)) - np.log((strong[int(b)][0] + 1) / (n[0] + 2)) for b in order])
+    # the fit: no better point near the weights under the penalised loss (weights over ratios)
+    w = np.where(np.abs(ratio) > 1e-12, model.weight / ratio, 0.0)
+    place = {int(b): k for k, b in enumerate(order)}
+    held = [sorted({place[bucket(g)] for g in _grams(texts[i]) if bucket(g) in place}) for i, _ in learned]
+    y = np.array([k for _, k in learned], float)
+
+    def loss(bias, w):
+        z = np.array([bias + sum(ratio[j] * w[j] for j in r) for r in held])
+        return (np.logaddexp(0, z) - y * z).sum() + toxicity.PENALTY / 2 * (w ** 2).sum()
+    here, start = loss(model.bias, w), loss(np.log(n[1] / n[0]), np.zeros(len(w)))
+    assert here < 0.5 * start
+    r = np.random.default_rng(0)
+    assert all(loss(model.bias + 0.3 * r.normal(), w + 0.1 * r.normal(size=len(w))) > here for _ in range(20))
+    # the scores: bias and weights of the text's own n-grams
+    weight = dict(zip(map(int, order), model.weight))
+    for got in toxicity.classify(df, model).collect():
+        z = model.bias + sum(weight.get(bucket(g), 0.0) for g in _grams(texts[got["doc_id"]]))
+        assert abs(got["score"] - 1 / (1 + np.exp(-z))) < 1e-9
+        assert got["predicted"] == int(got["score"] >= toxicity.THRESHOLD)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.classify(df, model).collect()}
+    assert scores[503] > 0.5 > scores[502]
