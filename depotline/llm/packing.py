@@ -10,6 +10,11 @@ are kept and dealt, evenly and without a key, into groups of ``group_pieces``.
 Each group is packed on its own, largest pieces first, so its few unfilled
 sequences are a fixed small share at any input size.
 
+Documents in an order of their own (a ``position``) keep it as far as packing lets
+them: a group holds the pieces of one range of positions, groups and the sequences
+of a group are numbered by the first position they hold, and a sequence holds its
+pieces by position.
+
 * null or empty text: one piece, the end id alone
 * repeated rows: packed each on its own; null ids are kept
 """
@@ -36,13 +41,15 @@ PIECE_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
 
 
 def pieces(df: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "doc_id",
-           end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
-    """One row per piece of each document: ``PIECE_SCHEMA``."""
+           position: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY) -> DataFrame:
+    """One row per piece of each document: ``PIECE_SCHEMA``, and its ``position`` if there is one."""
+    ordered = position is not None
+
     def cut(batches):
         ids = word_ids(tokenizer)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in batches:
-            docs = iter(batch.column(0).to_pylist())
+            docs = iter(zip(*(batch.column(i).to_pylist() for i in (0, 2)[:1 + ordered])))
             for flat, ends in ids.texts(batch.column(1)):
                 rows, flat, ends = [], flat.tobytes(), (4 * ends).tolist()
                 for a, b in zip(ends[:-1], ends[1:]):
@@ -50,12 +57,15 @@ def pieces(df: DataFrame, tokenizer: str, *, text: str = "text", doc_id: str = "
                     n = len(raw) // 4
                     for p in range(-(-n // capacity)):
                         part = raw[p * capacity * 4:(p + 1) * capacity * 4]
-                        rows.append((d, p, p * capacity, len(part) // 4, zlib.crc32(part)))
+                        rows.append((d[0], p, p * capacity, len(part) // 4, zlib.crc32(part), *d[1:]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(zip(*rows), PIECE_TYPES)], PIECE_COLUMNS)
+                    [pa.array(c, t) for c, t in zip(zip(*rows), [*PIECE_TYPES, pa.int64()])],
+                    [*PIECE_COLUMNS, "position"][:len(PIECE_COLUMNS) + ordered])
 
-    return df.select(F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")) \
-             .mapInArrow(cut, PIECE_SCHEMA)
+    cols = [F.col(doc_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")]
+    if ordered:
+        cols.append(F.col(position).cast("long").alias("p"))
+    return df.select(*cols).mapInArrow(cut, PIECE_SCHEMA + (", position long" if ordered else ""))
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,22 +97,43 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return seq, off
 
 
+def by_position(seq: np.ndarray, lengths: np.ndarray, positions: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sequence, offset) with the sequences numbered by their first position and the pieces
+    of each laid out by position; what shares a sequence stays the same."""
+    first = np.full(seq.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, seq, positions)
+    rank = np.empty(len(first), np.int64)
+    rank[np.lexsort((np.arange(len(first)), first))] = np.arange(len(first))
+    seq = rank[seq]
+    order = np.lexsort((piece, positions, seq))
+    ends, starts = np.cumsum(lengths[order]), np.flatnonzero(np.diff(seq[order], prepend=-1))
+    begun = ends - lengths[order]
+    off = np.empty(len(seq), np.int64)
+    off[order] = begun - np.repeat(begun[starts], np.diff(np.append(starts, len(seq))))
+    return seq, off
+
+
 def pack(piece_rows: DataFrame, *, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """``piece_rows`` with ``sequence_id`` and ``offset`` (long)."""
     groups = max(1, -(-piece_rows.count() // group_pieces))
+    ordered = "position" in piece_rows.columns
+    dealt = piece_rows.repartitionByRange(groups, "position") if ordered else piece_rows.repartition(groups)
 
     def place(batches):
         got = pa.Table.from_batches(batches) if (batches := list(batches)) else None
         if not got:
             return
-        got = got.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"),
-                           ("ids_crc32", "ascending")])
+        got = got.sort_by([("length", "descending"), *[("position", "ascending")][:ordered], ("doc_id", "ascending"),
+                           ("piece", "ascending"), ("ids_crc32", "ascending")])
         seq, off = sum_of_squares(got["length"].to_numpy(), capacity)
+        if ordered:
+            seq, off = by_position(seq, *(got[c].to_numpy() for c in ("length", "position", "piece")))
+            got = got.drop_columns(["position"])
         base = TaskContext.get().partitionId() << 32
         yield from got.append_column("sequence_id", pa.array(base + seq)) \
                       .append_column("offset", pa.array(off)).to_batches()
 
-    return piece_rows.repartition(groups).mapInArrow(place, f"{PIECE_SCHEMA}, sequence_id long, offset long")
+    return dealt.mapInArrow(place, f"{PIECE_SCHEMA}, sequence_id long, offset long")
 
 
 def pack_documents(df: DataFrame, tokenizer: str, *, capacity: int = CAPACITY,

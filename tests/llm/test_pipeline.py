@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from depotline.llm import langid, ngram_join
 from depotline.llm.common import DOCUMENT_COLUMNS, write_table
@@ -52,3 +54,28 @@ def test_near_duplicates_stage_keeps_clean_rows(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(DOCUMENT_COLUMNS)
     n = ngram_join.near_duplicates(docs).where("doc_id = component_id").count()
     assert corpus_pipeline.near_duplicates(spark, docs, SF).count() == n
+
+
+def test_packing_follows_the_order_of_the_mix(spark):
+    """The same documents in two orders: sequences and the pieces in them follow each."""
+    from depotline.llm.packing import default_tokenizer, pack, pieces
+    docs = frame(spark, [(i, f"word{i} " * (1 + i * 37 % 90)) for i in range(400)])
+    for order in (F.col("doc_id"), F.col("doc_id").desc(), F.xxhash64("doc_id")):
+        mixed = write_table(docs.repartitionByRange(3, order).sortWithinPartitions(order), "test-mix")
+        place = {r["doc_id"]: i for i, r in enumerate(docs.select("doc_id").orderBy(order).collect())}
+        numbered = corpus_pipeline.in_file_order(mixed)
+        assert {r["doc_id"]: r["position"] for r in numbered.collect()} == place
+        one = corpus_pipeline.pack(spark, mixed, SF).collect()
+        rows = pack(pieces(numbered, default_tokenizer(), position="position", capacity=300), capacity=300, group_pieces=90).collect()
+        for got in (one, rows):
+            seqs = {}
+            for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+                seqs.setdefault(r["sequence_id"], []).append(place[r["doc_id"]])
+            assert all(s == sorted(s) for s in seqs.values())
+            assert [s[0] for s in seqs.values()] == sorted(s[0] for s in seqs.values())
+        check_packing(rows, {r["doc_id"]: r["text"] for r in docs.collect()}, 300)
+        groups = {}
+        for r in rows:
+            groups.setdefault(r["sequence_id"] >> 32, []).append(place[r["doc_id"]])
+        ranges = [(min(g), max(g)) for _, g in sorted(groups.items())]
+        assert len(ranges) > 3 and all(a[1] < b[0] for a, b in zip(ranges, ranges[1:]))
