@@ -62,3 +62,12 @@ def test_stock_as_of_needs_no_join_of_numbered_draws(spark):
     now = {(1, 5): [50, 35, 35, 20], (2, 5): [90, 90, 77, 77], (1, 6): [60] * 4, (2, 6): [66] * 4}
     assert got == sorted((o, i, q) for (w, i), qs in now.items() for o, q in zip((1, 3, 1 << 19, 1 << 21), qs))
     assert "LeftSemi" not in out._jdf.queryExecution().toString() and "LeftOuter" not in out._jdf.queryExecution().toString()
+
+
+def test_of_repeated_draws_the_newest_counts(spark):
+    lines = spark.createDataFrame([(2, 1, 5, 1, 40), (2, 1, 5, 1, 35)], "ord long, supply_w_id int, i_id long, ol_number int, s_quantity_after int")
+    wanted = spark.createDataFrame([(3, 1, 5), (1 << 21, 1, 5)], "req_id long, w_id int, i_id long")  # near it and a bucket further
+    base = spark.createDataFrame([(1, 5, 50)], "s_w_id int, s_i_id long, s_quantity int")
+    state = SimpleNamespace(stock_for=lambda keys: base.join(keys, ["s_w_id", "s_i_id"]))
+    got = {r.req_id: r.s_quantity for r in as_of.stock_as_of(state, lines, wanted).collect()}
+    assert got[1 << 21] == 35 and got[3] in (35, 40)
