@@ -13,12 +13,14 @@ from depotline.plans import as_of
 
 def test_shuffle_partitions_follow_the_input(spark):
     parts, task = "spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes"
-    before = {k: spark.conf.get(k) for k in (parts, task)}
+    files = "spark.sql.files.maxPartitionBytes"
+    before = {k: spark.conf.get(k) for k in (parts, task, files)}
     try:
         session.fit_partitions(spark, 1 << 20)  # a small input changes nothing
-        assert {k: spark.conf.get(k) for k in (parts, task)} == before
+        assert {k: spark.conf.get(k) for k in (parts, task, files)} == before
         session.fit_partitions(spark, 4 << 30)
         assert spark.conf.get(parts) == "1024" and spark.conf.get(task) == f"{4 << 20}b"
+        assert spark.conf.get(files) == f"{16 << 20}b"
         session.fit_partitions(spark, 1 << 30)  # never coarser again
         assert spark.conf.get(parts) == "1024"
         spark.conf.set(task, "16k")
