@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from depotline.llm.common import WHITE, drop_table, table, write_table
+from depotline.llm.common import WHITE, drop_table, fit_batches, table, write_table
 from depotline.llm.components import components
 from depotline.llm.shingles import mixed, shingle_sets
 
@@ -219,6 +219,7 @@ def linked_rows(docs: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Rows (id, n, h, ...) of ``docs`` (id, text, ...), and for each class (h) of documents
     with shingles its smallest id and its component (a class; null: without links)."""
     more = docs.columns[2:]
+    fit_batches(docs.sparkSession)
     rows = write_table(_sets(docs, size, sift=True), "sift-sets")
     classes = write_table(rows.where("n > 0 and id is not null").groupBy("h")
                           .agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("s").alias("s")), "classes")

@@ -2,7 +2,10 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
+from depotline.llm.common import BATCH_BYTES, fit_batches
 from depotline.llm.components import components
 from depotline.llm.ngram_join import keep_one, near_duplicates, op7_grouped_prefix_join
 from depotline.llm.shingles import shingle_sets
@@ -136,3 +139,19 @@ def test_components_of_chains_and_stars(spark):
     want = {n: min(chain) for n in chain} | {n: min(star) for n in star} | dict.fromkeys((-5, -9, -7), -9)
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_batches_to_the_workers_are_bounded(spark):
+    def held(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    long_rows = spark.range(0, 40, 1, 1).select(F.repeat(F.lit("x"), 1 << 18).alias("t"))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64MB")
+    near_duplicates(frame(spark, [(1, "a b c d e f"), (2, "a b c d e f")])).collect()
+    assert max(r["n"] for r in long_rows.mapInArrow(held, "n long").collect()) <= BATCH_BYTES // (1 << 18) + 1
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "1KB")  # batches never get larger
+    fit_batches(spark)
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1KB"
+    result(spark, edge_rows())  # batches of single rows give the same
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64MB")
