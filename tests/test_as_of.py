@@ -2,6 +2,7 @@
 
 import os
 import random
+import re
 from dataclasses import replace
 from types import SimpleNamespace
 
@@ -39,6 +40,24 @@ def test_top_balance_equals_a_step_simulation(spark, tmpdir_path, seed, n_places
         assert got[p] == [(c[2], bal[c[2]]) for c in want]
 
 
+def test_no_task_answers_all_places(spark, tmpdir_path, monkeypatch):
+    """A node above many places is repeated by runs of places: the answers stay the same,
+    and the plan neither looks at a node alone nor lets versions pile up before they are cut."""
+    st, _ = fixture_state(spark, os.path.join(tmpdir_path, "fx"))
+    customers = [(1, 1, c, "a", "b", f"c{c}", 100 * c) for c in range(12)]
+    frame = spark.createDataFrame(customers, "c_w_id int, c_d_id int, c_id long, c_first string, c_middle string, c_last string, cents int")
+    rp = SimpleNamespace(state=replace(st, customer=frame.selectExpr("*", "cast(cents / 100 as decimal(14,2)) as c_balance")))
+    ledger = spark.createDataFrame([(3 * o, 1, 1, o % 5, 7 * o - 300) for o in range(90)], "ord long, w_id int, d_id int, c_id long, delta long")
+    asked = spark.range(1, 270, 2).withColumnRenamed("id", "ord")
+    whole = sorted(map(tuple, as_of.top_balance_as_of(rp, asked, ledger, 3).collect()))
+    monkeypatch.setattr(as_of, "CHUNK_BITS", 2)
+    df = as_of.top_balance_as_of(rp, asked, ledger, 3)
+    assert sorted(map(tuple, df.collect())) == whole
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Join Inner, \(\(\(level#\d+ = level#\d+\) AND \(node#\d+L? = node#\d+L?\)\) AND \(run#\d+L? = run#\d+L?\)", plan)
+    assert re.search(r"RepartitionByExpression \[[^\]]*\ba#\d+L?\], 8", plan)
+
+
 def test_reads_between_writes(spark, tmpdir_path):
     """Each read of the file sees what came before it and nothing else."""
     st, _ = fixture_state(spark, os.path.join(tmpdir_path, "fx"))
