@@ -1,5 +1,7 @@
 """Figures of a task that must not grow with the input."""
 
+import re
+from dataclasses import replace
 from types import SimpleNamespace
 
 import pytest
@@ -7,8 +9,12 @@ from pyspark.sql import functions as F
 
 from depotline import session
 from depotline.functions.sequencing import running_aggs
-from depotline.operators import reads
+from depotline.operators import reads, writes
 from depotline.plans import as_of
+from depotline.plans import requests as rq
+from depotline.plans.replay import replay_context
+from depotline.sources.adapter import derive_state, load_state
+from depotline.sources.sinks import _exists, work_path
 
 
 def test_shuffle_partitions_follow_the_input(spark):
@@ -73,3 +79,51 @@ def test_of_repeated_draws_the_newest_counts(spark):
     state = SimpleNamespace(stock_for=lambda keys: base.join(keys, ["s_w_id", "s_i_id"]))
     got = {r.req_id: r.s_quantity for r in as_of.stock_as_of(state, lines, wanted).collect()}
     assert got[1 << 21] == 35 and got[3] in (35, 40)
+
+
+SF = "/root/testdata/sf0.001"
+
+
+def joins(df):
+    """The conditions of the optimized plan's joins, from the outermost in."""
+    return [x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join " in x]
+
+
+def test_lines_are_not_moved_by_their_supplier(spark):
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    try:
+        spark.conf.set(name, "20KB")  # the suppliers are far below, supplier x nation as the planner guesses it is not
+        lines = derive_state(spark, SF, "base").orderline
+        plan = lines._jdf.queryExecution().sparkPlan().toString()
+        assert re.search(r"BroadcastHashJoin \[ol_suppkey#\d+L\], \[s_suppkey#\d+L\]", plan)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_new_lines_meet_stock_and_item_in_one_join(spark):
+    rp = replay_context(spark, SF)
+    lines = writes.new_order_lines(rp.state, rp.log.n_hdr, rp.log.n_lines, hdr=rp.order_ids)
+    assert re.search(r"supply_w_id#\d+ = s_w_id#\d+", joins(lines)[0])
+
+
+def test_asked_orders_meet_their_lines_before_the_union(spark):
+    rp = replay_context(spark, SF)
+    after = as_of.after_orders(rp)
+    asked = after.orders.where("o_id % 3 = 0").select(F.col("o_w_id").alias("w_id"), F.col("o_d_id").alias("d_id"), "o_id")
+    held = as_of.asked_lines(rp, asked)
+    assert held._jdf.queryExecution().optimizedPlan().nodeName() == "Union"
+    want = after.orderline.where("ol_o_id % 3 = 0").select("ol_w_id", "ol_d_id", "ol_o_id", "ol_number", "ol_i_id", "ol_quantity", "ol_delivery_d")
+    got = held.where("ol_number is not null").select("w_id", "d_id", "o_id", "ol_number", "ol_i_id", "ol_quantity", "ol_delivery_d")
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(str(tuple(r)) for r in want.collect())
+    assert held.select("w_id", "d_id", "o_id").distinct().count() == asked.count()  # without lines, too
+
+
+def test_related_customers_write_no_index_of_all_pairs(spark):
+    st = replace(load_state(spark, SF), key="related-test")
+    req = rq.customer_requests(st).where("c_id % 5 = 0")
+    for fn in (reads.related_customers, reads.related_customers_by_lines):
+        got = {tuple(r) for r in fn(st, req).collect()}
+        assert not _exists(spark, work_path(spark, "related-test-idx", "customer_item_pairs"))
+        assert got == {tuple(r) for r in fn(replace(st, key=None), req).collect()}
+        assert got
