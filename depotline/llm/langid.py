@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from depotline.llm.common import HELD_OUT_FOLD, drop_table, fold, table, with_text_columns, write_table
+from depotline.llm.common import HELD_OUT_FOLD, drop_table, fit_batches, fold, table, with_text_columns, write_table
 from depotline.llm.keytable import KeyTable
 
 ORDER = 4
@@ -36,7 +36,7 @@ TRAIN_DOCS = 400
 TRAIN_TOTAL = 40_000  # documents of all languages; more than 100 languages have fewer each
 TRAIN_BYTES = 32_768
 TRAIN_PIECES = 8
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17  # scored at once; the working arrays take some 100 times this
 UNKNOWN = "und"
 
 
@@ -91,13 +91,9 @@ def count_grams(sample: DataFrame) -> pd.DataFrame:
     def count(batches):
         for b in batches:
             for lang, texts in b.groupby("lang")["text"]:
-                grams = [[] for _ in range(ORDER + 1)]
-                for t in texts:
-                    data = np.frombuffer(as_bytes(t), np.uint8).astype(np.uint64)
-                    for o in range(ORDER + 1):
-                        grams[o].append(gram_keys(data, o))
+                raw = [np.frombuffer(as_bytes(t), np.uint8) for t in texts]
                 for o in range(ORDER + 1):
-                    k, n = np.unique(np.concatenate(grams[o]), return_counts=True)
+                    k, n = np.unique(np.concatenate([gram_keys(data, o) for data in raw]), return_counts=True)
                     yield pd.DataFrame({"lang": lang, "gram_order": o, "gram": k.astype(np.int64), "n": n})
 
     return sample.mapInPandas(count, "lang string, gram_order int, gram long, n long") \
@@ -175,8 +171,7 @@ class Ppm:
             whole = np.frombuffer(b"".join(raw[first:last]), np.uint8)
             # a text longer than a chunk is scored piece by piece, with its context before each
             for a in range(0, len(whole) - ORDER, CHUNK_BYTES):
-                data = whole[a:a + CHUNK_BYTES + ORDER].astype(np.uint64)
-                cost = self.byte_costs(data)
+                cost = self.byte_costs(whole[a:a + CHUNK_BYTES + ORDER])
                 pos = np.arange(a + ORDER, a + ORDER + len(cost))
                 doc = np.searchsorted(ends, pos, side="right")
                 begin = np.r_[0, ends[:-1]][doc]
@@ -200,6 +195,7 @@ class Ppm:
 
 def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id",
         train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES) -> Ppm:
+    fit_batches(df.sparkSession)
     sample = write_table(training_sample(df, text, lang, doc_id, train_docs, train_bytes), "lang-sample")
     model = Ppm(count_grams(sample))
     drop_table(sample)
@@ -208,6 +204,7 @@ def fit(df: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str =
 
 def identify(df: DataFrame, model: Ppm, *, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``."""
+    fit_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
     return with_text_columns(df, text, "lang_pred string, score double", lambda texts: shared.value.predict(texts))
 

@@ -135,14 +135,20 @@ def probably_in(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.mapInArrow(pick, docs.schema)
 
 
+def wanted_sets(docs: DataFrame, kept: DataFrame, size: int) -> DataFrame:
+    """The whole sets of the documents whose id is in ``kept``.  The texts are shuffled even if the ids
+    could be broadcast: picking and hashing in one task would take two Python workers a core, which stay."""
+    ids = kept.select(F.col("id").alias("_id")).distinct().hint("merge")
+    texts = probably_in(docs, kept).join(ids, F.col("id") == F.col("_id")).select("id", "text")
+    return _sets(texts, size, sift=False)
+
+
 def ordered_sets(docs: DataFrame, kept: DataFrame, size: int) -> DataFrame:
     """(h, n, k, centre, s): the ``k`` shingles of a class that others have, rarest
     first, and the mean count of all ``n`` (step 3)."""
     own = kept.select(F.col("id").alias("_id"), F.col("h").alias("_h"))
-    texts = probably_in(docs, kept).join(own.select("_id").distinct(), F.col("id") == F.col("_id")).select("id", "text")
     # an id that several rows have brings all their texts; only the class it stands for is meant
-    found = _sets(texts, size, sift=False)
-    sets = write_table(found, "kept-sets")
+    sets = write_table(wanted_sets(docs, kept, size), "kept-sets")
     if sets.count() != kept.count():
         again = write_table(sets.join(own, (F.col("id") == F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
                             .dropDuplicates(["h"]), "kept-sets")

@@ -1,5 +1,6 @@
 import binascii
 import math
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ import pandas as pd
 import pytest
 
 from depotline.llm import langid, toxicity
+from depotline.llm.common import BATCH_BYTES
 from depotline.llm.keytable import KeyTable
 from tests.llm.data import edge_rows, frame
 
@@ -71,6 +73,29 @@ def test_ppm_code_lengths(monkeypatch):
         assert np.allclose(got, want, atol=1e-3)
 
 
+def test_ppm_memory_of_a_batch():
+    langs = {x: [" ".join(f"{x}{i % 97}" for i in range(200))] for x in ("aa", "bb", "cc", "dd")}
+    model = langid.Ppm(grams_of(langs))
+    texts = [("aa7 bb8 cc9 été " * 100)] * 1_200  # about 2 MB
+    tracemalloc.start()
+    model.code_lengths(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 1.8e6 and peak < 32 << 20
+
+
+def test_language_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    df = frame(spark, edge_rows())
+    spark.conf.set(name, "64MB")
+    model = langid.fit(df)
+    assert spark.conf.get(name) == f"{BATCH_BYTES}b"
+    spark.conf.set(name, "64MB")
+    langid.identify(df, model)
+    assert spark.conf.get(name) == f"{BATCH_BYTES}b"
+    spark.conf.set(name, "64MB")
+
+
 def test_language_query(spark):
     rows = langid.op3_ppm_language(spark, SF).toPandas()
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas()

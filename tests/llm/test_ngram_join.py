@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from depotline.llm.common import BATCH_BYTES, fit_batches
 from depotline.llm.components import components
-from depotline.llm.ngram_join import keep_one, near_duplicates, op7_grouped_prefix_join
+from depotline.llm.ngram_join import keep_one, near_duplicates, op7_grouped_prefix_join, wanted_sets
 from depotline.llm.shingles import shingle_sets
 from tests.llm.data import edge_rows, frame, words
 
@@ -155,3 +155,14 @@ def test_batches_to_the_workers_are_bounded(spark):
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "1KB"
     result(spark, edge_rows())  # batches of single rows give the same
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64MB")
+
+
+def test_one_python_worker_a_task(spark):
+    """Between two Python steps of the kept sets there is a shuffle, even if the ids could be broadcast."""
+    docs = spark.createDataFrame([(1, "a b c d e f"), (2, "a b c d e f"), (3, None), (None, "a b")], "id long, text string")
+    kept = spark.createDataFrame([(1, 7, 2), (2, 7, 2)], "id long, h long, n long")
+    found = wanted_sets(docs, kept, 5)
+    steps = re.findall(r"MapInArrow|Exchange hashpartitioning", found._jdf.queryExecution().executedPlan().toString())
+    assert steps.count("MapInArrow") == 2
+    assert "Exchange hashpartitioning" in steps[steps.index("MapInArrow") + 1:len(steps) - steps[::-1].index("MapInArrow")]
+    assert sorted((r["id"], r["n"]) for r in found.collect()) == [(1, 2), (2, 2)]
