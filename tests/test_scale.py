@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from depotline import session
 from depotline.functions.sequencing import running_aggs
-from depotline.operators import reads, writes
+from depotline.operators import derived, reads, writes
 from depotline.plans import as_of
 from depotline.plans import requests as rq
 from depotline.plans.replay import replay_context
-from depotline.sources.adapter import derive_state, load_state
+from depotline.sources.adapter import State, derive_state, load_state
 from depotline.sources.sinks import _exists, work_path
 
 
@@ -127,3 +127,52 @@ def test_related_customers_write_no_index_of_all_pairs(spark):
         assert not _exists(spark, work_path(spark, "related-test-idx", "customer_item_pairs"))
         assert got == {tuple(r) for r in fn(replace(st, key=None), req).collect()}
         assert got
+
+
+@pytest.fixture()
+def large_session(spark):
+    """The session as ``fit_partitions`` leaves it for a large input, from Spark's own threshold of 10 MB."""
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.files.maxPartitionBytes",
+             GUESSED, MEASURED)
+    before = {k: spark.conf.get(k, None) for k in names}
+    spark.conf.set(GUESSED, "10MB")
+    spark.conf.unset(MEASURED)
+    session.fit_partitions(spark, 128 << 20)
+    yield spark
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+GUESSED, MEASURED = "spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold"
+
+
+def test_large_inputs_broadcast_what_was_measured(large_session):
+    spark = large_session
+    assert spark.conf.get(GUESSED) == f"{256 << 10}b" and spark.conf.get(MEASURED) == "10MB"
+    spark.conf.set(GUESSED, "20KB")  # never larger
+    session.fit_partitions(spark, 128 << 20)
+    assert spark.conf.get(GUESSED) == "20KB" and spark.conf.get(MEASURED) == "10MB"
+    spark.conf.set(GUESSED, "-1")  # nor is it turned on
+    session.fit_partitions(spark, 128 << 20)
+    assert spark.conf.get(GUESSED) == "-1"
+
+
+def test_a_counted_table_is_broadcast(large_session):
+    hinted = lambda n: "Hint" in session.counted_broadcast(large_session.range(n))._jdf.queryExecution().analyzed().toString()
+    assert hinted(100_000) and not hinted(1_000_000)  # 16 bytes a row, 10 MB at most
+    large_session.conf.set(MEASURED, "-1")
+    assert not hinted(1)
+
+
+def many_parts(spark):
+    """A state of 100,000 parts: a guess of some MB, and five times the rows in the stock."""
+    part = spark.range(100_000).select(F.col("id").alias("p_partkey"), F.lit("x").alias("p_type"))
+    item = part.select(F.col("p_partkey").alias("i_id"), F.lit("n").alias("i_name"), F.lit(1).cast("decimal(12,2)").alias("i_price"))
+    wh = spark.createDataFrame([(w,) for w in range(1, 6)], "w_id int")
+    return replace(State(*[None] * 7), warehouse=wh, item=item, sources={"part": part})
+
+
+def test_stock_keys_are_not_broadcast_by_a_guess(large_session):
+    out = derived.stock_item(many_parts(large_session))
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 500_000
