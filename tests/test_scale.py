@@ -12,7 +12,7 @@ from depotline.functions.sequencing import running_aggs
 from depotline.operators import derived, reads, writes
 from depotline.plans import as_of
 from depotline.plans import requests as rq
-from depotline.plans.replay import replay_context
+from depotline.plans.replay import replay_context, validate
 from depotline.sources.adapter import State, derive_state, load_state
 from depotline.sources.sinks import _exists, work_path
 
@@ -176,3 +176,12 @@ def test_stock_keys_are_not_broadcast_by_a_guess(large_session):
     out = derived.stock_item(many_parts(large_session))
     assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 500_000
+
+
+def test_items_are_not_broadcast_to_validate_a_log(large_session):
+    spark = large_session
+    rp = replay_context(spark, SF)
+    state = replace(rp.state, item=many_parts(spark).item)
+    plan = validate(state, rp.log)._jdf.queryExecution().sparkPlan().toString()
+    assert not re.search(r"BroadcastHashJoin \[i_id#\d+L\], \[i_id#\d+L\], LeftAnti, BuildRight", plan)
+    assert re.search(r"SortMergeJoin \[i_id#\d+L\], \[i_id#\d+L\], LeftAnti", plan)
