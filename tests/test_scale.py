@@ -1,6 +1,8 @@
 """Figures of a task that must not grow with the input."""
 
+import os
 import re
+import time
 from dataclasses import replace
 from types import SimpleNamespace
 
@@ -14,7 +16,7 @@ from depotline.plans import as_of
 from depotline.plans import requests as rq
 from depotline.plans.replay import replay_context, validate
 from depotline.sources.adapter import State, derive_state, load_state
-from depotline.sources.sinks import _exists, work_path
+from depotline.sources.sinks import _exists, scratch_table, work_path
 
 
 def test_shuffle_partitions_follow_the_input(spark):
@@ -185,3 +187,43 @@ def test_items_are_not_broadcast_to_validate_a_log(large_session):
     plan = validate(state, rp.log)._jdf.queryExecution().sparkPlan().toString()
     assert not re.search(r"BroadcastHashJoin \[i_id#\d+L\], \[i_id#\d+L\], LeftAnti, BuildRight", plan)
     assert re.search(r"SortMergeJoin \[i_id#\d+L\], \[i_id#\d+L\], LeftAnti", plan)
+
+
+def test_related_reads_write_no_index_of_all_pairs(spark):
+    rp = replay_context(spark, SF)
+    of = SimpleNamespace(state=replace(rp.state, key="related-log-test"), order_ids=rp.order_ids, lines=rp.lines)
+    req = rp.log.asked("R", "w_id", "d_id", "c_id")
+    req = req.unionByName(req.withColumn("req_id", F.col("req_id") + 100_000))  # asked for twice
+    got = sorted(tuple(r) for r in as_of.related_as_of(of, req).collect())
+    assert not _exists(spark, work_path(spark, "related-log-test-idx", "customer_item_pairs"))
+    old = reads.customer_item_pairs(replace(rp.state, key=None)).withColumn("since", F.lit(as_of.BEFORE).cast("long"))
+    items = rp.lines.select("ord", "i_id").distinct()
+    new = items.alias("a").join(items.alias("b"), "ord").where("a.i_id < b.i_id").join(rp.order_ids, "ord") \
+        .select("w_id", "d_id", "c_id", F.col("a.i_id").alias("i1"), F.col("b.i_id").alias("i2"), F.col("ord").alias("since"))
+    a, b = old.unionByName(new).alias("a"), old.unionByName(new).alias("b")
+    want = a.join(req, ["w_id", "d_id", "c_id"]).where("since < req_id").join(b, ["i1", "i2"]) \
+        .where("b.since < req_id and a.w_id <> b.w_id").select("req_id", "b.w_id", "b.d_id", "b.c_id").distinct()
+    assert got and got == sorted(tuple(r) for r in want.collect())
+
+
+def test_only_asked_customers_pairs_are_made_for_them(spark):
+    rp = replay_context(spark, SF)
+    who = rp.log.asked("R", "w_id", "d_id", "c_id").drop("req_id").distinct().limit(3)
+    every = as_of.dated_item_pairs(rp)
+    assert sorted(as_of.dated_item_pairs(rp, who).collect()) == sorted(
+        every.join(who, ["w_id", "d_id", "c_id"], "left_semi").select(*every.columns).collect())
+
+
+def test_written_tables_leave_no_shuffle_files(spark):
+    dirs = [str(d) for d in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    held = lambda: {f for d in dirs for _, _, fs in os.walk(d) for f in fs if f.startswith("shuffle_")}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = held(), spark.conf.get(name)
+    rows = spark.range(10_000).groupBy((F.col("id") % 997).alias("k")).count()
+    assert scratch_table(spark, "freed", rows).count() == 997
+    assert spark.conf.get(name) == setting
+    shuffles = lambda: {f.split("_")[1] for f in held() - before}
+    end = time.time() + 20
+    while len(shuffles()) > 1 and time.time() < end:  # that of the count above may stay
+        time.sleep(0.2)
+    assert len(shuffles()) <= 1
