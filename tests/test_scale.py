@@ -11,12 +11,13 @@ from pyspark.sql import functions as F
 
 from depotline import session
 from depotline.functions.sequencing import running_aggs
-from depotline.operators import derived, reads, writes
+from depotline.operators import checks, derived, reads, writes
 from depotline.plans import as_of
 from depotline.plans import requests as rq
+from depotline.plans.chain import CHANGED, upsert
 from depotline.plans.replay import replay_context, validate
 from depotline.sources.adapter import State, derive_state, load_state
-from depotline.sources.sinks import _exists, scratch_table, work_path
+from depotline.sources.sinks import BUCKETED, _exists, scratch_table, work_path
 
 
 def test_shuffle_partitions_follow_the_input(spark):
@@ -227,3 +228,36 @@ def test_written_tables_leave_no_shuffle_files(spark):
     while len(shuffles()) > 1 and time.time() < end:  # that of the count above may stay
         time.sleep(0.2)
     assert len(shuffles()) <= 1
+
+
+@pytest.mark.parametrize("as_laid", [True, False])
+def test_laid_out_lines_are_not_moved_to_change_or_compare_them(spark, as_laid):
+    before = spark.conf.get(GUESSED)
+    try:
+        spark.conf.set(GUESSED, "-1")
+        lines, keys, laid = load_state(spark, SF).orderline, CHANGED["orderline"], BUCKETED["orderline"]
+        changed = lines.where("ol_number = 2 and ol_o_id % 5 = 0").withColumn("ol_quantity", F.col("ol_quantity") + 1)
+        if not as_laid:
+            changed = changed.repartition(3)
+        new = upsert(lines, changed, keys, laid)
+        out = checks._versions(lines, new, keys, ["ol_quantity"], laid=laid)
+        moved = re.findall(r"Exchange hashpartitioning\(.*", out._jdf.queryExecution().executedPlan().toString())
+        assert not any("ol_number" in x for x in moved)
+        assert len(moved) == (0 if as_laid else 2)  # of the changed lines and of the new ones, not of the old
+        n = changed.count()
+        assert n and out.where("o_ol_quantity <> n_ol_quantity").count() == n and out.count() == lines.count()
+        assert out.where("_old is null or _new is null").count() == 0
+    finally:
+        spark.conf.set(GUESSED, before)
+
+
+def test_changed_rows_replace_those_of_the_whole_key_only(spark):
+    cols = "ol_w_id int, ol_d_id int, ol_o_id long, ol_number int, v int"
+    base = spark.createDataFrame([(1, 1, 1, 1, 10), (1, 1, 1, 2, 20), (1, 1, 1, 2, 21), (1, 1, 2, 1, 30), (1, 1, 2, None, 40)], cols)
+    new = spark.createDataFrame([(1, 1, 1, 2, 99), (1, 1, 3, 1, 98), (1, 1, 2, None, 97)], cols)
+    got = upsert(base, new, CHANGED["orderline"], BUCKETED["orderline"]).collect()
+    assert sorted(got, key=str) == sorted(upsert(base, new, CHANGED["orderline"]).collect(), key=str)
+    assert sorted(r.v for r in got) == [10, 30, 40, 97, 98, 99]
+    found = checks._versions(base, new, CHANGED["orderline"], ["v"], laid=BUCKETED["orderline"])
+    assert sorted((r.ol_o_id, r.ol_number or 0, r.o_v or 0, r.n_v or 0) for r in found.collect()) == [
+        (1, 1, 10, 0), (1, 2, 20, 99), (1, 2, 21, 99), (2, 0, 0, 97), (2, 0, 40, 0), (2, 1, 30, 0), (3, 1, 0, 98)]
